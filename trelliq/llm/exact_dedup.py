@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ROW_KEY, keyed, materialize, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks, in files that take no more room than they fill.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: Digests of repeated texts are broadcast only up to this many bytes; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -43,10 +47,10 @@ def _digests(digest_bytes: int, with_text: bool):
 def _stream_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataFrame:
     """(digest, n, keep) for each digest: the state of a stream over ``arrivals`` after its last row."""
     spark = arrivals.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     out = scratch(spark, "dedup-state")
-    spark.conf.set(setting, ROCKSDB)
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = (
             spark.readStream.schema(arrivals.schema)
@@ -64,7 +68,8 @@ def _stream_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataF
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # Counts and identifiers only grow, so the last state of a digest is the largest that any batch wrote.
     schema = arrivals.select("digest", F.lit(1).cast("long").alias("n"), F.struct("doc_id", *ROW_KEY).alias("keep")).schema
     changes = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(out) if _has_files(spark, out) else spark.createDataFrame([], schema)
