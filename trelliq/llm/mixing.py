@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from .common import ROW_KEY, WORD, keyed, materialize
 
 #: Documents of one source and size are ranked in buckets of about this many, so that no task ranks an unbounded group.
-BUCKET = 4096
+BUCKET = 1024
 
 
 def word_count(text) -> F.Column:
