@@ -46,6 +46,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+#: Production passes its own secret; this one makes the query's result reproducible.
+PII_KEY = b"key of the registered query only"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonyms
+
+    return pseudonyms(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import decide, ledger
 
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
