@@ -32,6 +32,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import scratch
+    from .token_files import BLOCK_SCHEMA, read_documents, write_blocks
+
+    path = scratch(spark, "token-files")
+    write_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return read_documents(spark.read.schema(BLOCK_SCHEMA).parquet(path))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +89,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
