@@ -1,6 +1,8 @@
-"""Queries over the driver's tables and the equivalent SQL."""
+"""All registered queries over the driver's tables, and the SQL that they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_rows
+
+QUERIES = dict(queries_rows.QUERIES)
+ORACLE_SQL = dict(queries_rows.ORACLE_SQL)
