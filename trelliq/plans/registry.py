@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_rows
+from . import queries_rows, queries_series
 
-QUERIES = dict(queries_rows.QUERIES)
-ORACLE_SQL = dict(queries_rows.ORACLE_SQL)
+QUERIES = queries_rows.QUERIES | queries_series.QUERIES
+ORACLE_SQL = queries_rows.ORACLE_SQL | queries_series.ORACLE_SQL
