@@ -1,0 +1,457 @@
+"""Corpus operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import TINY
+
+from trelliq.llm import byte_bpe, exact_dedup, graph, html_text, language, mixing, pii, quality, simhash, token_files, urls
+from trelliq.llm.common import materialize
+from trelliq.llm.queries import ORACLE_SQL, QUERIES
+
+tokenizers = pytest.importorskip("public_tokenizers")
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+RANKS = tokenizers.path("byte_bpe_50k.tiktoken")
+
+EDGE = [
+    (1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "One two three", "b"), (5, "one TWO three", "b"), (5, "one TWO three", "b"), (6, "É one", "a"), (7, "é one", "a"),
+    (8, "x " * 3000 + "y", "b"), (9, "x " * 3000 + "y", None), (None, "one two three", "c"), (10, "w1 w2 w3 w4 w5 w6 w7 w8 w9\n" * 2, "a"), (11, "solo", "a"), (12, "漢字 🙂 text", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Odd rows, with columns whose names the operators use themselves."""
+    df = spark.createDataFrame(EDGE, "doc_id long, text string, source string")
+    extra = ("size", "target", "digest", "n", "keep", "fp", "k", "bucket", "failures", "host", "path", "copies", "rate", "part", "block", "word", "lang")
+    for c in extra:
+        df = df.selectExpr("*", f"'{c}' AS `{c}`")
+    return df
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{TINY}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def nothing(edge):
+    return edge.limit(0)
+
+
+def norm(t):
+    return (t or "").translate(LOWER)
+
+
+def collect(df):
+    return sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+
+
+def brute_groups(rows):
+    best, size = {}, Counter()
+    for i, t, _ in rows:
+        size[norm(t)] += 1
+        best[norm(t)] = max(best.get(norm(t), -1), -1 if i is None else i)
+    return best, size
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+@pytest.mark.parametrize("files", [1000, 1])
+def test_exact_dedup(spark, edge, docs, nothing, digest_bytes, files):
+    for table, rows in ((edge, EDGE), (docs, [(r.doc_id, r.text, None) for r in docs.collect()])):
+        best, size = brute_groups(rows)
+        got = collect(exact_dedup.deduplicate(table.repartition(3), files, digest_bytes))
+        text = defaultdict(list)
+        for i, t, _ in rows:
+            text[i].append(norm(t))
+        assert len(got) == len(rows)
+        for r in got:
+            assert any((r.keep_id, r.group_size) == (best[t], size[t]) for t in text[r.doc_id])
+        assert sum(r.kept for r in got) == len(best)
+        if digest_bytes == 32:
+            assert all(bytes(r.digest) in [hashlib.sha256(t.encode()).digest() for t in text[r.doc_id]] for r in got)
+    assert exact_dedup.deduplicate(nothing, files, digest_bytes).count() == 0
+
+
+def test_targets():
+    t = mixing.targets({"a": 100, "b": 10, "c": 10, None: 0}, {"a": 5, "b": 2, "c": 1, None: 5})
+    assert t["b"] == 30 and t["c"] == pytest.approx(15) and t["a"] == pytest.approx(75) and t[None] == 0
+    assert mixing.targets({"a": 1, "b": 100}, {"a": 1, "b": 1}) == {"a": 3.0, "b": 98.0}
+    assert mixing.targets({}, {}) == {}
+
+
+def test_mixing(spark, edge, docs, nothing):
+    for table in (edge, docs):
+        rows = collect(mixing.mix(table))
+        assert Counter((r.doc_id, r.size, r.taken) for r in rows) == Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(table).collect())
+        by = defaultdict(list)
+        for r in rows:
+            by[r.source].append(r)
+            assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size and 0 <= r.rate <= 3
+        sizes = {s: sum(r.size for r in v) for s, v in by.items()}
+        order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+        want = mixing.targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+        for s, v in by.items():
+            assert {r.source_size for r in v} == {sizes[s]}
+            assert v[0].target == pytest.approx(want[s])
+            if table is docs:
+                assert abs(sum(r.taken for r in v) - want[s]) <= max(0.02 * want[s], max(r.size for r in v) / 2)
+                assert abs(sum(r.rate * r.size for r in v) - want[s]) < 1e-5 * max(want[s], 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.size == len(WORD.findall(texts[r.doc_id] or "")) for r in mixing.mix(docs).collect())
+    assert mixing.mix(nothing).count() == 0
+    taken = Counter(r.doc_id for r in mixing.take(docs).collect())
+    assert taken == Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
+    assert mixing.take(edge).columns == edge.columns
+
+
+def test_mixing_splits_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 7)
+    df = spark.range(500).selectExpr("id AS doc_id", "'a b c' AS text", "if(id < 400, 'p', 'q') AS source")
+    rows = mixing.mix(df).collect()
+    for s in "pq":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", norm(text)) if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def test_simhash(spark, edge, docs, nothing):
+    for table in (edge, docs):
+        texts = defaultdict(list)
+        for r in table.select("doc_id", "text").collect():
+            texts[r.doc_id].append(brute_fingerprint(r.text))
+        rows = simhash.near_duplicates(table).collect()
+        assert Counter((r.doc_id, r.fp % 2**64) for r in rows) == Counter((i, f) for i, v in texts.items() for f in v)
+        fps = sorted({r.fp % 2**64 for r in rows})
+        root = {f: f for f in fps}
+        changed = True
+        while changed:
+            changed = False
+            for a in fps:
+                for b in fps:
+                    if (a ^ b).bit_count() <= 3 and root[a] != root[b]:
+                        low, high = sorted((root[a], root[b]))
+                        root = {k: low if v == high else v for k, v in root.items()}
+                        changed = True
+        best = {}
+        for r in rows:
+            if r.doc_id is not None:
+                best[root[r.fp % 2**64]] = min(r.doc_id, best.get(root[r.fp % 2**64], r.doc_id))
+        assert all(r.component_id == best[root[r.fp % 2**64]] for r in rows)
+        assert sum(r.first for r in rows) == len(set(root.values()))
+        assert simhash.keep_one_of_each(table).count() == len(set(root.values()))
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_trie_self_join_against_all_pairs():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        m, top = int(rng.integers(2, 150)), int(rng.integers(1, 20))
+        k = rng.integers(0, 2**63, size=4, dtype=np.uint64)[rng.integers(0, 4, m)]
+        for _ in range(int(rng.integers(0, 6))):
+            k = k ^ (np.uint64(1) << rng.integers(0, 64, m).astype(np.uint64)) * rng.integers(0, 2, m).astype(np.uint64)
+        k = np.unique(k)
+        shift = np.uint64(64 - top)
+        near = (np.bitwise_count(k[:, None] ^ k[None]) <= 3) & ((k[:, None] >> shift) == (k[None] >> shift))
+        want = np.arange(len(k))
+        while True:
+            new = np.array([want[near[i]].min() for i in range(len(k))])
+            if (new == want).all():
+                break
+            want = new
+        assert (simhash.trie_self_join(k, 3, top, frontier=int(rng.integers(3, 50))) == want).all()
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(50)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_byte_bpe(spark, edge, docs, nothing):
+    import tiktoken
+
+    tokens = byte_bpe.read_ranks(RANKS)
+    codec = byte_bpe.Codec(tokens, tokenizers.PATTERN, memory=500)
+    assert sorted(codec.perfect.slot_key) == list(range(len(tokens))) and all(codec.perfect.index(t) == i for i, t in enumerate(tokens))
+    lib = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    r = random.Random(1)
+    alphabet = " \n\t\r  ab'sdté漢字🙂12 \x1c\x85.,!?'llx́　"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(4000)] + ["z" * 20000]
+    for t in texts:
+        assert codec.encode(t) == lib.encode_ordinary(t)
+        assert codec.decode(codec.encode(t)) == t.encode()
+    for table in (edge, docs):
+        want = Counter()
+        for x in table.select("doc_id", "text").collect():
+            ids, t = lib.encode_ordinary(x.text or ""), (x.text or "").encode()
+            want[(x.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t).hexdigest())] += 1
+        assert Counter(tuple(x) for x in byte_bpe.round_trip(table, RANKS, tokenizers.PATTERN).collect()) == want
+    back = byte_bpe.decode(byte_bpe.encode(edge, RANKS, tokenizers.PATTERN), RANKS, tokenizers.PATTERN)
+    assert Counter((x.doc_id, bytes(x.bytes).decode()) for x in back.collect()) == Counter((i, t or "") for i, t, _ in EDGE)
+    assert byte_bpe.round_trip(nothing, RANKS, tokenizers.PATTERN).count() == 0
+
+
+def test_chunk_encoder_against_library():
+    from tokenizers import Tokenizer
+
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    lib, mine, r = Tokenizer.from_str(source), token_files.ChunkEncoder(source, memory=300), random.Random(2)
+    alphabet = " \n\t\r  ab'sdtéÀßñİı漢字🙂12\x1c\x85\xa0.,!?'llxé|ΣσςΑ<|endoftext|>_-"
+    for i in range(6000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) + (" <|endoftext|> x" if i % 50 == 0 else "")
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_repair_blocks():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        lengths = rng.integers(0, 60, int(rng.integers(1, 12)))
+        ids = rng.integers(0, int(rng.integers(2, 9)), int(lengths.sum())).astype(np.uint32)
+        b = token_files.Block(token_files.compress(ids, lengths, 9, rounds=int(rng.integers(1, 8)), per_round=int(rng.integers(1, 20)), least=2))
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        assert (b.ids() == ids).all()
+        i = int(rng.integers(0, len(lengths)))
+        assert (b.document(i) == ids[at[i] : at[i + 1]]).all()
+        if lengths[i]:
+            j = int(rng.integers(0, lengths[i]))
+            assert b.token(i, j) == ids[at[i] + j]
+    wide = np.array([70000, 70001] * 50, np.uint32)
+    assert (token_files.Block(token_files.compress(wide, np.array([100]), 80000, least=2)).ids() == wide).all()
+    with pytest.raises(ValueError):
+        token_files.Block(b"none")
+
+
+def test_token_files(spark, edge, docs, nothing, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    for n, table in enumerate((docs, edge, nothing)):
+        token_files.write_blocks(table, path, f"{tmp_path}/{n}", block_tokens=3000)
+        got = token_files.read_documents(spark.read.schema(token_files.BLOCK_SCHEMA).parquet(f"{tmp_path}/{n}"), with_ids=True).orderBy("start").collect()
+        rows = table.select("doc_id", "text").collect()
+        assert len(got) == len(rows)
+        assert [r.doc_id for r in got] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i or 0))
+        start, texts = 0, defaultdict(list)
+        for r in rows:
+            texts[r.doc_id].append(lib.encode(r.text or "", add_special_tokens=False).ids + [2])
+        for r in got:
+            assert r.start == start and list(r.ids) in texts[r.doc_id] and r.n_tokens == len(r.ids)
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids))
+            start += r.n_tokens
+
+
+def test_urls(spark):
+    pages = [(i, u) for i, u in enumerate([
+        None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://notexample.org/en/1", "http://b.com/de/", "http://b.com/fr/x", "http://b.com?q=/de/", "http://org/", "http://x.org", "ftp://u@h.com:80/de/1", "http://b.com/de",
+    ])]
+    df = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' AS host", "'y' AS path", "'z' AS rule")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    hosts = ["", "", "", "", "a.example.org", "example.org", "notexample.org", "b.com", "b.com", "b.com", "org", "x.org", "u@h.com:80", "b.com"]
+    paths = ["", "", "", "", "/es/1", "/en/12", "/en/1", "/de/", "/fr/x", "", "/", "", "/de/1", "/de"]
+    rules = [None] * 4 + ["example.org/es/", "example.org/en/1", "org/", "com/de/", "com/fr/", None, "org/", None, None, None]
+    assert [(got[i].host, got[i].path, got[i].rule) for i, _ in pages] == list(zip(hosts, paths, rules, strict=True))
+    assert all(r.verdict == ("block" if r.rule in ("example.org/es/", "example.org/en/1", "com/de/") else "allow") for r in got.values())
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_url_tree_rejects_pure_templates(spark):
+    rows = [(i, f"http://h.net/{'spam' if i % 2 else 'news'}/p{i}/{i * 7}.html") for i in range(400)] + [(900 + i, f"http://h.net/other/{i}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.filter("page_id < 100").selectExpr("page_id", "url LIKE '%/spam/%' AS blocked")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels=labels).collect()}
+    assert all(got[i] == ("block" if "/spam/" in u else "allow") for i, u in rows)
+
+
+def brute_quality(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if count[w] > 1:
+            covered.update(range(i, i + 8))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, edge, docs, nothing):
+    for table in (edge, docs):
+        want = Counter((r.doc_id, *brute_quality(r.text)) for r in table.select("doc_id", "text").collect())
+        rows = quality.decide(quality.ledger(table)).collect()
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+        assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in rows)
+    book = quality.ledger(docs).collect()
+    for r in quality.ablations(quality.ledger(docs)).collect():
+        assert r.failing == sum(bool(b.failures & r.bit) for b in book)
+        assert r.only_this == sum(b.failures == r.bit for b in book) and r.dropped == sum(b.failures != 0 for b in book)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{TINY}/labels.parquet").collect()}
+    kept = {r.doc_id: (r.kept, r.n_words) for r in quality.decide(quality.ledger(docs)).collect()}
+    assert all(kept[i][0] for i, q in labels.items() if q == 1 and kept[i][1] >= 40)
+    assert not any(kept[i][0] for i, q in labels.items() if q == 0)
+    assert quality.ledger(nothing).count() == 0
+
+
+PAGE = """<html><body class="home"><header><h1>Site</h1><a href=/>home</a></header><div id="wrap"><div class="sidebar"><p>Side text here long enough to matter.</p></div>
+<div class="post-content"><header><h2>Title of it</h2><span>by X</span></header><p>First&nbsp;para &lt;b&gt; with <a href="x">link</a> text.<p>Second   para, longer than the others here.<ul><li>one<li>two</ul>
+<form><p>subscribe</p></form><div class="comments"><p>nice post nice post nice post</p></div></div></div>
+<div class="cookie-notice">We use cookies</div><footer>foot</footer><script>if (a<b) document.write("<p>x</p>")</script></body></html>"""
+
+
+def test_html(spark):
+    assert html_text.extract(PAGE, []) == "Title of it\nFirst para <b> with link text.\nSecond para, longer than the others here.\none\ntwo"
+    odd = [None, "", "plain <b>bold</b> text", "<p>cut <p", "a < b & c", "<div>" * 500 + "deep"]
+    assert [html_text.extract(x, []) for x in odd] == ["", "", "plain bold text", "cut", "a < b & c", "deep"]
+    rows = [(i, f"http://h.org/{i}", PAGE.replace("First", f"Page {i}")) for i in range(6)] + [(6, None, None), (7, "http://h.org/x", "<p>lone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS paths", "3 AS text")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert got[3].text.split("\n")[1].startswith("Page 3 para") and got[6].text == "" and got[7].text == "lone" and all(len(r.text) == r.n_chars for r in got.values())
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_html_on_pages(spark):
+    import html
+
+    for r in spark.read.parquet(f"{TINY}/pages.parquet").join(html_text.main_text(spark.read.parquet(f"{TINY}/pages.parquet")).select("page_id", "text"), "page_id").collect():
+        inner = re.sub(r"</?b>", "", r.html.split("<article>", 1)[1].split("</article>")[0].replace("<br>", " "))
+        blocks = [" ".join(html.unescape(x).split()) for x in re.split(r"</?p>|</?h1>", inner)]
+        assert r.text == "\n".join(x for x in blocks if x)
+
+
+def test_language(spark, docs, edge, nothing):
+    net = language.fit(docs)
+    rows = language.predict(docs, net).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    odd = collect(language.predict(edge, net))
+    assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and odd[-1].held_out is False and len(odd) == len(EDGE)
+    assert language.fit(nothing) is None and language.predict(nothing, net).count() == 0
+    assert {r.lang_pred for r in language.predict(edge, None).collect()} == {"und"}
+    assert language.windows("é" * 100).shape == (3, language.WINDOW)
+    assert language.keep_known(edge).columns == edge.columns
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(0)
+    net = language.ByteCNN.fresh(["a", "b", "c"], rng)
+    for k in net.params:
+        net.params[k] = net.params[k].astype(np.float64)
+    rows, y = rng.integers(97, 123, (5, language.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    loss = lambda: -net.log_probabilities(rows)[np.arange(5), y].mean()
+    g = net._gradients(rows, y, np.ones(5))
+    for k in net.params:
+        flat = net.params[k].reshape(-1)
+        for i in rng.integers(0, flat.size, 6):
+            was = flat[i]
+            flat[i] = was + 1e-6
+            up = loss()
+            flat[i] = was - 1e-6
+            down = loss()
+            flat[i] = was
+            assert (up - down) / 2e-6 == pytest.approx(g[k].reshape(-1)[i], abs=1e-5)
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"0123456789abcdef")
+    for size in (1, 2, 3, 10, 97, 1000):
+        out = [f.forward("x", size, i) for i in range(size)]
+        assert sorted(out) == list(range(size)) and [f.backward("x", size, v) for v in out] == list(range(size))
+
+
+def test_pii(spark, edge, docs, nothing):
+    key = b"0123456789abcdef"
+    text = (
+        "mail und.34@mail7.example.com and AB.Cd@x-y.co.uk, card 4111 1111 1111 1111 or 4111111111111111 not 4111111111111112; +1 (017) 555-7713 (017) 555-7713, 123-45-6789 000-12-3456; "
+        '10.0.0.255 300.1.1.1 v4.0. 2024-02-29 2023-02-29 29.02.2024; GB82 WEST 1234 5698 7654 32; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'
+    )
+    df = spark.createDataFrame([(1, text), (2, "again 4111111111111111"), (3, None), (4, "")], "doc_id long, text string").selectExpr("*", "5 AS n_found")
+    got = {r.doc_id: r for r in pii.pseudonyms(df, key).collect()}
+    new = got[1].text
+    for gone in ("34@mail7", "AB.Cd@x-y", "4111 1111", "555-7713", "123-45-6789", "10.0.0.255", "2024-02-29", "WEST", "04dbebab"):
+        assert gone not in new
+    for kept in ("4111111111111112", "000-12-3456", "300.1.1.1", "2023-02-29", "v4.0."):
+        assert kept in new
+    card = re.search(r"\d{16}", got[2].text)[0]
+    assert card in new and pii.luhn_digit(card[:-1]) == card[-1] and (got[1].n_card, got[1].n_phone, got[1].n_date) == (2, 2, 2)
+    assert got[3].text is None and got[3].n_found == 0 and got[4].text == ""
+    for table in (df, docs, edge):
+        back = pii.pseudonyms(pii.pseudonyms(table, key), key, undo=True)
+        assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in table.select("doc_id", "text").collect())
+    clean = {r.doc_id: r.text for r in docs.collect() if not re.search(r"[@\d]", r.text or "")}
+    assert all(r.text == clean[r.doc_id] for r in pii.pseudonyms(docs, key).collect() if r.doc_id in clean)
+    assert pii.pseudonyms(nothing, key).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonyms(df, b"short")
+
+
+def test_queries_run_and_match_sql(spark, duck):
+    from test_queries import same
+
+    for name, f in QUERIES.items():
+        df = f(spark, TINY)
+        if name in ORACLE_SQL:
+            same(df.toPandas(), duck.execute(ORACLE_SQL[name]).df())
+        else:
+            assert df.limit(1).count() == 1
+    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "mixing", "encoding"]
+    want = docs.collect()
+    letters = [r for r in want if r.text and re.search(r"[^\W\d_]", r.text)]
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, TINY)
+        now = materialize(now, f"test-{name}")
+        seen[name] = now.collect()
+        if name != "encoding":
+            assert now.columns == docs.columns
+    assert Counter(r.doc_id for r in seen["language"]) == Counter(r.doc_id for r in letters)
+    best = {}
+    for r in seen["language"]:
+        best[norm(r.text)] = max(best.get(norm(r.text), -1), r.doc_id)
+    assert {r.doc_id for r in seen["exact_dedup"]} == set(best.values())
+    left = sorted((r.doc_id, brute_fingerprint(r.text)) for r in seen["exact_dedup"])
+    root = {i: i for i, _ in left}
+    for _ in range(3):
+        for i, a in left:
+            for j, b in left:
+                if (a ^ b).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id for r in seen["near_dedup"]} == {root[i] for i, _ in left}
+    assert len(seen["encoding"]) == len(seen["mixing"]) and sorted(r.doc_id for r in seen["mixing"]) == sorted(r.doc_id for r in seen["encoding"])
+    assert corpus_pipeline.run(spark, TINY).count() == len(seen["encoding"])
