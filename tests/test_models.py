@@ -42,6 +42,15 @@ def test_hmm_by_enumeration():
         np.testing.assert_allclose(xi[i], pairs, atol=1e-12)
 
 
+@pytest.mark.parametrize(("n", "steps"), [(1, 1000), (3, 137), (60, 70), (2, 1)])
+def test_scaled_recursions_equal_logarithms(n, steps):
+    lls = [rng.normal(size=(steps if i == 0 else int(rng.integers(1, steps + 1)), 3)) * 4 for i in range(n)]
+    for a, pi in ((A, PI), (np.array([[0.5, 0.5, 0], [0, 0.5, 0.5], [0, 0, 1.0]]), np.array([1.0, 0, 0]))):
+        args = (*H.pad(lls), H._log(a), H._log(pi))
+        for x, y in zip(H.posterior(*args), H._posterior_log(*args), strict=True):
+            np.testing.assert_allclose(x, y, rtol=1e-8, atol=1e-9)
+
+
 def test_impossible_states_stay_impossible():
     ll = np.array([[[0.0, -math.inf], [-math.inf, 0.0]]])
     alpha = H.forward(ll, np.log([[0.5, 0.5], [0.5, 0.5]]), np.log([0.5, 0.5]))

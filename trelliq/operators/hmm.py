@@ -56,8 +56,8 @@ def trial_loglik(alpha: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return log_sum_exp(alpha[np.arange(len(lengths)), lengths - 1], axis=1)
 
 
-def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
-    """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial."""
+def _posterior_log(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
+    """As :func:`posterior`, in logarithms throughout: slower, but no probability is too small."""
     alpha, beta = forward(ll, log_a, log_pi), backward(ll, lengths, log_a)
     loglik = trial_loglik(alpha, lengths)
     joint = alpha + beta
@@ -74,6 +74,88 @@ def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np
     return gamma, xi, loglik
 
 
+def _stretches(n: int, steps: int) -> int:
+    """Into how many stretches to cut the time axis, so that few trials of many steps still make long array operations."""
+    return 1 if n >= 48 or steps < 64 else min(int(math.sqrt(steps)), -(-96 // n))
+
+
+def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
+    """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial.
+
+    Works with scaled probabilities. Time is cut into stretches that are walked side by side: first each stretch's transition
+    product, then the messages at their ends one after the other, then the messages inside. If a probability underflows, the
+    recursion in logarithms takes over.
+    """
+    n, steps, k = ll.shape
+    s = _stretches(n, steps)
+    c = -(-steps // s)
+    a = np.exp(log_a)
+    inside = np.zeros((n, s * c), bool)
+    inside[:, :steps] = np.arange(steps)[None, :] < lengths[:, None]
+    top = ll.max(axis=2)
+    e = np.ones((n, s * c, k))
+    with np.errstate(invalid="ignore"):
+        e[:, :steps] = np.exp(ll - top[:, :, None])
+    e[~inside] = 1.0
+    # Step 0 has no transition into it, and steps beyond a trial's end change nothing.
+    moves = inside.copy()
+    moves[:, 0] = False
+    e, moves = e.reshape(n, s, c, k), moves.reshape(n, s, c)
+    all_move = moves.all(axis=(0, 1))
+
+    def along(v, i, axis_rows):
+        """v times the i-th step of each stretch."""
+        new = v @ a
+        if not all_move[i]:
+            new = np.where((moves[:, :, i, None, None] if axis_rows else moves[:, :, i, None]), new, v)
+        return new * (e[:, :, i, None, :] if axis_rows else e[:, :, i])
+
+    with np.errstate(all="ignore"):
+        enter, leave = np.empty((n, s, k)), np.ones((n, s, k))
+        enter[:, 0] = np.exp(log_pi)
+        if s > 1:
+            product, scale = np.broadcast_to(np.eye(k), (n, s, k, k)), np.zeros((n, s, k))
+            for i in range(c):
+                product = along(product, i, True)
+                m = product.max(axis=3)
+                product = product / m[..., None]
+                scale = scale + np.log(m)
+            for j in range(1, s):
+                w = np.log(enter[:, j - 1]) + scale[:, j - 1]
+                v = (np.exp(w - w.max(axis=1, keepdims=True))[:, None, :] @ product[:, j - 1])[:, 0]
+                enter[:, j] = v / v.sum(axis=1, keepdims=True)
+            for j in range(s - 2, -1, -1):
+                w = scale[:, j + 1] + np.log((product[:, j + 1] @ leave[:, j + 1, :, None])[..., 0])
+                leave[:, j] = np.exp(w - w.max(axis=1, keepdims=True))
+        alpha, beta, norm = np.empty_like(e), np.empty_like(e), np.empty((n, s, c))
+        v = enter
+        for i in range(c):
+            v = along(v, i, False)
+            norm[:, :, i] = v.sum(axis=2)
+            v = v / norm[:, :, i, None]
+            alpha[:, :, i] = v
+        v, at = leave, a.T.copy()
+        for i in range(c - 1, -1, -1):
+            beta[:, :, i] = v
+            w = v * e[:, :, i]
+            new = w @ at
+            if not all_move[i]:
+                new = np.where(moves[:, :, i, None], new, w)
+            v = new / new.sum(axis=2, keepdims=True)
+        alpha, beta, e = (x.reshape(n, s * c, k)[:, :steps] for x in (alpha, beta, e))
+        inside = inside[:, :steps]
+        loglik = np.where(inside, np.log(norm.reshape(n, -1)[:, :steps]) + top, 0.0).sum(axis=1)
+        joint = alpha * beta
+        gamma = np.where(inside[:, :, None], joint / joint.sum(axis=2, keepdims=True), 0.0)
+        after = e[:, 1:] * beta[:, 1:]
+        z = ((alpha[:, :-1] @ a) * after).sum(axis=2, keepdims=True)
+        weighted = np.where(inside[:, 1:, None], alpha[:, :-1] / z, 0.0)
+        xi = a * (weighted.transpose(0, 2, 1) @ after)
+    if not (np.isfinite(loglik).all() and np.isfinite(gamma).all() and np.isfinite(xi).all()):
+        return _posterior_log(ll, lengths, log_a, log_pi)
+    return gamma, xi, loglik
+
+
 def viterbi_path(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray) -> np.ndarray:
     """Most probable states, from 0; of equal ones the first."""
     n, steps, k = ll.shape
