@@ -91,43 +91,76 @@ class BlockTridiagonal:
 
     def __init__(self, main: np.ndarray, sub: np.ndarray):
         t, d, _ = main.shape
-        self.sub = sub
         self.schur = np.empty_like(main)
         self.gain = np.empty((max(t - 1, 0), d, d))
         self.schur[0] = main[0]
-        for i in range(1, t):
+        # While the blocks repeat, the Schur complements settle; from there to the end of the run they are copied.
+        repeats = np.zeros(t, bool)
+        if t > 2:
+            repeats[2:] = (main[2:] == main[1:-1]).all(axis=(1, 2)) & (sub[1:] == sub[:-1]).all(axis=(1, 2))
+        self.runs = _run_ends(repeats)
+        i = 1
+        while i < t:
             self.gain[i - 1] = np.linalg.solve(self.schur[i - 1], sub[i - 1].T).T
             s = main[i] - self.gain[i - 1] @ sub[i - 1].T
             self.schur[i] = (s + s.T) / 2
+            i += 1
+            if i < t and repeats[i] and repeats[i - 1] and _settled(self.schur[i - 1], self.schur[i - 2]):
+                end = self.runs[i]
+                self.schur[i:end] = self.schur[i - 1]
+                self.gain[i - 1 : end - 1] = np.linalg.solve(self.schur[i - 1], sub[i - 1].T).T
+                i = end
         self.low = np.linalg.cholesky(self.schur)
+        self.inv = np.linalg.inv(self.schur)
 
     def log_det(self) -> float:
         return 2 * float(np.log(np.diagonal(self.low, axis1=1, axis2=2)).sum())
 
     def solve(self, b: np.ndarray) -> np.ndarray:
-        t = len(self.schur)
-        y = b.copy()
-        for i in range(1, t):
-            y[i] -= self.gain[i - 1] @ y[i - 1]
-        x = np.empty_like(y)
-        x[-1] = np.linalg.solve(self.schur[-1], y[-1])
-        for i in range(t - 2, -1, -1):
-            x[i] = np.linalg.solve(self.schur[i], y[i]) - self.gain[i].T @ x[i + 1]
+        y, gain = b.copy(), self.gain
+        for i in range(len(gain)):
+            y[i + 1] -= gain[i] @ y[i]
+        x = np.einsum("tij,tj->ti", self.inv, y)
+        back = gain.transpose(0, 2, 1)
+        for i in range(len(gain) - 1, -1, -1):
+            x[i] -= back[i] @ x[i + 1]
         return x
 
     def selected_inverse(self) -> tuple[np.ndarray, np.ndarray]:
         """Diagonal blocks, and blocks (i, i-1) with zeros at i = 0."""
-        t, d, _ = self.schur.shape
-        inv = np.linalg.inv(self.schur)
+        t, _, _ = self.schur.shape
+        inv, gain = self.inv, self.gain
         diag, lag = np.empty_like(inv), np.zeros_like(inv)
         diag[-1] = inv[-1]
-        for i in range(t - 2, -1, -1):
-            lag[i + 1] = -diag[i + 1] @ self.gain[i]
-            diag[i] = inv[i] - self.gain[i].T @ lag[i + 1]
-            diag[i] = (diag[i] + diag[i].T) / 2
+        same = np.zeros(t, bool)
+        if t > 2:
+            same[:-2] = (inv[:-2] == inv[1:-1]).all(axis=(1, 2)) & (gain[:-1] == gain[1:]).all(axis=(1, 2))
+        starts = t - _run_ends(same[::-1])
+        i = t - 2
+        while i >= 0:
+            lag[i + 1] = -diag[i + 1] @ gain[i]
+            v = inv[i] - gain[i].T @ lag[i + 1]
+            diag[i] = (v + v.T) / 2
+            i -= 1
+            if i >= 0 and same[i] and same[i + 1] and _settled(diag[i + 1], diag[i + 2]):
+                start = starts[t - 1 - i]
+                diag[start : i + 1] = diag[i + 1]
+                lag[start + 1 : i + 2] = -diag[i + 1] @ gain[i]
+                i = start - 1
         return diag, lag
 
 
+def _run_ends(flags: np.ndarray) -> np.ndarray:
+    """For each index the end of the run of true flags that it stands in."""
+    ends = np.arange(1, len(flags) + 1)
+    stop = np.flatnonzero(np.append(~flags, True))
+    return np.where(flags, stop[np.searchsorted(stop, np.arange(len(flags)))], ends)
+
+
+def _settled(a: np.ndarray, b: np.ndarray) -> bool:
+    return bool(np.abs(a - b).max() <= 4e-16 * np.abs(a).max())
+
+
 def newton(value, gradient_hessian, x: np.ndarray, iterations: int = 100, tolerance: float = 1e-10) -> np.ndarray:
     """Minimise a convex function by Newton steps with halving; ``gradient_hessian(x)`` gives both at once."""
     now = value(x)
