@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data.
 
-Emails, card, phone, social-security and account numbers, IP addresses, dates and labelled secrets are found by pattern and
+Emails, card, phone, social-security and account numbers, IP addresses, dates, labelled secrets and access keys with an issuer's prefix are found by pattern and
 validated (check digits, ranges, the calendar). Each valid value is written as a number below the count of values of its format
 and sent through a keyed Feistel network with cycle walking, a permutation of that range. So pseudonyms have the same format and
 pass the same validation, equal values get equal pseudonyms in every document, different values different ones, and whoever has
@@ -22,6 +22,7 @@ KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 
 _PATTERN = re.compile(
     r"(?P<secret>(?<=[=:])\s*[\"']?[A-Za-z0-9_+/-]{16,256}(?![A-Za-z0-9_+/-]))"
+    r"|(?P<token>(?<![A-Za-z0-9_])(?:A(?:KIA|SIA|IDA|ROA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,80}|[sr]k_live_[A-Za-z0-9]{16,64})(?![A-Za-z0-9_]))"
     r"|(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -31,7 +32,7 @@ _PATTERN = re.compile(
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
 _LABEL = re.compile(r"(?i)(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer)[\"']?\s*[=:]$")
-_MAY_HOLD = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}")
+_MAY_HOLD = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}|A(?:KIA|SIA|IDA|ROA)|AIza|gh[pousr]_|xox[abprs]-|k_live_")
 
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
 
@@ -143,6 +144,9 @@ def replace(kind: str, text: str, step) -> str | None:
             made = f"{step('hex', 16 ** len(body), int(body, 16)):0{len(body)}x}"
             return text[:lead] + (made.upper() if body.upper() == body else made)
         return text[:lead] + _shuffle(body, kind, step)
+    if kind == "token":
+        lead = 8 if text[1:8] == "k_live_" else 5 if text.startswith("xox") else 4  # what names the issuer stays
+        return text[:lead] + _shuffle(text[lead:], "secret", step)
     if kind == "card":
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
             return None
@@ -203,7 +207,7 @@ def pseudonymise(text: str | None, step) -> tuple[str | None, Counter]:
         new = replace(kind, m[0], step)
         if new is None:
             return m[0]
-        found[kind] += 1
+        found["secret" if kind == "token" else kind] += 1
         return new
 
     return _PATTERN.sub(swap, text), found
@@ -216,7 +220,7 @@ def pseudonymise_plain(text: str, step) -> tuple[str, Counter]:
         new = None if m.lastgroup == "secret" else replace(m.lastgroup, m[0], step)
         if new is None:
             return m[0]
-        found[m.lastgroup] += 1
+        found["secret" if m.lastgroup == "token" else m.lastgroup] += 1
         return new
 
     return _PATTERN.sub(swap, text), found
