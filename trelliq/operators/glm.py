@@ -56,7 +56,12 @@ def fit_weighted(emissions: list, df: DataFrame, y: str, u: str, weights: list[C
         return seen[key]
 
     start = np.concatenate([e.beta[:, 0] for e in emissions])
-    flat = newton(lambda b: evaluate(b)[0], lambda b: evaluate(b)[1:], start, iterations=50, tolerance=1e-8)
+    df = df.select(F.col(y).alias(y), F.col(u).alias(u), *[c.alias(f"w{k}") for k, c in enumerate(weights)]).persist()
+    weights = [F.col(f"w{k}") for k in range(len(weights))]
+    try:
+        flat = newton(lambda b: evaluate(b)[0], lambda b: evaluate(b)[1:], start, iterations=50, tolerance=1e-8)
+    finally:
+        df.unpersist()
     return [replace(e, beta=flat[k * p : (k + 1) * p]) for k, e in enumerate(emissions)]
 
 

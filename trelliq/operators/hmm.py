@@ -219,12 +219,23 @@ class HiddenMarkovModel:
         ll, lengths = pad([self.emission_loglikelihoods(y, u) for y, u in zip(ys, us, strict=True)])
         return ys, us, ll, lengths
 
-    def _map(self, obs: DataFrame, kernel, schema: str) -> DataFrame:
+    def _map(self, obs: DataFrame, kernel, schema: str, arranged: bool = False) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in trials(batches):
                 yield kernel(some, *self._chunk(some))
 
-        return by_trial(obs.select("trial_id", "t", "y", "u", "w")).mapInPandas(run, schema)
+        return (obs if arranged else by_trial(obs.select("trial_id", "t", "y", "u", "w"))).mapInPandas(run, schema)
+
+    def _weighted(self, arranged: DataFrame) -> DataFrame:
+        """Rows (y, u, w, gamma) of a table from ``by_trial``; nothing is shuffled."""
+
+        def kernel(some, ys, us, ll, lengths):
+            gamma, _, _ = posterior(ll, lengths, _log(self.a), _log(self.pi))
+            rows = pd.concat([p[["y", "u", "w"]] for p in some], ignore_index=True)
+            rows["gamma"] = [g for i, n in enumerate(lengths) for g in gamma[i, :n]]
+            return rows
+
+        return self._map(arranged, kernel, "y array<double>, u array<double>, w double, gamma array<double>", arranged=True)
 
     # Inference
 
@@ -335,11 +346,7 @@ class HiddenMarkovModel:
                         emissions.append(e.mstep(s[at : at + e.width()]))
                         at += e.width()
                 else:
-                    weighted = arranged.join(model.class_probabilities(arranged), ["trial_id", "t"]).persist()
-                    try:
-                        emissions = fit_weighted(list(model.emissions), weighted, "y", "u", [F.get("gamma", F.lit(i)) * F.col("w") for i in range(self.k)])
-                    finally:
-                        weighted.unpersist()
+                    emissions = fit_weighted(list(model.emissions), model._weighted(arranged), "y", "u", [F.get("gamma", F.lit(i)) * F.col("w") for i in range(self.k)])
                 model = HiddenMarkovModel(a, pi, tuple(emissions))
         finally:
             arranged.unpersist()

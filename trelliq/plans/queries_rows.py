@@ -94,9 +94,10 @@ def gmm_mstep(spark, sf_dir):
 
 @query(f"{_gmm_chain(3)} {_GMM_ROWS.format(p='par3')}")
 def gmm_em_3iter(spark, sf_dir):
-    g, pts = GMM, _points(spark, sf_dir)
+    g, pts = GMM, _points(spark, sf_dir).persist()
     for _ in range(3):
         g = g.step(pts)
+    pts.unpersist()
     return _gmm_rows(spark, g)
 
 
@@ -131,9 +132,10 @@ _PMM_ROWS = "SELECT 1 AS component, round(w1, 5) AS weight, round(r1, 5) AS rate
 
 
 def _pmm(spark, sf_dir, steps):
-    m, pts = PMM, _counts(spark, sf_dir)
+    m, pts = PMM, _counts(spark, sf_dir).persist()
     for _ in range(steps):
         m = m.step(pts)
+    pts.unpersist()
     return rounded(rows(spark, [(k + 1, float(m.weights[k]), float(m.rates[k])) for k in range(2)], "component int, weight double, rate double"), 5)
 
 
@@ -182,9 +184,10 @@ def kmeans_assign(spark, sf_dir):
 
 @query(f"{_kmeans_chain(3)} SELECT label, round(ca, 6) AS a, round(cb, 6) AS b FROM c3")
 def kmeans_3iter(spark, sf_dir):
-    c, pts = CENTROIDS, _plane(spark, sf_dir)
+    c, pts = CENTROIDS, _plane(spark, sf_dir).persist()
     for _ in range(3):
         c, _n = step(pts, c)
+    pts.unpersist()
     return rounded(rows(spark, [(k + 1, float(c[k, 0]), float(c[k, 1])) for k in range(len(c))], "label int, a double, b double"))
 
 

@@ -1,0 +1 @@
+"""No surveyed operator is incremental: smoothers and decoders need whole trials."""
