@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,9 +44,9 @@ class ChunkEncoder:
 
     _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
     _ODD = re.compile(r"[\x1c-\x1f]")
-    _WORD = re.compile(r"([A-Za-z]+|[^\W\d_]+)([.,;:!?|]*)")
+    _WORD = re.compile(r"([A-Za-z]+|[^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, tokenizer_json: str, memory: int = 400_000):
+    def __init__(self, tokenizer_json: str, memory: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -60,16 +61,18 @@ class ChunkEncoder:
         word = word.lower()
         if not word.isascii():
             word = "".join([self.visible[b] for b in unicodedata.normalize("NFC", word).encode()])
-        return np.array([t.id for t in self.model.tokenize(word)], np.uint32).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._word(chunk)
         m = self._WORD.fullmatch(chunk)
         if m:
             word, tail = m.groups()
             plain = word.isascii() or max(word) < "\u0250" and "\u0130" not in word
             if plain:
                 return self.memory[word] + self.memory[tail] if tail else self._word(word)
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian uint32."""
@@ -98,19 +101,13 @@ class _Memory(dict):
 # Re-Pair
 
 
-def _chosen(left: np.ndarray, right: np.ndarray, open_: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Keys (left << 32 | right) of the most frequent pairs, most frequent first."""
-    narrow = max(int(left.max(initial=0)), int(right.max(initial=0))) < 1 << 16
-    key = (left.astype(np.uint32) << np.uint32(16) | right) if narrow else (left.astype(np.uint64) << np.uint64(32) | right)
-    key = np.sort(key[open_])
+def _chosen(key: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent keys of pairs, most frequent first, of equal ones the smallest first."""
+    key = np.sort(key)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     count = np.diff(edge)
     often = np.flatnonzero(count >= least)
-    if not len(often):
-        return np.empty(0, np.uint64)
-    take = often[np.lexsort((key[edge[often]], -count[often]))][:most]
-    top = key[edge[take]].astype(np.uint64)
-    return (top >> np.uint64(16)) << np.uint64(32) | (top & np.uint64(0xFFFF)) if narrow else top
+    return key[edge[often[np.lexsort((key[edge[often]], -count[often]))][:most]]]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, per_round: int = 2688, least: int = 24) -> bytes:
@@ -124,17 +121,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, p
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        left, right, open_ = seq[:-1], seq[1:], ~last[:-1]
-        top = _chosen(left, right, open_, least, per_round)
+        open_ = ~last[:-1]
+        kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+        key = seq[:-1].astype(kind) << kind(shift) | seq[1:].astype(kind)
+        top = _chosen(key[open_], least, per_round)
         if not len(top):
             break
         order = np.argsort(top)
-        key = left.astype(np.uint64) << np.uint64(32) | right
         # A small table of hashed keys leaves few positions to be searched for.
-        mix = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        factor, down = (kind(0x9E3779B1), kind(14)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(46))
         table = np.zeros(1 << 18, bool)
-        table[mix(top)] = True
-        at = np.flatnonzero(table[mix(key)] & open_)
+        table[(top * factor) >> down] = True
+        at = np.flatnonzero(table[(key * factor) >> down] & open_)
         found = np.searchsorted(top[order], key[at]).clip(max=len(top) - 1)
         same = top[order][found] == key[at]
         at, rank = at[same], order[found[same]]
@@ -149,8 +147,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, p
         keep = ~(near & (before < rank)) & ~(near_after & (after < rank)) & ((index - start) % 2 == 0)
         at, rank = at[keep], rank[keep]
         used, rule = np.unique(rank, return_inverse=True)
-        lefts.append((top[used] >> np.uint64(32)).astype(np.uint32))
-        rights.append((top[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        lefts.append((top[used] >> kind(shift)).astype(np.uint32))
+        rights.append((top[used] & kind((1 << shift) - 1)).astype(np.uint32))
         per.append(len(used))
         seq[at] = symbols + rule
         last[at] = last[at + 1]
@@ -244,12 +242,12 @@ _ENCODERS: dict[int, ChunkEncoder] = {}
 BLOCK_SCHEMA = "part int, block long, doc_ids array<long>, n_tokens long, payload binary"
 
 
-def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_tokens: int = 1 << 20) -> None:
+def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_tokens: int = 1 << 20, batch_rows: int = 2000) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text, ...), each document with ``end_id`` at its end, in order of doc_id.
 
     Null text counts as empty: only the end id. Null doc_ids come first. Rows of equal doc_id stand together, ordered by a hash of
     their text, so repeated rows are written once each and reruns agree. An empty table gives an empty file table. A document is
-    never split; a task holds one block (``block_tokens`` ids, or one longer document) besides the row batch it reads.
+    never split; a task holds one block (``block_tokens`` ids, or one longer document) besides the ``batch_rows`` rows that it reads at once.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -291,7 +289,13 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(partitions_of(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, batch_rows)
+    try:
+        ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_index(blocks: DataFrame) -> DataFrame:
