@@ -24,6 +24,7 @@ RANKS = tokenizers.path("byte_bpe_50k.tiktoken")
 EDGE = [
     (1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "One two three", "b"), (5, "one TWO three", "b"), (5, "one TWO three", "b"), (6, "É one", "a"), (7, "é one", "a"),
     (8, "x " * 3000 + "y", "b"), (9, "x " * 3000 + "y", None), (None, "one two three", "c"), (10, "w1 w2 w3 w4 w5 w6 w7 w8 w9\n" * 2, "a"), (11, "solo", "a"), (12, "漢字 🙂 text", "b"),
+    (13, "line \u2028", "a"), (14, " next \x85\n", "a"), (15, "a\xa0b\u2029 c", "b"), (16, "x \x1c y", "b"),
 ]
 
 
@@ -105,6 +106,8 @@ def test_mixing(spark, edge, docs, nothing):
             if table is docs:
                 assert abs(sum(r.taken for r in v) - want[s]) <= max(0.02 * want[s], max(r.size for r in v) / 2)
                 assert abs(sum(r.rate * r.size for r in v) - want[s]) < 1e-5 * max(want[s], 1)
+    sizes = Counter((i, len(WORD.findall(t or ""))) for i, t, _ in EDGE)
+    assert Counter((r.doc_id, r.size) for r in mixing.mix(edge).collect()) == sizes
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.size == len(WORD.findall(texts[r.doc_id] or "")) for r in mixing.mix(docs).collect())
     assert mixing.mix(nothing).count() == 0

@@ -27,7 +27,7 @@ BUCKET = 1024
 
 def word_count(text) -> F.Column:
     """Number of words of a text; null and blank texts have none."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.regexp_replace(text, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     words = F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     return F.when(text.isNull() | (trimmed == ""), F.lit(0)).otherwise(words).cast("long")
 
