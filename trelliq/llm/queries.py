@@ -99,6 +99,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+def _quality_sql() -> str:
+    from .quality import MEASURES, RULES, mask_of
+
+    space = r"[^\x20\x09-\x0D]"
+    failures = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+    window = " || ' ' || ".join(["w", *[f"lead(w, {j}) OVER o" for j in range(1, 8)]])
+    failed = lambda policy: f"(failures & {mask_of(policy, 1)}) <> 0"
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{space}+') AS ws,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM documents
+        ), words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+        ), win AS (
+            SELECT doc_id, i, {window} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), again AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1
+        ), covered AS (
+            SELECT doc_id, sum(gap) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS gap FROM again) GROUP BY doc_id
+        ), measured AS (
+            SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_filter(generate_series(2, len(ws)), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutters,
+                len(ls)::BIGINT AS n_lines, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::BIGINT AS n_letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_capitals
+            FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id
+        ), book AS (SELECT *, ({failures})::BIGINT AS failures FROM measured)
+        SELECT doc_id, {", ".join(MEASURES)}, failures, {failed("base")} AS base_failed, NOT ({failed("base")} OR {failed("corpus")}) AS kept FROM book
+    """
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,4 +140,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm.t) AS text_sha256
         FROM norm JOIN best ON norm.t = best.t
     """,
+    "op8_quality_rules": _quality_sql(),
 }
