@@ -334,9 +334,7 @@ class LinearDynamicalSystem:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             factors: dict = {}
             for some in trials(batches):
-                for p in some:
-                    x, cov, lag, entropy = model.smooth_trial(matrix(p, "y"), factors=factors)
-                    yield _smoothed(p, x, cov, lag, entropy)
+                yield pd.concat([_smoothed(p, *model.smooth_trial(matrix(p, "y"), factors=factors)) for p in some], ignore_index=True)
 
         return by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double")
 
@@ -377,12 +375,13 @@ class LinearDynamicalSystem:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in trials(batches):
+                parts = []
                 for p in some:
-                    y, w = matrix(p, "y"), p["w"].to_numpy(float)
-                    x, cov, lag, entropy = model.smooth_trial(y)
-                    out = _smoothed(p, x, cov, lag, entropy)
-                    out["y"], out["w"] = list(y), w
-                    yield out
+                    y = matrix(p, "y")
+                    out = _smoothed(p, *model.smooth_trial(y))
+                    out["y"], out["w"] = list(y), p["w"].to_numpy(float)
+                    parts.append(out)
+                yield pd.concat(parts, ignore_index=True)
 
         schema = "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double, y array<double>, w double"
         paths = arranged.mapInPandas(run, schema).persist()

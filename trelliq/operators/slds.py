@@ -59,6 +59,17 @@ class SLDS:
     def smooth_trial(self, y, w, start=None, iterations: int = 100, tolerance: float = 1e-8):
         """Path's mode under state weights, covariances and entropy."""
         x = np.zeros((len(y), self.systems[0].latent_dim)) if start is None else np.array(start, float)
+        if self.systems[0].poisson:
+            x = self._mode(x, y, w, iterations, tolerance)
+            system = BlockTridiagonal(*self.neg_hessian(x, w))
+        else:  # quadratic: one step is exact
+            system = BlockTridiagonal(*self.neg_hessian(x, w))
+            x = x + system.solve(self.gradient(x, y, w))
+        diag, lag = system.selected_inverse()
+        entropy = 0.5 * x.size * (1 + math.log(2 * math.pi)) - 0.5 * system.log_det()
+        return x, diag, lag, entropy
+
+    def _mode(self, x, y, w, iterations: int, tolerance: float) -> np.ndarray:
         now = -self.loglik(x, y, w)
         with np.errstate(over="ignore", invalid="ignore"):
             for _ in range(iterations):
@@ -76,10 +87,7 @@ class SLDS:
                 x, now = new, then
                 if np.abs(size * step).max() < tolerance:
                     break
-        system = BlockTridiagonal(*self.neg_hessian(x, w))
-        diag, lag = system.selected_inverse()
-        entropy = 0.5 * x.size * (1 + math.log(2 * math.pi)) - 0.5 * system.log_det()
-        return x, diag, lag, entropy
+        return x
 
     def infer_trial(self, rng, x, cov, y):
         """One E-step: sample a path, score it by every system, infer the states, smooth under their weights."""
@@ -123,10 +131,12 @@ class SLDS:
 
         def first(batches):
             for some in trials(batches):
+                parts = []
                 for p in some:
                     y = matrix(p, "y")
                     x, cov, lag, entropy = self.smooth_trial(y, self._uniform(y))
-                    yield table(p, y, x, cov, lag, self._uniform(y), np.zeros((k, k)), entropy)
+                    parts.append(table(p, y, x, cov, lag, self._uniform(y), np.zeros((k, k)), entropy))
+                yield pd.concat(parts, ignore_index=True)
 
         model, history = self, []
         paths = arranged.mapInPandas(first, schema).persist()
@@ -134,11 +144,13 @@ class SLDS:
 
             def estep(batches, model=model, it=it):
                 for some in trials(batches):
+                    parts = []
                     for p in some:
                         y, x, cov = matrix(p, "y"), matrix(p, "x"), matrix(p, "p").reshape(-1, n, n)
                         rng = np.random.Generator(np.random.Philox(key=[seed * 1000003 + it, int(p["trial_id"].iat[0]) & ((1 << 63) - 1)]))
                         w, xi, x, cov, lag, entropy = model.infer_trial(rng, x, cov, y)
-                        yield table(p, y, x, cov, lag, w, xi, entropy)
+                        parts.append(table(p, y, x, cov, lag, w, xi, entropy))
+                    yield pd.concat(parts, ignore_index=True)
 
             new = paths.mapInPandas(estep, schema).persist()
 
