@@ -236,6 +236,18 @@ def test_chunk_encoder_against_library():
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_chunk_encoder_on_numerals_beside_letters():
+    from tokenizers import Tokenizer
+
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    lib, mine, r = Tokenizer.from_str(source), token_files.ChunkEncoder(source, memory=300), random.Random(4)
+    texts = ["m² km² cm³ no¹ x½ ²m ½ ª º", "Ⅷa aⅧ", *("".join(r.choice("aBé ²³¹½¼¾ªºß.,(1ñ") for _ in range(r.randint(1, 15))) for _ in range(3000))]
+    texts += [f"a{c}b {c} {c}." for c in map(chr, range(33, 0x250))]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_repair_blocks():
     rng = np.random.default_rng(0)
     for _ in range(150):

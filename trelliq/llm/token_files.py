@@ -69,7 +69,8 @@ class ChunkEncoder:
         m = self._WORD.fullmatch(chunk)
         if m:
             word, tail = m.groups()
-            plain = word.isascii() or max(word) < "\u0250" and "\u0130" not in word
+            # The pattern also takes numerals such as ² and ½, which the library's splitter cuts from letters.
+            plain = word.isascii() or max(word) < "\u0250" and "\u0130" not in word and word.isalpha()
             if plain:
                 return self.memory[word] + self.memory[tail] if tail else self._word(word)
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
