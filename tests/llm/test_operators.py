@@ -430,6 +430,20 @@ def test_pii(spark, edge, docs, nothing):
         pii.pseudonyms(df, b"short")
 
 
+def test_pii_after_a_colon_or_equals_sign():
+    f = pii.Feistel(b"0123456789abcdef")
+    for mail in ("christopher-johnson@example.com", "customer_support_team@example.com", "firstname_lastname_x@mail.example.org"):
+        alone = pii.pseudonymise(mail, f.forward)[0]
+        for lead in ("Email: ", "mailto:", "user=", "auth: ", 'token = "'):
+            new, found = pii.pseudonymise(lead + mail, f.forward)
+            assert new == lead + alone and found == Counter(email=1)
+            assert pii.pseudonymise(new, f.backward)[0] == lead + mail
+    for kept in ("note: abcdefghijklmnopqrstuvwxyz", "x=abcdefghijklmnopqrst"):
+        assert pii.pseudonymise(kept, f.forward)[0] == kept
+    new, found = pii.pseudonymise('{"API-Key": "zyxwvutsrqponmlkjihg"}', f.forward)
+    assert new.startswith('{"API-Key": "') and "zyxwv" not in new and found == Counter(secret=1)
+
+
 def test_queries_run_and_match_sql(spark, duck):
     from test_queries import same
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 
 _PATTERN = re.compile(
-    r"(?P<secret>(?<=[=:])\s*[\"']?[A-Za-z0-9_+/-]{16,256}(?![A-Za-z0-9_+/-]))"
+    r"(?P<secret>(?i:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer)[\"']?\s*[=:]\s*[\"']?(?P<body>[A-Za-z0-9_+/-]{16,256}(?![A-Za-z0-9_+/@-])))"
     r"|(?P<token>(?<![A-Za-z0-9_])(?:A(?:KIA|SIA|IDA|ROA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,80}|[sr]k_live_[A-Za-z0-9]{16,64})(?![A-Za-z0-9_]))"
     r"|(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
@@ -31,7 +31,6 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
-_LABEL = re.compile(r"(?i)(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer)[\"']?\s*[=:]$")
 _MAY_HOLD = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}|A(?:KIA|SIA|IDA|ROA)|AIza|gh[pousr]_|xox[abprs]-|k_live_")
 
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
@@ -199,11 +198,9 @@ def pseudonymise(text: str | None, step) -> tuple[str | None, Counter]:
 
     def swap(m: re.Match) -> str:
         kind = m.lastgroup
-        if kind == "secret" and not _LABEL.search(text[max(0, m.start() - 40) : m.start()]):
-            # not labelled as a secret: what stands there may still be something else
-            inner, more = pseudonymise_plain(m[0], step)
-            found.update(more)
-            return inner
+        if kind == "secret":
+            found[kind] += 1
+            return m[0][: m.start("body") - m.start()] + replace(kind, m["body"], step)
         new = replace(kind, m[0], step)
         if new is None:
             return m[0]
@@ -213,19 +210,6 @@ def pseudonymise(text: str | None, step) -> tuple[str | None, Counter]:
     return _PATTERN.sub(swap, text), found
 
 
-def pseudonymise_plain(text: str, step) -> tuple[str, Counter]:
-    found: Counter = Counter()
-
-    def swap(m: re.Match) -> str:
-        new = None if m.lastgroup == "secret" else replace(m.lastgroup, m[0], step)
-        if new is None:
-            return m[0]
-        found["secret" if m.lastgroup == "token" else m.lastgroup] += 1
-        return new
-
-    return _PATTERN.sub(swap, text), found
-
-
 def pseudonyms(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, n_found and a count for each kind, for every row of ``docs`` (doc_id, text, ...).
 
