@@ -444,6 +444,30 @@ def test_pii_after_a_colon_or_equals_sign():
     assert new.startswith('{"API-Key": "') and "zyxwv" not in new and found == Counter(secret=1)
 
 
+def test_pii_formats():
+    f = pii.Feistel(b"0123456789abcdef")
+    r = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
+    secrets = ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fw", "MIIEvQIBADANBgkqhkiG9w0BAQ=="]
+    secrets += ["".join(r.choice(chars) for _ in range(n)) for n in (190, 200, 256, 257, 1000, 6000)] + ["f0" * 400]
+    for s in secrets:
+        new, found = pii.pseudonymise(f"token: {s} x", f.forward)
+        assert found == Counter(secret=1) and new.startswith("token: ") and new.endswith(" x") and len(new) == len(s) + 9
+        made, pieces = new[7:-2], range(0, len(s) - 12, 12)
+        assert all(made[i : i + 12] != s[i : i + 12] for i in pieces if re.search(r"\w{6}", s[i : i + 12]))
+        assert pii.pseudonymise(new, f.backward)[0] == f"token: {s} x"
+    for kind, texts in {
+        "date": ["2024-02-29T10:00:00Z", "2024-02-29T1000", "2024/02/29", "on 1999/12/31."],
+        "phone": ["555.123.4567", "555 123 4567", "call 555.123.4567."],
+    }.items():
+        for t in texts:
+            new, found = pii.pseudonymise(t, f.forward)
+            assert new != t and found == Counter({kind: 1}) and pii.pseudonymise(new, f.backward)[0] == t
+    assert pii.pseudonymise("2024-02-29T10:00:00Z", f.forward)[0].endswith("T10:00:00Z")
+    for t in ("2023-02-29T10:00:00Z", "2023/02/29", "12 555 123 4567", "555.123.4567.8", "2024-02-29Tx"):
+        assert pii.pseudonymise(t, f.forward)[0] == t
+
+
 def test_queries_run_and_match_sql(spark, duck):
     from test_queries import same
 
