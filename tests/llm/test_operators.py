@@ -354,6 +354,30 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_whole_articles(spark):
+    para = lambda n: "word " * n
+    inner = {
+        "title and lead": f'<h1>Title</h1><p>lead</p><div class="entry-content"><p>{para(90)}</p></div>',
+        "intro": f'<div class="intro"><p>{para(55)}first</p></div><div class="entry-content"><p>{para(45)}</p></div>',
+        "quotation": f"<p>{para(18)}said</p><blockquote><p>{para(80)}</p></blockquote>",
+        "table": f"<p>{para(18)}see</p><table><tr><td>{para(80)}</td></tr></table>",
+    }
+    text = lambda h: "\n".join(" ".join(x.split()) for x in re.split("<[^>]*>", h) if x.split())
+    for body in inner.values():
+        page = f"<html><body><div><article>{body}</article></div></body></html>"
+        assert html_text.extract(page, []) == text(body)
+        base = html_text.vote(page)
+        assert base.endswith("/article")
+        assert html_text.extract(page, [f"{base}/div.entry-content", f"{base}/blockquote", base, "/html/body"]) == text(body)
+    said = f"<p>{para(15)}said</p><blockquote><p>{para(85)}</p></blockquote>"
+    assert html_text.extract(f"<html><body>{said}</body></html>", []) == text(said)
+    nested = "".join(["<div><p>%s</p>" % para(n) for n in (15, 12, 10)]) + f"<div><p>{para(160)}</p>" + "</div>" * 4
+    assert len(html_text.extract(nested, [])) >= 0.8 * len(text(nested))
+    pages = [(i, f"http://h.org/{i}", f"<html><body><article>{inner['title and lead'] if i % 3 else inner['intro']}</article></body></html>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(h) for i, _, h in pages)
+
+
 def test_html_on_pages(spark):
     import html
 

@@ -186,17 +186,22 @@ def _totals(node: _Node) -> int:
 
 
 def best_container(root: _Node, blocks: list, share: float = 0.8, good_share: float = 0.4) -> _Node:
-    """The smallest container with most of the page's unlinked text; one that is marked as content needs a smaller share."""
+    """The highest container that is marked as content, or else the smallest, with most of the page's unlinked text.
+
+    One that is marked as content needs a smaller share, and nothing inside it is left out. Shares are of the whole page, so they do
+    not multiply on the way down; a quotation is never a page's container.
+    """
     for node, text, linked, _ in blocks:
         if 2 * linked <= len(text):
             node.own += len(text)
-    _totals(root)
+    whole = _totals(root)
     node = root
-    while True:
-        options = [c for c in node.children if not c.drop and c.total and c.total >= (good_share if c.good else share) * node.total]
+    while not node.good:
+        options = [c for c in node.children if not c.drop and c.tag != "blockquote" and c.total and c.total >= (good_share if c.good else share) * whole]
         if not options:
-            return node
+            break
         node = max(options, key=lambda c: (c.good, c.total))
+    return node
 
 
 def vote(page: str | None) -> str:
@@ -205,7 +210,11 @@ def vote(page: str | None) -> str:
 
 
 def extract(page: str | None, paths: list[str]) -> str:
-    """Text of the page's containers on the first of ``paths`` that it has text on, else of its own best container."""
+    """Text of the page's containers on ``paths`` inside its own best container, of nested ones the outermost, in page order.
+
+    Without any there, of the nearest container around its best one that is on a path; else of those on the first of ``paths`` that
+    has text; else of its own best container.
+    """
     root, blocks = parse(page or "")
     if not blocks:
         return ""
@@ -217,12 +226,29 @@ def extract(page: str | None, paths: list[str]) -> str:
             node = node.parent
         return False
 
+    best, won = best_container(root, blocks), frozenset(paths)
+    inside = [b for b in blocks if under(b[0], lambda n: n is best)]
+
+    def wins(n: _Node) -> bool:
+        return n.tag in _CONTAINER and n.path in won
+
+    def wins_inside(node: _Node) -> bool:
+        while not wins(node):
+            if node is best:
+                return False
+            node = node.parent
+        return True
+
+    found = [b for b in inside if wins_inside(b[0])]
+    if not found:
+        around = best.parent
+        while around is not None and not wins(around):
+            around = around.parent
+        if around is not None:
+            found = [b for b in blocks if under(b[0], lambda n: n is around)]
     for path in paths:
-        found = [text for node, text, _, _ in blocks if under(node, lambda n: n.path == path)]
-        if found:
-            return "\n".join(found)
-    best = best_container(root, blocks)
-    return "\n".join(text for node, text, _, _ in blocks if under(node, lambda n: n is best))
+        found = found or [b for b in blocks if under(b[0], lambda n: n.path == path)]
+    return "\n".join(b[1] for b in found or inside)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
