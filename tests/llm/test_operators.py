@@ -309,6 +309,18 @@ def test_url_tree_rejects_pure_templates(spark):
     assert all(got[i] == ("block" if "/spam/" in u else "allow") for i, u in rows)
 
 
+def test_url_tree_spares_what_no_label_speaks_for(spark):
+    urls_ = [f"http://big.com/{s}/p{i}" for s in ("en", *(f"part-{c}" for c in "abcdefghijklmnopqrst")) for i in range(12)] + [f"http://big.com/de/p{i}" for i in range(10)]
+    urls_ += [f"http://small.com/de/p{i}" for i in range(4)] + ["http://small.com/fr/p1"] + [f"http://small.com/{s}/p{i}" for s in ("en", "about") for i in range(6)]
+    deep = "/".join("abcdefghij")
+    rows = [*enumerate(urls_), *[(1000 + i, f"http://d.net/{deep}/{'bad' if i % 2 else 'good'}/p{i}") for i in range(40)]]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.filter("page_id >= 1000 AND page_id < 1020").selectExpr("page_id", "url LIKE '%/bad/%' AS blocked")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels=labels).collect()}
+    wrong = [u for i, u in rows if got[i] != ("block" if ".com/de/" in u or "/bad/" in u else "allow")]
+    assert not wrong
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -1,10 +1,12 @@
 """URL filter: longest-prefix rules, and a path-template tree per host for what the rules leave open.
 
 The tree is built level by level from the distinct path patterns of each host, counted before anything is joined. At each
-level a segment becomes the wildcard ``*`` if it is variable (one of many siblings, and rare), or if its labelled share of
-blocked pages does not differ significantly from its siblings', so that similar branches merge. Each node's blocked share
+level a segment whose labelled share of blocked pages differs significantly from its siblings' stays as it is. Others become the
+wildcard ``*`` if they are variable (one of many siblings, and rare), or ``+`` if they have labels enough to show that they are
+alike, so that similar branches merge; common segments with too few labels stay as they are. Each node's blocked share
 is smoothed towards its parent's, the host's towards that of all labelled pages; a template whose smoothed share reaches
-``purity`` is rejected if ``min_labels`` labelled pages bear it out. DataFrame operations only.
+``purity`` is rejected if ``min_labels`` labelled pages bear it out, and, where it has ``*``, these are ``evidence_share`` of its
+pages or more. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -47,17 +49,19 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def _pattern(path: Column, max_depth: int) -> Column:
-    """The path's segments with long hexadecimal runs and numbers generalised; what lies deeper than max_depth is one segment."""
+def _pattern(path: Column, max_depth: int | None) -> Column:
+    """The path's segments with long hexadecimal runs and numbers generalised; what lies deeper than max_depth, if given, is one segment."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     hexed = lambda s: F.regexp_replace(s, r"(?i)\b(?=[0-9a-f-]*[0-9])[0-9a-f]{8}[0-9a-f-]*\b", "{x}")
     general = lambda s: F.regexp_replace(hexed(s), "[0-9]+", "{n}")
+    if max_depth is None:
+        return F.transform(segments, general)
     deep = F.when(F.size(segments) > max_depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.transform(F.slice(segments, 1, max_depth), general), deep)
 
 
 def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min_labels: int) -> DataFrame:
-    """``tree`` with the template one segment longer: literal segments, or * where variable or like their siblings."""
+    """``tree`` with the template one segment longer: literal segments, * where variable or + where like their siblings."""
     seg = F.get("segments", F.lit(depth))
     here = tree.withColumn("seg", seg)
     counted = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
@@ -66,11 +70,12 @@ def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min
     rest_n, rest_b = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
     pooled = F.col("all_blocked") / F.col("all_labelled")
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
-    differs = F.when(F.col("labelled") < min_labels, False).when(rest_n == 0, True).otherwise(F.abs(F.col("blocked") / F.col("labelled") - rest_b / rest_n) > z * spread)
+    few = F.col("labelled") < min_labels
+    differs = F.when(few, False).when(rest_n == 0, True).otherwise(F.abs(F.col("blocked") / F.col("labelled") - rest_b / rest_n) > z * spread)
     variable = (F.col("fan") >= fan_out) & (F.col("n") < rare * F.col("all_n"))
-    literal = nodes.join(above, ["host", "template"]).filter(differs & ~variable).select("host", "template", "seg", F.lit(True).alias("literal"))
-    named = F.when(F.col("seg").isNull(), F.lit(None)).when(F.col("literal"), F.col("seg")).otherwise("*")
-    grown = here.join(literal, ["host", "template", "seg"], "left").withColumn("named", named)
+    name = F.when(differs, F.col("seg")).when(variable, "*").when(few, F.col("seg")).otherwise("+")
+    names = nodes.join(above, ["host", "template"]).select("host", "template", "seg", name.alias("named"))
+    grown = here.join(names, ["host", "template", "seg"], "left")
     return grown.select(
         "host", "pattern", "segments", "n", "labelled", "blocked",
         F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "named")).alias("template"),
@@ -79,7 +84,7 @@ def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min
 
 
 def template_tree(
-    labelled: DataFrame, max_depth: int = 8, fan_out: int = 16, rare: float = 0.05, z: float = 2.0, min_labels: int = 5, strength: float = 5.0, purity: float = 0.7
+    labelled: DataFrame, fan_out: int = 16, rare: float = 0.05, z: float = 2.0, min_labels: int = 5, strength: float = 5.0, purity: float = 0.7, evidence_share: float = 0.2
 ) -> DataFrame:
     """(host, pattern) -> template, smoothed blocked share, rejected. ``labelled``: host, segments, label (blocked 1, allowed 0, null)."""
     pattern = F.array_join("segments", "/")
@@ -92,24 +97,27 @@ def template_tree(
     tree = tree.withColumns({"template": F.lit(""), "nodes": F.array(F.lit(""))})
     for depth in range(whole.depth or 0):
         tree = _level(tree, depth, fan_out, rare, z, min_labels)
+        if depth % 2 == 1:  # a level triples the plan
+            tree = materialize(tree, "url-levels")
 
-    # Shares along each template's path, from the host down; a template has max_depth + 2 nodes at most.
+    # Shares along each template's path, from the host down.
     tree = materialize(tree, "url-templates")
-    walked = tree.select("host", "template", "labelled", "blocked", F.posexplode("nodes").alias("depth", "node"))
-    shares = walked.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    walked = tree.select("host", "template", "n", "labelled", "blocked", F.posexplode("nodes").alias("depth", "node"))
+    shares = walked.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     paths = tree.groupBy("host", "template").agg(F.first("nodes").alias("nodes")).select("host", "template", F.posexplode("nodes").alias("depth", "node"))
     fold = lambda acc, x: (x["b"] + strength * acc) / (x["l"] + strength)
     rated = (
         paths.join(shares, ["host", "node"])
         .groupBy("host", "template")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", F.col("l").cast("double").alias("l"), F.col("b").cast("double").alias("b")))).alias("chain"))
-        .select("host", "template", F.aggregate("chain", F.lit(float(prior)), fold).alias("blocked_share"), F.element_at("chain", -1)["l"].alias("evidence"))
+        .agg(F.sort_array(F.collect_list(F.struct("depth", F.col("l").cast("double").alias("l"), F.col("b").cast("double").alias("b"), "n"))).alias("chain"))
+        .select("host", "template", F.aggregate("chain", F.lit(float(prior)), fold).alias("blocked_share"), F.element_at("chain", -1)["l"].alias("evidence"), F.element_at("chain", -1)["n"].alias("pages"))
     )
-    rejected = (F.col("blocked_share") >= purity) & (F.col("evidence") >= min_labels)
+    borne = ~(F.concat("template", F.lit("/")).contains("/*/")) | (F.col("evidence") >= evidence_share * F.col("pages"))
+    rejected = (F.col("blocked_share") >= purity) & (F.col("evidence") >= min_labels) & borne
     return tree.join(rated, ["host", "template"]).select("host", "pattern", "template", "blocked_share", rejected.alias("rejected"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | None = None, max_depth: int = 8, **tree_options) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | None = None, max_depth: int | None = None, **tree_options) -> DataFrame:
     """A verdict for every row of ``pages`` (page_id, url, ...): page_id, host, path, rule, verdict, template, blocked_share.
 
     The longest fitting rule decides; else the template tree, learned from the urls that a rule decides and, if given, from
@@ -125,7 +133,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | N
     if labels is not None:
         given = labels.select("page_id", F.col("blocked").cast("int").alias("given"))
         seen = seen.join(given, "page_id", "left").withColumn("label", F.coalesce("given", "label"))
-    tree = template_tree(seen.select("host", "segments", "label"), max_depth, **tree_options)
+    tree = template_tree(seen.select("host", "segments", "label"), **tree_options)
     out = cut.withColumn("pattern", F.array_join("segments", "/")).join(tree, ["host", "pattern"], "left")
     verdict = F.coalesce(F.col("by_rule.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "blocked_share")
