@@ -413,6 +413,12 @@ def test_language(spark, docs, edge, nothing):
     assert language.keep_known(edge).columns == edge.columns
 
 
+def test_numerals_are_not_letters():
+    net = language.ByteCNN.fresh(["a", "b"], np.random.default_rng(0))
+    langs, scores = net.predict(["½", "²", "Ⅷ", "½ 12 _", "½ x", "漢"])
+    assert langs[:4] == ["und"] * 4 and scores[:4] == [0.0] * 4 and "und" not in langs[4:]
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = language.ByteCNN.fresh(["a", "b", "c"], rng)

@@ -23,7 +23,12 @@ WIDTHS = (2, 3, 4)
 #: ASCII other than letters says nothing about a language; all of it becomes a space.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """The pattern also takes numerals such as ½ and Ⅷ."""
+    return any(m[0].isalpha() for m in _MAY_BE_LETTER.finditer(text))
 
 
 def windows(text: str, size: int = WINDOW) -> np.ndarray:
@@ -121,7 +126,7 @@ class ByteCNN:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 for null and for texts without letters."""
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         group, held = [], 0
         for i in known:
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, per_language: int = 1000, pieces: int = 4, seed: int =
     for c, lang in enumerate(classes):
         for r in sorted(by_lang[lang])[:per_language]:
             for text in dict.fromkeys(r[3:]):
-                if _LETTER.search(text):
+                if has_letter(text):
                     rows.append(windows(text)[0])
                     y.append(c)
     if not rows:
