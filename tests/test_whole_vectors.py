@@ -1,0 +1,46 @@
+"""Queries over whole embeddings against NumPy, all 64 elements of each."""
+
+import numpy as np
+import pytest
+from conftest import TINY
+
+from trelliq.plans import queries_rows as Q
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{TINY}/embeddings.parquet").to_pydict()
+    x = np.array(t["embedding"], float)
+    assert x.shape[1] == Q.WHOLE
+    return np.array(t["vec_id"]), x
+
+
+def near(got, want, tol=2e-6):
+    np.testing.assert_allclose(np.asarray(got, float), np.asarray(want, float), atol=tol, rtol=1e-6)
+
+
+def by_id(df, column, ids):
+    found = {r.vec_id: r[column] for r in df.collect()}
+    return [found[i] for i in ids.tolist()]
+
+
+def nearest(x, c):
+    return ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+
+
+def test_kmeans(spark, vectors):
+    ids, x = vectors
+    label = nearest(x, Q.CENTROIDS_WHOLE) + 1
+    assert by_id(Q.kmeans_assign_whole(spark, TINY), "label", ids) == label.tolist()
+    c = Q.CENTROIDS_WHOLE
+    for _ in range(3):
+        a = nearest(x, c)
+        c = np.array([x[a == k].mean(axis=0) for k in range(3)])
+    near([r.centroid for r in Q.kmeans_3iter_whole(spark, TINY).orderBy("label").collect()], c)
+    table = np.array([[((ids % 3 == t) & (label == p + 1)).sum() for p in range(3)] for t in range(3)])
+    assert all(r.n == table[r.truth - 1, r.predicted - 1] for r in Q.confusion_table_whole(spark, TINY).collect())
+    import itertools
+
+    near(Q.best_alignment_whole(spark, TINY).first().accuracy, max(sum(table[p[j], j] for j in range(3)) for p in itertools.permutations(range(3))) / len(ids))

@@ -208,6 +208,15 @@ def mvn_logpdf(spark, sf_dir):
     return rounded(loglikelihood(MVN, _plane(spark, sf_dir), y="x").select("vec_id", "ll"))
 
 
+# The same centroids over whole vectors, pair after pair of elements
+WHOLE = 64
+CENTROIDS_WHOLE = np.tile(CENTROIDS, WHOLE // 2)
+
+
+def _whole(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
 # Scalar functions
 
 
@@ -414,6 +423,33 @@ def reconstruction_error(spark, sf_dir):
     return rounded(V.mean_squared_error(d, "x", "x_hat"))
 
 
+# All elements of the embeddings: the k-means queries, whose SQL reads the first 2 of them, over whole vectors
+
+
+@query()
+def kmeans_assign_whole(spark, sf_dir):
+    return assign(_whole(spark, sf_dir), CENTROIDS_WHOLE).select("vec_id", "label")
+
+
+@query()
+def kmeans_3iter_whole(spark, sf_dir):
+    c, pts = CENTROIDS_WHOLE, _whole(spark, sf_dir).persist()
+    for _ in range(3):
+        c, _n = step(pts, c)
+    pts.unpersist()
+    return rounded(rows(spark, [(k + 1, c[k].tolist()) for k in range(len(c))], "label int, centroid array<double>"))
+
+
+@query()
+def confusion_table_whole(spark, sf_dir):
+    return V.confusion(kmeans_assign_whole(spark, sf_dir).withColumn("truth", (F.col("vec_id") % 3).cast("int") + 1), "truth", "label")
+
+
+@query()
+def best_alignment_whole(spark, sf_dir):
+    return rounded(rows(spark, [(V.best_permutation(confusion_table_whole(spark, sf_dir), 3)[1],)], "accuracy double"))
+
+
 # Reports
 
 
