@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,50 +18,99 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+class Memory(dict):
+    """What ``compute`` gives for strings, in two generations: when the young one holds ``size`` bytes it becomes the old one, and the
+    old one goes. Strings longer than ``longest`` characters are not remembered. Bytes are reckoned from lengths."""
+
+    def __init__(self, compute: Callable, size: int, longest: int = 64):
+        super().__init__()
+        self.compute, self.size, self.longest, self.held, self.old = compute, size, longest, 0, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= self.longest:
+            self.held += 240 + 2 * len(key) + 8 * len(found)
+            if self.held > self.size:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = found
+        return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    A session on one machine without that setting gets a folder of its own; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "trelliq")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return base.rstrip("/")
 
 
+#: Scratch paths that this process made, oldest first.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._trelliq_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if base.split("://")[-1].lstrip("/") in folder:
-            path.getFileSystem(conf).delete(path, True)
+    """Delete the files of a table from :func:`materialize`, once nothing that is still to run reads it."""
+    remove(df.sparkSession, df._trelliq_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path."""
+    _MADE.remove(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def made() -> int:
+    """How many scratch paths there are now: a mark for :func:`clear`."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch paths made after a mark: results of operators read theirs until they have been written or collected."""
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        remove(spark, path)
 
 
 def keyed(df: DataFrame, name: str = "rows") -> DataFrame:
-    """``df`` with ``__trelliq_file`` and ``__trelliq_row``, which together name one stored row and stay the same in every scan.
+    """``df`` with ``__trelliq_file`` and ``__trelliq_row``, which together name one row and stay the same in every scan.
 
-    Rows that do not come from Parquet files are written to the shared folder first, so that they have such a place.
+    Rows of one Parquet scan under projections and filters have the place where they are stored. All others (joined, exploded,
+    united, sampled, made up) are written to the shared folder first, so that each has a place of its own.
     """
-    try:
-        return _located(df)
-    except AnalysisException:
-        return _located(materialize(df, name))
+    return _located(df if _is_stored(df) else materialize(df, name))
+
+
+def _is_stored(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one stored row, and the same ones in every scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet"
 
 
 def _located(df: DataFrame) -> DataFrame:

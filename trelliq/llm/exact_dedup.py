@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ROW_KEY, keyed, materialize, scratch
+from .common import ASCII_LOWER, ROW_KEY, keyed, materialize, remove, scratch
 
 #: State on the executors' disks, in files that take no more room than they fill.
 STATE_SETTINGS = {
@@ -48,7 +48,7 @@ def _stream_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataF
     """(digest, n, keep) for each digest: the state of a stream over ``arrivals`` after its last row."""
     spark = arrivals.sparkSession
     before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
-    out = scratch(spark, "dedup-state")
+    out, checkpoint = scratch(spark, "dedup-state"), scratch(spark, "dedup-checkpoint")
     for k, v in STATE_SETTINGS.items():
         spark.conf.set(k, v)
     try:
@@ -61,7 +61,7 @@ def _stream_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataF
         )
         query = (
             stream.writeStream.outputMode("update")
-            .option("checkpointLocation", scratch(spark, "dedup-checkpoint"))
+            .option("checkpointLocation", checkpoint)
             .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
             .trigger(availableNow=True)
             .start()
@@ -73,7 +73,10 @@ def _stream_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataF
     # Counts and identifiers only grow, so the last state of a digest is the largest that any batch wrote.
     schema = arrivals.select("digest", F.lit(1).cast("long").alias("n"), F.struct("doc_id", *ROW_KEY).alias("keep")).schema
     changes = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(out) if _has_files(spark, out) else spark.createDataFrame([], schema)
-    return changes.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
+    state = materialize(changes.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep")), "dedup-kept")
+    remove(spark, checkpoint)
+    remove(spark, out)
+    return state
 
 
 def _has_files(spark, path: str) -> bool:
@@ -96,7 +99,7 @@ def deduplicate(docs: DataFrame, files_per_batch: int = 1000, digest_bytes: int
     path = scratch(spark, "dedup-arrivals")
     rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_digests(digest_bytes, False), plain).write.parquet(path)
     arrivals = spark.read.schema(plain).parquet(path)
-    state = materialize(_stream_state(arrivals, path, files_per_batch), "dedup-kept")
+    state = _stream_state(arrivals, path, files_per_batch)
 
     # Full bytes on hits. Within a task and then across tasks one smallest and one largest text per digest travel on.
     hits = state.filter("n > 1").select("digest")
@@ -123,7 +126,11 @@ def _decide(joined: DataFrame) -> DataFrame:
 
 
 def keep_first_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that repeat another's text; columns as they were."""
+    """``docs`` without the rows that repeat another's text (A-Z lower-cased); columns as they were.
+
+    The row with the largest doc_id stays, of several such rows one, and one with a null doc_id only where all are null. Null and
+    empty texts are equal. An empty table stays empty.
+    """
     rows = keyed(docs, "dedup-rows")
     kept = deduplicate(rows.drop(*ROW_KEY)).filter("kept").select(*ROW_KEY)
     return rows.join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW_KEY, WORD, keyed, materialize
+from .common import ROW_KEY, discard, keyed, materialize
 
 #: Documents of one source and size are ranked in buckets of about this many, so that no task ranks an unbounded group.
 BUCKET = 1024
@@ -162,6 +162,7 @@ def mix(docs: DataFrame, weights: dict | None = None, cycle: tuple = (5, 2, 1),
         .select("r.source", "r.size", "r.n", "source_size", "target", "rate", "copies"),
         "mix-plan",
     )
+    discard(cells)
 
     # Which documents of a cell get one copy more: ranks within hash buckets, after each bucket's share of the remainder.
     hashed = F.xxhash64(F.lit("mix"), "doc_id")
@@ -187,7 +188,11 @@ def mix(docs: DataFrame, weights: dict | None = None, cycle: tuple = (5, 2, 1),
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows of ``docs``: every document as often as the mix takes it, columns as they were."""
+    """The mixed rows of ``docs``: every document as often as the mix takes it, columns as they were.
+
+    Null and blank texts are never taken. Rows with a null source or doc_id are taken like others, and repeated rows each for
+    itself. An empty table, or one without words, gives no rows.
+    """
     rows = keyed(docs, "mix-rows")
     plan = mix(rows.drop(*ROW_KEY), **options).filter("copies > 0").select(*ROW_KEY, F.col("copies").alias("__trelliq_copies"))
     many = rows.join(plan, ROW_KEY).withColumn("__trelliq_copy", F.explode(F.sequence(F.lit(1), F.col("__trelliq_copies").cast("int"))))

@@ -120,7 +120,11 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def decide(book: DataFrame, policy: str = "corpus", version: int = 1) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under a policy; failing the base always drops."""
+    """The ledger with ``base_failed`` and ``kept`` under a policy; failing the base always drops.
+
+    Row by row: repeated rows are decided alike, null doc_ids and other columns are passed on, an empty ledger stays empty. A null in
+    ``failures``, which ``ledger`` never writes, gives nulls.
+    """
     failed = lambda mask: F.col("failures").bitwiseAND(F.lit(mask)) != 0
     base = failed(mask_of("base", 1))
     return book.withColumns({"base_failed": base, "kept": ~(base | failed(mask_of(policy, version)))})
@@ -129,7 +133,8 @@ def decide(book: DataFrame, policy: str = "corpus", version: int = 1) -> DataFra
 def ablations(book: DataFrame, policy: str = "corpus", version: int = 1) -> DataFrame:
     """For each rule of a policy: documents that fail it, fail nothing else of the policy, and are dropped in all.
 
-    The documents are first counted by failure mask (at most 2 to the number of rules), from which all else follows.
+    The documents are first counted by failure mask (at most 2 to the number of rules), from which all else follows. Repeated rows
+    count each, and null doc_ids like others. An empty ledger has no masks, and the result no rows.
     """
     mask = mask_of(policy, version)
     cells = book.groupBy(F.col("failures").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
