@@ -3,7 +3,7 @@
 A pre-token that is in the vocabulary as a whole is resolved by a minimal perfect hash: a table as long as the vocabulary in
 which every token has a slot of its own, and one displacement per bucket of tokens. Others are merged, lowest rank first and
 leftmost among equals, with a heap of candidate pairs over a linked list of byte ranges. What a run of text between spaces
-encodes to is remembered in two bounded generations, since runs repeat.
+encodes to is remembered, since runs repeat, up to a number of bytes; long runs (text without spaces) are not.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,6 +21,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import Memory
+
 _hash = xxhash.xxh64_intdigest
 
 #: Unicode's White_Space, which \s means to the tokenizer.
@@ -30,24 +32,6 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f" ?[A-Za-z]+(?=[{SPACES},.;:|!?])| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-class _Memory(dict):
-    """What runs encode to, in two generations: when the young one is full it becomes the old one, and the old one goes."""
-
-    def __init__(self, encode_run: Callable[[str], tuple[int, ...]], size: int):
-        super().__init__()
-        self.encode_run, self.size, self.old = encode_run, size, {}
-
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        ids = self.old.get(run)
-        if ids is None:
-            ids = self.encode_run(run)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[run] = ids
-        return ids
-
-
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings: n slots, n keys, no collision; other strings land in some slot.
 
@@ -95,12 +79,12 @@ class PerfectHash:
 class Codec:
     """Encodes text to ids and ids to bytes by the ranks of a vocabulary; ``tokens[i]`` has rank i."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, memory: int = 400_000):
+    def __init__(self, tokens: list[bytes], pattern: str, memory: int = 64 << 20):
         self.tokens = tokens
         self.perfect = PerfectHash(tokens)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
-        self.memory = _Memory(self._run, memory)
+        self.memory = Memory(self._run, memory)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is not a token, by a heap over linked bytes. O(n log n)."""
