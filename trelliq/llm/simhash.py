@@ -5,6 +5,10 @@ rotated, to four tables whose tries start with a shared block and no error. Belo
 of nodes go down together, gather the bits in which they differ, and are dropped beyond the budget. A trie node is a range of the
 sorted fingerprints, so a whole frontier of node pairs takes one step in a few array operations. Pairs of nodes whose leaves
 are already known to be one group are dropped too, so that a large group of near copies is linked without visiting all its pairs.
+
+A table's block that very many fingerprints share is cut once more: what they have left are 48 bits, of which two of them agree on
+one of four parts of 12 bits. So such a block goes to four tasks' worth of smaller tries, with 28 shared bits, and no link is lost.
+Tasks read their blocks in sorted order and hold some at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ROW_KEY, keyed, materialize
+from .common import ASCII_LOWER, ROW_KEY, discard, keyed, materialize
 from .graph import components
 
 BLOCKS, BLOCK_BITS, BITS = 4, 16, 64
+PART_BITS = (BITS - BLOCK_BITS) // BLOCKS
+
+#: A block with more distinct fingerprints than this is cut; about as many rows are held in a task at once.
+HOT = 1 << 20
+
+#: The list of hot blocks is broadcast up to this many rows (of some 20 bytes), and joined by shuffle beyond it.
+BROADCAST_ROWS = 1 << 18
 
 #: Node pairs that take a step at once; more wait on a stack.
 FRONTIER = 1 << 20
@@ -120,31 +131,73 @@ def trie_self_join(keys: np.ndarray, budget: int = 3, top: int = BLOCK_BITS, fro
     return label
 
 
-def _links(budget: int):
+def _links(budget: int, hold: int):
+    """Links within each block from rows (grid, key, fp) sorted by grid and key: ``grid`` says which bits the fingerprints share."""
+
+    def of_grid(top: int, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        label = trie_self_join(key[order], budget, top)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        if len(linked):
+            fp = fp[order]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["u", "v"])
+
+    def of_rows(grid: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = [0, *(np.flatnonzero(np.diff(grid)) + 1).tolist(), len(grid)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield from of_grid(_top(int(grid[a])), key[a:b], fp[a:b])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, fps = [], []
+        held: list[tuple] = []
         for batch in batches:
-            tables.append(batch.column("k").to_numpy(zero_copy_only=False).astype(np.int8))
-            fps.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-        if not fps:
-            return
-        table, fp = np.concatenate(tables), np.concatenate(fps)
-        for k in range(BLOCKS):
-            own = fp[table == k]
-            shift = np.uint64(k * BLOCK_BITS)
-            turned = np.sort((own << shift) | (own >> (np.uint64(BITS) - shift)) if k else own)
-            if len(turned) < 2:
+            if not batch.num_rows:
+                continue
+            grid, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grid", "key", "fp"))
+            held.append((grid, key.view(np.uint64), fp))
+            if sum(len(h[0]) for h in held) < hold:
                 continue
-            label = trie_self_join(turned, budget)
-            back = (turned >> shift) | (turned << (np.uint64(BITS) - shift)) if k else turned
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                u, v = back[linked].view(np.int64), back[label[linked]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            grid, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            # All blocks but the last are complete.
+            same = (grid == grid[-1]) & (key >> np.uint64(BITS - _top(int(grid[-1]))) == key[-1] >> np.uint64(BITS - _top(int(grid[-1]))))
+            cut = int(np.argmax(same))
+            yield from of_rows(grid[:cut], key[:cut], fp[:cut]) if cut else ()
+            held = [(grid[cut:], key[cut:], fp[cut:])]
+        if held:
+            yield from of_rows(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
+def _top(grid: int) -> int:
+    """Bits that fingerprints of one block of a grid share: a grid is a table, whole (0 to 3) or cut by one of four parts."""
+    return BLOCK_BITS if grid < BLOCKS else BLOCK_BITS + PART_BITS
+
+
+def _turned(value, by: int, bits: int):
+    """The low ``bits`` of a column, of which all others are 0, rotated to the left."""
+    if not by:
+        return value
+    low = F.lit((1 << bits) - 1 if bits < 64 else -1)
+    return F.shiftleft(value, by).bitwiseAND(low).bitwiseOR(F.shiftrightunsigned(value, bits - by))
+
+
+def _blocks(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(grid, key, fp): each fingerprint in every grid, its shared bits first; and the table of hot blocks that this reads."""
+    keys = F.array(*[F.struct(F.lit(k).alias("grid"), _turned(F.col("fp"), k * BLOCK_BITS, BITS).alias("key")) for k in range(BLOCKS)])
+    tables = distinct.select("fp", F.explode(keys).alias("t")).select("t.grid", "t.key", "fp")
+    block = F.shiftrightunsigned("key", BITS - BLOCK_BITS).alias("block")
+    large = materialize(tables.groupBy("grid", block).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("grid", "block", F.lit(True).alias("hot")), "simhash-hot")
+    n = large.count()
+    if not n:
+        return tables, large
+    rest = F.col("key").bitwiseAND(F.lit((1 << (BITS - BLOCK_BITS)) - 1))
+    first = F.shiftleft("block", BITS - BLOCK_BITS)
+    parts = [F.struct((F.col("grid") + BLOCKS * (j + 1)).alias("grid"), first.bitwiseOR(_turned(rest, j * PART_BITS, BITS - BLOCK_BITS)).alias("key")) for j in range(BLOCKS)]
+    marked = tables.withColumn("block", block).join(F.broadcast(large) if n <= BROADCAST_ROWS else large, ["grid", "block"], "left")
+    whole = F.array(F.struct("grid", "key"))
+    return marked.select("fp", F.explode(F.when(F.col("hot"), F.array(*parts)).otherwise(whole)).alias("t")).select("t.grid", "t.key", "fp"), large
+
+
 def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     """Fingerprint and component of every row of ``docs`` (doc_id, text, ...): doc_id, fp, component_id, first, the row's place.
 
@@ -159,11 +212,14 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     prints = materialize(rows.mapInArrow(_fingerprints, "doc_id long, __trelliq_file long, __trelliq_row long, fp long"), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
     distinct = materialize(prints.groupBy("fp").agg(F.min(place).alias("rep")), "simhash-distinct")
-    block = lambda k: F.shiftrightunsigned("fp", BITS - (k + 1) * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    tables = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("block")) for k in range(BLOCKS)])).alias("t"))
-    links = tables.select("fp", "t.*").repartition("k", "block").select("k", "fp").mapInArrow(_links(budget), "u long, v long")
+    tables, large = _blocks(distinct, HOT)
+    shared = F.when(F.col("grid") < BLOCKS, F.shiftrightunsigned("key", BITS - BLOCK_BITS)).otherwise(F.shiftrightunsigned("key", BITS - BLOCK_BITS - PART_BITS))
+    sorted_ = tables.repartition("grid", shared).sortWithinPartitions("grid", "key")
+    links = sorted_.mapInArrow(_links(budget, HOT), "u long, v long")
     roots = components(links)
     grouped = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    for done in (large, distinct):
+        discard(done)
     best = grouped.groupBy("root").agg(F.min("rep").alias("best"))
     found = grouped.join(best, "root").select(F.col("fp").alias("fp_"), "best")
     out = prints.join(found, F.col("fp") == F.col("fp_"))
@@ -174,7 +230,11 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, columns as they were."""
+    """``docs`` with one row of each component, columns as they were.
+
+    It is the row with the smallest doc_id, of several such rows one of them, and one with a null doc_id only where all are null. Null
+    and blank texts are one component with whatever else has fingerprint 0 or is linked to it. An empty table stays empty.
+    """
     rows = keyed(docs, "simhash-rows")
     kept = near_duplicates(rows.drop(*ROW_KEY), budget).filter("first").select(*ROW_KEY)
     return rows.join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)
