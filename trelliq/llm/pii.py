@@ -3,16 +3,18 @@
 Emails, card, phone, social-security and account numbers, IP addresses, dates, labelled secrets and access keys with an issuer's prefix are found by pattern and
 validated (check digits, ranges, the calendar). Each valid value is written as a number below the count of values of its format
 and sent through a keyed Feistel network with cycle walking, a permutation of that range. So pseudonyms have the same format and
-pass the same validation, equal values get equal pseudonyms in every document, different values different ones, and whoever has
+pass the same validation, equal values in the same format get equal pseudonyms in every document, different values different ones.
+Where a format could be read in two ways (3/4/2020), the walk goes on until the pseudonym is read as its value was, so whoever has
 the key can go back. What fails validation is left alone.
 """
 
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -28,6 +30,7 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}(?:\d{2}|:\d{2}))|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[a-fA-F:]*[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)(?![\w:]|\.\d))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|(?<!\d[ .-])(?:\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![ .]\d))(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
@@ -76,19 +79,27 @@ class Feistel:
 _DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _shuffle(text: str, kind: str, step) -> str:
+def _within(value, once: Callable, same: Callable):
+    """``once`` again and again until ``same``: a permutation of the values that are ``same``, if ``once`` permutes all of them."""
+    value = once(value)
+    while not same(value):
+        value = once(value)
+    return value
+
+
+def _shuffle(text: str, kind: str, step, letters: str = _LETTERS) -> str:
     """Digits to digits and letters to letters, all positions at once; case and other characters stay where they are."""
     value, size = 0, 1
     low = text.lower()
     for c in low:
-        alphabet = _DIGITS if c in _DIGITS else _LETTERS if c in _LETTERS else ""
+        alphabet = _DIGITS if c in _DIGITS else letters if c in letters else ""
         if alphabet:
             value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
     if size == 1:
         return text
     value, out = step(kind, size, value), []
     for c, was in zip(reversed(low), reversed(text), strict=True):
-        alphabet = _DIGITS if c in _DIGITS else _LETTERS if c in _LETTERS else ""
+        alphabet = _DIGITS if c in _DIGITS else letters if c in letters else ""
         if alphabet:
             value, i = divmod(value, len(alphabet))
             c = alphabet[i].upper() if was.isupper() else alphabet[i]
@@ -96,11 +107,24 @@ def _shuffle(text: str, kind: str, step) -> str:
     return "".join(reversed(out))
 
 
+def _is_hex(text: str) -> bool:
+    """A hexadecimal number with letters, all of one case."""
+    return bool(re.fullmatch(r"(?=[0-9]*[a-f])[0-9a-f]+|(?=[0-9]*[A-F])[0-9A-F]+", text))
+
+
+def _secret(text: str, kind: str, step) -> str:
+    """Hexadecimal numbers become such numbers; others keep digits and letters where they are and become no such number."""
+    if _is_hex(text):
+        form = f"0{len(text)}{'X' if text.upper() == text else 'x'}"
+        return _within(text, lambda t: format(step(f"hex{kind[6:]}", 16 ** len(t), int(t, 16)), form), _is_hex)
+    return _within(text, lambda t: _shuffle(t, kind, step), lambda t: not _is_hex(t))
+
+
 def _pieces(text: str, step) -> str:
     """A long secret in even pieces, each by the permutation of its place: a round of the network has 64 bytes for half a value."""
     n = -(-len(text) // _PIECE)
     stops = [len(text) * i // n for i in range(n + 1)]
-    return "".join(_shuffle(text[a:b], f"secret {i}", step) for i, (a, b) in enumerate(zip(stops, stops[1:])))
+    return "".join(_secret(text[a:b], f"secret {i}", step) for i, (a, b) in enumerate(zip(stops, stops[1:])))
 
 
 def _refill(template: str, digits: str) -> str:
@@ -124,22 +148,62 @@ def _iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
 
 
-def _date_parts(text: str) -> tuple[str, datetime.date] | None:
-    """Format (pieces in order) and date, if the calendar has it. 3/4/2020 is read as month/day if it can be."""
-    for form, pattern in (("ymd", r"(\d{4})-(\d{2})-(\d{2})"), ("ymd", r"(\d{4})/(\d{1,2})/(\d{1,2})"), ("dmy", r"(\d{1,2})\.(\d{1,2})\.(\d{4})"), ("mdy", r"(\d{1,2})/(\d{1,2})/(\d{4})"), ("dmy", r"(\d{1,2})/(\d{1,2})/(\d{4})")):
-        if m := re.fullmatch(pattern, text):
-            part = dict(zip(form, map(int, m.groups()), strict=True))
+#: Orders of the fields of a date, in the order in which a text is tried.
+_DATES = (("ymd", re.compile(r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})")), ("dmy", re.compile(r"(\d{1,2})\.(\d{1,2})\.(\d{4})")), ("mdy", re.compile(r"(\d{1,2})/(\d{1,2})/(\d{4})")), ("dmy", re.compile(r"(\d{1,2})/(\d{1,2})/(\d{4})")))
+
+
+def _date(text: str, step) -> str | None:
+    """3/4/2020 is month/day if the calendar has it. A pseudonym keeps the width of each field and whether the day is beyond 12."""
+    for form, pattern in _DATES:
+        if m := pattern.fullmatch(text):
+            part, width = dict(zip(form, map(int, m.groups()), strict=True)), dict(zip(form, map(len, m.groups()), strict=True))
             try:
                 day = datetime.date(part["y"], part["m"], part["d"])
             except ValueError:
                 continue
             if 0 <= day.toordinal() - _FIRST_DAY < _DAYS:
-                return form, day
-    return None
+                break
+    else:
+        return None
+
+    def same(value: int) -> bool:
+        new = datetime.date.fromordinal(_FIRST_DAY + value)
+        return (new.day > 12) == (day.day > 12) and (width["d"] == 2 or new.day < 10) and (width["m"] == 2 or new.month < 10)
+
+    new = datetime.date.fromordinal(_FIRST_DAY + _within(day.toordinal() - _FIRST_DAY, lambda v: step("date", _DAYS, v), same))
+    field = {"y": new.year, "m": new.month, "d": new.day}
+    return ("-" if "-" in text else "." if "." in text else "/").join(f"{field[c]:0{width[c]}d}" for c in form)
+
+
+def _ip(text: str, step) -> str | None:
+    """Octets with leading zeros keep their widths, and one at least keeps a leading zero."""
+    parts = text.split(".")
+    if max(map(int, parts)) > 255:
+        return None
+    if not any(len(p) > 1 and p[0] == "0" for p in parts):
+        return ".".join(str(b) for b in step("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big")).to_bytes(4, "big"))
+    radix = [{1: 10, 2: 100, 3: 256}[len(p)] for p in parts]
+    size = radix[0] * radix[1] * radix[2] * radix[3]
+
+    def written(value: int) -> list[str]:
+        out = []
+        for r, p in zip(reversed(radix), reversed(parts), strict=True):
+            value, octet = divmod(value, r)
+            out.append(f"{octet:0{len(p)}d}")
+        return out[::-1]
+
+    value = 0
+    for r, p in zip(radix, parts, strict=True):
+        value = value * r + int(p)
+    zero = lambda v: any(len(p) > 1 and p[0] == "0" for p in written(v))
+    return ".".join(written(_within(value, lambda v: step(f"ip {''.join(str(len(p)) for p in parts)}", size, v), zero)))
 
 
 def replace(kind: str, text: str, step) -> str | None:
-    """Pseudonym of a found value, None if it fails validation. ``step`` is Feistel.forward, or backward to undo."""
+    """Pseudonym of a found value, None if it fails validation. ``step`` is Feistel.forward, or backward to undo.
+
+    An IPv6 address keeps its spelling: digits become digits and letters letters a-f, so another spelling is another value.
+    """
     digits = _digits(text)
     if kind == "email":
         at = text.rindex(".")
@@ -147,10 +211,7 @@ def replace(kind: str, text: str, step) -> str | None:
     if kind == "secret":
         if len(text) > _PIECE:
             return _pieces(text, step)
-        if re.fullmatch(r"[0-9a-fA-F]+", text):
-            made = f"{step('hex', 16 ** len(text), int(text, 16)):0{len(text)}x}"
-            return made.upper() if text.upper() == text else made
-        return _shuffle(text, kind, step)
+        return _secret(text, kind, step)
     if kind == "token":
         lead = 8 if text[1:8] == "k_live_" else 5 if text.startswith("xox") else 4  # what names the issuer stays
         return text[:lead] + _shuffle(text[lead:], "secret", step)
@@ -158,8 +219,9 @@ def replace(kind: str, text: str, step) -> str | None:
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
             return None
         n = len(digits) - 2  # the first digit (the issuer's kind) stays, the last follows
-        body = digits[0] + str(step(kind, 10**n, int(digits[1:-1]))).zfill(n)
-        return _refill(text, body + luhn_digit(body))
+        whole = lambda v: (body := digits[0] + str(v).zfill(n)) + luhn_digit(body)
+        value = _within(int(digits[1:-1]), lambda v: step(kind, 10**n, v), lambda v: len(set(whole(v))) > 1)
+        return _refill(text, whole(value))
     if kind == "phone":
         if not 8 <= len(digits) <= 15:
             return None
@@ -174,11 +236,13 @@ def replace(kind: str, text: str, step) -> str | None:
         rank, group, serial = value // 9999 // 99, value // 9999 % 99 + 1, value % 9999 + 1
         return f"{rank + 1 + (rank >= 665):03d}-{group:02d}-{serial:04d}"
     if kind == "ip":
-        parts = [int(p) for p in text.split(".")]
-        if max(parts) > 255:
+        return _ip(text, step)
+    if kind == "ipv6":
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
             return None
-        value = step(kind, 1 << 32, int.from_bytes(bytes(parts), "big"))
-        return ".".join(str(b) for b in value.to_bytes(4, "big"))
+        return _shuffle(text, kind, step, "abcdef")
     if kind == "iban":
         flat = text.replace(" ", "")
         if not 15 <= len(flat) <= 34 or _iban_number(flat) % 97 != 1:
@@ -188,13 +252,7 @@ def replace(kind: str, text: str, step) -> str | None:
         it = iter(f"{flat[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "date":
-        found = _date_parts(text)
-        if not found:
-            return None
-        form, day = found
-        new = datetime.date.fromordinal(_FIRST_DAY + step(kind, _DAYS, day.toordinal() - _FIRST_DAY))
-        wide = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return ("-" if "-" in text else "." if "." in text else "/").join(wide[c] for c in form)
+        return _date(text, step)
     raise ValueError(kind)
 
 
@@ -212,7 +270,7 @@ def pseudonymise(text: str | None, step) -> tuple[str | None, Counter]:
         new = replace(kind, m[0], step)
         if new is None:
             return m[0]
-        found["secret" if kind == "token" else kind] += 1
+        found[{"token": "secret", "ipv6": "ip"}.get(kind, kind)] += 1
         return new
 
     return _PATTERN.sub(swap, text), found
