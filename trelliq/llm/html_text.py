@@ -1,21 +1,26 @@
 """Main text of web pages by consensus of each host's pages.
 
-First every page names the container that holds its text best, as a generalised path of tags and classes. Spark counts these
-votes per host. Then every page is read again: the text comes from its containers on the paths that won its host, in page
-order, and only where it has none of them from its own best container.
+First every page names the container that holds its text best, as a generalised path of tags and classes, and the text blocks that
+might lie outside of it. Spark counts the votes for paths per host, and on how many different pages of the host a block stands.
+Then every page is read again: the text comes from its containers on the paths that won its host, in page order, and only where it
+has none of them from its own best container. A block elsewhere on the page is left out only if most of its text is links, if it
+stands in the page's header, or if it is boilerplate: if half of the host's pages have it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .urls import host_and_path
 
 #: Winning paths are broadcast up to this many bytes, and joined by shuffle beyond it.
@@ -48,19 +53,33 @@ _DROP_WORDS = frozenset(
     "newsletter notice notices notification overlay pager pagination popup promo promotion recommended related reply replies respond share sharing sidebar signup skyscraper social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Words that say place or form only: a name of drop words and these marks its element, a name with others (share-price) does not.
+_FORM_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content desktop fixed form global group header icon icons inner item items js large left link links list main message mobile "
+    "module outer page panel policy post posts primary region right row secondary section site slot small sticky text the this title top unit wrap wrapper".split()
+)
 _KEEP_WORDS = frozenset("article body content entry main post story text".split())
+_NEVER_BY_NAME = frozenset("html body article main".split())
+
+#: A longer path is continued from its hash, so that deep nesting takes no more room.
+_LONG_PATH = 512
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "drop", "good", "own", "total", "children", "header")
+    __slots__ = ("tag", "parent", "up", "path", "drop", "good", "own", "total", "children", "header", "heading")
 
-    def __init__(self, tag, parent, path, drop, good, header):
-        self.tag, self.parent, self.path, self.drop, self.good, self.header = tag, parent, path, drop, good, header
+    def __init__(self, tag, parent, up, path, drop, good, header, heading):
+        self.tag, self.parent, self.up, self.path, self.drop, self.good, self.header, self.heading = tag, parent, up, path, drop, good, header, heading
         self.own, self.total, self.children = 0, 0, []
 
 
-def _element(tag: str, attrs: str, parent: _Node) -> _Node:
-    words: list[str] = []
+def _unwanted(name: str) -> bool:
+    words = _PART.findall(name)
+    return not _DROP_WORDS.isdisjoint(words) and all(w in _DROP_WORDS or w in _FORM_WORDS for w in words)
+
+
+def _element(tag: str, attrs: str, parent: _Node, holder: _Node) -> _Node:
+    names: list[str] = []
     drop, good, label = tag in _DROP_TAGS, tag in ("article", "main"), tag
     if attrs:
         for name, *values in _ATTR.findall(attrs):
@@ -68,66 +87,89 @@ def _element(tag: str, attrs: str, parent: _Node) -> _Node:
             if name == "class":
                 label = ".".join([tag, *sorted(re.sub(r"\d+", "0", c) for c in value.lower().split())])
             if name in ("class", "id"):
-                words += _PART.findall(value.lower())
+                names += value.lower().split()
             elif name == "role":
                 drop = drop or value.lower() in _DROP_ROLES
                 good = good or value.lower() == "main"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 drop = True
-    if words and tag not in ("html", "body"):
-        drop = drop or not _DROP_WORDS.isdisjoint(words)
+    header = parent.header or tag == "header"
+    if names and tag not in ("html", "body"):
+        words = {w for n in names for w in _PART.findall(n)}
+        drop = drop or tag not in _NEVER_BY_NAME and any(map(_unwanted, names))
         good = good or not _KEEP_WORDS.isdisjoint(words)
-    return _Node(tag, parent, f"{parent.path}/{label}" if tag in _CONTAINER else parent.path, parent.drop or drop, good, parent.header or tag == "header" or "header" in words)
+        header = header or "header" in words and tag not in _NEVER_BY_NAME
+    path = parent.path
+    if tag in _CONTAINER:
+        path = f"{path if len(path) <= _LONG_PATH else xxhash.xxh64_hexdigest(path)}/{label}"
+    return _Node(tag, parent, holder, path, parent.drop or drop, good, header, tag in _HEADINGS or tag in _INLINE and parent.heading)
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def parse(page: str) -> tuple[_Node, list[tuple[_Node, str, int, bool]]]:
-    """The tree's root and the blocks of visible text: (container, text, characters inside links, heading)."""
-    root = _Node("", None, "", False, False, False)
+@dataclass
+class _Block:
+    holder: _Node  # the container that it stands in
+    text: str
+    linked: int  # characters inside links
+    header: bool  # in a page's or section's header
+
+    @property
+    def plain(self) -> bool:
+        return 2 * self.linked <= len(self.text)
+
+    def digest(self) -> int:
+        return xxhash.xxh64_intdigest(f"{self.holder.path}\n{self.text}".encode("utf-8", "replace")) - (1 << 63)
+
+
+def parse(page: str) -> tuple[_Node, list[_Node], list[_Block]]:
+    """The tree's root, its containers, parents before children, and the blocks of visible text. Linear in the page's size."""
+    root = _Node("", None, None, "", False, False, False, False)
     here, holder = root, root
-    blocks: list[tuple[_Node, str, int, bool]] = []
+    containers, blocks = [root], []
     parts: list[str] = []
     linked = links = 0
-    heading = False
+    headed = False
+    open_tags: Counter = Counter()
 
     def close_block() -> None:
-        nonlocal linked, heading
+        nonlocal linked, headed
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append((holder, text, linked, heading))
+                blocks.append(_Block(holder, text, linked, headed))
             parts.clear()
-        linked, heading = 0, False
+        linked, headed = 0, False
 
     def pop_to(node: _Node) -> None:
         nonlocal here, holder, links
         while here is not node:
             if here.tag == "a":
                 links = max(0, links - 1)
+            open_tags[here.tag] -= 1
             here = here.parent
-        holder = here
-        while holder.parent is not None and holder.tag not in _CONTAINER:
-            holder = holder.parent
+        holder = here if here.parent is None or here.tag in _CONTAINER else here.up
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            if not here.drop and not (here.header and not here_heading(here)):
+            if not here.drop and (here.heading or not here.header):
                 parts.append(text)
                 if links:
                     linked += len(text)
-                if not heading and here_heading(here):
-                    heading = True
+                headed = headed or here.header
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
+            if not open_tags[tag]:
+                continue
             node = here
-            while node.parent is not None and node.tag != tag:
+            while node.tag != tag:
                 node = node.parent
-            if node.parent is None:
-                continue
             if tag not in _INLINE:
                 close_block()
             elif tag in ("td", "th"):
@@ -146,7 +188,7 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str, int, bool]]]:
         ends = _SELF_CLOSING.get(tag, frozenset())
         if tag in _CLOSES_P:
             ends = ends | {"p"}
-        if ends:
+        if any(open_tags[e] for e in ends):
             node, found = here, None
             while node.parent is not None and (node.tag not in _SCOPE or node.tag in ends):
                 if node.tag in ends:
@@ -154,24 +196,16 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str, int, bool]]]:
                 node = node.parent
             if found is not None:
                 pop_to(found.parent)
-        child = _element(tag, m["attrs"] or "", here)
-        here = child
+        here = _element(tag, m["attrs"] or "", here, holder)
+        open_tags[tag] += 1
         if tag == "a":
             links += 1
         if tag in _CONTAINER:
-            up = child.parent
-            while up.parent is not None and up.tag not in _CONTAINER:
-                up = up.parent
-            up.children.append(child)
-            holder = child
+            holder.children.append(here)
+            containers.append(here)
+            holder = here
     close_block()
-    return root, blocks
-
-
-def here_heading(node: _Node) -> bool:
-    while node.parent is not None and node.tag in _INLINE:
-        node = node.parent
-    return len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit()
+    return root, containers, blocks
 
 
 def _totals(node: _Node) -> int:
@@ -185,15 +219,15 @@ def _totals(node: _Node) -> int:
     return node.total
 
 
-def best_container(root: _Node, blocks: list, share: float = 0.8, good_share: float = 0.4) -> _Node:
+def best_container(root: _Node, blocks: list[_Block], share: float = 0.8, good_share: float = 0.4) -> _Node:
     """The highest container that is marked as content, or else the smallest, with most of the page's unlinked text.
 
     One that is marked as content needs a smaller share, and nothing inside it is left out. Shares are of the whole page, so they do
     not multiply on the way down; a quotation is never a page's container.
     """
-    for node, text, linked, _ in blocks:
-        if 2 * linked <= len(text):
-            node.own += len(text)
+    for b in blocks:
+        if b.plain:
+            b.holder.own += len(b.text)
     whole = _totals(root)
     node = root
     while not node.good:
@@ -204,62 +238,74 @@ def best_container(root: _Node, blocks: list, share: float = 0.8, good_share: fl
     return node
 
 
+def _inside(containers: list[_Node], test) -> set[int]:
+    """Ids of the containers that pass a test or lie in one that does; parents come before children."""
+    out: set[int] = set()
+    for n in containers:
+        if test(n) or n.up is not None and id(n.up) in out:
+            out.add(id(n))
+    return out
+
+
+def scan(page: str | None) -> tuple[str, int, set[int]]:
+    """The page's vote, a digest of its main text, and digests of blocks that might be boilerplate."""
+    root, containers, blocks = parse(page or "")
+    best = best_container(root, blocks)
+    inside = _inside(containers, lambda n: n is best)
+    main = xxhash.xxh64()
+    for b in blocks:
+        if id(b.holder) in inside:
+            main.update(b.text.encode("utf-8", "replace") + b"\n")
+    # What is inside a container that is marked as content is never left out.
+    loose = {b.digest() for b in blocks if b.plain and not b.header and not (best.good and id(b.holder) in inside)}
+    return best.path, main.intdigest() - (1 << 63), loose
+
+
 def vote(page: str | None) -> str:
-    root, blocks = parse(page or "")
-    return best_container(root, blocks).path
+    return scan(page)[0]
 
 
-def extract(page: str | None, paths: list[str]) -> str:
-    """Text of the page's containers on ``paths`` inside its own best container, of nested ones the outermost, in page order.
+def extract(page: str | None, paths: list[str], boilerplate: frozenset[int] = frozenset()) -> str:
+    """Text of the page's containers on ``paths`` inside its own best container, in page order, with other blocks that are not boilerplate.
 
-    Without any there, of the nearest container around its best one that is on a path; else of those on the first of ``paths`` that
-    has text; else of its own best container.
+    Without any such container there, the nearest container around its best one that is on a path; else those on the first of
+    ``paths`` that has text; else its own best container.
     """
-    root, blocks = parse(page or "")
+    root, containers, blocks = parse(page or "")
     if not blocks:
         return ""
-
-    def under(node: _Node, test) -> bool:
-        while node is not None:
-            if test(node):
-                return True
-            node = node.parent
-        return False
-
     best, won = best_container(root, blocks), frozenset(paths)
-    inside = [b for b in blocks if under(b[0], lambda n: n is best)]
-
-    def wins(n: _Node) -> bool:
-        return n.tag in _CONTAINER and n.path in won
-
-    def wins_inside(node: _Node) -> bool:
-        while not wins(node):
-            if node is best:
-                return False
-            node = node.parent
-        return True
-
-    found = [b for b in inside if wins_inside(b[0])]
-    if not found:
-        around = best.parent
-        while around is not None and not wins(around):
-            around = around.parent
-        if around is not None:
-            found = [b for b in blocks if under(b[0], lambda n: n is around)]
+    in_best = _inside(containers, lambda n: n is best)
+    found = _inside(containers, lambda n: id(n) in in_best and n.path in won) or set()
+    if not any(id(b.holder) in found for b in blocks):
+        around = best.up
+        while around is not None and around.path not in won:
+            around = around.up
+        found = _inside(containers, lambda n: n is around) if around is not None else in_best
     for path in paths:
-        found = found or [b for b in blocks if under(b[0], lambda n: n.path == path)]
-    return "\n".join(b[1] for b in found or inside)
+        if any(id(b.holder) in found for b in blocks):
+            break
+        found = _inside(containers, lambda n: n.path == path)  # noqa: B023
+    return "\n".join(b.text for b in blocks if id(b.holder) in found or b.plain and not b.header and b.digest() not in boilerplate)
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [vote(t.as_py()) for t in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
+        hosts, paths, mains, blocks = [], [], [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            path, main, loose = scan(page.as_py())
+            # The vote's row has a path, the others a block.
+            hosts += [host] * (1 + len(loose))
+            paths += [path] + [None] * len(loose)
+            mains += [main] * (1 + len(loose))
+            blocks += [None, *loose]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(mains, pa.int64()), pa.array(blocks, pa.int64())], names=["host", "path", "main", "block"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(t.as_py(), p.as_py() or []) for t, p in zip(batch.column("html"), batch.column("paths"), strict=True)]
+        lists = zip(batch.column("html"), batch.column("paths").to_pylist(), batch.column("boilerplate").to_pylist(), strict=True)
+        texts = [extract(t.as_py(), p or [], frozenset(b or ())) for t, p, b in lists]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
@@ -268,20 +314,29 @@ def main_text(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html, ...).
 
     A path wins a host with ``least_share`` of its pages' votes or more (so a host has at most 1/least_share of them), the most votes
-    first, ties in order of the path. Null or empty html gives empty text. Null urls share the empty host. Pages are read whole;
-    truncated markup is read as far as it goes. Repeated rows and null page_ids are passed on; an empty table gives an empty
-    result. Other columns are neither read nor returned. Votes are counted before they are shuffled, so a host may have any share of the pages.
+    first, ties in order of the path. A block is boilerplate of a host if it stands, on the same path, on two or more and on at
+    least half of the host's pages of different main text; so a host has at most twice as many as a page has blocks on average,
+    and copies of one page make nothing boilerplate. Null or empty html gives empty text. Null urls share the empty host. Pages are
+    read whole; truncated markup is read as far as it goes. Repeated rows and null page_ids are passed on; an empty table gives an
+    empty result. Other columns are neither read nor returned. Votes and blocks are counted before they are shuffled by host, so a
+    host may have any share of the pages.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
     hosted = rows.withColumn("host", host_and_path(F.col("url"))[0])
-    votes = hosted.select("host", "html").mapInArrow(_votes, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    scanned = materialize(hosted.select("host", "html").mapInArrow(_scans, "host string, path string, main long, block long"), "html-scan")
+    votes = scanned.filter("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(votes, "html-votes")
     totals = counted.groupBy("host").agg(F.sum("n").alias("all"))
     winners = counted.join(totals, "host").filter((F.col("n") >= least_share * F.col("all")) & (F.col("path") != ""))
-    lists = winners.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("w")).select("host", F.col("w.path").alias("paths"))
-    lists = materialize(lists, "html-paths")
-    size = lists.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "")) + 32)).first()[0] or 0
+    paths = winners.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("w")).select("host", F.col("w.path").alias("paths"))
+    mains = scanned.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("mains"))
+    spread = scanned.filter("block is not null").select("host", "block", "main").distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    common = spread.filter("n > 1").join(mains, "host").filter("2 * n >= mains").groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("boilerplate"))
+    lists = materialize(paths.join(common, "host", "full_outer"), "html-lists")
+    for done in (counted, scanned):
+        discard(done)
+    size = lists.agg(F.sum(F.length("host") + F.length(F.array_join(F.coalesce("paths", F.array()), "")) + 8 * F.size(F.coalesce("boilerplate", F.array())) + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
-    out = hosted.join(lists, "host", "left").select("page_id", "url", "html", "paths")
+    out = hosted.join(lists, "host", "left").select("page_id", "url", "html", "paths", "boilerplate")
     return out.mapInArrow(_texts, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
