@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,22 +86,28 @@ def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min
 def template_tree(
     labelled: DataFrame, fan_out: int = 16, rare: float = 0.05, z: float = 2.0, min_labels: int = 5, strength: float = 5.0, purity: float = 0.7, evidence_share: float = 0.2
 ) -> DataFrame:
-    """(host, pattern) -> template, smoothed blocked share, rejected. ``labelled``: host, segments, label (blocked 1, allowed 0, null)."""
+    """(host, pattern) -> template, smoothed blocked share, rejected. ``labelled``: host, segments, label (blocked 1, allowed 0, null).
+
+    One row per host and pattern, in however many rows it came; repeated rows count each. Rows without segments have the template
+    ''. Without labels every share is 0 and nothing is rejected. An empty table gives an empty tree. Hosts and segments must not be null.
+    """
     pattern = F.array_join("segments", "/")
     counts = labelled.groupBy("host", pattern.alias("pattern")).agg(
         F.first("segments").alias("segments"), F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")
     )
-    tree = materialize(counts, "url-patterns")
+    written = tree = materialize(counts, "url-patterns")
     whole = tree.agg(F.max(F.size("segments")).alias("depth"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
     prior = (whole.b or 0) / whole.l if whole.l else 0.0
     tree = tree.withColumns({"template": F.lit(""), "nodes": F.array(F.lit(""))})
-    for depth in range(whole.depth or 0):
-        tree = _level(tree, depth, fan_out, rare, z, min_labels)
-        if depth % 2 == 1:  # a level triples the plan
+    depth = whole.depth or 0
+    for level in range(depth):
+        tree = _level(tree, level, fan_out, rare, z, min_labels)
+        if level % 2 == 1 or level == depth - 1:  # a level triples the plan
             tree = materialize(tree, "url-levels")
+            discard(written)
+            written = tree
 
     # Shares along each template's path, from the host down.
-    tree = materialize(tree, "url-templates")
     walked = tree.select("host", "template", "n", "labelled", "blocked", F.posexplode("nodes").alias("depth", "node"))
     shares = walked.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     paths = tree.groupBy("host", "template").agg(F.first("nodes").alias("nodes")).select("host", "template", F.posexplode("nodes").alias("depth", "node"))
