@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ROW_KEY, keyed
+
 WINDOW = 96
 WIDTHS = (2, 3, 4)
 
@@ -154,25 +156,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 1000, pieces: int = 4, seed: int = 7) -> ByteCNN | None:
+def fit(docs: DataFrame, per_language: int = 1000, pieces: int = 4, seed: int = 7, languages: int = 400) -> ByteCNN | None:
     """A network for the languages of the labelled rows that are not held out, from at most ``per_language`` rows of each.
 
     The sample is those rows with the smallest hash of doc_id (so reruns agree), and of each up to ``pieces`` windows spread over
-    the text. Both bounds keep what reaches the driver below languages * per_language * pieces * WINDOW * 4 bytes. Rows with
-    null doc_id, text or lang are not learned from. None if there is nothing to learn from.
+    the text. Of more than ``languages`` labels the most frequent are learned. These bounds keep what reaches the driver near
+    languages * per_language * pieces * WINDOW * 4 bytes. Rows with null doc_id, text or lang are not learned from; repeated rows
+    count each. None if there is nothing to learn from.
     """
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
     scale = 1 << 20
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(scale, int(scale * 1.2 * per_language / n) + 1))).otherwise(limit)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # The most frequent languages, so that what comes to the driver is bounded however many labels there are.
+    counts = counts.orderBy(F.desc("n"), "lang").limit(languages)
+    odds = F.least(F.lit(scale), (F.lit(scale * 1.2 * per_language) / F.col("n")).cast("int") + 1)
     h = F.xxhash64(F.lit(seed), "doc_id")
     length = F.char_length("text")
     piece = lambda i: F.substring("text", (F.floor(length * i / pieces) + 1).cast("int"), F.lit(WINDOW))
-    chosen = usable.withColumn("h", h).filter(F.pmod("h", F.lit(scale)) < limit).select("lang", "h", "doc_id", *[piece(i).alias(f"p{i}") for i in range(pieces)])
+    sampled = usable.withColumn("h", h).join(F.broadcast(counts.select("lang", odds.alias("odds"))), "lang").filter(F.pmod("h", F.lit(scale)) < F.col("odds"))
+    chosen = sampled.select("lang", "h", "doc_id", *[piece(i).alias(f"p{i}") for i in range(pieces)])
     by_lang: dict[str, list] = {}
     for r in chosen.collect():
         by_lang.setdefault(r.lang, []).append((r.h % scale, r.h, str(r.doc_id), *[r[f"p{i}"] for i in range(pieces)]))
@@ -217,9 +219,11 @@ def _apply(rows: DataFrame, net: ByteCNN | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose text has a language: one of ``languages`` (default: any that was learned) with ``least_score`` or more."""
-    from .common import ROW_KEY, keyed
+    """Rows of ``docs`` whose text has a language: one of ``languages`` (default: any that was learned) with ``least_score`` or more.
 
+    Null and empty texts and those without letters go, and so does everything if there is nothing to learn from. Repeated rows stay
+    or go together; null doc_ids make no difference. Columns are as they were. An empty table stays empty.
+    """
     rows = keyed(docs, "language-rows")
     found = _apply(rows.select("text", *ROW_KEY), fit(docs)).filter(F.col("lang_pred") != "und").filter(F.col("score") >= least_score)
     if languages is not None:
