@@ -1,60 +1,83 @@
 """Token ids in compressed binary files.
 
 Documents are dealt by ranges of doc_id and encoded in order. Every million ids or so close a block, which Re-Pair compresses
-by itself: pairs of neighbouring symbols that are frequent become nonterminals, round by round, all rules of a round at once
-where they do not overlap. A block stores its rules, the length each nonterminal expands to, the remaining symbols and where
-each document starts among them, so any document can be decoded alone. Blocks are rows of a Parquet table (part, block, header
-columns, payload), which Spark's committer writes whole even when executors are lost, and any store that Spark knows can hold.
-
-Payload, little-endian: 4 bytes ``RPG1``, uint32 base, rules, symbols, documents, rounds; uint32 rules per round; uint32 left and
-right of each rule; uint32 expansion lengths; uint16 symbols if every symbol is below 65536, else uint32, padded to 4 bytes;
-uint32 symbols per document; uint32 ids per document. Symbols below ``base`` are ids, ``base + i`` is rule i.
+by itself: pairs of neighbouring symbols that are frequent become nonterminals, the most frequent first, until no pair is left
+that pays for its rule. The rules of a round are applied at once where they do not overlap. A block stores its rules, the length
+each nonterminal expands to, the remaining symbols and where each document starts among them, so any document can be decoded
+alone. Blocks are rows of a Parquet table (part, block, header columns, payload), which Spark's committer writes whole even when
+executors are lost, and any store that Spark knows can hold.
+
+Payload, little-endian: 4 bytes ``RPG2``, uint32 base, rules, symbols, documents, rounds; uint32 rules per round; left and right of
+each rule; uint32 expansion lengths; the symbols; uint32 symbols per document; uint32 ids per document. Symbols below ``base`` are
+ids, ``base + i`` is rule i. Lists of symbols (left, right, the rest) store the low 16 bits of each as uint16 and after them one
+plane of bits for each bit above that any symbol needs; list and planes are padded to 4 bytes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions_of
+from .common import Memory, partitions_of
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 
 
 # Encoding
 
+#: The normalizer and the splitter under which chunks between white space can be encoded one by one.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer drops white space and never joins what stands on its two sides, and hands whole words of letters to its model."""
+    model, normalizer, splitter = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    # An added token that begins with a sign and has letters is never part of letters with signs after them.
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and re.fullmatch(r"[!-/:-@\[-`{-~]\S*[A-Za-z]\S*", t["content"]) for t in spec.get("added_tokens") or [])
+    return (
+        plain and normalizer.get("normalizers") == _NORMALIZER and splitter.get("pretokenizers") == _SPLITTER
+        and spec.get("truncation") is None and model.get("type") == "BPE" and not model.get("dropout")
+    )
+
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, from the ids of their chunks between white space.
+    """Ids of whole texts as the tokenizers library gives them.
 
-    For tokenizers that drop white space and split at it, so that chunks do not depend on their neighbours. Chunks that are words of
-    Latin letters go to the library's model directly, as its normalizer and splitter would hand them over; all others go through the
-    whole library. Results are remembered in two bounded generations.
+    If the tokenizer's file says that it drops white space and splits at it, texts are cut at ASCII white space and each distinct
+    chunk of a batch is encoded once. Chunks that are words of Latin letters go to the library's model directly, as its normalizer
+    and splitter would hand them over; all others go through the whole library. Short chunks are remembered up to a number of bytes.
+    With any other file whole texts go through the whole library.
     """
 
-    _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-    _ODD = re.compile(r"[\x1c-\x1f]")
-    _WORD = re.compile(r"([A-Za-z]+|[^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    _WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs without the apostrophe, which the splitter may join to letters
 
-    def __init__(self, tokenizer_json: str, memory: int = 300_000):
+    def __init__(self, tokenizer_json: str, memory: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
+        self.by_chunk = _splits_at_spaces(json.loads(tokenizer_json))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.visible = {b: chr(b) if b in printable else chr(next(other)) for b in range(256)}
-        self.memory = _Memory(self._chunk, memory)
+        self.memory = Memory(self._chunk, memory)
 
     def _word(self, word: str) -> bytes:
         """Ids of a word of letters below U+0250 without U+0130, whose lower case has letters only."""
@@ -64,153 +87,204 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._word(chunk)
-        m = self._WORD.fullmatch(chunk)
-        if m:
+        if chunk.isascii():
+            word = chunk.rstrip(self._SIGNS)
+            if word.isalpha():
+                return self.memory[word] + self.memory[chunk[len(word) :]] if len(word) < len(chunk) else self._word(word)
+        elif m := self._WORD.fullmatch(chunk):
             word, tail = m.groups()
             # The pattern also takes numerals such as ² and ½, which the library's splitter cuts from letters.
-            plain = word.isascii() or max(word) < "\u0250" and "\u0130" not in word and word.isalpha()
-            if plain:
+            if max(word) < "\u0250" and "\u0130" not in word and word.isalpha():
                 return self.memory[word] + self.memory[tail] if tail else self._word(word)
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian uint32."""
-        if not text:
-            return b""
-        chunks = self._CHUNK.findall(text) if self._ODD.search(text) else text.split()
-        return b"".join(map(self.memory.__getitem__, chunks))
+        return self._whole(chunk)
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
-class _Memory(dict):
-    def __init__(self, compute: Callable[[str], bytes], size: int):
-        super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.compute(chunk)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text as little-endian uint32."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has. Null counts as empty."""
+        if not self.by_chunk:
+            raw = [self._whole(t or "") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        chunks = cut.flatten().dictionary_encode()
+        raw = list(map(self.memory.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        known, size = np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
+        which = chunks.indices.to_numpy()
+        each = size[which] if len(raw) else np.zeros(0, np.int64)
+        ends = np.cumsum(each)
+        # The ids of chunk c stand at first[c]... in ``known`` and at ends[i] - each[i]... in the result.
+        first = np.cumsum(size) - size
+        shift = (first[which] if len(raw) else each) - (ends - each)
+        flat = known[np.arange(len(shift) and ends[-1]) + np.repeat(shift, each)]
+        stops = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return flat, np.diff(stops)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows whose texts have ``size`` bytes or less together, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + size, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
 
 
 # Re-Pair
 
-
-def _chosen(key: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent keys of pairs, most frequent first, of equal ones the smallest first."""
-    key = np.sort(key)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-    count = np.diff(edge)
-    often = np.flatnonzero(count >= least)
-    return key[edge[often[np.lexsort((key[edge[often]], -count[often]))][:most]]]
-
-
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, per_round: int = 2688, least: int = 24) -> bytes:
-    """A block's payload from its ids and the number of ids of each document. Rules never cross documents."""
+_TABLE_BITS = 18
+
+
+def _hashed(key: np.ndarray) -> np.ndarray:
+    kind = key.dtype.type
+    factor, down = (0x9E3779B1, 32 - _TABLE_BITS) if kind is np.uint32 else (0x9E3779B97F4A7C15, 64 - _TABLE_BITS)
+    return (key * kind(factor)) >> kind(down)
+
+
+def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``key`` of keys that occur ``least`` times or more, which key each has, those keys ascending and their counts."""
+    ordered = np.sort(key)
+    # A key that occurs often enough equals the one so many places on.
+    often = np.flatnonzero(ordered[: max(len(key) - least + 1, 0)] == ordered[least - 1 :])
+    value = ordered[often]
+    value = value[np.concatenate([[True], value[1:] != value[:-1]])] if len(value) else value
+    if not len(value):
+        return often, often, value, often
+    count = np.searchsorted(ordered, value, side="right") - np.searchsorted(ordered, value)
+    # Places are found by a table of hashed keys, and by a search where two keys share a slot.
+    slot = np.full(1 << _TABLE_BITS, -1, np.int32)
+    slot[_hashed(value)] = np.arange(len(value), dtype=np.int32)
+    which = slot[_hashed(key)]
+    some = np.flatnonzero(which >= 0)
+    which, key = which[some], key[some]
+    other = np.flatnonzero(value[which] != key)
+    if len(other):
+        found = np.searchsorted(value, key[other]).clip(max=len(value) - 1)
+        which[other] = np.where(value[found] == key[other], found, -1)
+        some, which = some[which >= 0], which[which >= 0]
+    return some, which, value, count
+
+
+def _packed(symbols: np.ndarray, bits: int) -> bytes:
+    fill = lambda raw: raw + b"\0" * (-len(raw) % 4)
+    planes = [fill(np.packbits((symbols >> np.uint32(b)).astype(np.uint8) & 1).tobytes()) for b in range(16, bits)]
+    return b"".join([fill(symbols.astype("<u2").tobytes()), *planes])
+
+
+def _unpacked(payload: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    out = np.frombuffer(payload, "<u2", n, at).astype(np.uint32)
+    at += -(-2 * n // 4) * 4
+    for b in range(16, bits):
+        plane = np.frombuffer(payload, np.uint8, -(-n // 8), at)
+        out |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(b)
+        at += -(-len(plane) // 4) * 4
+    return out, at
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = 12, fall: int = 64) -> bytes:
+    """A block's payload from its ids and the number of ids of each document. Rules never cross documents.
+
+    A pair becomes a rule while it is seen ``least`` times or more: a rule takes about 8 bytes and a use saves about 2, less where
+    pairs overlap. Each round takes the pairs seen at least 1/``fall`` as often as the most frequent one. A pair's count never grows
+    after the round that made its symbols, so places with rarer pairs are not looked at again.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     ends = np.cumsum(lengths)
     last[ends[lengths > 0] - 1] = True
     lefts, rights, per = [], [], []
     symbols = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        open_ = ~last[:-1]
+    at = np.flatnonzero(~last[:-1])
+    while len(at):
         kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
-        key = seq[:-1].astype(kind) << kind(shift) | seq[1:].astype(kind)
-        top = _chosen(key[open_], least, per_round)
-        if not len(top):
+        key = seq[at].astype(kind) << kind(shift) | seq[at + 1].astype(kind)
+        some, pair, value, count = _frequent(key, least)
+        if not len(value):
             break
-        order = np.argsort(top)
-        # A small table of hashed keys leaves few positions to be searched for.
-        factor, down = (kind(0x9E3779B1), kind(14)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(46))
-        table = np.zeros(1 << 18, bool)
-        table[(top * factor) >> down] = True
-        at = np.flatnonzero(table[(key * factor) >> down] & open_)
-        found = np.searchsorted(top[order], key[at]).clip(max=len(top) - 1)
-        same = top[order][found] == key[at]
-        at, rank = at[same], order[found[same]]
+        at = at[some]
+        order = np.argsort(-count, kind="stable")
+        order = order[: np.searchsorted(-count[order], -max(least, -(-int(count.max()) // fall)), side="right")]
+        rank = np.full(len(value), -1, np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        rank = rank[pair]
+        place, rank = at[rank >= 0], rank[rank >= 0]
         # Of overlapping places the better rule goes first; of a run of one rule every other place.
-        near = np.concatenate([[False], np.diff(at) == 1])
+        near = np.concatenate([[False], np.diff(place) == 1])
         before = np.concatenate([[-1], rank[:-1]])
         after = np.concatenate([rank[1:], [-1]])
         near_after = np.concatenate([near[1:], [False]])
-        equal = near & (before == rank)
-        index = np.arange(len(at))
-        start = np.maximum.accumulate(np.where(equal, 0, index))
+        index = np.arange(len(place))
+        start = np.maximum.accumulate(np.where(near & (before == rank), 0, index))
         keep = ~(near & (before < rank)) & ~(near_after & (after < rank)) & ((index - start) % 2 == 0)
-        at, rank = at[keep], rank[keep]
-        used, rule = np.unique(rank, return_inverse=True)
-        lefts.append((top[used] >> kind(shift)).astype(np.uint32))
-        rights.append((top[used] & kind((1 << shift) - 1)).astype(np.uint32))
-        per.append(len(used))
-        seq[at] = symbols + rule
-        last[at] = last[at + 1]
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq, last = seq[gone], last[gone]
-        symbols += len(used)
+        place, rank = place[keep], rank[keep]
+        used = np.zeros(len(order), bool)
+        used[rank] = True
+        chosen = value[order[used]]
+        lefts.append((chosen >> kind(shift)).astype(np.uint32))
+        rights.append((chosen & kind((1 << shift) - 1)).astype(np.uint32))
+        per.append(len(chosen))
+        seq[place] = symbols + (np.cumsum(used) - 1)[rank]
+        last[place] = last[place + 1]
+        stay = np.ones(len(seq), bool)
+        stay[place + 1] = False
+        # Next come the frequent pairs that are left, and the new symbols with what stands on either side.
+        mark = np.zeros(len(seq), bool)
+        mark[at], mark[place] = True, True
+        previous = place[place > 0] - 1
+        mark[previous - ~stay[previous]] = True
+        mark &= ~last
+        seq, last, mark = seq[stay], last[stay], mark[stay]
+        mark[-1] = False
+        at = np.flatnonzero(mark)
+        symbols += len(chosen)
     left, right = (np.concatenate([np.empty(0, np.uint32), *x]) for x in (lefts, rights))
     size = np.ones(symbols, np.uint32)
     at = base
     for n in per:
         size[at : at + n] = size[left[at - base : at - base + n]] + size[right[at - base : at - base + n]]
         at += n
-    stops = np.concatenate([[0], np.cumsum(last)])
     full = lengths > 0
     per_doc = np.zeros(len(lengths), np.uint32)
     per_doc[full] = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    assert stops[-1] == full.sum()
-    width = "<u2" if symbols <= 1 << 16 else "<u4"
-    body = seq.astype(width).tobytes()
-    head = np.array([base, symbols - base, len(seq), len(lengths), len(per), *per], "<u4")
-    parts = [head, left, right, size[base:]]
-    return MAGIC + b"".join(p.astype("<u4").tobytes() for p in parts) + body + b"\0" * (-len(body) % 4) + per_doc.astype("<u4").tobytes() + lengths.astype("<u4").tobytes()
+    bits = (symbols - 1).bit_length()
+    head = np.array([base, symbols - base, len(seq), len(lengths), len(per), *per], "<u4").tobytes()
+    rules = _packed(left, bits) + _packed(right, bits) + size[base:].astype("<u4").tobytes()
+    return MAGIC + head + rules + _packed(seq, bits) + per_doc.astype("<u4").tobytes() + lengths.astype("<u4").tobytes()
 
 
 class Block:
-    """A payload opened for decoding, whole or one document at a time."""
+    """A payload opened for decoding, whole, one document or one id at a time."""
 
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a token block")
         self.base, rules, symbols, docs, rounds = (int(x) for x in np.frombuffer(payload, "<u4", 5, 4))
         at = 24
-        take = lambda n: np.frombuffer(payload, "<u4", n, at)
-        self.per = take(rounds)
-        at += 4 * rounds
-        self.left = take(rules)
-        at += 4 * rules
-        self.right = take(rules)
-        at += 4 * rules
-        self.expansion = take(rules)
-        at += 4 * rules
-        width = 2 if self.base + rules <= 1 << 16 else 4
-        self.symbols = np.frombuffer(payload, f"<u{width}", symbols, at).astype(np.uint32)
-        at += -(-symbols * width // 4) * 4
-        self.per_doc = take(docs)
-        at += 4 * docs
-        self.lengths = take(docs)
+        self.per = np.frombuffer(payload, "<u4", rounds, at)
+        bits = (self.base + rules - 1).bit_length()
+        self.left, at = _unpacked(payload, at + 4 * rounds, rules, bits)
+        self.right, at = _unpacked(payload, at, rules, bits)
+        self.expansion = np.frombuffer(payload, "<u4", rules, at)
+        self.symbols, at = _unpacked(payload, at + 4 * rules, symbols, bits)
+        self.per_doc = np.frombuffer(payload, "<u4", docs, at)
+        self.lengths = np.frombuffer(payload, "<u4", docs, at + 4 * docs)
+        self._stops: np.ndarray | None = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         first = self.base + len(self.left)
         for n in self.per[::-1]:
             first -= int(n)
-            rule = seq >= first
-            if rule.any():
+            rule = np.flatnonzero(seq >= first)
+            if len(rule):
                 which = seq[rule] - self.base
-                place = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(rule)[:-1]])
-                out = np.empty(len(seq) + len(which), np.uint32)
-                out[place] = seq
-                out[place[rule]], out[place[rule] + 1] = self.left[which], self.right[which]
-                seq = out
+                seq = np.insert(seq, rule + 1, self.right[which])
+                seq[rule + np.arange(len(rule))] = self.left[which]
         return seq
 
     def ids(self) -> np.ndarray:
@@ -220,19 +294,25 @@ class Block:
         start = int(self.per_doc[:i].sum())
         return self._expand(self.symbols[start : start + int(self.per_doc[i])])
 
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.base
+        out[rule] = self.expansion[symbols[rule] - self.base]
+        return out
+
     def token(self, i: int, j: int) -> int:
-        """The j-th id of document i, found by the expansion lengths without expanding what stands before it."""
-        at = int(self.per_doc[:i].sum())
-        while True:
-            s = int(self.symbols[at])
-            n = int(self.expansion[s - self.base]) if s >= self.base else 1
-            if j < n:
-                break
-            j, at = j - n, at + 1
+        """The j-th id of document i: its symbol by a search in the sums of expansion lengths, then down the rules."""
+        if not 0 <= j < int(self.lengths[i]):
+            raise IndexError(j)
+        if self._stops is None:
+            self._stops = np.cumsum(self._sizes(self.symbols))
+        j += int(self.lengths[:i].sum(dtype=np.int64))
+        at = int(np.searchsorted(self._stops, j, side="right"))
+        s, j = int(self.symbols[at]), j - int(self._stops[at - 1]) if at else j
         while s >= self.base:
-            left = int(self.left[s - self.base])
-            n = int(self.expansion[left - self.base]) if left >= self.base else 1
-            s, j = (left, j) if j < n else (int(self.right[s - self.base]), j - n)
+            left, right = int(self.left[s - self.base]), int(self.right[s - self.base])
+            n = int(self._sizes(np.array([left]))[0])
+            s, j = (left, j) if j < n else (right, j - n)
         return s
 
 
@@ -249,6 +329,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     Null text counts as empty: only the end id. Null doc_ids come first. Rows of equal doc_id stand together, ordered by a hash of
     their text, so repeated rows are written once each and reruns agree. An empty table gives an empty file table. A document is
     never split; a task holds one block (``block_tokens`` ids, or one longer document) besides the ``batch_rows`` rows that it reads at once.
+    Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -261,31 +342,42 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             _ENCODERS[token] = ChunkEncoder(shared.value)
         encoder = _ENCODERS[token]
         base = encoder.tokenizer.get_vocab_size(True)
-        end = np.array([end_id], "<u4").tobytes()
         part, block = TaskContext.get().partitionId(), 0
-        ids, raw, held = [], [], 0
+        doc_ids, ids, lengths, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, held
-            lengths = np.array([len(x) // 4 for x in raw], np.int64)
-            flat = np.frombuffer(b"".join(raw), "<u4")
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([compress(flat, lengths, base)], pa.binary())],
-                names=["part", "block", "doc_ids", "n_tokens", "payload"],
-            )
+            flat, names = np.concatenate(ids), pa.concat_arrays(doc_ids)
+            columns = {
+                "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                "n_tokens": pa.array([len(flat)], pa.int64()), "payload": pa.array([compress(flat, np.concatenate(lengths), base)], pa.binary()),
+            }
             block, held = block + 1, 0
-            ids.clear()
-            raw.clear()
-            return row
+            for x in (doc_ids, ids, lengths):
+                x.clear()
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(doc_id)
-                raw.append(encoder.encode(text.as_py()) + end)
-                held += len(raw[-1]) // 4
-                if held >= block_tokens:
-                    yield close()
-        if raw:
+            for some in slices(batch, "text"):
+                found, n = encoder.encode_all(some.column("text"))
+                stops = np.cumsum(n + 1)
+                flat = np.full(len(found) + len(n), end_id, np.uint32)
+                inside = np.ones(len(flat), bool)
+                inside[stops - 1] = False
+                flat[inside] = found
+                at = 0
+                while at < len(n):
+                    done = int(stops[at - 1]) if at else 0
+                    # Up to and with the document that fills the block.
+                    upto = min(int(np.searchsorted(stops, done + block_tokens - held)) + 1, len(n))
+                    doc_ids.append(some.column("doc_id").slice(at, upto - at))
+                    ids.append(flat[done : stops[upto - 1]])
+                    lengths.append(n[at:upto] + 1)
+                    held += len(ids[-1])
+                    at = upto
+                    if held >= block_tokens:
+                        yield close()
+        if ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -300,7 +392,10 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
 
 def read_index(blocks: DataFrame) -> DataFrame:
-    """part, block, first: the number of ids in all blocks before each. The driver holds one sum for each part."""
+    """part, block, first: the number of ids in all blocks before each. The driver holds one sum for each part.
+
+    No blocks give an empty index. (part, block) names one block; a table that holds blocks twice is an error of its writer.
+    """
     narrow = blocks.select("part", "block", "n_tokens")
     sums = sorted(narrow.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     firsts, total = [], 0
@@ -313,7 +408,11 @@ def read_index(blocks: DataFrame) -> DataFrame:
 
 
 def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in a table of blocks."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in a table of blocks.
+
+    Documents come back as they were written: null doc_ids as null, empty texts with their end id alone, repeated rows each for
+    itself. No blocks give an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
