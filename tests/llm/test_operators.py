@@ -253,7 +253,7 @@ def test_repair_blocks():
     for _ in range(150):
         lengths = rng.integers(0, 60, int(rng.integers(1, 12)))
         ids = rng.integers(0, int(rng.integers(2, 9)), int(lengths.sum())).astype(np.uint32)
-        b = token_files.Block(token_files.compress(ids, lengths, 9, rounds=int(rng.integers(1, 8)), per_round=int(rng.integers(1, 20)), least=2))
+        b = token_files.Block(token_files.compress(ids, lengths, 9, least=2, fall=int(rng.integers(1, 100))))
         at = np.concatenate([[0], np.cumsum(lengths)])
         assert (b.ids() == ids).all()
         i = int(rng.integers(0, len(lengths)))
