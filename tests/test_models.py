@@ -356,3 +356,67 @@ def test_tables(spark, tmp_path):
     obs = _gaussian().sample(spark, 2, 20, seed=1)
     scores = V.cross_validate(obs, 4, lambda d: d.count(), lambda m, d: float(m))
     assert len(scores) == 4 and scores[0] == pytest.approx(30 / 10)
+
+
+def test_far_from_zero(spark):
+    from pyspark.sql import functions as F
+
+    from trelliq.operators.emissions import GaussianEmission, GaussianRegressionEmission
+    from trelliq.operators.hmm import HiddenMarkovModel
+    from trelliq.operators.lds import GaussianObservation, GaussianState, LinearDynamicalSystem
+
+    far = 1e8
+    obs = spark.range(20000).select((F.col("id") / 200).cast("long").alias("trial_id"), (F.col("id") % 200 + 1).cast("int").alias("t"), F.randn(1).alias("e"), F.rand(2).alias("x"))
+    obs = obs.select("trial_id", "t", F.array(F.col("e") + far).alias("y"), F.array(F.col("x") + far).alias("u"), F.lit(1.0).alias("w")).persist()
+    assert GaussianEmission([0.0], [[1.0]]).fit(obs).cov[0, 0] == pytest.approx(1, rel=0.02)
+    assert GaussianRegressionEmission(np.zeros((2, 1))).fit(obs).cov[0, 0] == pytest.approx(1, rel=0.02)
+    m, history = HiddenMarkovModel([[0.5, 0.5], [0.5, 0.5]], [0.5, 0.5], (GaussianEmission([far - 0.1], [[1.0]]), GaussianEmission([far + 0.1], [[1.0]]))).fit(obs, max_iters=2)
+    assert all(0.9 < e.cov[0, 0] < 1.1 and abs(e.mean[0] - far) < 0.5 for e in m.emissions) and history[1] > history[0]
+    lds = LinearDynamicalSystem(GaussianState([[0.5]], [[0.5]], [0.0], [0.0], [[1.0]]), GaussianObservation([[1.0]], [[0.5]], [far]))
+    new, elbo, _ = lds.fit(obs, max_iters=3)
+    assert elbo == sorted(elbo) and abs(new.obs.d[0] - far) < 1 and 0 < new.obs.r[0, 0] < 1.5
+
+
+def test_wide_vectors(spark):
+    from trelliq.functions import expr as E
+    from trelliq.operators.emissions import GaussianEmission
+    from trelliq.operators.kmeans import kmeans, step
+    from trelliq.operators.ppca import moments
+
+    rng = np.random.default_rng(0)
+    d = E.WIDE + 6
+    x = rng.standard_normal((300, d)) @ rng.standard_normal((d, d)) + 5
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())] + [(300, None)], "id long, x array<double>")
+    whole = df.filter("x is not null")
+    g = GaussianEmission(np.zeros(d), np.eye(d)).fit(whole, "x")
+    np.testing.assert_allclose(g.mean, x.mean(axis=0))
+    np.testing.assert_allclose(g.cov, np.cov(x.T, bias=True), atol=1e-9)
+    mo = moments(df, d)
+    np.testing.assert_allclose(mo.scatter(mo.mean) / mo.n, np.cov(x.T, bias=True), atol=1e-9)
+    means, sizes = step(whole, x[:4])
+    label = ((x[:, None] - x[None, :4]) ** 2).sum(axis=2).argmin(axis=1)
+    assert sizes.tolist() == np.bincount(label, minlength=4).tolist()
+    np.testing.assert_allclose(means, [x[label == k].mean(axis=0) for k in range(4)])
+    assert kmeans(whole, 3, d, max_iters=3).centroids.shape == (3, d)
+
+
+def test_one_long_trial_among_short_ones():
+    import pandas as pd
+
+    from trelliq.sources.obs import trials
+
+    frames = [pd.DataFrame({"trial_id": i, "t": range(1, n + 1)}) for i, n in enumerate([3] * 255 + [5000] + [3] * 300)]
+    whole = pd.concat(frames, ignore_index=True)
+    batches = [whole.iloc[a : a + 1000] for a in range(0, len(whole), 1000)]
+    found = list(trials(iter(batches), cells=10_000))
+    assert [p["trial_id"].iat[0] for some in found for p in some] == list(range(556)) and sum(len(p) for some in found for p in some) == len(whole)
+    assert all(len(some) <= 256 and len(some) * max(map(len, some)) <= 10_000 for some in found)
+
+
+def test_null_observations_are_named(spark):
+    from trelliq.operators.hmm import HiddenMarkovModel
+
+    obs = spark.createDataFrame([(1, 1, [0.0], None, 1.0), (1, 2, None, None, 1.0)], "trial_id long, t int, y array<double>, u array<double>, w double")
+    m = HiddenMarkovModel([[1.0]], [1.0], (GaussianEmission([0.0], [[1.0]]),))
+    with pytest.raises(Exception, match="null y in trial 1 at step 2"):
+        m.loglikelihood(obs).collect()

@@ -25,7 +25,7 @@ def test_against_sql(spark, duck, name):
     same(QUERIES[name](spark, TINY).toPandas(), duck.execute(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"plds_fit"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, TINY).count() > 0
 

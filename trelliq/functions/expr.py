@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,33 @@ def linear(xs: Sequence[Column], weights) -> Column:
     return total([x * float(w) for x, w in zip(xs, weights, strict=True)])
 
 
+def second_moments(df: DataFrame, xs: Sequence[Column], w: Column, centre: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums of w, w (x - centre) and w (x - centre)(x - centre)', in one aggregation. Rows with a null are left out."""
+    d, centre = len(xs), np.asarray(centre, float)
+    if d <= WIDE:
+        moved = [x - float(c) for x, c in zip(xs, centre, strict=True)]
+        known = df.select(w.alias("w"), *[x.alias(f"x{i}") for i, x in enumerate(moved)]).dropna()
+        cols = [F.col(f"x{i}") for i in range(d)]
+        sums = [F.sum("w")] + [F.sum(F.col("w") * a) for a in cols] + [F.sum(F.col("w") * cols[i] * cols[j]) for i in range(d) for j in range(i, d)]
+        row = np.array([v or 0.0 for v in known.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()])
+        q = np.zeros((d, d))
+        q[np.triu_indices(d)] = row[1 + d :]
+        return float(row[0]), row[1 : 1 + d], q + np.triu(q, 1).T
+
+    def kernel(v: np.ndarray) -> np.ndarray:
+        x, weight = v[:, :d] - centre, v[:, d]
+        return np.concatenate([[weight.sum()], weight @ x, ((x * weight[:, None]).T @ x).ravel()])
+
+    out = summed_rows(df, [*xs, w.cast("double")], kernel, 1 + d + d * d)
+    return float(out[0]), out[1 : 1 + d], out[1 + d :].reshape(d, d)
+
+
+def weighted_means(df: DataFrame, xs: Sequence[Column], w: Column) -> np.ndarray:
+    """Weighted mean of each column; 0 where there is nothing."""
+    row = df.agg(F.sum(w).alias("n"), *[F.sum(w * x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
+    return np.array([(v or 0.0) / row[0] if row[0] else 0.0 for v in row[1:]])
+
+
 def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
@@ -64,12 +92,46 @@ def normal_logpdf(x: Column, mean: float, variance: float) -> Column:
     return F.lit(-0.5 * math.log(2 * math.pi * variance)) - (x - float(mean)) * (x - float(mean)) / float(2 * variance)
 
 
+#: Quadratic forms in more columns than this are matrix products in Arrow batches: as expressions they outgrow what can be compiled.
+WIDE = 24
+
+
+def rows_apply(xs: Sequence[Column], kernel: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> Column:
+    """A number for each row from the (n, d) matrix of some columns, none of them null."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(kernel(np.stack(values.to_numpy()).astype(float)) if len(values) else np.empty(0))
+
+    return run(F.array(*xs))
+
+
+def summed_rows(df: DataFrame, xs: Sequence[Column], kernel: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """Sum over all rows without nulls of a vector of statistics of (n, d) matrices: summed in each task, then across tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(width)
+        for pdf in batches:
+            if len(pdf):
+                out += kernel(np.stack(pdf["x"].to_numpy()).astype(float))
+        yield pd.DataFrame({"v": [out]})
+
+    known = df.select(F.array(*xs).alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
+    found = known.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros(width)
+    for i, v in found:
+        out[i] = v
+    return out
+
+
 def mvn_logpdf(xs: Sequence[Column], mean, cov) -> Column:
     """Multivariate normal log-density of columns, by the inverse Cholesky factor."""
     mean, cov = np.asarray(mean, float), np.asarray(cov, float)
     low = np.linalg.cholesky(cov)
     inv = np.linalg.inv(low)
     const = -0.5 * len(mean) * math.log(2 * math.pi) - float(np.log(np.diag(low)).sum())
+    if len(mean) > WIDE:
+        return rows_apply(xs, lambda x: const - 0.5 * (((x - mean) @ inv.T) ** 2).sum(axis=1))
     centred = [x - float(m) for x, m in zip(xs, mean, strict=True)]
     rows = [linear(centred[: i + 1], inv[i, : i + 1]) for i in range(len(mean))]
     return F.lit(const) - 0.5 * total([r * r for r in rows])

@@ -34,9 +34,12 @@ def is_posdef(a) -> bool:
 
 
 def stabilize_covariance(a) -> np.ndarray:
-    """Symmetric part of ``a``, with 1e-12 added to the diagonal if it is not positive definite."""
+    """Symmetric part of ``a``, with 1e-12 added to the diagonal if it is not positive definite, and eigenvalues raised if that is not enough."""
     a = (np.asarray(a, float) + np.asarray(a, float).T) / 2
-    return a if is_posdef(a) else a + 1e-12 * np.eye(len(a))
+    if is_posdef(a):
+        return a
+    a = a + 1e-12 * np.eye(len(a))
+    return a if is_posdef(a) else make_posdef(a, 1e-12 * max(1.0, float(np.abs(a).max())))
 
 
 def valid_covariance(a) -> bool:

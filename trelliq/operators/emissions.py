@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import is_posdef, make_posdef, stabilize_covariance
+from ..functions.linalg import make_posdef, stabilize_covariance
 
 
 class Emission(Protocol):
@@ -86,14 +86,17 @@ class GaussianEmission:
     def sample(self, rng, n, u=None):
         return rng.multivariate_normal(self.mean, self.cov, size=n, method="cholesky")
 
+    def moved(self, y: np.ndarray, u: np.ndarray | None = None) -> GaussianEmission:
+        """The same emission of observations that are moved by ``y``."""
+        return replace(self, mean=self.mean + y)
+
     def fit(self, df: DataFrame, y: str = "y", w: str | None = None) -> GaussianEmission:
-        """Weighted mean and covariance (divided by the sum of weights) of an array column, in one aggregation."""
-        d = self.output_dim
+        """Weighted mean and covariance (divided by the sum of weights) of an array column: means first, then moments about them."""
         weight = F.col(w) if w else F.lit(1.0)
-        ys = E.elements(F.col(y), d)
-        sums = [F.sum(weight)] + [F.sum(weight * a) for a in ys] + [F.sum(weight * a * b) for a in ys for b in ys]
-        row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
-        return self.mstep(np.array([v or 0.0 for v in row]))
+        ys = E.elements(F.col(y), self.output_dim)
+        centre = E.weighted_means(df, ys, weight)
+        n, s, q = E.second_moments(df, ys, weight, centre)
+        return self.moved(-centre).mstep(np.concatenate([[n], s, q.ravel()])).moved(centre)
 
 
 @dataclass(frozen=True)
@@ -181,14 +184,26 @@ class GaussianRegressionEmission(_Regression):
         mean = self.design(u) @ self.beta
         return mean + rng.multivariate_normal(np.zeros(self.output_dim), self.cov, size=len(mean), method="cholesky")
 
+    def moved(self, y: np.ndarray, u: np.ndarray | None = None):
+        """The same emission of observations moved by ``y`` and inputs moved by ``u``; None without an intercept to take them up."""
+        if not self.include_intercept:
+            return None
+        beta = np.array(self.beta)
+        beta[0] += y - (0 if u is None else u @ beta[1:])
+        return replace(self, beta=beta)
+
     def fit(self, df: DataFrame, y: str = "y", u: str = "u", w: str | None = None):
-        """Weighted ridge regression by its normal equations, in one aggregation."""
+        """Weighted ridge regression by its normal equations; with an intercept about the means, which are found first."""
         weight = F.col(w) if w else F.lit(1.0)
-        us, ys = E.elements(F.col(u), self.input_dim), E.elements(F.col(y), self.output_dim)
-        xs = [F.lit(1.0), *us] if self.include_intercept else us
-        sums = [F.sum(weight)] + [F.sum(weight * a * b) for a in xs for b in xs] + [F.sum(weight * a * b) for a in xs for b in ys] + [F.sum(weight * a * b) for a in ys for b in ys]
-        row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
-        return self.mstep(np.array([v or 0.0 for v in row]))
+        p, d = self.input_dim, self.output_dim
+        cols = [*E.elements(F.col(u), p), *E.elements(F.col(y), d)]
+        centre = E.weighted_means(df, cols, weight) if self.include_intercept else np.zeros(p + d)
+        n, s, q = E.second_moments(df, cols, weight, centre)
+        if self.include_intercept:
+            q = np.block([[np.array([[n]]), s[None, :]], [s[:, None], q]])
+        k = len(self.beta)
+        new = (self.moved(-centre[p:], -centre[:p]) or self).mstep(np.concatenate([[n], q[:k, :k].ravel(), q[:k, k:].ravel(), q[k:, k:].ravel()]))
+        return new.moved(centre[p:], centre[:p]) or new
 
 
 @dataclass(frozen=True)
@@ -276,7 +291,3 @@ def lagged(obs: DataFrame, order: int, include_current: bool = False, intercept:
     else:
         u = F.concat(*[F.lag("y", i).over(w) for i in range(1, order + 1)])
     return obs.withColumn("u", u).filter(F.col("t") > order)
-
-
-def is_valid_gaussian(e: GaussianEmission) -> bool:
-    return is_posdef(e.cov)

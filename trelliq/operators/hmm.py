@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..functions.linalg import log_sum_exp
 from ..sources.obs import by_trial, matrix, trials
 from .emissions import AutoRegressionEmission, GaussianEmission
@@ -331,8 +332,11 @@ class HiddenMarkovModel:
     def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[HiddenMarkovModel, list[float]]:
         """EM over all trials; stops when the log-likelihood changes by less than ``tol``. Returns the model and its history."""
         closed = all(e.closed_form for e in self.emissions)
-        arranged = by_trial(obs.select("trial_id", "t", "y", "u", "w")).persist()
-        model, history = self, []
+        # About the means of the data, so that covariances keep their digits.
+        y, u = self._centre(obs)
+        moved = lambda c, by: F.zip_with(c, E.lit_array(by), lambda a, b: a - b) if by is not None and len(by) else F.col(c)
+        arranged = by_trial(obs.select("trial_id", "t", moved("y", y).alias("y"), moved("u", u).alias("u"), "w")).persist()
+        model, history = self if y is None else self._moved(-y, None if u is None else -u), []
         try:
             for _ in range(max_iters):
                 s = model._sums(arranged, closed)
@@ -350,7 +354,20 @@ class HiddenMarkovModel:
                 model = HiddenMarkovModel(a, pi, tuple(emissions))
         finally:
             arranged.unpersist()
-        return model, history
+        return model if y is None else model._moved(y, u), history
+
+    def _moved(self, y: np.ndarray, u: np.ndarray | None) -> HiddenMarkovModel:
+        return HiddenMarkovModel(self.a, self.pi, tuple(e.moved(y, u) for e in self.emissions))
+
+    def _centre(self, obs: DataFrame) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Means of y and u to fit about; None if an emission cannot be moved (no intercept, counts, one of the user's own)."""
+        first = self.emissions[0]
+        u = np.zeros(first.input_dim) if hasattr(first, "input_dim") else None
+        if not all(getattr(e, "closed_form", False) and hasattr(e, "moved") and e.moved(np.zeros(e.output_dim), u) is not None for e in self.emissions):
+            return None, None
+        cols = [*E.elements(F.col("y"), first.output_dim), *(E.elements(F.col("u"), len(u)) if u is not None else [])]
+        means = E.weighted_means(obs, cols, F.lit(1.0))
+        return means[: first.output_dim], None if u is None else means[first.output_dim :]
 
     def kmeans_init(self, obs: DataFrame, seed: int = 0) -> HiddenMarkovModel:
         """Gaussian emissions from the means and sample covariances of k-means clusters."""

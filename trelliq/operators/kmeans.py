@@ -21,9 +21,15 @@ def _distances(xs: list[Column], centroids) -> list[Column]:
     return [E.total([(x - float(c)) * (x - float(c)) for x, c in zip(xs, row, strict=True)]) for row in np.asarray(centroids, float)]
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids]).argmin(axis=0)
+
+
 def assign(df: DataFrame, centroids, x: str = "x") -> DataFrame:
     """``df`` with ``label``, the nearest centroid from 1, of equal ones the first."""
     centroids = np.asarray(centroids, float)
+    if centroids.shape[1] > E.WIDE:
+        return df.withColumn("label", E.rows_apply(E.elements(F.col(x), centroids.shape[1]), lambda v: _nearest(v, centroids) + 1, "int"))
     d = F.array(*_distances(E.elements(F.col(x), centroids.shape[1]), centroids))
     return df.withColumn("label", F.array_position(d, F.array_min(d)).cast("int"))
 
@@ -53,6 +59,15 @@ def step(df: DataFrame, centroids: np.ndarray, x: str = "x") -> tuple[np.ndarray
     """Means of the clusters around ``centroids`` and their sizes, in one aggregation."""
     k, d = centroids.shape
     xs = E.elements(F.col(x), d)
+    if d > E.WIDE:
+
+        def kernel(v: np.ndarray) -> np.ndarray:
+            one = _nearest(v, centroids)[:, None] == np.arange(k)
+            return np.hstack([one.sum(axis=0)[:, None], one.T.astype(float) @ v]).ravel()
+
+        sums = E.summed_rows(df, xs, kernel, k * (1 + d)).reshape(k, 1 + d)
+        sizes = sums[:, 0].astype(int)
+        return np.where(sizes[:, None] > 0, sums[:, 1:] / np.maximum(sizes, 1)[:, None], np.nan), sizes
     rows = assign(df, centroids, x).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(xs)]).collect()
     means, sizes = np.full((k, d), np.nan), np.zeros(k, int)
     for r in rows:
@@ -63,9 +78,9 @@ def step(df: DataFrame, centroids: np.ndarray, x: str = "x") -> tuple[np.ndarray
 
 def kmeans(df: DataFrame, k: int, d: int, max_iters: int = 100, tol: float = 1e-6, x: str = "x", seed: int = 0, start=None) -> KMeansResult:
     """Lloyd's iterations until no centroid moves by ``tol``; an empty cluster starts anew at a random point."""
-    centroids = plus_plus(df, k, d, x, seed) if start is None else np.array(start, float)
     points = df.select(x).persist()
     try:
+        centroids = plus_plus(points, k, d, x, seed) if start is None else np.array(start, float)
         for it in range(1, max_iters + 1):
             new, sizes = step(points, centroids, x)
             for j in np.flatnonzero(sizes == 0):

@@ -351,8 +351,11 @@ class LinearDynamicalSystem:
 
     def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[LinearDynamicalSystem, list[float], list[float]]:
         """EM over all trials: (model, ELBO before each M-step, size of each step's change of parameters)."""
-        arranged = by_trial(obs.select("trial_id", "t", "y", "w")).persist()
-        model, history, moved = self, [], []
+        # About the means of the data, so that covariances keep their digits.
+        means = np.zeros(self.obs_dim) if self.poisson else E.weighted_means(obs, E.elements(F.col("y"), self.obs_dim), F.lit(1.0))
+        y = F.col("y") if self.poisson else F.zip_with("y", E.lit_array(means), lambda a, b: a - b)
+        arranged = by_trial(obs.select("trial_id", "t", y.alias("y"), "w")).persist()
+        model, history, moved = self._moved(-means), [], []
         try:
             for _ in range(max_iters):
                 if model.poisson:
@@ -367,7 +370,11 @@ class LinearDynamicalSystem:
                     break
         finally:
             arranged.unpersist()
-        return model, history, moved
+        return model._moved(means), history, moved
+
+    def _moved(self, by: np.ndarray) -> LinearDynamicalSystem:
+        """The same system of Gaussian observations that are moved by ``by``."""
+        return self if self.poisson else replace(self, obs=replace(self.obs, d=self.obs.d + by))
 
     def _poisson_step(self, arranged: DataFrame) -> tuple[LinearDynamicalSystem, float]:
         model = self

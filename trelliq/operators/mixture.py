@@ -32,8 +32,11 @@ class _Mixture:
 
     def step(self, df: DataFrame):
         """The mixture after one EM iteration, from one pass."""
-        row = df.agg(*[c.alias(n) for n, c in self.sums().items()]).first().asDict()
-        return self.mstep(row)
+        return self.mstep(self._scan(df))
+
+    def _scan(self, df: DataFrame) -> dict:
+        sums = self.sums() | {"loglik": F.sum(E.log_sum_exp(self.log_joint()))}
+        return df.agg(*[c.alias(n) for n, c in sums.items()]).first().asDict()
 
     def _seeded(self, df: DataFrame, seed: int):
         raise NotImplementedError
@@ -43,9 +46,11 @@ class _Mixture:
         model, history = self._seeded(df, seed) if initialize_kmeans else self, []
         df = df.select("x").persist()
         try:
+            row = model._scan(df) if max_iters > 0 else None
             for _ in range(max_iters):
-                model = model.step(df)
-                history.append(model.loglikelihood(df))
+                model = model.mstep(row)
+                row = model._scan(df)  # gives the new model's likelihood and what the next step needs
+                history.append(float(row["loglik"] or 0.0))
                 if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                     break
         finally:

@@ -16,11 +16,13 @@ from ..functions import expr as E
 class Moments:
     n: int
     mean: np.ndarray
-    second: np.ndarray  # mean of x x'
+    second: np.ndarray  # mean of (x - shift)(x - shift)'
+    shift: np.ndarray | float = 0.0
 
     def scatter(self, mu: np.ndarray) -> np.ndarray:
         """Sum of (x - mu)(x - mu)'."""
-        return self.n * (self.second - np.outer(self.mean, mu) - np.outer(mu, self.mean) + np.outer(mu, mu))
+        m, to = self.mean - self.shift, mu - self.shift
+        return self.n * (self.second - np.outer(m, to) - np.outer(to, m) + np.outer(to, to))
 
 
 def moments(df: DataFrame, d: int, x: str = "x") -> Moments:
@@ -29,14 +31,8 @@ def moments(df: DataFrame, d: int, x: str = "x") -> Moments:
     if head is None:
         return Moments(0, np.zeros(d), np.zeros((d, d)))
     shift = np.array([float(v) for v in head[0][:d]])
-    xs = [c - float(s) for c, s in zip(E.elements(F.col(x), d), shift, strict=True)]
-    sums = [F.count(xs[0])] + [F.avg(a) for a in xs] + [F.avg(xs[i] * xs[j]) for i in range(d) for j in range(i, d)]
-    row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
-    m = np.array(row[1 : 1 + d], float)
-    q = np.zeros((d, d))
-    q[np.triu_indices(d)] = row[1 + d :]
-    q = q + np.triu(q, 1).T
-    return Moments(row[0], m + shift, q + np.outer(m, shift) + np.outer(shift, m) + np.outer(shift, shift))
+    n, s, q = E.second_moments(df, E.elements(F.col(x), d), F.lit(1.0), shift)
+    return Moments(int(n), s / n + shift, q / n, shift)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, is_probvec
 from ..sources.obs import by_trial, matrix, summed, trials
 from .hmm import _log, posterior
@@ -120,7 +121,10 @@ class SLDS:
         """Variational Laplace EM, ``max_iters`` rounds: (model, ELBO of each round). Paths between rounds stay in a persisted table."""
         n, k = self.systems[0].latent_dim, self.k
         width = self.systems[0].width()
-        arranged = by_trial(obs.select("trial_id", "t", "y"))
+        # About the means of the data, so that covariances keep their digits.
+        poisson = self.systems[0].poisson
+        means = np.zeros(self.systems[0].obs_dim) if poisson else E.weighted_means(obs, E.elements(F.col("y"), self.systems[0].obs_dim), F.lit(1.0))
+        arranged = by_trial(obs.select("trial_id", "t", F.col("y") if poisson else F.zip_with("y", E.lit_array(means), lambda a, b: a - b).alias("y")))
         schema = "trial_id long, t int, y array<double>, x array<double>, p array<double>, p_lag array<double>, w array<double>, xi array<double>, entropy double"
         flat = lambda a: list(a.reshape(len(a), -1))
 
@@ -129,16 +133,17 @@ class SLDS:
                 "trial_id": p["trial_id"].to_numpy(), "t": p["t"].to_numpy(), "y": list(y), "x": list(x), "p": flat(cov), "p_lag": flat(lag), "w": list(w.T), "xi": [xi.ravel()] * len(y), "entropy": entropy,
             })
 
-        def first(batches):
+        model, history = SLDS(self.a, self.pi, tuple(s._moved(-means) for s in self.systems)), []
+
+        def first(batches, model=model):
             for some in trials(batches):
                 parts = []
                 for p in some:
                     y = matrix(p, "y")
-                    x, cov, lag, entropy = self.smooth_trial(y, self._uniform(y))
+                    x, cov, lag, entropy = model.smooth_trial(y, self._uniform(y))
                     parts.append(table(p, y, x, cov, lag, self._uniform(y), np.zeros((k, k)), entropy))
                 yield pd.concat(parts, ignore_index=True)
 
-        model, history = self, []
         paths = arranged.mapInPandas(first, schema).persist()
         for it in range(max_iters):
 
@@ -189,7 +194,7 @@ class SLDS:
                 at += width
             model = SLDS(a / a.sum(axis=1, keepdims=True), pi, tuple(systems))
         paths.unpersist()
-        return model, history
+        return SLDS(model.a, model.pi, tuple(s._moved(means) for s in model.systems)), history
 
     # Sampling
 

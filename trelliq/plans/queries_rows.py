@@ -156,39 +156,43 @@ def pmm_loglik(spark, sf_dir):
 
 # k-means and distances
 
-CENTROIDS = np.array([[0.1, 0.1], [-0.1, 0.0], [0.0, -0.1]])
+WHOLE = 64
+CENTROIDS = np.tile([[0.1, 0.1], [-0.1, 0.0], [0.0, -0.1]], WHOLE // 2)
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-def _plane(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.get(e, F.lit(i)).cast("double") for i in range(2)]).alias("x"))
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
 
 
-_PLANE = "SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings"
+def _list(values) -> str:
+    return f"[{', '.join(repr(float(v)) for v in values)}]::DOUBLE[]"
 
 
 def _kmeans_chain(steps: int) -> str:
-    start = " UNION ALL ".join(f"SELECT {k + 1} AS label, {c[0]}::DOUBLE AS ca, {c[1]}::DOUBLE AS cb" for k, c in enumerate(CENTROIDS.tolist()))
-    out = [f"pts AS ({_PLANE}), c0 AS ({start})"]
+    start = " UNION ALL ".join(f"SELECT {k + 1} AS label, {_list(c)} AS c" for k, c in enumerate(CENTROIDS))
+    out = [f"pts AS ({_VECTORS}), c0 AS ({start})"]
     for i in range(steps):
-        d = "(a - ca) * (a - ca) + (b - cb) * (b - cb)"
-        out.append(f"l{i} AS (SELECT vec_id, any_value(a) AS a, any_value(b) AS b, arg_min(label, ({d}, label)) AS label FROM pts, c{i} GROUP BY vec_id)")
-        out.append(f"c{i + 1} AS (SELECT label, avg(a) AS ca, avg(b) AS cb FROM l{i} GROUP BY label)")
+        out.append(f"l{i} AS (SELECT vec_id, any_value(x) AS x, arg_min(label, (list_distance(x, c), label)) AS label FROM pts, c{i} GROUP BY vec_id)")
+        out.append(f"m{i} AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM l{i}) GROUP BY label, i)")
+        out.append(f"c{i + 1} AS (SELECT label, list(m ORDER BY i) AS c FROM m{i} GROUP BY label)")
     return "WITH " + ", ".join(out)
 
 
 @query(f"{_kmeans_chain(1)} SELECT vec_id, label FROM l0")
 def kmeans_assign(spark, sf_dir):
-    return assign(_plane(spark, sf_dir), CENTROIDS).select("vec_id", "label")
+    return assign(_vectors(spark, sf_dir), CENTROIDS).select("vec_id", "label")
 
 
-@query(f"{_kmeans_chain(3)} SELECT label, round(ca, 6) AS a, round(cb, 6) AS b FROM c3")
+@query(f"{_kmeans_chain(3)} SELECT label, i::INT AS i, round(m, 6) AS centroid FROM m2")
 def kmeans_3iter(spark, sf_dir):
-    c, pts = CENTROIDS, _plane(spark, sf_dir).persist()
+    c, pts = CENTROIDS, _vectors(spark, sf_dir).persist()
     for _ in range(3):
         c, _n = step(pts, c)
     pts.unpersist()
-    return rounded(rows(spark, [(k + 1, float(c[k, 0]), float(c[k, 1])) for k in range(len(c))], "label int, a double, b double"))
+    return rounded(rows(spark, [(k + 1, i + 1, float(v)) for k, row in enumerate(c) for i, v in enumerate(row)], "label int, i int, centroid double"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: (v::DOUBLE - 0.01) * (v::DOUBLE - 0.01)))), 6) AS distance FROM embeddings")
@@ -197,24 +201,20 @@ def euclidean_distance(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", E.euclidean_distance(e, F.array_repeat(F.lit(0.01), 64)).alias("distance")))
 
 
-MVN = GaussianEmission([0.01, -0.02], [[0.02, 0.005], [0.005, 0.03]])
-_DET = 0.02 * 0.03 - 0.005**2
+MVN = GaussianEmission(0.01 * (-1.0) ** np.arange(WHOLE), 0.02 * np.eye(WHOLE) + 0.005 * (np.eye(WHOLE, k=1) + np.eye(WHOLE, k=-1)))
+_LOW = np.linalg.cholesky(MVN.cov)
+_WHITEN = f"[{', '.join(_list(r) for r in np.linalg.inv(_LOW))}]"
+
+
+def _centred(mean) -> str:
+    return f"SELECT vec_id, list_transform(list_zip(x, {_list(mean)}), lambda p: p[1] - p[2]) AS d FROM ({_VECTORS})"
 
 
 @query(
-    f"SELECT vec_id, round(-ln(2 * pi()) - 0.5 * ln({_DET!r}) - 0.5 * (0.03 * (a - 0.01) * (a - 0.01) - 2 * 0.005 * (a - 0.01) * (b + 0.02) + 0.02 * (b + 0.02) * (b + 0.02)) / {_DET!r}, 6) AS ll FROM ({_PLANE})"
+    f"SELECT vec_id, round({-0.5 * WHOLE * math.log(2 * math.pi) - float(np.log(np.diag(_LOW)).sum())!r} - 0.5 * list_sum(list_transform({_WHITEN}, lambda r: power(list_dot_product(r, d), 2))), 6) AS ll FROM ({_centred(MVN.mean)})"
 )
 def mvn_logpdf(spark, sf_dir):
-    return rounded(loglikelihood(MVN, _plane(spark, sf_dir), y="x").select("vec_id", "ll"))
-
-
-# The same centroids over whole vectors, pair after pair of elements
-WHOLE = 64
-CENTROIDS_WHOLE = np.tile(CENTROIDS, WHOLE // 2)
-
-
-def _whole(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return rounded(loglikelihood(MVN, _vectors(spark, sf_dir), y="x").select("vec_id", "ll"))
 
 
 # Scalar functions
@@ -252,6 +252,26 @@ def weighted_gaussian_fit(spark, sf_dir):
     return out.select(F.round("mean_u", 5).alias("mean_u"), F.round("mean_y", 5).alias("mean_y"), *[F.round(c, 4).alias(c) for c in ("var_u", "cov_uy", "var_y")])
 
 
+# The same numbers far from zero, where covariances must keep their digits
+FAR = 1e8
+
+
+@query(f"SELECT round(avg(y) - {FAR}, 3) AS mean, round(var_pop(y), 3) AS variance FROM (SELECT l_extendedprice / 1000 + {FAR} AS y FROM lineitem)")
+def far_gaussian_fit(spark, sf_dir):
+    g = GaussianEmission([0.0], [[1.0]]).fit(_lines(spark, sf_dir).select(F.transform("y", lambda v: v + FAR).alias("y")))
+    return rounded(rows(spark, [(float(g.mean[0] - FAR), float(g.cov[0, 0]))], "mean double, variance double"), 3)
+
+
+@query(
+    f"WITH d AS (SELECT l_quantity AS u, l_extendedprice / 1000 + {FAR} AS y FROM lineitem), b AS (SELECT regr_intercept(y - {FAR}, u) AS b0, regr_slope(y - {FAR}, u) AS b1 FROM d) "
+    f"SELECT round(any_value(b0), 3) AS b0, round(any_value(b1), 4) AS b1, round(avg(power(y - {FAR} - b0 - b1 * u, 2)), 3) AS variance FROM d, b"
+)
+def far_regression_fit(spark, sf_dir):
+    m = GaussianRegressionEmission(np.zeros((2, 1))).fit(_lines(spark, sf_dir).withColumn("y", F.transform("y", lambda v: v + FAR)))
+    out = rows(spark, [(float(m.beta[0, 0] - FAR), float(m.beta[1, 0]), float(m.cov[0, 0]))], "b0 double, b1 double, variance double")
+    return out.select(F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"), F.round("variance", 3).alias("variance"))
+
+
 def _ridge_sql(l2: float) -> str:
     return (
         f"WITH d AS ({_LINES}), s AS (SELECT sum(w) AS n, sum(w * u) AS su, sum(w * u * u) + {l2} AS suu, sum(w * y) AS sy, sum(w * u * y) AS suy FROM d), "
@@ -371,85 +391,57 @@ def poisson_fit(spark, sf_dir):
 
 # PPCA
 
-_DIM = 4
-_VEC = ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(_DIM))
+_LONG = f"pts AS (SELECT vec_id, unnest(x) AS v, (generate_subscripts(x, 1) - 1)::INT AS i FROM ({_VECTORS}))"
 
 
 @query(
-    " UNION ALL ".join(
-        f"SELECT {i} AS i, {j} AS j, round(avg(x{i}), 6) AS mean_i, round(avg(x{i} * x{j}) - avg(x{i}) * avg(x{j}), 6) AS covariance FROM (SELECT {_VEC} FROM embeddings)" for i in range(_DIM) for j in range(i, _DIM)
-    )
+    f"WITH {_LONG} SELECT a.i AS i, b.i AS j, round(avg(a.v), 6) AS mean_i, round(covar_pop(a.v, b.v), 6) AS covariance FROM pts a JOIN pts b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i"
 )
 def ppca_moments(spark, sf_dir):
-    mo = moments(table(spark, sf_dir, "embeddings"), _DIM, "embedding")
+    mo = moments(table(spark, sf_dir, "embeddings"), WHOLE, "embedding")
     c = mo.scatter(mo.mean) / mo.n
-    return rounded(rows(spark, [(i, j, float(mo.mean[i]), float(c[i, j])) for i in range(_DIM) for j in range(i, _DIM)], "i int, j int, mean_i double, covariance double"))
+    return rounded(rows(spark, [(i, j, float(mo.mean[i]), float(c[i, j])) for i in range(WHOLE) for j in range(i, WHOLE)], "i int, j int, mean_i double, covariance double"))
 
 
-PPCA = ProbabilisticPCA([[0.1], [0.05], [-0.05], [0.02]], 0.01, [0.01, 0.0, 0.0, 0.01])
-_W, _MU = PPCA.w[:, 0].tolist(), PPCA.mu.tolist()
-_WW = sum(w * w for w in _W)
-_CENTRED = ", ".join(f"x{i} - {m!r} AS c{i}" for i, m in enumerate(_MU))
-_NORM2 = " + ".join(f"c{i} * c{i}" for i in range(_DIM))
-_ALONG = " + ".join(f"{w!r} * c{i}" for i, w in enumerate(_W))
+PPCA = ProbabilisticPCA(0.1 * np.cos(np.arange(WHOLE))[:, None], 0.01, 0.01 * np.sin(np.arange(WHOLE)))
+_W = _list(PPCA.w[:, 0])
+_WW = float((PPCA.w**2).sum())
+_ALONG = f"list_dot_product({_W}, d)"
 
 
-@query(f"SELECT vec_id, round(({_ALONG}) / {_WW + 0.01!r}, 6) AS z FROM (SELECT vec_id, {_CENTRED} FROM (SELECT vec_id, {_VEC} FROM embeddings))")
+@query(f"SELECT vec_id, round({_ALONG} / {_WW + 0.01!r}, 6) AS z FROM ({_centred(PPCA.mu)})")
 def ppca_posterior(spark, sf_dir):
     return rounded(PPCA.posterior(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", F.get("z", F.lit(0)).alias("z")))
 
 
 @query(
-    f"SELECT round(sum(-0.5 * ({_DIM} * ln(2 * pi()) + {(_DIM - 1) * math.log(0.01) + math.log(0.01 + _WW)!r} + (({_NORM2}) - ({_ALONG}) * ({_ALONG}) / {_WW + 0.01!r}) / 0.01)), 3) AS loglik "
-    f"FROM (SELECT {_CENTRED} FROM (SELECT {_VEC} FROM embeddings))"
+    f"SELECT round(sum(-0.5 * ({WHOLE} * ln(2 * pi()) + {(WHOLE - 1) * math.log(0.01) + math.log(0.01 + _WW)!r} + (list_dot_product(d, d) - {_ALONG} * {_ALONG} / {_WW + 0.01!r}) / 0.01)), 3) AS loglik FROM ({_centred(PPCA.mu)})"
 )
 def ppca_loglik(spark, sf_dir):
-    return rounded(rows(spark, [(float(PPCA.loglikelihood(moments(table(spark, sf_dir, "embeddings"), _DIM, "embedding"))),)], "loglik double"), 3)
+    return rounded(rows(spark, [(float(PPCA.loglikelihood(moments(table(spark, sf_dir, "embeddings"), WHOLE, "embedding"))),)], "loglik double"), 3)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_LONG}, s AS (SELECT a.i AS i, b.i AS j, covar_pop(a.v, b.v) * count(*) AS s, avg(a.v) AS m, count(*) AS n FROM pts a JOIN pts b ON a.vec_id = b.vec_id GROUP BY a.i, b.i), "
+    "r AS (SELECT i, list(s ORDER BY j) AS r, any_value(m) AS m, any_value(n) AS n, sum(s) FILTER (i = j) AS t FROM s GROUP BY i), c AS MATERIALIZED (SELECT list(r ORDER BY i) AS s, list(m ORDER BY i) AS m, any_value(n) AS n, sum(t) AS t FROM r), "
+    f"fit AS (SELECT 0 AS k, {_W} AS w, 0.01::DOUBLE AS s2 UNION ALL "
+    f"SELECT k + 1, list_transform(sw, lambda v: v * inv / b), (t - 2 * inv * wsw + b * ww) / (n * {WHOLE}) FROM "
+    "(SELECT *, n * s2 * inv + inv * inv * wsw AS b FROM (SELECT *, 1 / (ww + s2) AS inv, list_dot_product(w, sw) AS wsw FROM "
+    "(SELECT k, w, s2, n, t, list_dot_product(w, w) AS ww, list_transform(s, lambda x: list_dot_product(x, w)) AS sw FROM fit, c WHERE k < 20)))) "
+    "SELECT i::INT - 1 AS i, round(w[i], 6) AS w, round(s2, 6) AS s2, round(m[i], 6) AS mu FROM (SELECT w, s2, m, unnest(generate_series(1, len(w))) AS i FROM fit, c WHERE k = 20)"
+)
 def ppca_fit(spark, sf_dir):
-    m, _ = ProbabilisticPCA(PPCA.w, PPCA.s2, np.zeros(_DIM)).fit(table(spark, sf_dir, "embeddings"), max_iters=20, x="embedding")
-    return rows(spark, [(i, float(m.w[i, 0]), m.s2, float(m.mu[i])) for i in range(_DIM)], "i int, w double, s2 double, mu double")
+    m, _ = ProbabilisticPCA(PPCA.w, PPCA.s2, np.zeros(WHOLE)).fit(table(spark, sf_dir, "embeddings"), max_iters=20, tol=0.0, x="embedding")
+    return rounded(rows(spark, [(i, float(m.w[i, 0]), m.s2, float(m.mu[i])) for i in range(WHOLE)], "i int, w double, s2 double, mu double"))
 
 
-@query(
-    f"SELECT round(avg(e), 6) AS mse FROM (SELECT unnest([{', '.join(f'(c{i} - {w!r} * z) * (c{i} - {w!r} * z)' for i, w in enumerate(_W))}]) AS e "
-    f"FROM (SELECT *, ({_ALONG}) / {_WW + 0.01!r} AS z FROM (SELECT {_CENTRED} FROM (SELECT {_VEC} FROM embeddings))))"
-)
+@query(f"SELECT round(avg((list_dot_product(d, d) - 2 * z * {_ALONG} + z * z * {_WW!r}) / {WHOLE}), 6) AS mse FROM (SELECT d, {_ALONG} / {_WW + 0.01!r} AS z FROM ({_centred(PPCA.mu)}))")
 def reconstruction_error(spark, sf_dir):
-    first = F.transform(F.slice("embedding", 1, _DIM), lambda v: v.cast("double"))
-    d = PPCA.reconstruct(PPCA.posterior(table(spark, sf_dir, "embeddings"), "embedding")).withColumn("x", first)
+    whole = F.transform("embedding", lambda v: v.cast("double"))
+    d = PPCA.reconstruct(PPCA.posterior(table(spark, sf_dir, "embeddings"), "embedding")).withColumn("x", whole)
     return rounded(V.mean_squared_error(d, "x", "x_hat"))
 
 
-# All elements of the embeddings: the k-means queries, whose SQL reads the first 2 of them, over whole vectors
-
-
-@query()
-def kmeans_assign_whole(spark, sf_dir):
-    return assign(_whole(spark, sf_dir), CENTROIDS_WHOLE).select("vec_id", "label")
-
-
-@query()
-def kmeans_3iter_whole(spark, sf_dir):
-    c, pts = CENTROIDS_WHOLE, _whole(spark, sf_dir).persist()
-    for _ in range(3):
-        c, _n = step(pts, c)
-    pts.unpersist()
-    return rounded(rows(spark, [(k + 1, c[k].tolist()) for k in range(len(c))], "label int, centroid array<double>"))
-
-
-@query()
-def confusion_table_whole(spark, sf_dir):
-    return V.confusion(kmeans_assign_whole(spark, sf_dir).withColumn("truth", (F.col("vec_id") % 3).cast("int") + 1), "truth", "label")
-
-
-@query()
-def best_alignment_whole(spark, sf_dir):
-    return rounded(rows(spark, [(V.best_permutation(confusion_table_whole(spark, sf_dir), 3)[1],)], "accuracy double"))
-
-
 # Reports
 
 
@@ -463,7 +455,7 @@ def aic_bic(spark, sf_dir):
 
 @query(f"{_kmeans_chain(1)} SELECT (vec_id % 3)::INT + 1 AS truth, label AS predicted, count(*) AS n FROM l0 GROUP BY ALL")
 def confusion_table(spark, sf_dir):
-    return V.confusion(assign(_plane(spark, sf_dir), CENTROIDS).withColumn("truth", (F.col("vec_id") % 3).cast("int") + 1), "truth", "label")
+    return V.confusion(assign(_vectors(spark, sf_dir), CENTROIDS).withColumn("truth", (F.col("vec_id") % 3).cast("int") + 1), "truth", "label")
 
 
 _PERMS = " UNION ALL ".join(f"SELECT {i} AS i, {p[0]} AS p1, {p[1]} AS p2, {p[2]} AS p3" for i, p in enumerate([(1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)]))

@@ -290,13 +290,71 @@ def lds_mstep(spark, sf_dir):
     return rounded(rows(spark, [tuple(float(v) for v in found)], "x0 double, p0 double, a double, b double, q double, c double, d double, r double"), 4)
 
 
-# Learning and sampling whose results are not SQL
+# The same trials far from zero give the same steps
+FAR = 1e6
 
 
-@query()
+def _far(spark, sf_dir):
+    return observations(spark, sf_dir).withColumn("y", F.transform("y", lambda v: v + FAR))
+
+
+@query(ORACLE_SQL["hmm_mstep"])
+def far_hmm_mstep(spark, sf_dir):
+    far = HiddenMarkovModel(A, PI, tuple(e.moved(np.array([FAR])) for e in HMM.emissions))
+    m, _ = far.fit(_far(spark, sf_dir), max_iters=1)
+    e1, e2 = m.emissions
+    found = (m.pi[0], m.a[0, 0], m.a[1, 0], e1.mean[0] - FAR, e2.mean[0] - FAR, e1.cov[0, 0], e2.cov[0, 0])
+    return rounded(rows(spark, [tuple(float(v) for v in found)], "pi1 double, a11 double, a21 double, m1 double, m2 double, v1 double, v2 double"), 4)
+
+
+@query(ORACLE_SQL["lds_mstep"])
+def far_lds_mstep(spark, sf_dir):
+    m, _, _ = LinearDynamicalSystem(LDS.state, GaussianObservation([[1.0]], [[0.9]], [0.1 + FAR])).fit(_far(spark, sf_dir), max_iters=1)
+    s, o = m.state, m.obs
+    found = (s.x0[0], s.p0[0, 0], s.a[0, 0], s.b[0], s.q[0, 0], o.c[0, 0], o.d[0] - FAR, o.r[0, 0])
+    return rounded(rows(spark, [tuple(float(v) for v in found)], "x0 double, p0 double, a double, b double, q double, c double, d double, r double"), 4)
+
+
+def _hmm_chain(steps: int) -> str:
+    """CTEs par0..par{steps} of EM iterations and the log-likelihoods ll0..ll{steps-1} before them."""
+    out = [
+        f"{_OBS}, par0 AS (SELECT 0.6::DOUBLE AS p1, 0.4::DOUBLE AS p2, 0.9::DOUBLE AS a11, 0.1::DOUBLE AS a12, 0.2::DOUBLE AS a21, 0.8::DOUBLE AS a22, 2.0::DOUBLE AS m1, 4.0::DOUBLE AS m2, 1.0::DOUBLE AS v1, 0.5::DOUBLE AS v2), "
+        "len AS (SELECT *, count(*) OVER (PARTITION BY trial_id) AS n FROM obs)"
+    ]
+    normal = lambda k: f"(-0.5 * ln(2 * pi() * v{k}) - (y - m{k}) * (y - m{k}) / (2 * v{k}))"
+    pairs = ", ".join(f"g.a{i} + ln(r.a{i}{j}) + h.l{j} + h.b{j} AS p{i}{j}" for i in (1, 2) for j in (1, 2))
+    for s in range(steps):
+        out.append(f"e{s} AS MATERIALIZED (SELECT trial_id, t, n, y, {normal(1)} AS l1, {normal(2)} AS l2 FROM len, par{s})")
+        out.append(
+            f"f{s} AS (SELECT trial_id, t, n, l1 + ln(p1) AS a1, l2 + ln(p2) AS a2 FROM e{s}, par{s} WHERE t = 1 UNION ALL "
+            f"SELECT e.trial_id, e.t, e.n, e.l1 + {_lse('f.a1 + ln(r.a11)', 'f.a2 + ln(r.a21)')}, e.l2 + {_lse('f.a1 + ln(r.a12)', 'f.a2 + ln(r.a22)')} FROM f{s} f JOIN e{s} e ON e.trial_id = f.trial_id AND e.t = f.t + 1, par{s} r)"
+        )
+        out.append(
+            f"b{s} AS (SELECT trial_id, t, l1, l2, y, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM e{s} WHERE t = n UNION ALL "
+            f"SELECT e.trial_id, e.t, e.l1, e.l2, e.y, {_lse('b.l1 + b.b1 + ln(r.a11)', 'b.l2 + b.b2 + ln(r.a12)')}, {_lse('b.l1 + b.b1 + ln(r.a21)', 'b.l2 + b.b2 + ln(r.a22)')} FROM b{s} b JOIN e{s} e ON e.trial_id = b.trial_id AND e.t = b.t - 1, par{s} r)"
+        )
+        out.append(
+            f"g{s} AS MATERIALIZED (SELECT f.trial_id, f.t, f.n, y, a1, a2, b1, b2, l1, l2, 1 / (1 + exp(a2 + b2 - a1 - b1)) AS g1, 1 / (1 + exp(a1 + b1 - a2 - b2)) AS g2 FROM f{s} f JOIN b{s} b ON f.trial_id = b.trial_id AND f.t = b.t)"
+        )
+        out.append(f"q{s} AS (SELECT *, {_lse('p11', 'p12', 'p21', 'p22')} AS z FROM (SELECT {pairs} FROM g{s} g JOIN g{s} h ON g.trial_id = h.trial_id AND h.t = g.t + 1, par{s} r))")
+        out.append(f"x{s} AS (SELECT sum(exp(p11 - z)) AS x11, sum(exp(p12 - z)) AS x12, sum(exp(p21 - z)) AS x21, sum(exp(p22 - z)) AS x22 FROM q{s})")
+        out.append(f"ll{s} AS (SELECT {s} AS iteration, sum({_lse('a1', 'a2')}) AS loglik FROM g{s} WHERE t = n)")
+        out.append(f"c{s} AS (SELECT avg(g1) FILTER (t = 1) AS p1, sum(g1 * y) / sum(g1) AS m1, sum(g2 * y) / sum(g2) AS m2 FROM g{s})")
+        out.append(f"w{s} AS (SELECT sum(g1 * power(y - m1, 2)) / sum(g1) AS v1, sum(g2 * power(y - m2, 2)) / sum(g2) AS v2 FROM g{s}, c{s})")
+        out.append(
+            f"par{s + 1} AS MATERIALIZED (SELECT p1, 1 - p1 AS p2, x11 / (x11 + x12) AS a11, x12 / (x11 + x12) AS a12, x21 / (x21 + x22) AS a21, x22 / (x21 + x22) AS a22, m1, m2, v1, v2 FROM c{s}, w{s}, x{s})"
+        )
+    return "WITH RECURSIVE " + ", ".join(out)
+
+
+@query(f"{_hmm_chain(5)} SELECT iteration::INT AS iteration, round(loglik, 2) AS loglik, round(m1, 4) AS m1, round(m2, 4) AS m2 FROM ({' UNION ALL '.join(f'SELECT * FROM ll{i}' for i in range(5))}), par5")
 def hmm_fit(spark, sf_dir):
     m, history = HMM.fit(observations(spark, sf_dir), max_iters=5)
-    return rows(spark, [(i, v, float(m.emissions[0].mean[0]), float(m.emissions[1].mean[0])) for i, v in enumerate(history)], "iteration int, loglik double, m1 double, m2 double")
+    out = rows(spark, [(i, v, float(m.emissions[0].mean[0]), float(m.emissions[1].mean[0])) for i, v in enumerate(history)], "iteration int, loglik double, m1 double, m2 double")
+    return out.select("iteration", F.round("loglik", 2).alias("loglik"), F.round("m1", 4).alias("m1"), F.round("m2", 4).alias("m2"))
+
+
+# Learning and sampling whose results are not SQL
 
 
 @query()

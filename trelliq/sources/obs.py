@@ -54,10 +54,25 @@ def by_trial(obs: DataFrame, partitions: int | None = None) -> DataFrame:
     return obs.repartition(*n, "trial_id").sortWithinPartitions("trial_id", "t")
 
 
-def trials(batches: Iterator[pd.DataFrame], chunk: int = 256) -> Iterator[list[pd.DataFrame]]:
-    """Lists of whole trials from a partition that is sorted by (trial_id, t), in whatever batches it comes."""
+def trials(batches: Iterator[pd.DataFrame], chunk: int = 256, cells: int = 1 << 18) -> Iterator[list[pd.DataFrame]]:
+    """Lists of whole trials from a partition that is sorted by (trial_id, t), in whatever batches it comes.
+
+    A list has at most ``chunk`` trials, and padded to the longest of them at most ``cells`` steps, unless it is one longer trial.
+    """
     held: list[pd.DataFrame] = []
     done: list[pd.DataFrame] = []
+    longest = 0
+
+    def close() -> Iterator[list[pd.DataFrame]]:
+        nonlocal held, done, longest
+        trial = held[0] if len(held) == 1 else pd.concat(held)
+        held = []
+        if done and (len(done) >= chunk or (len(done) + 1) * max(longest, len(trial)) > cells):
+            yield done
+            done, longest = [], 0
+        done.append(trial)
+        longest = max(longest, len(trial))
+
     for pdf in batches:
         if pdf.empty:
             continue
@@ -67,36 +82,25 @@ def trials(batches: Iterator[pd.DataFrame], chunk: int = 256) -> Iterator[list[p
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             part = pdf.iloc[a:b]
             if held and held[-1]["trial_id"].iat[0] != part["trial_id"].iat[0]:
-                done.append(held[0] if len(held) == 1 else pd.concat(held))
-                held = []
-                if len(done) >= chunk:
-                    yield done
-                    done = []
+                yield from close()
             held.append(part)
     if held:
-        done.append(held[0] if len(held) == 1 else pd.concat(held))
+        yield from close()
     if done:
         yield done
 
 
 def matrix(pdf: pd.DataFrame, column: str) -> np.ndarray | None:
-    """(T, width) values of an array column; None if the column is null."""
+    """(T, width) values of an array column; None if the column is null throughout. Single nulls are an error."""
     values = pdf[column].to_numpy()
-    if len(values) and values[0] is None:
+    missing = pdf[column].isna().to_numpy()
+    if len(values) and missing.all() and column != "y":
         return None
+    if missing.any():
+        raise ValueError(f"null {column} in trial {pdf['trial_id'].iat[0]} at step {pdf['t'].iat[int(missing.argmax())] if 't' in pdf else '?'}")
     return np.stack(values).astype(float) if len(values) else np.empty((0, 0))
 
 
-def per_trial(arranged: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``kernel`` to each trial of a table from :func:`by_trial`, one trial in memory at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in trials(batches):
-            yield pd.concat([kernel(p) for p in some], ignore_index=True)
-
-    return arranged.mapInPandas(run, schema)
-
-
 def summed(arranged: DataFrame, statistics: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
     """Sum over all trials of a vector of statistics: summed in each task, then across tasks, so one vector reaches the driver."""
 
