@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, stabilize_covariance, valid_covariance
-from ..sources.obs import by_trial, matrix, summed, trials
+from ..sources.obs import by_trial, kept, matrix, summed, trials
 
 log = logging.getLogger(__name__)
 
@@ -356,10 +356,14 @@ class LinearDynamicalSystem:
         y = F.col("y") if self.poisson else F.zip_with("y", E.lit_array(means), lambda a, b: a - b)
         arranged = by_trial(obs.select("trial_id", "t", y.alias("y"), "w")).persist()
         model, history, moved = self._moved(-means), [], []
+        paths = None
         try:
-            for _ in range(max_iters):
+            for i in range(max_iters):
                 if model.poisson:
-                    new, value = model._poisson_step(arranged)
+                    new, value, later = model._poisson_step(arranged if paths is None else paths, i)
+                    if paths is not None:
+                        paths.unpersist()
+                    paths = later
                 else:
                     s = model._estep(arranged)
                     new, value = model.mstep(s), model.elbo(s)
@@ -370,13 +374,16 @@ class LinearDynamicalSystem:
                     break
         finally:
             arranged.unpersist()
+            if paths is not None:
+                paths.unpersist()
         return model._moved(means), history, moved
 
     def _moved(self, by: np.ndarray) -> LinearDynamicalSystem:
         """The same system of Gaussian observations that are moved by ``by``."""
         return self if self.poisson else replace(self, obs=replace(self.obs, d=self.obs.d + by))
 
-    def _poisson_step(self, arranged: DataFrame) -> tuple[LinearDynamicalSystem, float]:
+    def _poisson_step(self, before: DataFrame, i: int) -> tuple[LinearDynamicalSystem, float, DataFrame]:
+        """The next model, the ELBO, and the persisted paths, from where the Newton steps of the next iteration start."""
         model = self
         n, width = self.latent_dim, self.width()
 
@@ -385,30 +392,26 @@ class LinearDynamicalSystem:
                 parts = []
                 for p in some:
                     y = matrix(p, "y")
-                    out = _smoothed(p, *model.smooth_trial(y))
+                    out = _smoothed(p, *model.smooth_trial(y, start=matrix(p, "x") if "x" in p else None))
                     out["y"], out["w"] = list(y), p["w"].to_numpy(float)
                     parts.append(out)
                 yield pd.concat(parts, ignore_index=True)
 
         schema = "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double, y array<double>, w double"
-        paths = arranged.mapInPandas(run, schema).persist()
-        try:
+        paths = kept(before.mapInPandas(run, schema), i)
 
-            def statistics(p: pd.DataFrame) -> np.ndarray:
-                x, y, w = matrix(p, "x"), matrix(p, "y"), p["w"].to_numpy(float)
-                cov, lag = matrix(p, "p").reshape(-1, n, n), matrix(p, "p_lag").reshape(-1, n, n)
-                return np.concatenate([model.sums(x, cov, lag, y, w), [p["entropy"].iat[0], 1.0]])
-
-            s = summed(paths, statistics, width)
-            c, d = self.obs.c, self.obs.d
-            value = self.elbo(s, -_poisson_objective(paths, c, self.obs.log_d)[0])
-            new = self.mstep(s)
-            if self.fit_parts[4]:
-                c, log_d = minimise_poisson(lambda c, log_d: _poisson_objective(paths, c, log_d), self.obs.c, self.obs.log_d)
-                new = replace(new, obs=PoissonObservation(c, log_d))
-        finally:
-            paths.unpersist()
-        return new, value
+        def statistics(p: pd.DataFrame) -> np.ndarray:
+            x, y, w = matrix(p, "x"), matrix(p, "y"), p["w"].to_numpy(float)
+            cov, lag = matrix(p, "p").reshape(-1, n, n), matrix(p, "p_lag").reshape(-1, n, n)
+            return np.concatenate([model.sums(x, cov, lag, y, w), [p["entropy"].iat[0], 1.0]])
+
+        s = summed(paths, statistics, width)
+        value = self.elbo(s, -_poisson_objective(paths, self.obs.c, self.obs.log_d)[0])
+        new = self.mstep(s)
+        if self.fit_parts[4]:
+            c, log_d = minimise_poisson(lambda c, log_d: _poisson_objective(paths, c, log_d), self.obs.c, self.obs.log_d)
+            new = replace(new, obs=PoissonObservation(c, log_d))
+        return new, value, paths
 
     # Sampling
 
@@ -466,7 +469,7 @@ def _poisson_objective(paths: DataFrame, c: np.ndarray, log_d: np.ndarray) -> tu
     return float(out[0]), out[1:]
 
 
-def minimise_poisson(objective: Callable, c: np.ndarray, log_d: np.ndarray, iterations: int = 30, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def minimise_poisson(objective: Callable, c: np.ndarray, log_d: np.ndarray, iterations: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """BFGS over c and log_d; each evaluation is one pass over the smoothed paths."""
     split = lambda v: (v[: c.size].reshape(c.shape), v[c.size :])
     x = np.concatenate([c.ravel(), log_d])
@@ -511,3 +514,8 @@ def complete_loglik(df: DataFrame, model: LinearDynamicalSystem, x: str = "x", y
     hs = [E.linear(xs, o.c[i]) + float(o.d[i]) for i in range(p)]
     obs: Column = E.total([a * h - F.exp(h) for a, h in zip(ys, hs, strict=True)]) if model.poisson else -0.5 * E.quadratic([a - h for a, h in zip(ys, hs, strict=True)], np.linalg.inv(o.r))
     return df.withColumn("ll", -0.5 * F.when(F.col("_before").isNull(), start).otherwise(move) + obs).drop("_before")
+
+
+def trial_logliks(df: DataFrame, model: LinearDynamicalSystem, x: str = "x", y: str = "y") -> DataFrame:
+    """(trial_id, ll): the steps of ``complete_loglik`` added up; a sum over trials is that of the whole table."""
+    return complete_loglik(df, model, x, y).groupBy("trial_id").agg(F.sum("ll").alias("ll"))

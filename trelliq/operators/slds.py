@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, is_probvec
-from ..sources.obs import by_trial, matrix, summed, trials
+from ..sources.obs import by_trial, kept, matrix, summed, trials
 from .hmm import _log, posterior
 from .lds import LinearDynamicalSystem, PoissonObservation, minimise_poisson, poisson_terms
 
@@ -118,7 +118,7 @@ class SLDS:
         return by_trial(obs.select(*cols)).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double")
 
     def fit(self, obs: DataFrame, max_iters: int = 50, seed: int = 0) -> tuple[SLDS, list[float]]:
-        """Variational Laplace EM, ``max_iters`` rounds: (model, ELBO of each round). Paths between rounds stay in a persisted table."""
+        """Variational Laplace EM, ``max_iters`` rounds: (model, ELBO of each round). Paths between rounds are ``kept``."""
         n, k = self.systems[0].latent_dim, self.k
         width = self.systems[0].width()
         # About the means of the data, so that covariances keep their digits.
@@ -157,7 +157,7 @@ class SLDS:
                         parts.append(table(p, y, x, cov, lag, w, xi, entropy))
                     yield pd.concat(parts, ignore_index=True)
 
-            new = paths.mapInPandas(estep, schema).persist()
+            new = kept(paths.mapInPandas(estep, schema), it)
 
             def statistics(p, model=model):
                 y, x, w = matrix(p, "y"), matrix(p, "x"), matrix(p, "w").T
@@ -189,7 +189,7 @@ class SLDS:
 
                     from dataclasses import replace
 
-                    out = replace(out, obs=PoissonObservation(*minimise_poisson(objective, lds.obs.c, lds.obs.log_d, iterations=10)))
+                    out = replace(out, obs=PoissonObservation(*minimise_poisson(objective, lds.obs.c, lds.obs.log_d)))
                 systems.append(out)
                 at += width
             model = SLDS(a / a.sum(axis=1, keepdims=True), pi, tuple(systems))

@@ -354,13 +354,45 @@ def hmm_fit(spark, sf_dir):
     return out.select("iteration", F.round("loglik", 2).alias("loglik"), F.round("m1", 4).alias("m1"), F.round("m2", 4).alias("m2"))
 
 
-# Learning and sampling whose results are not SQL
+def _lds_chain(steps: int) -> str:
+    """CTEs par0..par{steps} of EM iterations of a filter and smoother by scalars, and the log-likelihoods ll0..ll{steps-1} before them."""
+    out = [f"{_OBS}, o AS (SELECT *, count(*) OVER (PARTITION BY trial_id) AS n FROM obs), par0 AS (SELECT {', '.join(f'{v}::DOUBLE AS {k}' for k, v in _S.items())})"]
+    update = "trial_id, t, n, y, pm + pp * c / s * e AS m, pp - pp * c / s * c * pp AS p, pm, pp, -0.5 * (ln(2 * pi() * s) + e * e / s) AS ll"
+    seen = "SELECT *, c * c * pp + r AS s, y - c * pm - d AS e"
+    for i in range(steps):
+        out.append(
+            f"k{i} AS (SELECT {update} FROM ({seen} FROM (SELECT o.*, x0 AS pm, p0 AS pp, c, d, r FROM o, par{i} WHERE t = 1)) UNION ALL "
+            f"SELECT {update} FROM ({seen} FROM (SELECT o.trial_id, o.t, o.n, o.y, a * k.m + b AS pm, a * a * k.p + q AS pp, c, d, r FROM k{i} k JOIN o ON o.trial_id = k.trial_id AND o.t = k.t + 1, par{i})))"
+        )
+        out.append(
+            f"s{i} AS (SELECT trial_id, t, y, m AS x, p AS v, pm, pp, 0.0::DOUBLE AS lagged FROM k{i} WHERE t = n UNION ALL "
+            f"SELECT k.trial_id, k.t, k.y, k.m + k.p * a / s.pp * (s.x - s.pm), k.p + power(k.p * a / s.pp, 2) * (s.v - s.pp), k.pm, k.pp, k.p * a / s.pp * s.v FROM s{i} s JOIN k{i} k ON k.trial_id = s.trial_id AND k.t = s.t - 1, par{i})"
+        )
+        out.append(f"w{i} AS (SELECT t, y, x, v, lag(x) OVER w AS px, lag(v) OVER w AS pv, lag(lagged) OVER w AS pl FROM s{i} WINDOW w AS (PARTITION BY trial_id ORDER BY t))")
+        out.append(
+            f"q{i} AS MATERIALIZED (SELECT count(*) FILTER (t > 1) AS n, sum(x * x + v) FILTER (t > 1) AS s11, sum(px * px + pv) FILTER (t > 1) AS s00, sum(x * px + pl) FILTER (t > 1) AS s10, sum(x) FILTER (t > 1) AS u1, sum(px) FILTER (t > 1) AS u0, "
+            f"count(*) AS m, sum(x) AS sz, sum(x * x + v) AS szz, sum(y) AS sy, sum(y * y) AS syy, sum(x * y) AS syz, avg(x) FILTER (t = 1) AS x0, avg(x * x + v) FILTER (t = 1) AS z1 FROM w{i})"
+        )
+        out.append(f"ab{i} AS (SELECT *, (n * s10 - u1 * u0) / (n * s00 - u0 * u0) AS a, (m * syz - sy * sz) / (m * szz - sz * sz) AS c FROM q{i})")
+        out.append(f"bd{i} AS (SELECT *, (u1 - a * u0) / n AS b, (sy - c * sz) / m AS d FROM ab{i})")
+        out.append(
+            f"par{i + 1} AS MATERIALIZED (SELECT a, b, (s11 - 2 * a * s10 + a * a * s00 - 2 * b * u1 + 2 * a * b * u0 + n * b * b) / n AS q, x0, z1 - x0 * x0 AS p0, c, d, "
+            f"(syy - 2 * c * syz + c * c * szz - 2 * d * sy + 2 * c * d * sz + m * d * d) / m AS r FROM bd{i})"
+        )
+        gone = " + ".join(f"power(n.{v} - b.{v}, 2)" for v in _S)
+        out.append(f"ll{i} AS (SELECT {i} AS iteration, (SELECT sum(ll) FROM k{i}) AS elbo, sqrt({gone}) AS moved FROM par{i + 1} n, par{i} b)")
+    return "WITH RECURSIVE " + ", ".join(out)
 
 
-@query()
+# With Gaussian observations the ELBO before an M-step is the log-likelihood, which the filter gives by itself.
+@query(f"{_lds_chain(4)} SELECT iteration::INT AS iteration, round(elbo, 2) AS elbo, round(moved, 4) AS moved FROM ({' UNION ALL '.join(f'SELECT * FROM ll{i}' for i in range(4))})")
 def lds_fit(spark, sf_dir):
-    _, history, moved = LDS.fit(observations(spark, sf_dir), max_iters=5)
-    return rows(spark, list(zip(range(len(history)), history, moved, strict=True)), "iteration int, elbo double, moved double")
+    _, history, moved = LDS.fit(observations(spark, sf_dir), max_iters=4)
+    out = rows(spark, list(zip(range(len(history)), history, moved, strict=True)), "iteration int, elbo double, moved double")
+    return out.select("iteration", F.round("elbo", 2).alias("elbo"), F.round("moved", 4).alias("moved"))
+
+
+# Learning and sampling whose results are not SQL
 
 
 @query()

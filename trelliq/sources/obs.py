@@ -54,6 +54,17 @@ def by_trial(obs: DataFrame, partitions: int | None = None) -> DataFrame:
     return obs.repartition(*n, "trial_id").sortWithinPartitions("trial_id", "t")
 
 
+def kept(df: DataFrame, round_: int, every: int = 5) -> DataFrame:
+    """``df`` persisted, and each ``every`` rounds of an iteration also written to the checkpoint folder, if the session has one.
+
+    A lost executor's partitions are then computed again from the last round that was written and not from the first.
+    """
+    df = df.persist()
+    if round_ % every == every - 1 and (df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        df = df.checkpoint()
+    return df
+
+
 def trials(batches: Iterator[pd.DataFrame], chunk: int = 256, cells: int = 1 << 18) -> Iterator[list[pd.DataFrame]]:
     """Lists of whole trials from a partition that is sorted by (trial_id, t), in whatever batches it comes.
 
