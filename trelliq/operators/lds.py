@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
-from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, stabilize_covariance, valid_covariance
+from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, make_posdef, stabilize_covariance, valid_covariance
 from ..sources.obs import by_trial, kept, matrix, summed, trials
 
 log = logging.getLogger(__name__)
@@ -409,7 +409,7 @@ class LinearDynamicalSystem:
         value = self.elbo(s, -_poisson_objective(paths, self.obs.c, self.obs.log_d)[0])
         new = self.mstep(s)
         if self.fit_parts[4]:
-            c, log_d = minimise_poisson(lambda c, log_d: _poisson_objective(paths, c, log_d), self.obs.c, self.obs.log_d)
+            c, log_d = minimise_poisson(lambda c, log_d: _poisson_objective(paths, c, log_d), self.obs.c, self.obs.log_d, curvature=_poisson_curvature(paths, self.obs.c, self.obs.log_d))
             new = replace(new, obs=PoissonObservation(c, log_d))
         return new, value, paths
 
@@ -459,6 +459,32 @@ def poisson_terms(x, cov, y, w, c, log_d) -> np.ndarray:
     return -np.concatenate([[value], gc.ravel(), gd])
 
 
+def poisson_curvature(x, cov, w, c, log_d) -> np.ndarray:
+    """Second derivatives of ``poisson_terms`` by each output's (row of c, log_d), without the part that the gradient's d brings; flat blocks."""
+    d = np.exp(log_d)
+    cp = np.einsum("pi,tij->tpj", c, cov)
+    rate = np.exp(x @ c.T + d + 0.5 * np.einsum("tpj,pj->tp", cp, c)) * w[:, None]
+    v = np.concatenate([x[:, None, :] + cp, np.broadcast_to(d[None, :, None], (*rate.shape, 1))], axis=2)
+    out = np.einsum("tp,tpi,tpj->pij", rate, v, v)
+    out[:, :-1, :-1] += np.einsum("tp,tij->pij", rate, cov)
+    return out.ravel()
+
+
+def _poisson_curvature(paths: DataFrame, c: np.ndarray, log_d: np.ndarray, weights=lambda p: p["w"].to_numpy(float)) -> np.ndarray:
+    """The matrix over (c, log_d) in the order of ``minimise_poisson``, from one pass."""
+    k, n = c.shape
+
+    def statistics(p: pd.DataFrame) -> np.ndarray:
+        return poisson_curvature(matrix(p, "x"), matrix(p, "p").reshape(-1, n, n), weights(p), c, log_d)
+
+    blocks = summed(paths.select("trial_id", "t", "x", "p", "w"), statistics, k * (n + 1) ** 2).reshape(k, n + 1, n + 1)
+    out = np.zeros((k * (n + 1),) * 2)
+    for i, block in enumerate(blocks):
+        at = [*range(i * n, (i + 1) * n), k * n + i]
+        out[np.ix_(at, at)] = block
+    return out
+
+
 def _poisson_objective(paths: DataFrame, c: np.ndarray, log_d: np.ndarray) -> tuple[float, np.ndarray]:
     n = c.shape[1]
 
@@ -469,12 +495,14 @@ def _poisson_objective(paths: DataFrame, c: np.ndarray, log_d: np.ndarray) -> tu
     return float(out[0]), out[1:]
 
 
-def minimise_poisson(objective: Callable, c: np.ndarray, log_d: np.ndarray, iterations: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """BFGS over c and log_d; each evaluation is one pass over the smoothed paths."""
+def minimise_poisson(objective: Callable, c: np.ndarray, log_d: np.ndarray, iterations: int = 1000, tolerance: float = 1e-6, curvature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """BFGS over c and log_d from the inverse of ``curvature``, if given; each evaluation is one pass over the smoothed paths."""
     split = lambda v: (v[: c.size].reshape(c.shape), v[c.size :])
     x = np.concatenate([c.ravel(), log_d])
     value, g = objective(*split(x))
     inverse = np.eye(len(x)) / max(1.0, np.linalg.norm(g))
+    if curvature is not None and np.isfinite(curvature).all():
+        inverse = np.linalg.inv(make_posdef(curvature, 1e-9 * max(1.0, float(np.abs(curvature).max()))))
     for _ in range(iterations):
         if np.abs(g).max() <= tolerance * max(1.0, abs(value)):
             break

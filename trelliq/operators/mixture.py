@@ -15,16 +15,41 @@ from .kmeans import plus_plus
 
 class _Mixture:
     def log_joint(self) -> list[Column]:
+        """Log of weight times density of each component, without what ``constant`` adds to all of them."""
         raise NotImplementedError
 
+    def constant(self) -> Column | None:
+        return None
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """``df`` with _l0, _l1, ... (joint), _z (their log-sum) and _g0, _g1, ... (posterior), each from the columns before it.
+
+        Catalyst keeps projections apart whose columns are used more than once, so a row's densities are found once and the code
+        to compile does not grow with the number of sums.
+        """
+        joint = self.log_joint()
+        ls = [F.col(f"_l{k}") for k in range(len(joint))]
+        df = df.withColumns({f"_l{k}": c for k, c in enumerate(joint)}).withColumn("_z", E.log_sum_exp(ls))
+        return df.withColumns({f"_g{k}": F.exp(c - F.col("_z")) for k, c in enumerate(ls)})
+
+    def _loglik(self) -> Column:
+        rest = self.constant()
+        return F.sum(F.col("_z") if rest is None else F.col("_z") + rest)
+
     def responsibilities(self, df: DataFrame) -> DataFrame:
         """``df`` with ``gamma``, the posterior probability of each component."""
-        return df.withColumn("gamma", F.array(*[F.exp(c) for c in E.log_softmax(self.log_joint())]))
+        scored = self._scored(df.select(F.struct("*").alias("_row"), "x"))
+        return scored.select("_row.*", F.array(*[F.col(f"_g{k}") for k in range(len(self.weights))]).alias("gamma"))
+
+    def loglik(self, df: DataFrame) -> DataFrame:
+        """One row (loglik, n): the log-likelihood of all rows, and how many there are."""
+        return self._scored(df.select("x")).agg(self._loglik().alias("loglik"), F.count(F.lit(1)).alias("n"))
 
     def loglikelihood(self, df: DataFrame) -> float:
-        return float(df.agg(F.sum(E.log_sum_exp(self.log_joint()))).first()[0] or 0.0)
+        return float(self.loglik(df).first().loglik or 0.0)
 
     def sums(self) -> dict[str, Column]:
+        """What an M-step needs, over the columns of ``_scored``."""
         raise NotImplementedError
 
     def mstep(self, row: dict):
@@ -35,8 +60,8 @@ class _Mixture:
         return self.mstep(self._scan(df))
 
     def _scan(self, df: DataFrame) -> dict:
-        sums = self.sums() | {"loglik": F.sum(E.log_sum_exp(self.log_joint()))}
-        return df.agg(*[c.alias(n) for n, c in sums.items()]).first().asDict()
+        sums = self.sums() | {"loglik": self._loglik()}
+        return self._scored(df.select("x")).agg(*[c.alias(n) for n, c in sums.items()]).first().asDict()
 
     def _seeded(self, df: DataFrame, seed: int):
         raise NotImplementedError
@@ -82,9 +107,10 @@ class GaussianMixture(_Mixture):
         return [E.mvn_logpdf(xs, m, c) + (math.log(w) if w > 0 else -math.inf) for w, m, c in zip(self.weights, self.means, self.covs, strict=True)]
 
     def sums(self):
-        xs, gamma = self._xs(), [F.exp(c) for c in E.log_softmax(self.log_joint())]
+        xs = self._xs()
         out = {"n": F.count(F.lit(1))}
-        for k, g in enumerate(gamma):
+        for k in range(len(self.weights)):
+            g = F.col(f"_g{k}")
             # about the present means, so that the covariances keep their digits
             centred = [x - float(m) for x, m in zip(xs, self.means[k], strict=True)]
             out[f"n{k}"] = F.sum(g)
@@ -147,16 +173,16 @@ class PoissonMixture(_Mixture):
 
     def log_joint(self):
         x = F.col("x").cast("double")
-        gone = E.log_factorial(F.col("x"))
-        return [x * math.log(r) - float(r) - gone + (math.log(w) if w > 0 else -math.inf) for w, r in zip(self.weights, self.rates, strict=True)]
+        return [x * math.log(r) - float(r) + (math.log(w) if w > 0 else -math.inf) for w, r in zip(self.weights, self.rates, strict=True)]
+
+    def constant(self):
+        return -E.log_factorial(F.col("x"))
 
     def sums(self):
         x = F.col("x").cast("double")
         out = {"n": F.count(F.lit(1))}
-        # The factorial cancels in the posterior, so it is left out there.
-        scores = [x * math.log(r) - float(r) + (math.log(w) if w > 0 else -math.inf) for w, r in zip(self.weights, self.rates, strict=True)]
-        for k, c in enumerate(E.log_softmax(scores)):
-            out[f"n{k}"], out[f"s{k}"] = F.sum(F.exp(c)), F.sum(F.exp(c) * x)
+        for k in range(len(self.weights)):
+            out[f"n{k}"], out[f"s{k}"] = F.sum(f"_g{k}"), F.sum(F.col(f"_g{k}") * x)
         return out
 
     def mstep(self, row):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, is_probvec
 from ..sources.obs import by_trial, kept, matrix, summed, trials
 from .hmm import _log, posterior
-from .lds import LinearDynamicalSystem, PoissonObservation, minimise_poisson, poisson_terms
+from .lds import LinearDynamicalSystem, PoissonObservation, _poisson_curvature, minimise_poisson, poisson_terms
 
 
 @dataclass(frozen=True)
@@ -187,9 +187,8 @@ class SLDS:
                         found = summed(paths, terms, 1 + c.size + len(log_d))
                         return float(found[0]), found[1:]
 
-                    from dataclasses import replace
-
-                    out = replace(out, obs=PoissonObservation(*minimise_poisson(objective, lds.obs.c, lds.obs.log_d)))
+                    bend = _poisson_curvature(paths, lds.obs.c, lds.obs.log_d, lambda p, i=i: matrix(p, "w")[:, i])
+                    out = replace(out, obs=PoissonObservation(*minimise_poisson(objective, lds.obs.c, lds.obs.log_d, curvature=bend)))
                 systems.append(out)
                 at += width
             model = SLDS(a / a.sum(axis=1, keepdims=True), pi, tuple(systems))

@@ -103,7 +103,7 @@ def gmm_em_3iter(spark, sf_dir):
 
 @query(f"{_gmm_chain(1)} SELECT round(sum(z), 3) AS loglik FROM ({_POST.replace('joint_', 'j0')})")
 def gmm_loglik(spark, sf_dir):
-    return _points(spark, sf_dir).agg(F.round(F.sum(E.log_sum_exp(GMM.log_joint())), 3).alias("loglik"))
+    return GMM.loglik(_points(spark, sf_dir)).select(F.round("loglik", 3).alias("loglik"))
 
 
 PMM = PoissonMixture([0.5, 0.5], [2.0, 6.0])
@@ -151,7 +151,7 @@ def pmm_em_3iter(spark, sf_dir):
 
 @query(f"{_pmm_chain(1)} SELECT round(sum(greatest(l1, l2) + ln(1 + exp(-abs(l1 - l2)))), 3) AS loglik FROM g0")
 def pmm_loglik(spark, sf_dir):
-    return _counts(spark, sf_dir).agg(F.round(F.sum(E.log_sum_exp(PMM.log_joint())), 3).alias("loglik"))
+    return PMM.loglik(_counts(spark, sf_dir)).select(F.round("loglik", 3).alias("loglik"))
 
 
 # k-means and distances
@@ -449,8 +449,8 @@ def reconstruction_error(spark, sf_dir):
     f"{_pmm_chain(1)}, l AS (SELECT sum(greatest(l1, l2) + ln(1 + exp(-abs(l1 - l2)))) AS ll, count(*) AS n FROM g0) SELECT round(-2 * ll + 2 * 3, 3) AS aic, round(-2 * ll + 3 * ln(n), 3) AS bic FROM l"
 )
 def aic_bic(spark, sf_dir):
-    row = _counts(spark, sf_dir).agg(F.sum(E.log_sum_exp(PMM.log_joint())).alias("ll"), F.count(F.lit(1)).alias("n")).first()
-    return rounded(rows(spark, [V.aic_bic(row.ll, V.poisson_mixture_parameters(2), row.n)], "aic double, bic double"), 3)
+    row = PMM.loglik(_counts(spark, sf_dir)).first()
+    return rounded(rows(spark, [V.aic_bic(row.loglik, V.poisson_mixture_parameters(2), row.n)], "aic double, bic double"), 3)
 
 
 @query(f"{_kmeans_chain(1)} SELECT (vec_id % 3)::INT + 1 AS truth, label AS predicted, count(*) AS n FROM l0 GROUP BY ALL")
