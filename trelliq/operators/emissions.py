@@ -7,15 +7,18 @@ its parameters on the driver; the others minimise a convex objective by Newton s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.linalg import make_posdef, stabilize_covariance
+from .families import EmissionFamily, RegressionFamily
 
 
 class Emission(Protocol):
@@ -42,8 +45,8 @@ def logistic(x: np.ndarray) -> np.ndarray:
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-@dataclass(frozen=True)
-class GaussianEmission:
+@dataclass(frozen=True, repr=False)
+class GaussianEmission(EmissionFamily):
     """y ~ N(mean, cov)."""
 
     mean: np.ndarray
@@ -99,8 +102,8 @@ class GaussianEmission:
         return self.moved(-centre).mstep(np.concatenate([[n], s, q.ravel()])).moved(centre)
 
 
-@dataclass(frozen=True)
-class _Regression:
+@dataclass(frozen=True, repr=False)
+class _Regression(RegressionFamily):
     """beta is (inputs [+ 1], outputs), the intercept's row first; ``l2`` penalises all rows but the intercept's."""
 
     beta: np.ndarray
@@ -140,7 +143,7 @@ class _Regression:
         return [E.linear(xs, self.beta[:, j]) for j in range(self.output_dim)]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class GaussianRegressionEmission(_Regression):
     """y ~ N(beta' [1, u], cov). ``normalized=False`` scores by -r'r/2 alone, whatever the covariance."""
 
@@ -206,7 +209,7 @@ class GaussianRegressionEmission(_Regression):
         return new.moved(centre[p:], centre[:p]) or new
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class AutoRegressionEmission(GaussianRegressionEmission):
     """y_t ~ N(beta' [1, y_{t-1}, ..., y_{t-order}], cov); the lags are the row's u (see ``lagged``)."""
 
@@ -222,7 +225,7 @@ class AutoRegressionEmission(GaussianRegressionEmission):
         return self.sample(rng, 1, past[::-1][: self.order].reshape(1, -1))[0]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class BernoulliRegressionEmission(_Regression):
     """y ~ Bernoulli(logistic(beta' [1, u])); one output."""
 
@@ -246,7 +249,7 @@ class BernoulliRegressionEmission(_Regression):
         return fit_glm(self, df, y, u, w)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class PoissonRegressionEmission(_Regression):
     """y ~ Poisson(exp(beta' [1, u])); the predictor is clamped to +-30."""
 
@@ -277,6 +280,26 @@ def loglikelihood(emission, df: DataFrame, y: str = "y", u: str = "u", w: str |
     return df.withColumn("ll", ll * F.col(w) if w else ll)
 
 
+def sample_rows(emission: Emission, spark: SparkSession, n: int, seed: int = 0, inputs: Callable[[np.random.Generator, int], np.ndarray] | None = None) -> DataFrame:
+    """(id, u, y): n draws from any emission; ``inputs(rng, rows)`` makes a regression's covariates, without it they are normal.
+
+    A block of 4096 ids has a generator of its own, so results do not depend on partitioning.
+    """
+    block = 4096
+    width = emission.input_dim if isinstance(emission, _Regression) else 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for number, ids in pdf.groupby(pdf["id"] // block)["id"]:
+                rng = np.random.Generator(np.random.Philox(key=[seed, int(number)]))
+                u = None if not width else inputs(rng, block) if inputs else rng.standard_normal((block, width))
+                y = emission.sample(rng, block, u).reshape(block, -1)
+                at = (ids % block).to_numpy()
+                yield pd.DataFrame({"id": ids.to_numpy(), "u": list(u[at]) if width else None, "y": list(y[at])})
+
+    return spark.range(n).mapInPandas(run, "id long, u array<double>, y array<double>")
+
+
 def lagged(obs: DataFrame, order: int, include_current: bool = False, intercept: bool = False) -> DataFrame:
     """``obs`` (trial_id, t, y, ...) with autoregressive features in ``u``, without the steps that lack a full past.
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import expr as E
 from .emissions import GaussianEmission
 from .hmm import HiddenMarkovModel
-from .lds import LinearDynamicalSystem
+from .lds import LinearDynamicalSystem, complete_loglik
+from .ppca import Moments, ProbabilisticPCA
 
 
 # Information criteria
@@ -72,6 +75,26 @@ def random_hmm(points: DataFrame, k: int, d: int, seed: int = 0) -> HiddenMarkov
     return HiddenMarkovModel(a, np.full(k, 1 / k), tuple(GaussianEmission(m, 0.5 * np.eye(d)) for m in means))
 
 
+def cross_validate_lds(obs: DataFrame, n_folds: int, start: LinearDynamicalSystem, max_iters: int = 100, tol: float = 1e-6) -> list[float]:
+    """Log-likelihood a step of each held-out fold under the Gaussian system fitted to the others.
+
+    The ELBO of a fit's first iteration is taken, which for Gaussian observations is the log-likelihood.
+    """
+    if start.poisson:
+        raise TypeError("held-out likelihoods of Poisson systems have no closed form")
+    return cross_validate(obs, n_folds, lambda train: start.fit(train, max_iters, tol)[0], lambda m, test: m.fit(test, max_iters=1)[1][0])
+
+
+def multi_start(obs: DataFrame, k: int, d: int, starts: int, max_iters: int = 100, tol: float = 1e-6, seed: int = 0) -> list[tuple[HiddenMarkovModel, list[float]]]:
+    """Fits from several random starts with their histories, the best last likelihood first."""
+    points = obs.select("trial_id", "t", "y", "u", "w").persist()
+    try:
+        fits = [random_hmm(points, k, d, seed + i).fit(points, max_iters, tol) for i in range(starts)]
+    finally:
+        points.unpersist()
+    return sorted(fits, key=lambda f: -f[1][-1])
+
+
 # Alignment of labels
 
 
@@ -122,6 +145,40 @@ def invariants(model: LinearDynamicalSystem) -> tuple[np.ndarray, np.ndarray]:
         return values, -1 / np.log(np.abs(values))
 
 
+@dataclass(frozen=True)
+class RotationReport:
+    """How a system in other latent coordinates r x compares with the one that it comes from."""
+
+    name: str
+    loglik_change: float  # sum over steps of the absolute change of the complete-data log-density
+    condition: float  # of r
+    orthogonal: bool
+    largest_angle: float  # between the column spaces of c, in degrees
+    procrustes_error: float  # of the smoothed paths after alignment, relative to the first ones
+
+
+def rotation_report(model: LinearDynamicalSystem, r: np.ndarray, obs: DataFrame, name: str = "") -> RotationReport:
+    """Smooths ``obs`` (trial_id, t, y) under both systems; sums only reach the driver."""
+    n, other = model.latent_dim, model.rotated(r)
+    steps = obs.select("trial_id", "t", "y")
+    both = steps
+    for m, at in ((model, "1"), (other, "2")):
+        paths = m.smooth(steps).select("trial_id", "t", F.col("x").alias("x"))
+        scored = complete_loglik(steps.join(paths, ["trial_id", "t"]), m)
+        both = both.join(scored.select("trial_id", "t", F.col("x").alias(f"x{at}"), F.col("ll").alias(f"ll{at}")), ["trial_id", "t"])
+    both = both.persist()
+    try:
+        turn = procrustes(both, "x2", "x1", n)
+        back = [E.linear(E.elements(F.col("x2"), n), row) for row in turn]
+        first = E.elements(F.col("x1"), n)
+        far = E.total([(a - b) * (a - b) for a, b in zip(back, first, strict=True)])
+        row = both.agg(F.sum(F.abs(F.col("ll1") - F.col("ll2"))).alias("change"), F.sum(far).alias("far"), F.sum(E.total([a * a for a in first])).alias("size")).first()
+    finally:
+        both.unpersist()
+    error = math.sqrt(row.far or 0.0) / max(math.sqrt(row.size or 0.0), np.finfo(float).eps)
+    return RotationReport(name, float(row.change or 0.0), float(np.linalg.cond(r)), is_orthogonal(r), float(subspace_angles(model.obs.c, other.obs.c).max()), error)
+
+
 # Reports
 
 
@@ -145,6 +202,22 @@ def mean_squared_error(df: DataFrame, y: str, predicted: str) -> Column:
     return df.agg((F.sum(sq) / F.sum(F.size(y))).alias("mse"))
 
 
+def compare_errors(df: DataFrame, y: str, predicted: dict[str, str]) -> DataFrame:
+    """(model, mse) of several models' predictions of one column, from one aggregation; ``predicted`` maps names to columns."""
+    sq = lambda p: F.aggregate(F.zip_with(y, p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    sums = df.agg(F.sum(F.size(y)).alias("n"), *[F.sum(sq(p)).alias(f"s{i}") for i, p in enumerate(predicted.values())])
+    pairs = [F.struct(F.lit(name).alias("model"), (F.col(f"s{i}") / F.col("n")).alias("mse")) for i, name in enumerate(predicted)]
+    return sums.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
+
+
+def variance_explained(mo: Moments, model: ProbabilisticPCA) -> tuple[float, float]:
+    """Share of the total variance in the k largest eigenvalues of the data's covariance, and in W W' of the model."""
+    k = model.w.shape[1]
+    values = np.linalg.eigvalsh(mo.scatter(mo.mean) / max(mo.n - 1, 1))[::-1]
+    fitted = float(np.trace(model.w @ model.w.T))
+    return float(values[:k].sum() / values.sum()), fitted / (fitted + model.s2 * len(model.mu))
+
+
 def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median of a column per group; NaN rows are left out."""
     return df.filter(~F.isnan(value)).groupBy(*keys).agg(F.median(value).alias("median"))

@@ -20,6 +20,7 @@ from ..functions import expr as E
 from ..functions.linalg import log_sum_exp
 from ..sources.obs import by_trial, matrix, trials
 from .emissions import AutoRegressionEmission, GaussianEmission
+from .families import MarkovFamily
 from .glm import fit_weighted
 
 
@@ -175,8 +176,8 @@ def viterbi_path(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi:
     return path
 
 
-@dataclass(frozen=True)
-class HiddenMarkovModel:
+@dataclass(frozen=True, repr=False)
+class HiddenMarkovModel(MarkovFamily):
     """Transition matrix ``a`` (rows sum to 1), initial distribution ``pi`` and one emission for each state."""
 
     a: np.ndarray

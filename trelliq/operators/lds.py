@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
+from ..functions.display import Described
 from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, make_posdef, stabilize_covariance, valid_covariance
 from ..sources.obs import by_trial, kept, matrix, summed, trials
+from .families import DynamicalFamily, ObservationFamily, StateFamily
 
 log = logging.getLogger(__name__)
 
 
-@dataclass(frozen=True)
-class IWPrior:
+@dataclass(frozen=True, repr=False)
+class IWPrior(Described):
     """Inverse-Wishart prior of a covariance."""
 
     psi: np.ndarray
@@ -39,8 +41,8 @@ def _freeze(self, names) -> None:
         object.__setattr__(self, n, np.array(getattr(self, n), float))
 
 
-@dataclass(frozen=True)
-class GaussianState:
+@dataclass(frozen=True, repr=False)
+class GaussianState(StateFamily):
     a: np.ndarray
     q: np.ndarray
     b: np.ndarray
@@ -53,8 +55,8 @@ class GaussianState:
         _freeze(self, ("a", "q", "b", "x0", "p0"))
 
 
-@dataclass(frozen=True)
-class GaussianObservation:
+@dataclass(frozen=True, repr=False)
+class GaussianObservation(ObservationFamily):
     c: np.ndarray
     r: np.ndarray
     d: np.ndarray
@@ -64,8 +66,8 @@ class GaussianObservation:
         _freeze(self, ("c", "r", "d"))
 
 
-@dataclass(frozen=True)
-class PoissonObservation:
+@dataclass(frozen=True, repr=False)
+class PoissonObservation(ObservationFamily):
     c: np.ndarray
     log_d: np.ndarray
 
@@ -95,8 +97,8 @@ def validate(state: GaussianState, obs: GaussianObservation | PoissonObservation
 PARTS = ("x0", "p0", "ab", "q", "c", "r")
 
 
-@dataclass(frozen=True)
-class LinearDynamicalSystem:
+@dataclass(frozen=True, repr=False)
+class LinearDynamicalSystem(DynamicalFamily):
     state: GaussianState
     obs: GaussianObservation | PoissonObservation
     fit_parts: tuple[bool, ...] = (True,) * 6

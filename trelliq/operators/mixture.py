@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .families import MixtureFamily
 from .kmeans import plus_plus
 
 
-class _Mixture:
+class _Mixture(MixtureFamily):
     def log_joint(self) -> list[Column]:
         """Log of weight times density of each component, without what ``constant`` adds to all of them."""
         raise NotImplementedError
@@ -83,7 +84,7 @@ class _Mixture:
         return model, history
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class GaussianMixture(_Mixture):
     """Weights (k), means (k, d), covariances (k, d, d) over an array column ``x``."""
 
@@ -156,7 +157,7 @@ class GaussianMixture(_Mixture):
         return base.select("id", "component", value.alias("x"))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class PoissonMixture(_Mixture):
     """Weights and rates over a column ``x`` of counts."""
 

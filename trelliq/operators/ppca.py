@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..functions.display import Described
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,8 @@ def moments(df: DataFrame, d: int, x: str = "x") -> Moments:
     return Moments(int(n), s / n + shift, q / n, shift)
 
 
-@dataclass(frozen=True)
-class ProbabilisticPCA:
+@dataclass(frozen=True, repr=False)
+class ProbabilisticPCA(Described):
     """x ~ N(W z + mu, s2 I), z ~ N(0, I); W is (d, k)."""
 
     w: np.ndarray

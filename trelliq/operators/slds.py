@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, is_probvec
 from ..sources.obs import by_trial, kept, matrix, summed, trials
+from .families import DynamicalFamily
 from .hmm import _log, posterior
 from .lds import LinearDynamicalSystem, PoissonObservation, _poisson_curvature, minimise_poisson, poisson_terms
 
 
-@dataclass(frozen=True)
-class SLDS:
+@dataclass(frozen=True, repr=False)
+class SLDS(DynamicalFamily):
     a: np.ndarray
     pi: np.ndarray
     systems: tuple[LinearDynamicalSystem, ...]

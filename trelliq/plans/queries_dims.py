@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
+from ..operators import evaluation as V
 from ..operators.emissions import GaussianEmission
 from ..operators.hmm import HiddenMarkovModel
-from ..operators.lds import GaussianObservation, GaussianState, LinearDynamicalSystem
+from ..operators.lds import GaussianObservation, GaussianState, LinearDynamicalSystem, trial_logliks
 from ..operators.mixture import GaussianMixture
 from ..sources.obs import to_obs
 from .queries_rows import rounded, rows, table
@@ -232,7 +234,20 @@ def _quad(e1: str, e2: str, m) -> str:
     f"{_quad('(y1 - y1 - 0.1 * y2 - 0.1)', '(y2 - 0.3 * y1 - 0.9 * y2 + 0.2)', _R)} AS b FROM d) SELECT trial_id, round(sum(-0.5 * a - 0.5 * b), 4) AS ll FROM r GROUP BY trial_id"
 )
 def lds2_complete_ll(spark, sf_dir):
-    from ..operators.lds import trial_logliks
-
     # the observations themselves as the latent path
     return rounded(trial_logliks(observations(spark, sf_dir).withColumn("x", F.col("y")), LDS2), 4)
+
+
+_TURN = np.array([[0.6, -0.8], [0.8, 0.6]])
+_MISS = f"(power(o.y1 - {_C[0][0]} * x1 - {_C[0][1]} * x2 - {_D[0]}, 2) + power(o.y2 - {_C[1][0]} * x1 - {_C[1][1]} * x2 + {-_D[1]}, 2)) / 2"
+
+
+@query(f"WITH RECURSIVE {_kalman()}, e AS (SELECT avg({_MISS}) AS mse FROM s JOIN obs o ON o.trial_id = s.trial_id AND o.t = s.t) SELECT name AS model, round(mse, 6) AS mse FROM e, (VALUES ('original'), ('rotated')) v(name)")
+def prediction_errors(spark, sf_dir):
+    obs = observations(spark, sf_dir).select("trial_id", "t", "y")
+    for name, m in (("original", LDS2), ("rotated", LDS2.rotated(_TURN))):
+        paths = m.smooth(obs)
+        xs = E.elements(F.col("x"), 2)
+        seen = F.array(*[E.linear(xs, row) + float(d) for row, d in zip(m.obs.c, m.obs.d, strict=True)])
+        obs = obs.join(paths.select("trial_id", "t", seen.alias(name)), ["trial_id", "t"])
+    return rounded(V.compare_errors(obs, "y", {"original": "original", "rotated": "rotated"}))

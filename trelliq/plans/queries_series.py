@@ -15,7 +15,7 @@ from ..operators import evaluation as V
 from ..operators import folds
 from ..operators.emissions import AutoRegressionEmission, GaussianEmission, GaussianRegressionEmission, lagged
 from ..operators.hmm import HiddenMarkovModel
-from ..operators.lds import GaussianObservation, GaussianState, LinearDynamicalSystem, PoissonObservation, complete_loglik
+from ..operators.lds import GaussianObservation, GaussianState, LinearDynamicalSystem, PoissonObservation, complete_loglik, trial_logliks
 from ..operators.slds import SLDS, weighted_loglik
 from ..sources.obs import to_obs
 from .queries_rows import rounded, rows, table
@@ -238,6 +238,11 @@ def plds_complete_ll(spark, sf_dir):
     return rounded(complete_loglik(_paths(spark, sf_dir), PLDS, y="k").select("trial_id", "t", "ll"))
 
 
+@query(f"WITH {_PATHS} SELECT trial_id, round(sum(-0.5 * CASE WHEN t = 1 THEN (x - 0.2) * (x - 0.2) ELSE (x - 0.5 * px - 0.1) * (x - 0.5 * px - 0.1) / 0.3 END + k * (0.4 * x + 0.5) - exp(0.4 * x + 0.5)), 5) AS ll FROM z GROUP BY trial_id")
+def plds_trial_ll(spark, sf_dir):
+    return rounded(trial_logliks(_paths(spark, sf_dir), PLDS, y="k"), 5)
+
+
 @query(f"WITH {_PATHS} SELECT trial_id, t, round(0.3 * {_lds_ll(**_S)} + 0.7 * {_lds_ll(0.5, 1.6, 0.6, 3.0, 1.0, 0.9, 0.3, 1.2)}, 6) AS ll FROM z")
 def slds_weighted_ll(spark, sf_dir):
     one = complete_loglik(_paths(spark, sf_dir), LDS).withColumnRenamed("ll", "one")

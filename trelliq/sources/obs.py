@@ -34,6 +34,15 @@ def check_obs(obs: DataFrame) -> None:
         raise ValueError("time steps must be 1..T in each trial")
 
 
+def same_type(df: DataFrame, *columns: str) -> bool:
+    """Whether columns hold numbers of one type, alone or in arrays; known from the schema, so nothing is read."""
+
+    def innermost(t: T.DataType) -> T.DataType:
+        return innermost(t.elementType) if isinstance(t, T.ArrayType) else t
+
+    return len({innermost(df.schema[c].dataType) for c in columns}) <= 1
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
