@@ -76,84 +76,92 @@ def _posterior_log(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_p
     return gamma, xi, loglik
 
 
-def _stretches(n: int, steps: int) -> int:
-    """Into how many stretches to cut the time axis, so that few trials of many steps still make long array operations."""
-    return 1 if n >= 48 or steps < 64 else min(int(math.sqrt(steps)), -(-96 // n))
+#: Of fewer trials than this with at most so many states, all steps are worked on at once.
+FEW_TRIALS, FEW_STATES = 48, 16
+
+#: Sums of scaled probabilities below this have lost digits; the recursion in logarithms takes over.
+TINY = 1e-250
+
+
+def _walk(e: np.ndarray, moves: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward messages and the forward scales, a step after the other for all trials."""
+    n, steps, k = e.shape
+    alpha, beta, norm = np.empty_like(e), np.empty_like(e), np.empty((n, steps))
+    all_move = moves.all(axis=0)
+    v = np.broadcast_to(pi, (n, k))
+    for t in range(steps):
+        new = v @ a
+        if not all_move[t]:
+            new = np.where(moves[:, t, None], new, v)
+        v = new * e[:, t]
+        norm[:, t] = v.sum(axis=1)
+        v = v / norm[:, t, None]
+        alpha[:, t] = v
+    v, at = np.ones((n, k)), a.T.copy()
+    for t in range(steps - 1, -1, -1):
+        beta[:, t] = v
+        w = v * e[:, t]
+        new = w @ at
+        if not all_move[t]:
+            new = np.where(moves[:, t, None], new, w)
+        v = new / new.max(axis=1, keepdims=True)
+    return alpha, beta, norm
+
+
+def _tree(e: np.ndarray, moves: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_walk`, over a binary tree of transition products: few array operations, however long a trial is.
+
+    Going up, the product of each pair of neighbours; going down, the messages that enter and leave each part.
+    """
+    n, steps, k = e.shape
+    size = 1 << (steps - 1).bit_length()
+    leaf = np.empty((n, size, k, k))
+    leaf[:, :steps] = np.where(moves[:, :, None, None], a, np.eye(k)) * e[:, :, None, :]
+    leaf[:, steps:] = np.eye(k)
+    levels = [leaf]
+    while levels[-1].shape[1] > 1:
+        product = levels[-1][:, 0::2] @ levels[-1][:, 1::2]
+        levels.append(product / product.max(axis=(2, 3), keepdims=True))
+    enter, leave = np.broadcast_to(pi, (n, 1, k)), np.ones((n, 1, k))
+    for level in reversed(levels[:-1]):
+        into, out = np.empty((n, level.shape[1], k)), np.empty((n, level.shape[1], k))
+        into[:, 0::2], out[:, 1::2] = enter, leave
+        v = (enter[:, :, None, :] @ level[:, 0::2])[:, :, 0]
+        into[:, 1::2] = v / v.sum(axis=2, keepdims=True)
+        w = (level[:, 1::2] @ leave[:, :, :, None])[..., 0]
+        out[:, 0::2] = w / w.max(axis=2, keepdims=True)
+        enter, leave = into, out
+    alpha = (enter[:, :steps, None, :] @ leaf[:, :steps])[:, :, 0]
+    norm = alpha.sum(axis=2)
+    return alpha / norm[:, :, None], leave[:, :steps], norm
 
 
 def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
     """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial.
 
-    Works with scaled probabilities. Time is cut into stretches that are walked side by side: first each stretch's transition
-    product, then the messages at their ends one after the other, then the messages inside. If a probability underflows, the
+    Works with scaled probabilities, step by step for many trials and over a tree for few. Where one comes near underflow, the
     recursion in logarithms takes over.
     """
     n, steps, k = ll.shape
-    s = _stretches(n, steps)
-    c = -(-steps // s)
-    a = np.exp(log_a)
-    inside = np.zeros((n, s * c), bool)
-    inside[:, :steps] = np.arange(steps)[None, :] < lengths[:, None]
+    a, pi = np.exp(log_a), np.exp(log_pi)
+    inside = np.arange(steps)[None, :] < lengths[:, None]
     top = ll.max(axis=2)
-    e = np.ones((n, s * c, k))
-    with np.errstate(invalid="ignore"):
-        e[:, :steps] = np.exp(ll - top[:, :, None])
-    e[~inside] = 1.0
-    # Step 0 has no transition into it, and steps beyond a trial's end change nothing.
-    moves = inside.copy()
-    moves[:, 0] = False
-    e, moves = e.reshape(n, s, c, k), moves.reshape(n, s, c)
-    all_move = moves.all(axis=(0, 1))
-
-    def along(v, i, axis_rows):
-        """v times the i-th step of each stretch."""
-        new = v @ a
-        if not all_move[i]:
-            new = np.where((moves[:, :, i, None, None] if axis_rows else moves[:, :, i, None]), new, v)
-        return new * (e[:, :, i, None, :] if axis_rows else e[:, :, i])
-
     with np.errstate(all="ignore"):
-        enter, leave = np.empty((n, s, k)), np.ones((n, s, k))
-        enter[:, 0] = np.exp(log_pi)
-        if s > 1:
-            product, scale = np.broadcast_to(np.eye(k), (n, s, k, k)), np.zeros((n, s, k))
-            for i in range(c):
-                product = along(product, i, True)
-                m = product.max(axis=3)
-                product = product / m[..., None]
-                scale = scale + np.log(m)
-            for j in range(1, s):
-                w = np.log(enter[:, j - 1]) + scale[:, j - 1]
-                v = (np.exp(w - w.max(axis=1, keepdims=True))[:, None, :] @ product[:, j - 1])[:, 0]
-                enter[:, j] = v / v.sum(axis=1, keepdims=True)
-            for j in range(s - 2, -1, -1):
-                w = scale[:, j + 1] + np.log((product[:, j + 1] @ leave[:, j + 1, :, None])[..., 0])
-                leave[:, j] = np.exp(w - w.max(axis=1, keepdims=True))
-        alpha, beta, norm = np.empty_like(e), np.empty_like(e), np.empty((n, s, c))
-        v = enter
-        for i in range(c):
-            v = along(v, i, False)
-            norm[:, :, i] = v.sum(axis=2)
-            v = v / norm[:, :, i, None]
-            alpha[:, :, i] = v
-        v, at = leave, a.T.copy()
-        for i in range(c - 1, -1, -1):
-            beta[:, :, i] = v
-            w = v * e[:, :, i]
-            new = w @ at
-            if not all_move[i]:
-                new = np.where(moves[:, :, i, None], new, w)
-            v = new / new.sum(axis=2, keepdims=True)
-        alpha, beta, e = (x.reshape(n, s * c, k)[:, :steps] for x in (alpha, beta, e))
-        inside = inside[:, :steps]
-        loglik = np.where(inside, np.log(norm.reshape(n, -1)[:, :steps]) + top, 0.0).sum(axis=1)
+        e = np.where(inside[:, :, None], np.exp(ll - top[:, :, None]), 1.0)
+        # Step 0 has no transition into it, and steps beyond a trial's end change nothing.
+        moves = inside.copy()
+        moves[:, 0] = False
+        alpha, beta, norm = (_tree if n < FEW_TRIALS and k <= FEW_STATES and steps >= 16 else _walk)(e, moves, a, pi)
+        loglik = np.where(inside, np.log(norm) + top, 0.0).sum(axis=1)
         joint = alpha * beta
-        gamma = np.where(inside[:, :, None], joint / joint.sum(axis=2, keepdims=True), 0.0)
+        whole = joint.sum(axis=2, keepdims=True)
+        gamma = np.where(inside[:, :, None], joint / whole, 0.0)
         after = e[:, 1:] * beta[:, 1:]
         z = ((alpha[:, :-1] @ a) * after).sum(axis=2, keepdims=True)
         weighted = np.where(inside[:, 1:, None], alpha[:, :-1] / z, 0.0)
         xi = a * (weighted.transpose(0, 2, 1) @ after)
-    if not (np.isfinite(loglik).all() and np.isfinite(gamma).all() and np.isfinite(xi).all()):
+        safe = (whole[:, :, 0] >= TINY)[inside].all() and (z[:, :, 0] >= TINY)[inside[:, 1:]].all() and np.isfinite(loglik).all() and np.isfinite(xi).all()
+    if not safe:
         return _posterior_log(ll, lengths, log_a, log_pi)
     return gamma, xi, loglik
 
