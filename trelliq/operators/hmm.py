@@ -76,8 +76,8 @@ def _posterior_log(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_p
     return gamma, xi, loglik
 
 
-#: Of fewer trials than this with at most so many states, all steps are worked on at once.
-FEW_TRIALS, FEW_STATES = 48, 16
+#: Of fewer trials than this all steps are worked on at once, if their transition products have at most so many numbers.
+FEW_TRIALS, PRODUCTS = 48, 1 << 24
 
 #: Sums of scaled probabilities below this have lost digits; the recursion in logarithms takes over.
 TINY = 1e-250
@@ -151,7 +151,7 @@ def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np
         # Step 0 has no transition into it, and steps beyond a trial's end change nothing.
         moves = inside.copy()
         moves[:, 0] = False
-        alpha, beta, norm = (_tree if n < FEW_TRIALS and k <= FEW_STATES and steps >= 16 else _walk)(e, moves, a, pi)
+        alpha, beta, norm = (_tree if n < FEW_TRIALS and steps >= 16 and n * steps * k * k <= PRODUCTS else _walk)(e, moves, a, pi)
         loglik = np.where(inside, np.log(norm) + top, 0.0).sum(axis=1)
         joint = alpha * beta
         whole = joint.sum(axis=2, keepdims=True)

@@ -66,12 +66,15 @@ def by_trial(obs: DataFrame, partitions: int | None = None) -> DataFrame:
 def kept(df: DataFrame, round_: int, every: int = 5) -> DataFrame:
     """``df`` persisted, and each ``every`` rounds of an iteration also written to the checkpoint folder, if the session has one.
 
-    A lost executor's partitions are then computed again from the last round that was written and not from the first.
+    A lost executor's partitions are then computed again from the last round that was written and not from the first. The files stay
+    until the folder is cleared, or go with the table if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     df = df.persist()
-    if round_ % every == every - 1 and (df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        df = df.checkpoint()
-    return df
+    if round_ % every != every - 1 or not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df
+    written = df.checkpoint()
+    df.unpersist()
+    return written
 
 
 def trials(batches: Iterator[pd.DataFrame], chunk: int = 256, cells: int = 1 << 18) -> Iterator[list[pd.DataFrame]]:
