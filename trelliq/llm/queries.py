@@ -86,6 +86,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 def _quality_sql() -> str:
@@ -128,6 +135,39 @@ def _quality_sql() -> str:
     """
 
 
+def _audit_sql() -> str:
+    """Every order is gone through document by document, without cells."""
+    word = r"[^\x20\x09-\x0D]+"
+    fails = "CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END"
+    return rf"""
+        WITH t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents
+        ), marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), rows_ AS (
+            SELECT part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+                100 * (length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g'))) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+                coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM t LEFT JOIN marks ON t.doc_id = marks.doc_id
+        ), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+        ), orders AS (
+            SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM f p, f q, f r, f s, f u
+            WHERE len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5
+        ), steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+        ), letters AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS prior FROM steps
+        ), judged AS (
+            SELECT part, filter_order, step, f, good, toxic, {fails} AS fails,
+                (a AND contains(prior, 'A') OR b AND contains(prior, 'B') OR c AND contains(prior, 'C') OR d AND contains(prior, 'D') OR e AND contains(prior, 'E')) AS gone,
+                a::INT + b::INT + c::INT + d::INT + e::INT AS failures
+            FROM rows_, letters
+        ), counted AS (
+            SELECT part, filter_order, step, f, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+                count(*) FILTER (fails AND failures = 1) AS unique_fails, count(*) FILTER (fails AND NOT gone AND good) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic) AS toxic_lost
+            FROM judged GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted
+    """
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +181,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM norm JOIN best ON norm.t = best.t
     """,
     "op8_quality_rules": _quality_sql(),
+    "op13_filter_audit": _audit_sql(),
 }
