@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,6 +89,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -135,6 +145,32 @@ def _quality_sql() -> str:
     """
 
 
+def _collocation_sql() -> str:
+    return rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang
+        ), grams AS (
+            SELECT lang, d, unnest(list_transform(generate_series(1, len(w) - d + 1), lambda i: array_to_string(w[i:i + d - 1], ' '))) AS phrase
+            FROM ws, (SELECT unnest([1, 2, 3, 4, 5]) AS d) WHERE len(w) >= d
+        ), f AS (SELECT lang, d, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING c >= 100
+        ), longer AS (
+            SELECT s.lang, s.phrase FROM f s JOIN f g ON s.lang = g.lang AND g.d > s.d AND s.d > 1 AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.c >= 100 * s.c
+        ), cuts AS (
+            SELECT lang, phrase, c AS a, unnest(generate_series(1, d - 1)) AS k FROM f WHERE d > 1 AND NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = f.lang AND o.phrase = f.phrase)
+        ), parts AS (
+            SELECT *, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first_, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest FROM cuts
+        ), scored AS (
+            SELECT p.lang, p.phrase, p.a, p.k, x.c AS l, y.c AS r, t.n, ((1000::HUGEINT * p.a * t.n) // (x.c::HUGEINT * y.c))::BIGINT AS score
+            FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first_ JOIN f y ON y.lang = p.lang AND y.phrase = p.rest JOIN totals t ON t.lang = p.lang
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest QUALIFY rank <= 2000
+    """
+
+
 def _audit_sql() -> str:
     """Every order is gone through document by document, without cells."""
     word = r"[^\x20\x09-\x0D]+"
@@ -168,8 +204,6 @@ def _audit_sql() -> str:
     """
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": f"""
         WITH norm AS (
@@ -181,5 +215,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM norm JOIN best ON norm.t = best.t
     """,
     "op8_quality_rules": _quality_sql(),
+    "op12_collocations": _collocation_sql(),
     "op13_filter_audit": _audit_sql(),
 }
