@@ -89,6 +89,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_warc": op11_warc,
     "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -215,6 +222,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM norm JOIN best ON norm.t = best.t
     """,
     "op8_quality_rules": _quality_sql(),
+    "op11_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS response FROM p
+        ), told AS (SELECT *, payload_bytes >= 100 AND page_id <> response AS again FROM firsts)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN response END AS refers_to FROM told
+    """,
     "op12_collocations": _collocation_sql(),
     "op13_filter_audit": _audit_sql(),
 }
