@@ -5,9 +5,9 @@ enumerated into phrases with the number of places where they end, and these coun
 the counts of phrases and of their parts; whether a longer phrase makes a shorter one redundant follows from the suffix links of the
 phrases, and of their mirror images, one word at a time.
 
-Most phrases of a corpus are rare, so a first pass counts hashed words and pairs into tables of fixed size (a pair or word in a bucket
-that stays under the least count is under it, too) and the automata leave those out: no frequent phrase has a rare part. That only
-saves work; counts are exact whatever falls together in a bucket.
+Most phrases of a corpus are rare, and no frequent phrase has a rare part. So a first pass counts hashes of words, pairs and triples; those
+that are frequent set bits in a table of fixed size, and the automata leave out what has no bit. That only saves work: what shares a
+hash or a bit with something frequent is counted in vain, and counts are exact however full the table is.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from .common import materialize, partitions_of
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 #: Words of a shard, bytes of its vocabulary, and bytes of a text that become words at once.
-SHARD_WORDS, SHARD_BYTES, SLICE_BYTES = 1 << 21, 32 << 20, 1 << 20
+SHARD_WORDS, SHARD_BYTES, SLICE_BYTES = 1 << 20, 32 << 20, 1 << 20
 
-#: Buckets of a table of hashed words or pairs, in blocks; the answer is one bit for each and goes to every task (1 MB for both tables).
-BUCKET_BITS, BLOCK_BITS = 22, 14
+#: Phrases of up to so many words are counted by hashes of 40 bits first. The table of frequent ones has 2^26 bits (8 MB, sent to every
+#: task), put together in blocks.
+HASHED_WORDS, TABLE_BITS, BLOCK_BITS = 3, 26, 17
 
 #: Totals by language are broadcast up to this many bytes.
 BROADCAST_BYTES = 8 << 20
@@ -40,12 +41,12 @@ BROADCAST_BYTES = 8 << 20
 _MIX = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _slices(text: bytes) -> Iterator[list[bytes]]:
+def _slices(text: bytes, size: int) -> Iterator[list[bytes]]:
     """Words of a text and line feeds between its pieces, some at a time, with empty strings among them."""
     text = text.translate(_PLAIN)
     at = 0
     while at < len(text):
-        end = at + SLICE_BYTES
+        end = at + size
         if end < len(text):
             end = 1 + max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
             if end <= at:
@@ -80,8 +81,9 @@ class Shard:
         return np.array([n[2] for n in self.names], np.uint64)
 
 
-def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Shard]:
-    """The texts (lang string, text binary) of a partition; one longer than a shard goes on in the next, with its last words as context."""
+def shards(batches: Iterator[pa.RecordBatch], depth: int, most: tuple[int, int, int]) -> Iterator[Shard]:
+    """The texts (lang string, text binary) of a partition; one longer than a shard goes on in the next, with its last words as context. ``most``: see SHARD_WORDS."""
+    most_words, most_bytes, slice_bytes = most
     parts: list[np.ndarray] = []
     held = context = 0
     names: list = [(None, b"\n", 0)]
@@ -92,14 +94,14 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Shard]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for tokens in _slices(text.as_py()):
+            for tokens in _slices(text.as_py(), slice_bytes):
                 known = vocabularies.get(lang)
                 if known is None:
                     known = vocabularies[lang] = _Vocabulary(lang, names)
                 ids = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
                 parts.append(ids[ids >= 0])
                 held += len(parts[-1])
-                if held >= SHARD_WORDS or sum(v.size for v in vocabularies.values()) >= SHARD_BYTES:
+                if held >= most_words or sum(v.size for v in vocabularies.values()) >= most_bytes:
                     done = close()
                     yield done
                     names = [(None, b"\n", 0)]
@@ -113,68 +115,60 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Shard]:
         yield close()
 
 
-def _pairs(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Bucket of the pair that ends at each place from the second on."""
-    h = hashes[words]
-    mixed = (h[:-1] * _MIX[0]) ^ h[1:]
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * _MIX[1]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _hashes(shard: Shard, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1, 2, ... words: the places where one ends, and its hash."""
+    of_word = shard.hashes()[shard.words]
+    alive, h = shard.words > 0, of_word.copy()
+    for d in range(1, min(depth, HASHED_WORDS) + 1):
+        if d > 1:
+            mixed = (h[:-1] * _MIX[0]) ^ of_word[1:]
+            mixed ^= mixed >> np.uint64(29)
+            h[1:] = mixed * _MIX[1]
+            alive[1:] = alive[:-1] & (shard.words[1:] > 0)
+            alive[0] = False
+        yield np.flatnonzero(alive), (h[alive] >> np.uint64(24)).astype(np.int64)
 
 
-def _sketches(depth: int, least: int):
-    """Tasks' counts of hashed words and pairs, no higher than ``least`` (their sums reach it if and only if the true ones do)."""
-    width = np.uint8 if least <= 255 else np.uint32
+def _counts(depth: int):
+    """Tasks' counts of hashes."""
+    most = SHARD_WORDS, SHARD_BYTES, SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(1 << BUCKET_BITS, np.int64) for _ in range(2)]
-        for s in shards(batches, depth):
-            hashes, new = s.hashes(), s.words[s.context :]
-            counts = np.bincount(new, minlength=len(hashes))
-            np.add.at(tables[0], _buckets(hashes)[1:], counts[1:])
-            both = (s.words[:-1] > 0) & (s.words[1:] > 0)
-            both[: max(0, s.context - 1)] = False
-            tables[1] += np.bincount(_pairs(hashes, s.words)[both], minlength=1 << BUCKET_BITS)
-            for t in tables:
-                np.minimum(t, least, out=t)
-        for i, t in enumerate(tables):
-            blocks = t.astype(width).reshape(-1, 1 << BLOCK_BITS)
-            full = np.flatnonzero(blocks.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([blocks[b].tobytes() for b in full], pa.binary())], names=["kind", "block", "counts"])
+        for s in shards(batches, depth, most):
+            for at, h in _hashes(s, depth):
+                keys, n = np.unique(h[at >= s.context], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], names=["key", "n"])
 
     return run
 
 
-def _sums(least: int):
-    """Blocks of the tasks' counts, added up: which buckets reach ``least``, as bits."""
-    width = np.uint8 if least <= 255 else np.uint32
+def _bits():
+    """Blocks of the table, from the places of its bits."""
+    block_bits = BLOCK_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for kind, block, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (kind, block) not in sums:
-                    sums[kind, block] = np.zeros(1 << BLOCK_BITS, np.uint64)
-                sums[kind, block] += np.frombuffer(counts, width)
-        keys = list(sums)
-        bits = [np.packbits(sums[k] >= least).tobytes() for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(bits, pa.binary())], names=["kind", "block", "bits"])
+            at = batch.column("at").to_numpy()
+            for block in np.unique(at >> block_bits).tolist():
+                bits = blocks.setdefault(block, np.zeros(1 << block_bits, bool))
+                bits[at[at >> block_bits == block] & ((1 << block_bits) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([np.packbits(b).tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"])
 
     return run
 
 
-def _frequent(rows: DataFrame, depth: int, least: int) -> tuple[bytes, bytes]:
-    """A bit for each bucket of words and each of pairs: whether it reaches ``least``."""
-    parts = rows.mapInArrow(_sketches(depth, least), "kind int, block int, counts binary")
-    found = parts.repartition(partitions_of(rows.sparkSession), "kind", "block").mapInArrow(_sums(least), "kind int, block int, bits binary").collect()
-    tables = [bytearray(1 << BUCKET_BITS - 3) for _ in range(2)]
-    size = 1 << BLOCK_BITS - 3
-    for kind, block, bits in found:
-        tables[kind][block * size : (block + 1) * size] = bits
-    return bytes(tables[0]), bytes(tables[1])
+def _frequent(rows: DataFrame, depth: int, least: int) -> bytes:
+    """The table: a bit for the hash of every word, pair and triple that occurs ``least`` times, and perhaps of others."""
+    n = partitions_of(rows.sparkSession)
+    # A shard's hashes differ, so there is nothing to add up before the shuffle; a hash has a row from each shard at most.
+    counted = rows.mapInArrow(_counts(depth), "key long, n int").repartition(n, "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    bits = counted.select(F.shiftright("key", 40 - TABLE_BITS).alias("at"))
+    found = bits.repartition(n, F.shiftright("at", BLOCK_BITS)).mapInArrow(_bits(), "block long, bits binary")
+    table, size = bytearray(1 << TABLE_BITS - 3), 1 << BLOCK_BITS - 3
+    for block, bits in found.toLocalIterator():
+        table[block * size : (block + 1) * size] = bits
+    return bytes(table)
 
 
 @dataclass
@@ -192,23 +186,28 @@ class SuffixAutomaton:
     link: np.ndarray
 
 
-def suffix_automaton(words: np.ndarray, depth: int, context: int = 0, pairs: np.ndarray | None = None) -> SuffixAutomaton:
+def suffix_automaton(words: np.ndarray, depth: int, context: int = 0, frequent: list[np.ndarray] = ()) -> SuffixAutomaton:
     """The automaton of sequences with 0 between them, for phrases of up to ``depth`` words.
 
     Built a word deeper at a time: each phrase moves on by each word that follows it somewhere, and its suffix link is the phrase that
     its last words make, which ends at the same place one level up. A phrase that ends at as many places as its suffix is in the same
-    state. Places before ``context`` are not counted; where ``pairs`` is given, no phrase goes across a place for which it is false.
+    state. Places before ``context`` are not counted. ``frequent`` says of phrases of 1, 2, ... words whether the one that ends at a place is to
+    be kept; all longer ones go with it.
     """
     size = int(words.max(initial=0)) + 1
     place = np.arange(len(words))
     node, alive = words.astype(np.int64), words > 0
+    if len(frequent):
+        alive &= frequent[0]
     depths, counts, ends, links = [], [], [], []
     base = 0  # nodes of the levels before
     below = -1
     for d in range(1, depth + 1):
         if d > 1:
             moves = np.zeros(len(words), bool)
-            moves[1:] = alive[:-1] & (alive[1:] if d > 2 or pairs is None else alive[1:] & pairs[1:])
+            moves[1:] = alive[:-1] & alive[1:]
+            if d <= len(frequent):
+                moves &= frequent[d - 1]
             at = place[moves]
             if not len(at):
                 break
@@ -250,19 +249,19 @@ def suffix_automaton(words: np.ndarray, depth: int, context: int = 0, pairs: np.
     return SuffixAutomaton(lowest[states], d[states], count[states], end[states], number[out[states]])
 
 
-def _phrases(depth: int, hot: tuple[bytes, bytes] | None):
+def _phrases(depth: int, table: bytes | None):
     """Tasks' counts of phrases, and of all words as phrases of none."""
+    most, shift = (SHARD_WORDS, SHARD_BYTES, SLICE_BYTES), 40 - TABLE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if hot is None else [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in hot]
-        for s in shards(batches, depth):
-            hashes = s.hashes()
-            pairs = None
-            if bits is not None:
-                pairs = np.ones(len(s.words), bool)
-                pairs[1:] = bits[1][_pairs(hashes, s.words)]
-                common = bits[0][_buckets(hashes)]
-            a = suffix_automaton(s.words, depth, s.context, pairs)
+        bits = None if table is None else np.frombuffer(table, np.uint8)
+        for s in shards(batches, depth, most):
+            frequent = []
+            for at, h in _hashes(s, depth) if bits is not None else ():
+                h >>= shift
+                frequent.append(np.zeros(len(s.words), bool))
+                frequent[-1][at] = bits[h >> 3] >> (7 - (h & 7)) & 1
+            a = suffix_automaton(s.words, depth, s.context, frequent)
             langs, phrases, lengths, counts = [], [], [], []
             totals: dict[str, int] = {}
             for i, n in enumerate(np.bincount(s.words[s.context :], minlength=len(s.names)).tolist()):
@@ -276,11 +275,10 @@ def _phrases(depth: int, hot: tuple[bytes, bytes] | None):
             for low, high, n, end in zip(a.shortest.tolist(), a.longest.tolist(), a.count.tolist(), a.end.tolist(), strict=True):
                 for k in range(low, high + 1):
                     ids = s.words[end - k + 1 : end + 1].tolist()
-                    if k > 1 or bits is None or common[ids[0]]:
-                        langs.append(s.names[ids[0]][0])
-                        phrases.append(b" ".join([s.names[i][1] for i in ids]))
-                        lengths.append(k)
-                        counts.append(n)
+                    langs.append(s.names[ids[0]][0])
+                    phrases.append(b" ".join([s.names[i][1] for i in ids]))
+                    lengths.append(k)
+                    counts.append(n)
             columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
 
@@ -291,8 +289,8 @@ def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, prune
     """(lang, phrase, words, n) of all phrases of 1 to ``longest`` words that occur ``min_count`` times or more, and, as a null phrase of 0 words,
     each language's number of words. See ``collocations`` for what a word and a phrase are. The result is a table in the shared folder."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    hot = _frequent(rows, longest, min_count) if prune else None
-    local = rows.mapInArrow(_phrases(longest, hot), "lang string, phrase binary, words int, n long")
+    table = _frequent(rows, longest, min_count) if prune else None
+    local = rows.mapInArrow(_phrases(longest, table), "lang string, phrase binary, words int, n long")
     counted = local.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("words") == 0))
     return materialize(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "n"), "phrases")
 
