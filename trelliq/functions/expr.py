@@ -8,9 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.obs import VECTOR, added, vector_batch
+
 
 def lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in np.ravel(values)])
@@ -35,7 +38,7 @@ def linear(xs: Sequence[Column], weights) -> Column:
 
 
 def second_moments(df: DataFrame, xs: Sequence[Column], w: Column, centre: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sums of w, w (x - centre) and w (x - centre)(x - centre)', in one aggregation. Rows with a null are left out."""
+    """Sums of w, w (x - centre) and w (x - centre)(x - centre)', in one aggregation. Rows with a null or NaN are left out."""
     d, centre = len(xs), np.asarray(centre, float)
     if d <= WIDE:
         moved = [x - float(c) for x, c in zip(xs, centre, strict=True)]
@@ -56,8 +59,10 @@ def second_moments(df: DataFrame, xs: Sequence[Column], w: Column, centre: np.nd
 
 
 def weighted_means(df: DataFrame, xs: Sequence[Column], w: Column) -> np.ndarray:
-    """Weighted mean of each column; 0 where there is nothing."""
-    row = df.agg(F.sum(w).alias("n"), *[F.sum(w * x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
+    """Weighted mean of each column over the rows without nulls, NaN and infinities; 0 where there is nothing."""
+    known = df.select(w.cast("double").alias("w"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(xs)]).dropna()
+    known = known.filter(reduce(lambda a, b: a & b, [F.abs(c) < math.inf for c in known.columns]))
+    row = known.agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"m{i}") for i in range(len(xs))]).first()
     return np.array([(v or 0.0) / row[0] if row[0] else 0.0 for v in row[1:]])
 
 
@@ -107,21 +112,35 @@ def rows_apply(xs: Sequence[Column], kernel: Callable[[np.ndarray], np.ndarray],
 
 
 def summed_rows(df: DataFrame, xs: Sequence[Column], kernel: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """Sum over all rows without nulls of a vector of statistics of (n, d) matrices: summed in each task, then across tasks."""
+    """Sum over all rows without nulls and NaN of a vector of statistics of (n, d) matrices: summed in each task, then across tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(width)
-        for pdf in batches:
-            if len(pdf):
-                out += kernel(np.stack(pdf["x"].to_numpy()).astype(float))
-        yield pd.DataFrame({"v": [out]})
-
-    known = df.select(F.array(*xs).alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
-    found = known.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
-    out = np.zeros(width)
-    for i, v in found:
-        out[i] = v
-    return out
+        for batch in batches:
+            if batch.num_rows:
+                out += kernel(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        yield vector_batch(out)
+
+    known = df.select(F.array(*[x.cast("double") for x in xs]).alias("x")).filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    return added(known.mapInArrow(run, VECTOR), width)
+
+
+def grouped_moments(df: DataFrame, x: str, label: str, d: int, k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For labels 1 to k: how many rows they have, and the sums of an array column and of its outer products, in one pass."""
+
+    def kernel(v: np.ndarray) -> np.ndarray:
+        parts = [v[v[:, d] == j + 1, :d] for j in range(k)]
+        return np.concatenate([np.concatenate([[len(p)], p.sum(axis=0), (p.T @ p).ravel()]) for p in parts])
+
+    # About the mean of all, so that the products keep their digits.
+    centre = weighted_means(df, elements(F.col(x), d), F.lit(1.0))
+    moved = [c - float(m) for c, m in zip(elements(F.col(x), d), centre, strict=True)]
+    out = summed_rows(df, [*moved, F.col(label).cast("double")], kernel, k * (1 + d + d * d)).reshape(k, -1)
+    found = []
+    for n, s, q in ((r[0], r[1 : 1 + d], r[1 + d :].reshape(d, d)) for r in out):
+        whole = s + n * centre
+        found.append((float(n), whole, q + np.outer(s, centre) + np.outer(centre, s) + n * np.outer(centre, centre)))
+    return found
 
 
 def mvn_logpdf(xs: Sequence[Column], mean, cov) -> Column:

@@ -129,6 +129,13 @@ class BlockTridiagonal:
             x[i] -= back[i] @ x[i + 1]
         return x
 
+    def draws(self, z: np.ndarray) -> np.ndarray:
+        """Draws with mean zero and this matrix as precision, from standard normal ``z`` (draws, T, D)."""
+        x = np.linalg.solve(np.broadcast_to(self.low.transpose(0, 2, 1), (len(z), *self.low.shape)), z[..., None])[..., 0]
+        for i in range(len(self.gain) - 1, -1, -1):
+            x[:, i] -= x[:, i + 1] @ self.gain[i]
+        return x
+
     def selected_inverse(self) -> tuple[np.ndarray, np.ndarray]:
         """Diagonal blocks, and blocks (i, i-1) with zeros at i = 0."""
         t, _, _ = self.schur.shape
@@ -187,3 +194,106 @@ def newton(value, gradient_hessian, x: np.ndarray, iterations: int = 100, tolera
         if moved <= tolerance * (1 + np.abs(x).max(initial=0.0)):
             break
     return x
+
+
+def lbfgs(objective, x: np.ndarray, memory: int = 10, iterations: int = 500, tolerance: float = 1e-8) -> np.ndarray:
+    """Minimise a smooth function from its value and gradient, ``objective(x)``, with the last ``memory`` changes of the gradient for a Hessian.
+
+    Steps meet the Wolfe conditions by bracketing. Ends when the gradient is below ``tolerance`` times the size of the value, or where no
+    step goes further down.
+    """
+    x = np.array(x, float)
+    value, g = objective(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(iterations):
+        if np.abs(g).max(initial=0.0) <= tolerance * max(1.0, abs(value)):
+            break
+        q, weights = g.copy(), []
+        for s, r, rho in reversed(pairs):
+            weights.append(rho * (s @ q))
+            q -= weights[-1] * r
+        q *= 1 / (pairs[-1][2] * (pairs[-1][1] @ pairs[-1][1])) if pairs else 1 / max(1.0, np.linalg.norm(g))
+        for (s, r, rho), a in zip(pairs, reversed(weights), strict=True):
+            q += (a - rho * (r @ q)) * s
+        slope = -float(g @ q)
+        if not slope < 0:
+            pairs, q, slope = [], g / max(1.0, np.linalg.norm(g)), -float(g @ g) / max(1.0, np.linalg.norm(g))
+        low, high, size, best = 0.0, np.inf, 1.0, None
+        for _ in range(40):
+            with np.errstate(over="ignore", invalid="ignore"):
+                then, g2 = objective(x - size * q)
+            if not (np.isfinite(then) and np.isfinite(g2).all() and then <= value + 1e-4 * size * slope):
+                high = size
+            else:
+                best = (size, then, g2)
+                if -float(g2 @ q) >= 0.9 * slope:
+                    break
+                low = size
+            size = (low + high) / 2 if np.isfinite(high) else 2 * low
+            if best is not None and high - low <= 1e-3 * low:
+                break
+        if best is None or not best[1] < value:
+            break
+        size, then, g2 = best
+        s, r = -size * q, g2 - g
+        if (curve := float(s @ r)) > 1e-14 * float(r @ r):
+            pairs = [*pairs[1 - memory :], (s, r, 1 / curve)] if memory > 1 else [(s, r, 1 / curve)]
+        x, value, g = x + s, then, g2
+    return x
+
+
+def assignment(cost) -> np.ndarray:
+    """For each column of a square matrix its row, so that the sum of the chosen entries is smallest; of equal choices the first in dictionary order.
+
+    Columns get rows one after the other along shortest augmenting paths, O(k^3). All best choices then use only entries that the dual
+    variables make tight, and each column in turn takes its first row from which the others can still be completed.
+    """
+    cost = np.asarray(cost, float).T
+    k = len(cost)
+    u, v = np.zeros(k + 1), np.zeros(k + 1)
+    owner = np.zeros(k + 1, int)  # line of each place, from 1; place 0 is where a path starts
+    for i in range(1, k + 1):
+        owner[0], j = i, 0
+        least, way, used = np.full(k + 1, np.inf), np.zeros(k + 1, int), np.zeros(k + 1, bool)
+        while owner[j]:
+            used[j] = True
+            reduced = cost[owner[j] - 1] - u[owner[j]] - v[1:]
+            better = np.flatnonzero(~used[1:] & (reduced < least[1:])) + 1
+            least[better], way[better] = reduced[better - 1], j
+            free = np.flatnonzero(~used)
+            nearest = free[least[free].argmin()]
+            step = least[nearest]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j = nearest
+        while j:
+            owner[j], j = owner[way[j]], way[j]
+    place = np.empty(k, int)
+    place[owner[1:] - 1] = np.arange(k)
+    tight = np.abs(cost - u[1:, None] - v[None, 1:]) <= 1e-12 * max(1.0, np.abs(cost).max(initial=0.0))
+    at = np.empty(k, int)
+    at[place] = np.arange(k)
+    for line in range(k):
+        for other in np.flatnonzero(tight[line, : place[line]]):
+            # ``other`` is now another line's place; that line and those it drives out must end at the place given up here.
+            if at[other] < line:
+                continue
+            came: dict[int, int] = {int(other): -1}
+            queue = [int(other)]
+            while queue and place[line] not in came:
+                j = queue.pop()
+                for to in np.flatnonzero(tight[at[j]]).tolist():
+                    if to not in came and at[to] >= line:
+                        came[to] = j
+                        queue.append(to)
+            if place[line] not in came:
+                continue
+            j, moves = int(place[line]), []
+            while came[j] >= 0:
+                moves.append((at[came[j]], j))
+                j = came[j]
+            for who, to in [*moves, (line, int(other))]:
+                place[who], at[to] = to, who
+            break
+    return place

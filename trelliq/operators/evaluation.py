@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
+from ..functions.linalg import assignment
 from .emissions import GaussianEmission
 from .hmm import HiddenMarkovModel
 from .lds import LinearDynamicalSystem, complete_loglik
@@ -107,13 +107,14 @@ def best_permutation(table: DataFrame, k: int) -> tuple[tuple[int, ...], float]:
     counts = np.zeros((k, k))
     for r in table.collect():
         counts[r.truth - 1, r.predicted - 1] = r.n
-    best = max(itertools.permutations(range(k)), key=lambda p: (sum(counts[p[j], j] for j in range(k)), [-v for v in p]))
-    return tuple(v + 1 for v in best), float(sum(counts[best[j], j] for j in range(k)) / max(counts.sum(), 1))
+    best = assignment(-counts)
+    return tuple(int(v) + 1 for v in best), float(sum(counts[best[j], j] for j in range(k)) / max(counts.sum(), 1))
 
 
 def best_order_by_means(model: HiddenMarkovModel, target: np.ndarray) -> tuple[int, ...]:
+    """Order of states whose means are nearest to the target's rows in all, of equal ones the first."""
     means = np.array([e.mean for e in model.emissions])
-    return min(itertools.permutations(range(model.k)), key=lambda p: float(((means[list(p)] - target) ** 2).sum()))
+    return tuple(int(v) for v in assignment(((means[:, None, :] - np.asarray(target)[None]) ** 2).sum(axis=2)))
 
 
 # Identifiability of linear systems
@@ -131,8 +132,13 @@ def subspace_angles(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
 
 def procrustes(df: DataFrame, x: str, y: str, d: int, proper: bool = False) -> np.ndarray:
     """Orthogonal r with r x nearest to y in least squares, from one aggregation of y x'."""
-    sums = [F.sum(F.get(y, F.lit(i)) * F.get(x, F.lit(j))).alias(f"s{i}_{j}") for i in range(d) for j in range(d)]
-    u, _, vt = np.linalg.svd(np.array(df.agg(*sums).first(), float).reshape(d, d))
+    if d <= E.WIDE:
+        sums = [F.sum(F.get(y, F.lit(i)) * F.get(x, F.lit(j))).alias(f"s{i}_{j}") for i in range(d) for j in range(d)]
+        cross = np.array(df.agg(*sums).first(), float).reshape(d, d)
+    else:
+        both = [*E.elements(F.col(y), d), *E.elements(F.col(x), d)]
+        cross = E.summed_rows(df, both, lambda v: (v[:, :d].T @ v[:, d:]).ravel(), d * d).reshape(d, d)
+    u, _, vt = np.linalg.svd(cross)
     if proper and np.linalg.det(u @ vt) < 0:
         u[:, -1] *= -1
     return u @ vt

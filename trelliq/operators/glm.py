@@ -1,15 +1,19 @@
-"""Ridge logistic and Poisson regression by Newton's method; each step is one aggregation in Catalyst."""
+"""Ridge logistic and Poisson regression. With few inputs by Newton's method, each step one aggregation in Catalyst; with many by a limited-memory
+quasi-Newton method, whose value and gradient are one pass of matrix products in Arrow batches and need no squares of inputs."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import newton
+from ..functions.linalg import lbfgs, newton
+from ..sources.obs import VECTOR, ObservationError, added, vector_batch
+from .emissions import logistic
 
 
 def newton_sums(family: str, eta: Column, xs: list[Column], y: Column, w: Column) -> list[Column]:
@@ -25,10 +29,63 @@ def newton_sums(family: str, eta: Column, xs: list[Column], y: Column, w: Column
     return out + [F.sum(w * bend * xs[i] * xs[j]) for i in range(len(xs)) for j in range(i, len(xs))]
 
 
+def gradient_sums(family: str, x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """For K columns of coefficients (p, K) and weights (n, K): K negative log-likelihoods, then their gradients, (p, K) flat."""
+    eta = x @ beta
+    if family == "bernoulli":
+        value, mean = np.logaddexp(0, eta) - y[:, None] * eta, logistic(eta)
+    else:
+        eta = np.clip(eta, -30, 30)
+        mean = np.exp(eta)
+        value = mean - y[:, None] * eta
+    return np.concatenate([(w * value).sum(axis=0), (x.T @ (w * (mean - y[:, None]))).ravel()])
+
+
+def _fit_wide(emissions: list, df: DataFrame, y: str, u: str, weights: list[str]) -> list:
+    first, k = emissions[0], len(emissions)
+    p, inputs, intercept, family = len(first.beta), first.input_dim, first.include_intercept, first.family
+    penalty = np.stack([e.penalty() for e in emissions], axis=1)
+    rows = df.select(F.get(F.col(y), F.lit(0)).cast("double").alias("y"), F.col(u).cast("array<double>").alias("u"), F.array(*[F.coalesce(w, F.lit(0.0)) for w in weights]).alias("w"))
+
+    def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        beta = flat.reshape(p, k)
+
+        def run(batches):
+            out = np.zeros(k + p * k)
+            for b in batches:
+                n, x = b.num_rows, b.column("u").flatten().to_numpy(zero_copy_only=False)
+                if len(x) != n * inputs:
+                    raise ObservationError(f"inputs that are not {inputs} numbers")
+                x = x.reshape(n, inputs)
+                x = np.hstack([np.ones((n, 1)), x]) if intercept else x
+                out += gradient_sums(family, x, b.column("y").to_numpy(), b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(n, k), beta)
+            yield vector_batch(out)
+
+        s = added(rows.mapInArrow(run, VECTOR), k + p * k)
+        if np.isnan(s).any():
+            raise ObservationError("NaN or infinite observations, inputs or weights")
+        return float(s[:k].sum() + 0.5 * (penalty * beta**2).sum()), s[k:] + (penalty * beta).ravel()
+
+    start = np.hstack([e.beta for e in emissions])
+    beta = lbfgs(objective, start.ravel(), tolerance=1e-9).reshape(p, k)
+    return [replace(e, beta=beta[:, i]) for i, e in enumerate(emissions)]
+
+
 def fit_weighted(emissions: list, df: DataFrame, y: str, u: str, weights: list[Column]) -> list:
-    """New coefficients for several emissions of one family, each with its own weight column; all share every aggregation."""
+    """New coefficients for several emissions of one family, each with its own weight column; all share every aggregation.
+
+    A row with a null in its target, inputs or weight says nothing and is left out; a NaN or infinite one is an ``ObservationError``.
+    """
     first = emissions[0]
     p = len(first.beta)
+    df = df.select(F.col(y).alias(y), F.col(u).alias(u), *[c.alias(f"w{k}") for k, c in enumerate(weights)])
+    df = df.filter(~F.exists(u, lambda v: v.isNull()) & F.get(F.col(y), F.lit(0)).isNotNull() & F.coalesce(*[f"w{k}" for k in range(len(weights))]).isNotNull()).persist()
+    weights = [F.col(f"w{k}") for k in range(len(weights))]
+    if p > E.WIDE:
+        try:
+            return _fit_wide(emissions, df, y, u, [f"w{k}" for k in range(len(weights))])
+        finally:
+            df.unpersist()
     us = E.elements(F.col(u), first.input_dim)
     xs = [F.lit(1.0), *us] if first.include_intercept else us
     target = F.get(F.col(y), F.lit(0)).cast("double")
@@ -44,6 +101,8 @@ def fit_weighted(emissions: list, df: DataFrame, y: str, u: str, weights: list[C
             for k, w in enumerate(weights):
                 columns += newton_sums(first.family, E.linear(xs, flat[k * p : (k + 1) * p]), xs, target, w)
             row = np.array([v or 0.0 for v in df.agg(*[c.alias(f"s{i}") for i, c in enumerate(columns)]).first()])
+            if np.isnan(row).any() and np.isfinite(flat).all():
+                raise ObservationError("NaN or infinite observations, inputs or weights")
             value, gradient, hessian = 0.0, np.zeros(len(flat)), np.zeros((len(flat),) * 2)
             for k in range(len(weights)):
                 s, at = row[k * size : (k + 1) * size], slice(k * p, (k + 1) * p)
@@ -56,8 +115,6 @@ def fit_weighted(emissions: list, df: DataFrame, y: str, u: str, weights: list[C
         return seen[key]
 
     start = np.concatenate([e.beta[:, 0] for e in emissions])
-    df = df.select(F.col(y).alias(y), F.col(u).alias(u), *[c.alias(f"w{k}") for k, c in enumerate(weights)]).persist()
-    weights = [F.col(f"w{k}") for k in range(len(weights))]
     try:
         flat = newton(lambda b: evaluate(b)[0], lambda b: evaluate(b)[1:], start, iterations=50, tolerance=1e-8)
     finally:

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import log_sum_exp
-from ..sources.obs import by_trial, matrix, trials
+from ..functions.linalg import log_sum_exp, make_posdef
+from ..sources.obs import FAULTS, VECTOR, added, by_trial, matrix, refuse, sound, trials, vector_batch
 from .emissions import AutoRegressionEmission, GaussianEmission
 from .families import MarkovFamily
 from .glm import fit_weighted
@@ -258,8 +259,12 @@ class HiddenMarkovModel(MarkovFamily):
 
         return self._map(obs, kernel, "trial_id long, loglik double")
 
-    def class_probabilities(self, obs: DataFrame) -> DataFrame:
-        """(trial_id, t, gamma): posterior state probabilities."""
+    def class_probabilities(self, obs: DataFrame, stretch: int | None = None) -> DataFrame:
+        """(trial_id, t, gamma): posterior state probabilities. With ``stretch`` trials are cut into stretches of so many steps."""
+        if stretch:
+            from .stretches import markov, scan
+
+            return scan(obs.select("trial_id", "t", "y", "u"), stretch, markov(self), "trial_id long, t int, gamma array<double>")
 
         def kernel(some, ys, us, ll, lengths):
             gamma, _, _ = posterior(ll, lengths, _log(self.a), _log(self.pi))
@@ -267,8 +272,12 @@ class HiddenMarkovModel(MarkovFamily):
 
         return self._map(obs, kernel, "trial_id long, t int, gamma array<double>")
 
-    def viterbi(self, obs: DataFrame) -> DataFrame:
-        """(trial_id, t, state), states from 1."""
+    def viterbi(self, obs: DataFrame, stretch: int | None = None) -> DataFrame:
+        """(trial_id, t, state), states from 1. With ``stretch`` trials are cut into stretches of so many steps; of equal paths it gives any."""
+        if stretch:
+            from .stretches import markov, scan
+
+            return scan(obs.select("trial_id", "t", "y", "u"), stretch, markov(self, best=True), "trial_id long, t int, state int")
 
         def kernel(some, ys, us, ll, lengths):
             path = viterbi_path(ll, lengths, _log(self.a), _log(self.pi)) + 1
@@ -277,41 +286,23 @@ class HiddenMarkovModel(MarkovFamily):
         return self._map(obs, kernel, "trial_id long, t int, state int")
 
     def chunked_loglikelihood(self, obs: DataFrame, steps: int = 4096) -> DataFrame:
-        """(trial_id, loglik) for trials too long for one task: products of transition matrices per stretch of ``steps``, then a fold."""
-        log_a, log_pi, k = _log(self.a), _log(self.pi), self.k
+        """(trial_id, loglik) for trials too long for one task: products of transition matrices of stretches, combined level by level."""
+        from .stretches import log_evidence, markov, totals
 
-        def product(batches):
-            for some in trials(batches):
-                for p in some:
-                    ll = self.emission_loglikelihoods(matrix(p, "y"), matrix(p, "u"))
-                    first = p["t"].iat[0] == 1
-                    m = np.where(np.eye(k, dtype=bool), 0.0, -math.inf)
-                    for t in range(len(ll)):
-                        step = (m if first and t == 0 else log_sum_exp(m[:, :, None] + log_a[None], axis=1)) + ll[t]
-                        m = step
-                    yield pd.DataFrame({"trial": p["trial"].iloc[:1].to_numpy(), "stretch": p["stretch"].iloc[:1].to_numpy(), "m": [m.ravel()]})
-
-        def fold(key, pdf):
-            v = log_pi
-            for m in pdf.sort_values("stretch")["m"]:
-                v = log_sum_exp(v[:, None] + np.asarray(m).reshape(k, k), axis=0)
-            return pd.DataFrame({"trial_id": [key[0]], "loglik": [float(log_sum_exp(v))]})
-
-        cut = obs.select("trial_id", "t", "y", "u").withColumn("stretch", F.floor((F.col("t") - 1) / steps)).withColumn("trial", F.col("trial_id"))
-        cut = cut.withColumn("trial_id", F.xxhash64("trial", "stretch"))
-        parts = cut.repartition("trial", "stretch").sortWithinPartitions("trial", "stretch", "t").mapInPandas(product, "trial long, stretch long, m array<double>")
-        return parts.groupBy("trial").applyInPandas(fold, "trial_id long, loglik double")
+        return totals(obs.select("trial_id", "t", "y", "u"), steps, markov(self), log_evidence(self), "loglik")
 
     # Learning
 
-    def _sums(self, arranged: DataFrame, emissions: bool) -> np.ndarray:
-        """Trials, log-likelihood, first-step gamma, xi, gamma before the last step, and each emission's statistics, summed."""
-        k = self.k
+    def _sums(self, arranged: DataFrame, emissions: bool, check: bool = True) -> np.ndarray:
+        """Trials, log-likelihood, first-step gamma, xi, gamma before the last step, and each emission's statistics, summed; see ``summed``."""
+        k, faulty = self.k, len(FAULTS)
         width = 2 + k + k * k + k + (sum(e.width() for e in self.emissions) if emissions else 0)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(width)
-            for some in trials(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, out = np.zeros(faulty), np.zeros(width)
+            for some in trials((b.to_pandas() for b in batches), counts=counts):
+                if check and not (some := sound(some, counts)):
+                    continue
                 ys, us, ll, lengths = self._chunk(some)
                 gamma, xi, loglik = posterior(ll, lengths, _log(self.a), _log(self.pi))
                 ends = gamma[np.arange(len(lengths)), lengths - 1]
@@ -323,13 +314,11 @@ class HiddenMarkovModel(MarkovFamily):
                     g = np.concatenate([gamma[i, :n] for i, n in enumerate(lengths)])
                     parts += [e.statistics(y, u, g[:, i] * w) for i, e in enumerate(self.emissions)]
                 out += np.concatenate(parts)
-            yield pd.DataFrame({"v": [out]})
+            yield vector_batch(np.concatenate([counts, out]))
 
-        found = arranged.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(width)
-        for i, x in found:
-            out[i] = x
-        return out
+        found = added(arranged.mapInArrow(run, VECTOR), faulty + width)
+        refuse(found[:faulty])
+        return found[faulty:]
 
     def _mstep_chain(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = self.k
@@ -347,8 +336,8 @@ class HiddenMarkovModel(MarkovFamily):
         arranged = by_trial(obs.select("trial_id", "t", moved("y", y).alias("y"), moved("u", u).alias("u"), "w")).persist()
         model, history = self if y is None else self._moved(-y, None if u is None else -u), []
         try:
-            for _ in range(max_iters):
-                s = model._sums(arranged, closed)
+            for i in range(max_iters):
+                s = model._sums(arranged, closed, i == 0)
                 history.append(float(s[1]))
                 if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                     break
@@ -385,16 +374,12 @@ class HiddenMarkovModel(MarkovFamily):
         d = self.emissions[0].output_dim
         points = obs.select(F.col("y").alias("x"))
         labelled = assign(points, kmeans(points, self.k, d, seed=seed).centroids)
-        cols = [F.get("x", F.lit(i)) for i in range(d)]
-        rows = labelled.groupBy("label").agg(
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.covar_samp(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(d)]
-        ).collect()
         emissions = list(self.emissions)
-        for r in rows:
-            cov = np.array([[r[f"c{i}_{j}"] if r[f"c{i}_{j}"] is not None else float(i == j) for j in range(d)] for i in range(d)])
-            from ..functions.linalg import make_posdef
-
-            emissions[r.label - 1] = GaussianEmission([r[f"m{i}"] for i in range(d)], make_posdef(np.nan_to_num(cov)))
+        for label, (n, s, q) in enumerate(E.grouped_moments(labelled, "x", "label", d, self.k)):
+            if n:
+                mean = s / n
+                cov = (q - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.eye(d)
+                emissions[label] = GaussianEmission(mean, make_posdef(cov))
         return HiddenMarkovModel(self.a, self.pi, tuple(emissions))
 
     # Sampling

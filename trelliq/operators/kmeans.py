@@ -1,4 +1,4 @@
-"""k-means with k-means++ seeding on an array column ``x``; k centroids travel as literals."""
+"""k-means on an array column ``x``, seeded by k-means++ or, for many clusters, in a few oversampled rounds."""
 
 from __future__ import annotations
 
@@ -34,18 +34,30 @@ def assign(df: DataFrame, centroids, x: str = "x") -> DataFrame:
     return df.withColumn("label", F.array_position(d, F.array_min(d)).cast("int"))
 
 
-def weighted_choice(df: DataFrame, weight: Column, key: Column) -> DataFrame:
-    """One row, picked with odds proportional to ``weight``: the largest of ln(uniform)/weight, with a uniform from ``key``'s hash."""
+def weighted_choices(df: DataFrame, weight: Column, key: Column, n: int) -> DataFrame:
+    """``n`` rows picked with odds proportional to ``weight``, none twice: the largest of ln(uniform)/weight, with a uniform from ``key``'s hash."""
     uniform = (F.pmod(key, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return df.withColumn("_score", F.when(weight > 0, F.ln(uniform) / weight)).filter("_score is not null").orderBy(F.desc("_score")).limit(1).drop("_score")
+    return df.withColumn("_score", F.when(weight > 0, F.ln(uniform) / weight)).filter("_score is not null").orderBy(F.desc("_score")).limit(n).drop("_score")
+
+
+def weighted_choice(df: DataFrame, weight: Column, key: Column) -> DataFrame:
+    return weighted_choices(df, weight, key, 1)
 
 
 def plus_plus(df: DataFrame, k: int, d: int, x: str = "x", seed: int = 0) -> np.ndarray:
     """k seeds, each picked with odds proportional to the squared distance to the nearest before it."""
     xs = E.elements(F.col(x), d)
     chosen: list[list[float]] = []
+
+    def distance() -> Column:
+        if d > E.WIDE:
+            near = np.array(chosen)
+            return E.rows_apply(xs, lambda v: _squared(v, near))
+        each = _distances(xs, chosen)
+        return F.least(*each) if len(each) > 1 else each[0]
+
     for i in range(k):
-        weight = F.lit(1.0) if not chosen else F.least(*_distances(xs, chosen)) if len(chosen) > 1 else _distances(xs, chosen)[0]
+        weight = distance() if chosen else F.lit(1.0)
         row = weighted_choice(df.select(x), weight, F.xxhash64(F.lit(seed), F.lit(i), F.col(x))).first()
         if row is None:
             row = weighted_choice(df.select(x), F.lit(1.0), F.xxhash64(F.lit(seed), F.lit(i), F.col(x))).first()
@@ -55,6 +67,53 @@ def plus_plus(df: DataFrame, k: int, d: int, x: str = "x", seed: int = 0) -> np.
     return np.array(chosen)
 
 
+def _squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to its nearest centroid, by differences (products would lose the digits of small ones)."""
+    out = np.full(len(v), np.inf)
+    for c in centroids:
+        np.minimum(out, ((v - c) ** 2).sum(axis=1), out=out)
+    return out
+
+
+def parallel_seeds(df: DataFrame, k: int, d: int, x: str = "x", seed: int = 0, rounds: int = 5, oversampling: int = 2) -> np.ndarray:
+    """k seeds from ``rounds`` scans, however many they are.
+
+    Each round adds ``oversampling`` times k points, picked at once with odds proportional to the squared distance to the nearest candidate
+    so far. Candidates are then weighted by the points nearest to them, in one more scan, and k-means++ runs on them on the driver,
+    which holds rounds times oversampling times k points at most.
+    """
+    points, xs = df.select(x), E.elements(F.col(x), d)
+    first = weighted_choice(points, F.lit(1.0), F.xxhash64(F.lit(seed), F.lit(0), F.col(x))).first()
+    if first is None:
+        raise ValueError("no points")
+    found = [list(map(float, first[0]))]
+    for i in range(rounds):
+        near = np.array(found)
+        scored = points.withColumn("_d", E.rows_apply(xs, lambda v, near=near: _squared(v, near)))
+        found += [list(map(float, r[0])) for r in weighted_choices(scored, F.col("_d"), F.xxhash64(F.lit(seed), F.lit(i + 1), F.col(x)), oversampling * k).select(x).collect()]
+    candidates = np.unique(np.array(found), axis=0)
+    weights = E.summed_rows(points, xs, lambda v: np.bincount(_nearest(v, candidates), minlength=len(candidates)).astype(float), len(candidates))
+    rng = np.random.Generator(np.random.Philox(key=[seed, k]))
+    chosen = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        odds = weights * _squared(candidates, np.array(chosen))
+        # Fewer different points than clusters: the rest fall on points that there are.
+        odds = odds if odds.sum() > 0 else weights
+        # Of a few draws the one that helps most, as in greedy k-means++.
+        draws = rng.choice(len(candidates), size=2 + int(np.log(k)), p=odds / odds.sum())
+        costs = [(weights * _squared(candidates, np.array([*chosen, candidates[j]]))).sum() for j in draws]
+        chosen.append(candidates[draws[int(np.argmin(costs))]])
+    return np.array(chosen)
+
+
+#: Up to so many seeds are found one after the other, a scan each.
+FEW_SEEDS = 8
+
+
+def seeds(df: DataFrame, k: int, d: int, x: str = "x", seed: int = 0) -> np.ndarray:
+    return (plus_plus if k <= FEW_SEEDS else parallel_seeds)(df, k, d, x, seed)
+
+
 def step(df: DataFrame, centroids: np.ndarray, x: str = "x") -> tuple[np.ndarray, np.ndarray]:
     """Means of the clusters around ``centroids`` and their sizes, in one aggregation."""
     k, d = centroids.shape
@@ -80,7 +139,7 @@ def kmeans(df: DataFrame, k: int, d: int, max_iters: int = 100, tol: float = 1e-
     """Lloyd's iterations until no centroid moves by ``tol``; an empty cluster starts anew at a random point."""
     points = df.select(x).persist()
     try:
-        centroids = plus_plus(points, k, d, x, seed) if start is None else np.array(start, float)
+        centroids = seeds(points, k, d, x, seed) if start is None else np.array(start, float)
         for it in range(1, max_iters + 1):
             new, sizes = step(points, centroids, x)
             for j in np.flatnonzero(sizes == 0):

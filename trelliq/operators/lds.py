@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from ..functions import expr as E
 from ..functions.display import Described
 from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, make_posdef, stabilize_covariance, valid_covariance
-from ..sources.obs import by_trial, kept, matrix, summed, trials
+from ..sources.obs import by_trial, kept, matrix, refuse_faults, summed, trials
 from .families import DynamicalFamily, ObservationFamily, StateFamily
 
 log = logging.getLogger(__name__)
@@ -329,9 +329,14 @@ class LinearDynamicalSystem(DynamicalFamily):
 
     # Tables
 
-    def smooth(self, obs: DataFrame) -> DataFrame:
-        """(trial_id, t, x, p, p_lag, entropy); matrices are flat, row by row, entropy is the trial's."""
+    def smooth(self, obs: DataFrame, stretch: int | None = None) -> DataFrame:
+        """(trial_id, t, x, p, p_lag, entropy); matrices are flat, row by row, entropy is the trial's.
+
+        With ``stretch`` trials of Gaussian observations are cut into stretches of so many steps, for those too long for one task.
+        """
         model = self
+        if stretch:
+            return self._smooth_stretches(obs, stretch)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             factors: dict = {}
@@ -340,7 +345,17 @@ class LinearDynamicalSystem(DynamicalFamily):
 
         return by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double")
 
-    def _estep(self, arranged: DataFrame) -> np.ndarray:
+    def _smooth_stretches(self, obs: DataFrame, stretch: int) -> DataFrame:
+        if self.poisson:
+            raise TypeError("only Gaussian observations are smoothed by stretches")
+        from .stretches import gaussian, scan
+
+        found = scan(obs.select("trial_id", "t", "y"), stretch, gaussian(self), "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, log_det double")
+        lengths = obs.groupBy("trial_id").agg(F.max("t").alias("steps"))
+        entropy = 0.5 * F.col("steps") * self.latent_dim * (1 + math.log(2 * math.pi)) - 0.5 * F.col("log_det")
+        return found.join(lengths, "trial_id").select("trial_id", "t", "x", "p", "p_lag", entropy.alias("entropy"))
+
+    def _estep(self, arranged: DataFrame, check: bool = True) -> np.ndarray:
         model, width = self, self.width() - 2
         factors: dict = {}
 
@@ -349,7 +364,7 @@ class LinearDynamicalSystem(DynamicalFamily):
             x, cov, lag, entropy = model.smooth_trial(y, factors=factors)
             return np.concatenate([model.sums(x, cov, lag, y, w), [entropy, 1.0]])
 
-        return summed(arranged, statistics, width + 2)
+        return summed(arranged, statistics, width + 2, check)
 
     def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[LinearDynamicalSystem, list[float], list[float]]:
         """EM over all trials: (model, ELBO before each M-step, size of each step's change of parameters)."""
@@ -360,6 +375,8 @@ class LinearDynamicalSystem(DynamicalFamily):
         model, history, moved = self._moved(-means), [], []
         paths = None
         try:
+            if model.poisson:
+                refuse_faults(arranged)
             for i in range(max_iters):
                 if model.poisson:
                     new, value, later = model._poisson_step(arranged if paths is None else paths, i)
@@ -367,7 +384,7 @@ class LinearDynamicalSystem(DynamicalFamily):
                         paths.unpersist()
                     paths = later
                 else:
-                    s = model._estep(arranged)
+                    s = model._estep(arranged, i == 0)
                     new, value = model.mstep(s), model.elbo(s)
                 history.append(value)
                 moved.append(float(np.linalg.norm(new.parameters() - model.parameters())))

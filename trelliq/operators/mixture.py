@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..functions.linalg import log_sum_exp
 from .families import MixtureFamily
-from .kmeans import plus_plus
+from .kmeans import seeds
 
 
 class _Mixture(MixtureFamily):
@@ -125,20 +126,41 @@ class GaussianMixture(_Mixture):
         k, d = self.means.shape
         weights, means, covs = np.zeros(k), np.array(self.means), np.array(self.covs)
         for c in range(k):
-            n = row[f"n{c}"] or 0.0
+            wide = row["wide"][c] if "wide" in row else None
+            n = (row[f"n{c}"] or 0.0) if wide is None else wide[0]
             weights[c] = n / row["n"] if row["n"] else self.weights[c]
             if n <= 0:
                 continue
-            move = np.array([row[f"s{c}_{i}"] / n for i in range(d)])
+            move = (np.array([row[f"s{c}_{i}"] for i in range(d)]) if wide is None else wide[1 : 1 + d]) / n
             means[c] += move
-            q = np.array([[row[f"q{c}_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+            q = np.array([[row[f"q{c}_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) if wide is None else wide[1 + d :].reshape(d, d)
             scatter = q - n * np.outer(move, move)
             covs[c] = (scatter + scatter.T) / 2 / (n + 1e-6) + 1e-6 * np.eye(d)
         return GaussianMixture(weights, means, covs)
 
+    def _scan(self, df):
+        """Beyond a few elements by matrix products in Arrow batches: sums of blocks, whatever the number of elements and components."""
+        k, d = self.means.shape
+        if d <= E.WIDE:
+            return super()._scan(df)
+        weights, means = np.array(self.weights), np.array(self.means)
+        inverses = [np.linalg.inv(np.linalg.cholesky(c)) for c in self.covs]
+        with np.errstate(divide="ignore"):
+            starts = np.log(weights) - 0.5 * d * math.log(2 * math.pi) + np.array([np.log(np.diag(i)).sum() for i in inverses])
+
+        def kernel(x: np.ndarray) -> np.ndarray:
+            centred = [x - m for m in means]
+            joint = np.stack([c - 0.5 * ((v @ i.T) ** 2).sum(axis=1) for c, v, i in zip(starts, centred, inverses, strict=True)], axis=1)
+            z = log_sum_exp(joint, axis=1)
+            g = np.exp(joint - z[:, None])
+            return np.concatenate([[len(x), z.sum()], *[np.concatenate([[g[:, i].sum()], g[:, i] @ v, ((v * g[:, i, None]).T @ v).ravel()]) for i, v in enumerate(centred)]])
+
+        out = E.summed_rows(df, self._xs(), kernel, 2 + k * (1 + d + d * d))
+        return {"n": out[0], "loglik": out[1], "wide": out[2:].reshape(k, -1)}
+
     def _seeded(self, df, seed):
         k, d = self.means.shape
-        return GaussianMixture(self.weights, plus_plus(df, k, d, seed=seed), self.covs)
+        return GaussianMixture(self.weights, seeds(df, k, d, seed=seed), self.covs)
 
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         """(id, component from 1, x)."""
@@ -194,7 +216,7 @@ class PoissonMixture(_Mixture):
 
     def _seeded(self, df, seed):
         points = df.select(F.array(F.col("x").cast("double")).alias("x"))
-        return PoissonMixture(self.weights, np.maximum(plus_plus(points, len(self.rates), 1, seed=seed)[:, 0], 1e-3))
+        return PoissonMixture(self.weights, np.maximum(seeds(points, len(self.rates), 1, seed=seed)[:, 0], 1e-3))
 
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         """(id, component from 1, x); a generator for each row's block of ids, so results do not depend on partitioning."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.linalg import BlockTridiagonal, is_probvec
-from ..sources.obs import by_trial, kept, matrix, summed, trials
+from ..sources.obs import by_trial, kept, matrix, refuse_faults, summed, trials
 from .families import DynamicalFamily
 from .hmm import _log, posterior
 from .lds import LinearDynamicalSystem, PoissonObservation, _poisson_curvature, minimise_poisson, poisson_terms
@@ -126,6 +126,7 @@ class SLDS(DynamicalFamily):
         poisson = self.systems[0].poisson
         means = np.zeros(self.systems[0].obs_dim) if poisson else E.weighted_means(obs, E.elements(F.col("y"), self.systems[0].obs_dim), F.lit(1.0))
         arranged = by_trial(obs.select("trial_id", "t", F.col("y") if poisson else F.zip_with("y", E.lit_array(means), lambda a, b: a - b).alias("y")))
+        refuse_faults(arranged)
         schema = "trial_id long, t int, y array<double>, x array<double>, p array<double>, p_lag array<double>, w array<double>, xi array<double>, entropy double"
         flat = lambda a: list(a.reshape(len(a), -1))
 
