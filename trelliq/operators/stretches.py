@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import BlockTridiagonal, log_sum_exp
-from ..sources.obs import ObservationError, matrix
+from ..sources.obs import FAULTS, ObservationError, matrix
 from .hmm import _log, posterior, viterbi_path
 
 #: Elements that are combined at once.
@@ -42,19 +42,20 @@ class Kernel:
     finish: Callable[[pd.DataFrame, np.ndarray, bool], dict]
 
 
-def _check(p: pd.DataFrame, steps: int) -> pd.DataFrame:
+def _check(p: pd.DataFrame, node: int, steps: int) -> pd.DataFrame:
     """A stretch in order; one with missing or repeated steps is an error (its trial's last may be short)."""
-    p = p.sort_values("t")
-    t, first = p["t"].to_numpy(), int(p["node"].iat[0]) * steps + 1
-    if p["trial_id"].isna().any() or t[0] != first or (np.diff(t) != 1).any():
-        raise ObservationError(f"steps of trial {p['trial_id'].iat[0]} from {first} on are not one after the other")
+    t, first = p["t"].to_numpy(), node * steps + 1
+    if not len(t) or t[0] != first or (np.diff(t) != 1).any():
+        raise ObservationError(f"steps of trial {p['trial_id'].iat[0] if len(t) else '?'} from {first} on are not one after the other")
     return p
 
 
 def _cut(obs: DataFrame, steps: int) -> tuple[DataFrame, int]:
     """Rows with ``node``, their stretch, and the number of levels above the stretches."""
-    longest = obs.agg(F.max("t")).first()[0] or 1
-    count, levels = -(-longest // steps), 0
+    longest, nameless = obs.agg(F.max("t"), F.count_if(F.col("trial_id").isNull())).first()
+    if nameless:
+        raise ObservationError(f"{nameless} {FAULTS[0]}")
+    count, levels = -(-(longest or 1) // steps), 0
     while count > 1:
         count, levels = -(-count // FAN), levels + 1
     return obs.withColumn("node", F.floor((F.col("t") - 1) / steps).cast("long")), levels
@@ -63,27 +64,53 @@ def _cut(obs: DataFrame, steps: int) -> tuple[DataFrame, int]:
 _ELEMENT = "trial_id long, node long, v array<double>"
 
 
+def _groups(df: DataFrame, group: str, order: str, kernel: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """The kernel's columns for all rows of each (trial_id, group), in order: one shuffle, and no call to Spark for a group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            ids, groups = batch["trial_id"].to_numpy(), batch[group].to_numpy()
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (groups[1:] != groups[:-1])) + 1).tolist(), len(batch)]
+            out = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and (held[-1]["trial_id"].iat[-1], held[-1][group].iat[-1]) != (ids[i], groups[i]):
+                    out.append(pd.DataFrame(kernel(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))))
+                    held = []
+                held.append(batch.iloc[i:j])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield pd.DataFrame(kernel(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)))
+
+    return df.repartition("trial_id", group).sortWithinPartitions("trial_id", group, order).mapInPandas(run, schema)
+
+
 def _up(rows: DataFrame, levels: int, steps: int, kernel: Kernel) -> list[DataFrame]:
     """Elements of the stretches and of each level above them."""
 
-    def element(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"trial_id": [key[0]], "node": [key[1]], "v": [kernel.element(_check(p, steps), key[1] == 0)]})
+    def element(p: pd.DataFrame) -> dict:
+        node = int(p["node"].iat[0])
+        return {"trial_id": p["trial_id"].iloc[:1].to_numpy(), "node": [node], "v": [kernel.element(_check(p, node, steps), node == 0)]}
 
-    def combine(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("node")
-        if (np.diff(p["node"].to_numpy()) != 1).any():
-            raise ObservationError(f"trial {key[0]} lacks whole stretches of {steps} steps")
-        return pd.DataFrame({"trial_id": [key[0]], "node": [key[1]], "v": [kernel.combine(list(p["v"]))]})
+    def combine(p: pd.DataFrame) -> dict:
+        if (np.diff(p["node"].to_numpy()) != 1).any() or p["node"].iat[0] % FAN:
+            raise ObservationError(f"trial {p['trial_id'].iat[0]} lacks whole stretches of {steps} steps")
+        return {"trial_id": p["trial_id"].iloc[:1].to_numpy(), "node": p["parent"].iloc[:1].to_numpy(), "v": [kernel.combine(list(p["v"]))]}
 
-    out = [rows.groupBy("trial_id", "node").applyInPandas(element, _ELEMENT)]
+    out = [_groups(rows, "node", "t", element, _ELEMENT)]
     for _ in range(levels):
-        parent = F.floor(F.col("node") / FAN).cast("long").alias("parent")
-        out.append(out[-1].groupBy("trial_id", parent).applyInPandas(combine, _ELEMENT))
+        out.append(_groups(out[-1].withColumn("parent", F.floor(F.col("node") / FAN).cast("long")), "parent", "node", combine, _ELEMENT))
     return out
 
 
 def scan(obs: DataFrame, steps: int, kernel: Kernel, schema: str) -> DataFrame:
-    """The kernel's result for every row of ``obs`` (trial_id, t, y, ...), whose steps are 1..T in each trial."""
+    """The kernel's result for every row of ``obs`` (trial_id, t, y, ...), whose steps are 1..T in each trial.
+
+    A node's message comes to its parts as one more row, before theirs.
+    """
     rows, levels = _cut(obs, steps)
     elements = _up(rows, levels, steps, kernel)
 
@@ -91,21 +118,22 @@ def scan(obs: DataFrame, steps: int, kernel: Kernel, schema: str) -> DataFrame:
         for p in batches:
             yield pd.DataFrame({"trial_id": p["trial_id"], "node": p["node"], "v": [kernel.root(v) for v in p["v"]]})
 
-    def down(key: tuple, parts: pd.DataFrame, message: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("node")
-        found = kernel.down(list(parts["v"]), message["v"].iat[0], key[1] == 0)
-        return pd.DataFrame({"trial_id": parts["trial_id"].to_numpy(), "node": parts["node"].to_numpy(), "v": found})
+    def down(p: pd.DataFrame) -> dict:
+        parts = p.iloc[1:]
+        return {"trial_id": parts["trial_id"].to_numpy(), "node": parts["node"].to_numpy(), "v": kernel.down(list(parts["v"]), p["v"].iat[0], p["parent"].iat[0] == 0)}
 
-    def finish(key: tuple, p: pd.DataFrame, message: pd.DataFrame) -> pd.DataFrame:
-        p = _check(p, steps)
-        return pd.DataFrame({"trial_id": p["trial_id"].to_numpy(), "t": p["t"].to_numpy(), **kernel.finish(p, message["v"].iat[0], key[1] == 0)})
+    def finish(p: pd.DataFrame) -> dict:
+        node = int(p["node"].iat[0])
+        part = _check(p.iloc[1:], node, steps)
+        return {"trial_id": part["trial_id"].to_numpy(), "t": part["t"].to_numpy(), **kernel.finish(part, p["message"].iat[0], node == 0)}
 
     messages = elements[-1].mapInPandas(root, _ELEMENT)
     for level in range(levels - 1, -1, -1):
-        parent = F.floor(F.col("node") / FAN).cast("long")
-        parts = elements[level].withColumn("parent", parent).groupBy("trial_id", "parent")
-        messages = parts.cogroup(messages.groupBy("trial_id", "node")).applyInPandas(down, _ELEMENT)
-    return rows.groupBy("trial_id", "node").cogroup(messages.groupBy("trial_id", "node")).applyInPandas(finish, schema)
+        parts = elements[level].select("trial_id", F.floor(F.col("node") / FAN).cast("long").alias("parent"), "node", "v")
+        above = messages.select("trial_id", F.col("node").alias("parent"), F.lit(-1).cast("long").alias("node"), "v")
+        messages = _groups(parts.union(above), "parent", "node", down, _ELEMENT)
+    above = messages.select("trial_id", "node", F.lit(0).alias("t"), F.col("v").alias("message"))
+    return _groups(rows.unionByName(above, allowMissingColumns=True), "node", "t", finish, schema)
 
 
 def totals(obs: DataFrame, steps: int, kernel: Kernel, value: Callable[[np.ndarray], float], name: str) -> DataFrame:
