@@ -78,23 +78,39 @@ def random_hmm(points: DataFrame, k: int, d: int, seed: int = 0) -> HiddenMarkov
 def cross_validate_lds(obs: DataFrame, n_folds: int, start: LinearDynamicalSystem, max_iters: int = 100, tol: float = 1e-6) -> list[float]:
     """Log-likelihood a step of each held-out fold under the Gaussian system fitted to the others.
 
-    The ELBO of a fit's first iteration is taken, which for Gaussian observations is the log-likelihood.
+    For Gaussian observations the ELBO of a fit's first iteration is taken, which is the log-likelihood; for counts ``marginal_loglik``.
     """
     if start.poisson:
-        raise TypeError("held-out likelihoods of Poisson systems have no closed form")
+        scored = lambda m, test: m.marginal_loglik(test).agg(F.sum("loglik")).first()[0]
+        return cross_validate(obs, n_folds, lambda train: start.fit(train, max_iters, tol)[0], scored)
     return cross_validate(obs, n_folds, lambda train: start.fit(train, max_iters, tol)[0], lambda m, test: m.fit(test, max_iters=1)[1][0])
 
 
 def multi_start(obs: DataFrame, k: int, d: int, starts: int, max_iters: int = 100, tol: float = 1e-6, seed: int = 0) -> list[tuple[HiddenMarkovModel, list[float]]]:
-    """Fits from several random starts with their histories, the best last likelihood first."""
+    """Fits from several random starts with their histories, the best last likelihood first; all read the trials together."""
     points = obs.select("trial_id", "t", "y", "u", "w").persist()
     try:
-        fits = [random_hmm(points, k, d, seed + i).fit(points, max_iters, tol) for i in range(starts)]
+        fits = HiddenMarkovModel.fit_many([random_hmm(points, k, d, seed + i) for i in range(starts)], points, max_iters, tol)
     finally:
         points.unpersist()
     return sorted(fits, key=lambda f: -f[1][-1])
 
 
+def cross_validate_starts(obs: DataFrame, n_folds: int, starts: Sequence[HiddenMarkovModel], max_iters: int = 100, tol: float = 1e-6) -> np.ndarray:
+    """(starts, folds) log-likelihoods a step of held-out folds, of models that may differ in their number of states.
+
+    One pass an iteration for all starts and folds, and one for the scores; as ``cross_validate`` gives them one by one.
+    """
+    folded = with_folds(obs.select("trial_id", "t", "y", "u", "w"), n_folds).persist()
+    try:
+        folds = [f for _ in starts for f in range(n_folds)]
+        fits = HiddenMarkovModel.fit_many([m for m in starts for _ in range(n_folds)], folded, max_iters, tol, folds)
+        scores = HiddenMarkovModel.score_folds([m for m, _ in fits], folded, folds)
+    finally:
+        folded.unpersist()
+    return np.array(scores).reshape(len(starts), n_folds)
+
+
 # Alignment of labels
 
 

@@ -125,3 +125,55 @@ def fit_weighted(emissions: list, df: DataFrame, y: str, u: str, weights: list[C
 def fit_glm(emission, df: DataFrame, y: str = "y", u: str = "u", w: str | None = None):
     """Minimum of the weighted negative log-likelihood plus l2/2 times the squared coefficients without the intercept."""
     return fit_weighted([emission], df, y, u, [F.col(w) if w else F.lit(1.0)])[0]
+
+
+def fit_by_ascent(emissions: list, df: DataFrame, y: str, u: str, weights: list[Column]) -> list:
+    """New parameters for emissions of any kind, each with its own weight column, by ascent of the weighted log-likelihood.
+
+    An emission offers ``logpdf(y, u)``, ``parameters()``, a vector of any real numbers, and ``with_parameters(vector)``; its derivatives by these
+    are ``score(y, u)``, (n, parameters), or else are taken by differences. All emissions share each pass over the rows, which gives the
+    values and gradients. A row with a null weight says nothing; a likelihood that is NaN is an ``ObservationError``.
+    """
+    sizes = [len(e.parameters()) for e in emissions]
+    ends, k = np.cumsum([0, *sizes]), len(emissions)
+    rows = df.select(F.col(y).alias("y"), F.col(u).alias("u"), F.array(*[F.coalesce(w, F.lit(0.0)) for w in weights]).alias("w")).persist()
+
+    def stacked(column: pa.Array) -> np.ndarray | None:
+        return None if column.null_count == len(column) else np.stack(column.to_pandas().to_numpy()).astype(float)
+
+    def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        now = [e.with_parameters(flat[a:b]) for e, a, b in zip(emissions, ends[:-1], ends[1:], strict=True)]
+
+        def run(batches):
+            out = np.zeros(1 + len(flat))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ys, us, w = stacked(batch.column("y")), stacked(batch.column("u")), stacked(batch.column("w"))
+                for i, (e, a, b) in enumerate(zip(now, ends[:-1], ends[1:], strict=True)):
+                    out[0] -= w[:, i] @ e.logpdf(ys, us)
+                    out[1 + a : 1 + b] -= w[:, i] @ (e.score(ys, us) if hasattr(e, "score") else differences(e, ys, us))
+            yield vector_batch(out)
+
+        s = added(rows.mapInArrow(run, VECTOR), 1 + len(flat))
+        return float(s[0]), s[1:]
+
+    try:
+        start = np.concatenate([e.parameters() for e in emissions])
+        if not np.isfinite(objective(start)[0]):
+            raise ObservationError("the likelihood of the observations is not a number")
+        flat = lbfgs(objective, start, iterations=100, tolerance=1e-7)
+    finally:
+        rows.unpersist()
+    return [e.with_parameters(flat[a:b]) for e, a, b in zip(emissions, ends[:-1], ends[1:], strict=True)]
+
+
+def differences(emission, y: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+    """Derivatives of each row's log-density by the emission's parameters, by central differences."""
+    at = np.asarray(emission.parameters(), float)
+    out = np.empty((len(y), len(at)))
+    for i, v in enumerate(at):
+        step = np.zeros(len(at))
+        step[i] = 1e-6 * max(1.0, abs(v))
+        out[:, i] = (emission.with_parameters(at + step).logpdf(y, u) - emission.with_parameters(at - step).logpdf(y, u)) / (2 * step[i])
+    return out

@@ -22,7 +22,7 @@ from ..functions.linalg import log_sum_exp, make_posdef
 from ..sources.obs import FAULTS, VECTOR, added, by_trial, matrix, refuse, sound, trials, vector_batch
 from .emissions import AutoRegressionEmission, GaussianEmission
 from .families import MarkovFamily
-from .glm import fit_weighted
+from .glm import fit_by_ascent, fit_weighted
 
 
 def _log(a) -> np.ndarray:
@@ -295,31 +295,46 @@ class HiddenMarkovModel(MarkovFamily):
 
     def _sums(self, arranged: DataFrame, emissions: bool, check: bool = True) -> np.ndarray:
         """Trials, log-likelihood, first-step gamma, xi, gamma before the last step, and each emission's statistics, summed; see ``summed``."""
-        k, faulty = self.k, len(FAULTS)
-        width = 2 + k + k * k + k + (sum(e.width() for e in self.emissions) if emissions else 0)
+        faulty, width = len(FAULTS), self._width(emissions)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, out = np.zeros(faulty), np.zeros(width)
             for some in trials((b.to_pandas() for b in batches), counts=counts):
                 if check and not (some := sound(some, counts)):
                     continue
-                ys, us, ll, lengths = self._chunk(some)
-                gamma, xi, loglik = posterior(ll, lengths, _log(self.a), _log(self.pi))
-                ends = gamma[np.arange(len(lengths)), lengths - 1]
-                parts = [[len(some), loglik.sum()], gamma[:, 0].sum(axis=0), xi.sum(axis=0).ravel(), gamma.sum(axis=(0, 1)) - ends.sum(axis=0)]
-                if emissions:
-                    y = np.concatenate(ys)
-                    u = None if us[0] is None else np.concatenate(us)
-                    w = np.concatenate([p["w"].to_numpy() for p in some])
-                    g = np.concatenate([gamma[i, :n] for i, n in enumerate(lengths)])
-                    parts += [e.statistics(y, u, g[:, i] * w) for i, e in enumerate(self.emissions)]
-                out += np.concatenate(parts)
+                out += self._statistics(some, emissions)
             yield vector_batch(np.concatenate([counts, out]))
 
         found = added(arranged.mapInArrow(run, VECTOR), faulty + width)
         refuse(found[:faulty])
         return found[faulty:]
 
+    def _width(self, emissions: bool) -> int:
+        return 2 + 2 * self.k + self.k**2 + (sum(e.width() for e in self.emissions) if emissions else 0)
+
+    def _mstep(self, s: np.ndarray) -> HiddenMarkovModel:
+        """The next model, from the sums of closed-form emissions."""
+        a, pi = self._mstep_chain(s)
+        at, emissions = 2 + 2 * self.k + self.k**2, []
+        for e in self.emissions:
+            emissions.append(e.mstep(s[at : at + e.width()]))
+            at += e.width()
+        return HiddenMarkovModel(a, pi, tuple(emissions))
+
+    def _statistics(self, some: list[pd.DataFrame], emissions: bool) -> np.ndarray:
+        """What ``_sums`` adds up, of a chunk of trials."""
+        ys, us, ll, lengths = self._chunk(some)
+        gamma, xi, loglik = posterior(ll, lengths, _log(self.a), _log(self.pi))
+        ends = gamma[np.arange(len(lengths)), lengths - 1]
+        parts = [[len(some), loglik.sum()], gamma[:, 0].sum(axis=0), xi.sum(axis=0).ravel(), gamma.sum(axis=(0, 1)) - ends.sum(axis=0)]
+        if emissions:
+            y = np.concatenate(ys)
+            u = None if us[0] is None else np.concatenate(us)
+            w = np.concatenate([p["w"].to_numpy() for p in some])
+            g = np.concatenate([gamma[i, :n] for i, n in enumerate(lengths)])
+            parts += [e.statistics(y, u, g[:, i] * w) for i, e in enumerate(self.emissions)]
+        return np.concatenate(parts)
+
     def _mstep_chain(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = self.k
         pi, xi, gone = s[2 : 2 + k] / max(s[0], 1), s[2 + k : 2 + k + k * k].reshape(k, k), s[2 + k + k * k : 2 + 2 * k + k * k]
@@ -329,7 +344,7 @@ class HiddenMarkovModel(MarkovFamily):
 
     def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[HiddenMarkovModel, list[float]]:
         """EM over all trials; stops when the log-likelihood changes by less than ``tol``. Returns the model and its history."""
-        closed = all(e.closed_form for e in self.emissions)
+        closed = all(getattr(e, "closed_form", False) for e in self.emissions)
         # About the means of the data, so that covariances keep their digits.
         y, u = self._centre(obs)
         moved = lambda c, by: F.zip_with(c, E.lit_array(by), lambda a, b: a - b) if by is not None and len(by) else F.col(c)
@@ -341,19 +356,84 @@ class HiddenMarkovModel(MarkovFamily):
                 history.append(float(s[1]))
                 if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
                     break
-                a, pi = model._mstep_chain(s)
                 if closed:
-                    at, emissions = 2 + 2 * self.k + self.k**2, []
-                    for e in model.emissions:
-                        emissions.append(e.mstep(s[at : at + e.width()]))
-                        at += e.width()
-                else:
-                    emissions = fit_weighted(list(model.emissions), model._weighted(arranged), "y", "u", [F.get("gamma", F.lit(i)) * F.col("w") for i in range(self.k)])
-                model = HiddenMarkovModel(a, pi, tuple(emissions))
+                    model = model._mstep(s)
+                    continue
+                a, pi = model._mstep_chain(s)
+                weights = [F.get("gamma", F.lit(i)) * F.col("w") for i in range(self.k)]
+                fitted = fit_weighted if all(hasattr(e, "family") for e in model.emissions) else fit_by_ascent
+                model = HiddenMarkovModel(a, pi, tuple(fitted(list(model.emissions), model._weighted(arranged), "y", "u", weights)))
         finally:
             arranged.unpersist()
         return model if y is None else model._moved(y, u), history
 
+    @staticmethod
+    def fit_many(models: list[HiddenMarkovModel], obs: DataFrame, max_iters: int = 100, tol: float = 1e-6, held_out: list[int | None] | None = None) -> list[tuple[HiddenMarkovModel, list[float]]]:
+        """Fits of several models of closed-form emissions in the same passes: (model, history) of each, as ``fit`` gives it alone.
+
+        Every trial is read once an iteration, by all models that have not converged yet. With ``held_out`` model i leaves out the steps
+        whose ``fold`` (an int column of ``obs``) is the i-th number; what is left of a trial is joined together.
+        """
+        if not all(getattr(e, "closed_form", False) for m in models for e in m.emissions):
+            raise TypeError("only closed-form emissions are fitted together")
+        held_out = held_out or [None] * len(models)
+        columns = ["trial_id", "t", "y", "u", "w", *(["fold"] if any(f is not None for f in held_out) else [])]
+        y, u = models[0]._centre(obs)
+        moved = lambda c, by: F.zip_with(c, E.lit_array(by), lambda a, b: a - b) if by is not None and len(by) else F.col(c)
+        arranged = by_trial(obs.select(*columns).withColumns({"y": moved("y", y), "u": moved("u", u)})).persist()
+        now = [m if y is None else m._moved(-y, None if u is None else -u) for m in models]
+        histories: list[list[float]] = [[] for _ in models]
+        live, faulty = list(range(len(models))), len(FAULTS)
+        try:
+            for i in range(max_iters):
+                if not live:
+                    break
+                ends = np.cumsum([faulty, *[now[j]._width(True) for j in live]])
+                jobs = [(now[j], held_out[j]) for j in live]
+
+                def run(batches: Iterator[pa.RecordBatch], jobs=jobs, ends=ends, check=i == 0) -> Iterator[pa.RecordBatch]:
+                    out = np.zeros(ends[-1])
+                    for some in trials((b.to_pandas() for b in batches), counts=out[:faulty]):
+                        some = sound(some, out[:faulty]) if check else some
+                        left: dict[int | None, list[pd.DataFrame]] = {None: some}
+                        for (model, fold), a, b in zip(jobs, ends[:-1], ends[1:], strict=True):
+                            if fold not in left:
+                                left[fold] = [q for p in some if len(q := p[(p["fold"] != fold).to_numpy()])]
+                            if left[fold]:
+                                out[a:b] += model._statistics(left[fold], True)
+                    yield vector_batch(out)
+
+                s = added(arranged.mapInArrow(run, VECTOR), int(ends[-1]))
+                refuse(s[:faulty])
+                for j, a, b in zip(list(live), ends[:-1], ends[1:], strict=True):
+                    histories[j].append(float(s[a + 1]))
+                    if len(histories[j]) > 1 and abs(histories[j][-1] - histories[j][-2]) < tol:
+                        live.remove(j)
+                    else:
+                        now[j] = now[j]._mstep(s[a:b])
+        finally:
+            arranged.unpersist()
+        return [(m if y is None else m._moved(y, u), h) for m, h in zip(now, histories, strict=True)]
+
+    @staticmethod
+    def score_folds(models: list[HiddenMarkovModel], obs: DataFrame, folds: list[int]) -> list[float]:
+        """Log-likelihood a step of fold ``folds[i]`` under model i, all in one pass over ``obs`` (with its ``fold``); NaN for an empty fold."""
+        arranged, faulty = by_trial(obs.select("trial_id", "t", "y", "u", "w", "fold")), len(FAULTS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(faulty + 2 * len(models))
+            for some in trials((b.to_pandas() for b in batches), counts=out[:faulty]):
+                some = sound(some, out[:faulty])
+                for i, (model, fold) in enumerate(zip(models, folds, strict=True)):
+                    if part := [q for p in some if len(q := p[(p["fold"] == fold).to_numpy()])]:
+                        _, _, ll, lengths = model._chunk(part)
+                        out[faulty + 2 * i :][:2] += posterior(ll, lengths, _log(model.a), _log(model.pi))[2].sum(), lengths.sum()
+            yield vector_batch(out)
+
+        s = added(arranged.mapInArrow(run, VECTOR), faulty + 2 * len(models))
+        refuse(s[:faulty])
+        return [float(v / n) if n else math.nan for v, n in s[faulty:].reshape(-1, 2)]
+
     def _moved(self, y: np.ndarray, u: np.ndarray | None) -> HiddenMarkovModel:
         return HiddenMarkovModel(self.a, self.pi, tuple(e.moved(y, u) for e in self.emissions))
 
