@@ -29,6 +29,26 @@ def _start(lls: Column, pi: np.ndarray) -> Column:
     return F.array(*[F.get(F.get(lls, F.lit(0)), F.lit(k)) + _ln(p) for k, p in enumerate(pi)])
 
 
+#: Steps whose results are gathered before they join those of the steps before: an array is copied whole whenever it grows.
+PIECE = 64
+
+
+def _grown(values: Column, start: Column, step) -> Column:
+    """start, step(start, values[0]), step(that, values[1]), ... as an array, of any elements.
+
+    Results are gathered in pieces and the pieces flattened, so a trial of T steps copies T * PIECE + (T / PIECE)^2 references and not T^2.
+    """
+    count = F.ceil(F.size(values) / PIECE).cast("int")
+    pieces = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(values, i * PIECE + 1, F.lit(PIECE)))).otherwise(F.slice(F.array(values), F.lit(1), F.lit(0)))
+    inside = lambda last, piece: F.aggregate(piece, F.array(last), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+    def grow(acc: Column, piece: Column) -> Column:
+        made = inside(F.element_at(F.element_at(acc, -1), -1), piece)
+        return F.concat(acc, F.array(F.slice(made, F.lit(2), F.size(piece))))
+
+    return F.flatten(F.aggregate(pieces, F.array(F.array(start)), grow))
+
+
 def forward_loglik(grouped: DataFrame, a, pi) -> DataFrame:
     """(trial_id, n, loglik)."""
     a, pi = np.asarray(a, float), np.asarray(pi, float)
@@ -41,8 +61,7 @@ def alphas(grouped: DataFrame, a, pi) -> DataFrame:
     """``grouped`` with ``alphas``, the forward variables of all steps."""
     a, pi = np.asarray(a, float), np.asarray(pi, float)
     rest = F.slice("lls", F.lit(2), F.greatest(F.size("lls") - 1, F.lit(0)))
-    grow = lambda acc, ll: F.concat(acc, F.array(_step(F.element_at(acc, -1), ll, a)))
-    return grouped.withColumn("alphas", F.aggregate(rest, F.array(_start(F.col("lls"), pi)), grow))
+    return grouped.withColumn("alphas", _grown(rest, _start(F.col("lls"), pi), lambda v, ll: _step(v, ll, a)))
 
 
 def betas(grouped: DataFrame, a) -> DataFrame:
@@ -50,14 +69,11 @@ def betas(grouped: DataFrame, a) -> DataFrame:
     a = np.asarray(a, float)
     k = len(a)
 
-    def back(acc: Column, ll: Column) -> Column:
-        b = F.get(acc, F.lit(0))
-        new = F.array(*[E.log_sum_exp([F.get(ll, F.lit(j)) + F.get(b, F.lit(j)) + _ln(a[i, j]) for j in range(k)]) for i in range(k)])
-        return F.concat(F.array(new), acc)
+    def back(b: Column, ll: Column) -> Column:
+        return F.array(*[E.log_sum_exp([F.get(ll, F.lit(j)) + F.get(b, F.lit(j)) + _ln(a[i, j]) for j in range(k)]) for i in range(k)])
 
     later = F.reverse(F.slice("lls", F.lit(2), F.greatest(F.size("lls") - 1, F.lit(0))))
-    zero = F.array(F.array(*[F.lit(0.0)] * k))
-    return grouped.withColumn("betas", F.aggregate(later, zero, back))
+    return grouped.withColumn("betas", F.reverse(_grown(later, F.array(*[F.lit(0.0)] * k), back)))
 
 
 def posteriors(grouped: DataFrame, a, pi) -> DataFrame:
@@ -94,17 +110,18 @@ def viterbi(grouped: DataFrame, a, pi) -> DataFrame:
         s = F.array(*scores)
         return F.array_position(s, F.array_max(s)).cast("int")
 
-    def grow(acc: Column, ll: Column) -> Column:
-        v = acc["v"]
+    def move(last: Column, ll: Column) -> Column:
+        v = last["v"]
         into = [[F.get(v, F.lit(i)) + _ln(a[i, j]) for i in range(k)] for j in range(k)]
         return F.struct(
             F.array(*[F.get(ll, F.lit(j)) + (F.greatest(*into[j]) if k > 1 else into[j][0]) for j in range(k)]).alias("v"),
-            F.concat(acc["back"], F.array(F.array(*[first_best(s) for s in into]))).alias("back"),
+            F.array(*[first_best(s) for s in into]).alias("back"),
         )
 
     rest = F.slice("lls", F.lit(2), F.greatest(F.size("lls") - 1, F.lit(0)))
-    start = F.struct(_start(F.col("lls"), pi).alias("v"), F.expr("cast(array() as array<array<int>>)").alias("back"))
-    found = grouped.select("trial_id", F.aggregate(rest, start, grow).alias("f"))
-    last = F.array(F.array_position("f.v", F.array_max("f.v")).cast("int"))
-    path = F.aggregate(F.reverse("f.back"), last, lambda acc, back: F.concat(F.array(F.get(back, F.get(acc, F.lit(0)) - 1)), acc))
+    start = F.struct(_start(F.col("lls"), pi).alias("v"), F.array(*[F.lit(0)] * k).alias("back"))
+    found = grouped.select("trial_id", _grown(rest, start, move).alias("f"))
+    v = F.element_at("f", -1)["v"]
+    backs = F.slice(F.reverse(F.transform("f", lambda s: s["back"])), F.lit(1), F.size("f") - 1)
+    path = F.reverse(_grown(backs, F.array_position(v, F.array_max(v)).cast("int"), lambda state, back: F.get(back, state - 1)))
     return found.select("trial_id", F.posexplode(path).alias("i", "state")).select("trial_id", (F.col("i") + 1).alias("t"), "state")
