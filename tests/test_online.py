@@ -59,7 +59,10 @@ def test_any_batches_give_one_result(spark, tmp_path):
     assert sum(r.late for r in got) == 3 and len(got) == len(data) + 3
     on_time = {(r.trial_id, r.t): (*r.filtered, r.loglik) for r in got if not r.late}
     assert on_time.keys() == want.keys()
+    table = {(r.trial_id, r.t): r for r in filtered(spark.createDataFrame(mixed, OBS), HMM).collect()}
+    assert table.keys() == want.keys()
     for k, v in want.items():
+        np.testing.assert_allclose((*table[k].filtered, table[k].loglik), v, rtol=1e-9, atol=1e-12)
         np.testing.assert_allclose(on_time[k], v, rtol=1e-9, atol=1e-12)
 
 

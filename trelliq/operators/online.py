@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.linalg import log_sum_exp
+from ..sources.obs import by_trial, trials
 from .hmm import HiddenMarkovModel, _log
 
 SCHEMA = "trial_id long, t int, filtered array<double>, loglik double, late boolean"
@@ -105,12 +106,33 @@ class _Steps(StatefulProcessor):
         pass
 
 
+def _whole(kernel, p: pd.DataFrame) -> pd.DataFrame:
+    """One trial in order, from step 1 up to its first gap; repeated steps are late, and what is beyond a gap waits for ever."""
+    (state, loglik), t, out = kernel.start(), 0, []
+    for trial, step, y, u in zip(p["trial_id"].tolist(), p["t"].tolist(), p["y"], p["u"], strict=True):
+        if step == t + 1:
+            state, more = kernel.step(state, step, np.array(y, float), None if u is None else np.array(u, float))
+            t, loglik = step, loglik + more
+            out.append((trial, t, kernel.shown(state), loglik, False))
+        elif step <= t:
+            out.append((trial, step, None, None, True))
+    return pd.DataFrame(out, columns=["trial_id", "t", "filtered", "loglik", "late"])
+
+
 def filtered(stream: DataFrame, model) -> DataFrame:
-    """(trial_id, t, filtered, loglik, late) of a stream of observations (trial_id, t, y, u) under a hidden Markov or Gaussian linear model.
+    """(trial_id, t, filtered, loglik, late) of observations (trial_id, t, y, u) under a hidden Markov or Gaussian linear model.
 
-    ``loglik`` is that of all steps up to t. State is kept by trial in the session's state store (RocksDB is needed) and does not expire; it
-    is one distribution a trial, and the steps that wait for one before them.
+    ``loglik`` is that of all steps up to t. Of a stream, state is kept by trial in the session's state store (RocksDB is needed) and does
+    not expire; it is one distribution a trial, and the steps that wait for one before them. A table is gone through trial by trial.
+    Rows without trial_id, t or y are left out.
     """
     kernel = ChainFilter(model) if isinstance(model, HiddenMarkovModel) else LinearFilter(model)
     rows = stream.select("trial_id", "t", "y", "u").filter("trial_id is not null and t is not null and y is not null")
-    return rows.groupBy("trial_id").transformWithStateInPandas(_Steps(kernel), SCHEMA, "Append", "None")
+    if stream.isStreaming:
+        return rows.groupBy("trial_id").transformWithStateInPandas(_Steps(kernel), SCHEMA, "Append", "None")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in trials(batches):
+            yield pd.concat([_whole(kernel, p) for p in some], ignore_index=True)
+
+    return by_trial(rows).mapInPandas(run, SCHEMA)

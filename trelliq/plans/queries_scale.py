@@ -13,7 +13,9 @@ from ..operators import evaluation as V
 from ..operators import kmeans
 from ..operators.emissions import BernoulliRegressionEmission, GaussianEmission
 from ..operators.glm import gradient_sums
+from ..operators.hmm import HiddenMarkovModel
 from ..operators.mixture import GaussianMixture
+from ..operators.online import filtered
 from . import queries_dims, queries_series
 from .queries_rows import rounded, rows, table
 
@@ -168,3 +170,29 @@ def parallel_seeds(spark, sf_dir):
     """Twenty seeds in five rounds; random, so tests compare their cost with that of seeds found one by one."""
     found = kmeans.parallel_seeds(_vectors(spark, sf_dir), 20, WIDTH, seed=7)
     return rounded(rows(spark, [(i + 1, [float(v) for v in c]) for i, c in enumerate(found)], "seed int, x array<double>"))
+
+
+# Filters
+
+
+@query(f"WITH RECURSIVE {queries_series._FWD} SELECT trial_id, t, round(1 / (1 + exp(a2 - a1)), 6) AS p1, round(greatest(a1, a2) + ln(1 + exp(-abs(a1 - a2))), 5) AS loglik FROM f")
+def hmm_filtered(spark, sf_dir):
+    """What the filter of a stream gives, over a table."""
+    out = filtered(queries_series.observations(spark, sf_dir), queries_series.HMM).filter("not late")
+    return out.select("trial_id", "t", F.round(F.get("filtered", F.lit(0)), 6).alias("p1"), F.round("loglik", 5).alias("loglik"))
+
+
+@query()
+def plds_marginal(spark, sf_dir):
+    """Likelihoods of counts have no closed form; tests hold them against quadrature."""
+    out = queries_series.PLDS.marginal_loglik(queries_series._paths(spark, sf_dir).select("trial_id", "t", F.col("k").alias("y")), draws=64)
+    return out.select("trial_id", "n", F.round("loglik", 2).alias("loglik"), F.round("laplace", 4).alias("laplace"))
+
+
+@query()
+def hmm_folds(spark, sf_dir):
+    """Two and three states, two folds each, held out; one pass an iteration for all four fits."""
+    obs = queries_series.observations(spark, sf_dir)
+    starts = [HiddenMarkovModel(np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1)), np.full(k, 1 / k), [GaussianEmission([1.0 + 4.0 * i / k], [[1.0]]) for i in range(k)]) for k in (2, 3)]
+    scores = V.cross_validate_starts(obs, 2, starts, max_iters=3, tol=0.0)
+    return rounded(rows(spark, [(k, f, float(scores[i, f])) for i, k in enumerate((2, 3)) for f in range(2)], "states int, fold int, score double"), 5)
