@@ -5,8 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +57,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Scratch paths that this process made, oldest first.
+#: Scratch paths that were made outside of any ``scratch_run``, oldest first, and those of the run that this thread is in.
 _MADE: list[str] = []
+_RUN: ContextVar[list[str] | None] = ContextVar("scratch paths of this run", default=None)
+
+
+def _paths() -> list[str]:
+    run = _RUN.get()
+    return _MADE if run is None else run
+
+
+@contextmanager
+def scratch_run() -> Iterator[None]:
+    """Within it ``made`` and ``clear`` are about the paths of this run alone, whatever else works in the process.
+
+    A run is a thread's; of runs within each other the inner one has paths of its own. What is left at the end stays where it is.
+    """
+    before = _RUN.set([])
+    try:
+        yield
+    finally:
+        _RUN.reset(before)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _paths().append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths()[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -78,22 +102,36 @@ def discard(df: DataFrame) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path."""
-    _MADE.remove(path)
+    for paths in (_paths(), _MADE):
+        if path in paths:
+            paths.remove(path)
+            break
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def made() -> int:
     """How many scratch paths there are now: a mark for :func:`clear`."""
-    return len(_MADE)
+    return len(_paths())
 
 
 def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete the scratch paths made after a mark: results of operators read theirs until they have been written or collected."""
-    for path in [p for p in _MADE[since:] if p not in keep]:
+    for path in [p for p in _paths()[since:] if p not in keep]:
         remove(spark, path)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of up to ``rows`` rows whose texts have ``size`` bytes or less together, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def keyed(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` with ``__trelliq_file`` and ``__trelliq_row``, which together name one row and stay the same in every scan.
 

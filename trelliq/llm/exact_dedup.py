@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ROW_KEY, keyed, materialize, remove, scratch
+from .common import ASCII_LOWER, ROW_KEY, keyed, materialize, remove, scratch, slices
 
 #: State on the executors' disks, in files that take no more room than they fill.
 STATE_SETTINGS = {
@@ -34,12 +34,13 @@ def _normalised(text: str | None) -> bytes:
 def _digests(digest_bytes: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_normalised(t) for t in batch.column("text").to_pylist()]
-            digest = pa.array([hashlib.sha256(t).digest()[:digest_bytes] for t in texts], pa.binary())
-            columns = {"digest": digest, "doc_id": batch.column("doc_id"), "__trelliq_file": batch.column("__trelliq_file"), "__trelliq_row": batch.column("__trelliq_row")}
-            if with_text:
-                columns["norm"] = pa.array(texts, pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            for some in slices(batch, "text"):
+                texts = [_normalised(t) for t in some.column("text").to_pylist()]
+                digest = pa.array([hashlib.sha256(t).digest()[:digest_bytes] for t in texts], pa.binary())
+                columns = {"digest": digest} | {c: some.column(c) for c in ("doc_id", *ROW_KEY)}
+                if with_text:
+                    columns["norm"] = pa.array(texts, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ROW_KEY, keyed
+from .common import ROW_KEY, keyed, slices
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -159,29 +160,33 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = 1000, pieces: int = 4, seed: int = 7, languages: int = 400) -> ByteCNN | None:
     """A network for the languages of the labelled rows that are not held out, from at most ``per_language`` rows of each.
 
-    The sample is those rows with the smallest hash of doc_id (so reruns agree), and of each up to ``pieces`` windows spread over
-    the text. Of more than ``languages`` labels the most frequent are learned. These bounds keep what reaches the driver near
+    The sample is those rows with the smallest hash of doc_id and text (so reruns agree), and of each up to ``pieces`` windows spread over
+    the text. Of more than ``languages`` labels the most frequent are learned. So no more reaches the driver than
     languages * per_language * pieces * WINDOW * 4 bytes. Rows with null doc_id, text or lang are not learned from; repeated rows
     count each. None if there is nothing to learn from.
     """
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    scale = 1 << 20
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # The most frequent languages, so that what comes to the driver is bounded however many labels there are.
     counts = counts.orderBy(F.desc("n"), "lang").limit(languages)
-    odds = F.least(F.lit(scale), (F.lit(scale * 1.2 * per_language) / F.col("n")).cast("int") + 1)
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    h = F.xxhash64(F.lit(seed), "doc_id", "text")
     length = F.char_length("text")
     piece = lambda i: F.substring("text", (F.floor(length * i / pieces) + 1).cast("int"), F.lit(WINDOW))
-    sampled = usable.withColumn("h", h).join(F.broadcast(counts.select("lang", odds.alias("odds"))), "lang").filter(F.pmod("h", F.lit(scale)) < F.col("odds"))
-    chosen = sampled.select("lang", "h", "doc_id", *[piece(i).alias(f"p{i}") for i in range(pieces)])
+    sampled = usable.withColumn("h", h).join(F.broadcast(counts.select("lang")), "lang")
+    # Whatever the table holds, many rows of one doc_id included, no more than ``per_language`` rows of a language come to the driver: the first of
+    # each task's, and then the first of those.
+    chosen = sampled.select("lang", "h", "doc_id", *[piece(i).alias(f"p{i}") for i in range(pieces)]).withColumn("task", F.spark_partition_id())
+    order = [F.col("h"), F.col("doc_id").cast("string"), *[F.col(f"p{i}") for i in range(pieces)]]
+    for within in (["lang", "task"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
     by_lang: dict[str, list] = {}
     for r in chosen.collect():
-        by_lang.setdefault(r.lang, []).append((r.h % scale, r.h, str(r.doc_id), *[r[f"p{i}"] for i in range(pieces)]))
+        by_lang.setdefault(r.lang, []).append((r.h, str(r.doc_id), *[r[f"p{i}"] for i in range(pieces)]))
     classes, rows, y = sorted(by_lang), [], []
     for c, lang in enumerate(classes):
-        for r in sorted(by_lang[lang])[:per_language]:
-            for text in dict.fromkeys(r[3:]):
+        for r in sorted(by_lang[lang]):
+            for text in dict.fromkeys(r[2:]):
                 if has_letter(text):
                     rows.append(windows(text)[0])
                     y.append(c)
@@ -207,8 +212,7 @@ def _apply(rows: DataFrame, net: ByteCNN | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, "text", rows=1024):
                 texts = part.column("text").to_pylist()
                 langs, scores = net.predict(texts) if net else (["und"] * len(texts), [0.0] * len(texts))
                 kept = [part.column(c) for c in names if c != "text"]

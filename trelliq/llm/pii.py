@@ -20,6 +20,8 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 
 _PATTERN = re.compile(
@@ -291,8 +293,7 @@ def pseudonyms(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:
         network = Feistel(key)
         step = network.backward if undo else network.forward
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, "text", rows=1024):
                 texts, counts = [], []
                 for t in part.column("text").to_pylist():
                     new, found = pseudonymise(t, step)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ROW_KEY, discard, keyed, materialize
+from .common import ASCII_LOWER, ROW_KEY, discard, keyed, materialize, slices
 from .graph import components
 
 BLOCKS, BLOCK_BITS, BITS = 4, 16, 64
@@ -59,10 +59,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", *ROW_KEY]
     for batch in batches:
-        fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        names = ["doc_id", *ROW_KEY]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fp)], names=[*names, "fp"])
+        for some in slices(batch, "text"):
+            fp = np.array([fingerprint(t) for t in some.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], pa.array(fp)], names=[*names, "fp"])
 
 
 def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memory, partitions_of
+from .common import Memory, partitions_of, slices
 
 MAGIC = b"RPG2"
 
@@ -125,17 +125,6 @@ class ChunkEncoder:
         return flat, np.diff(stops)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Stretches of rows whose texts have ``size`` bytes or less together, or one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = int(ends[at - 1]) if at else 0
-        n = max(1, int(np.searchsorted(ends, before + size, side="right")) - at)
-        yield batch.slice(at, n)
-        at += n
-
-
 # Re-Pair
 
 _TABLE_BITS = 18
