@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trelliq.llm import byte_bpe, exact_dedup, language, mixing, simhash
-from trelliq.llm.common import clear, made, scratch
+from trelliq.llm.common import clear, scratch, scratch_run
 
 
 # Stages take extra columns of any name along and leave an empty table empty.
@@ -56,10 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again. Scratch tables go as soon as a stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = made()
-    for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        clear(spark, start, keep=(path,))
+    with scratch_run():
+        for name, stage in STAGES:
+            path = scratch(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            clear(spark, keep=(path,))
     return docs
