@@ -3,8 +3,9 @@
 First every page names the container that holds its text best, as a generalised path of tags and classes, and the text blocks that
 might lie outside of it. Spark counts the votes for paths per host, and on how many different pages of the host a block stands.
 Then every page is read again: the text comes from its containers on the paths that won its host, in page order, and only where it
-has none of them from its own best container. A block elsewhere on the page is left out only if most of its text is links, if it
-stands in the page's header, or if it is boilerplate: if half of the host's pages have it.
+has none of them from its own best container. What stands in other containers (teasers, discussions) is left out, whatever they are
+called. Blocks that stand around the article, right in a container that holds it, belong to it unless most of their text is links,
+they are in the page's header, or half of the host's pages have them; around an article or main element only headings do.
 """
 
 from __future__ import annotations
@@ -66,10 +67,10 @@ _LONG_PATH = 512
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "up", "path", "drop", "good", "own", "total", "children", "header", "heading")
+    __slots__ = ("tag", "parent", "up", "path", "drop", "good", "own", "total", "children", "header", "heading", "within")
 
-    def __init__(self, tag, parent, up, path, drop, good, header, heading):
-        self.tag, self.parent, self.up, self.path, self.drop, self.good, self.header, self.heading = tag, parent, up, path, drop, good, header, heading
+    def __init__(self, tag, parent, up, path, drop, good, header, heading, within):
+        self.tag, self.parent, self.up, self.path, self.drop, self.good, self.header, self.heading, self.within = tag, parent, up, path, drop, good, header, heading, within
         self.own, self.total, self.children = 0, 0, []
 
 
@@ -93,16 +94,18 @@ def _element(tag: str, attrs: str, parent: _Node, holder: _Node) -> _Node:
                 good = good or value.lower() == "main"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 drop = True
-    header = parent.header or tag == "header"
+    # A header inside an article is the article's own.
+    within = parent.tag in ("article", "main") or parent.within
+    header = parent.header or tag == "header" and not within
     if names and tag not in ("html", "body"):
         words = {w for n in names for w in _PART.findall(n)}
         drop = drop or tag not in _NEVER_BY_NAME and any(map(_unwanted, names))
         good = good or not _KEEP_WORDS.isdisjoint(words)
-        header = header or "header" in words and tag not in _NEVER_BY_NAME
+        header = header or "header" in words and tag not in _NEVER_BY_NAME and not within
     path = parent.path
     if tag in _CONTAINER:
         path = f"{path if len(path) <= _LONG_PATH else xxhash.xxh64_hexdigest(path)}/{label}"
-    return _Node(tag, parent, holder, path, parent.drop or drop, good, header, tag in _HEADINGS or tag in _INLINE and parent.heading)
+    return _Node(tag, parent, holder, path, parent.drop or drop, good, header, tag in _HEADINGS or tag in _INLINE and parent.heading, within)
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -113,7 +116,8 @@ class _Block:
     holder: _Node  # the container that it stands in
     text: str
     linked: int  # characters inside links
-    header: bool  # in a page's or section's header
+    header: bool  # in the page's header
+    heading: bool
 
     @property
     def plain(self) -> bool:
@@ -125,22 +129,22 @@ class _Block:
 
 def parse(page: str) -> tuple[_Node, list[_Node], list[_Block]]:
     """The tree's root, its containers, parents before children, and the blocks of visible text. Linear in the page's size."""
-    root = _Node("", None, None, "", False, False, False, False)
+    root = _Node("", None, None, "", False, False, False, False, False)
     here, holder = root, root
     containers, blocks = [root], []
     parts: list[str] = []
     linked = links = 0
-    headed = False
+    headed = titled = False
     open_tags: Counter = Counter()
 
     def close_block() -> None:
-        nonlocal linked, headed
+        nonlocal linked, headed, titled
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(_Block(holder, text, linked, headed))
+                blocks.append(_Block(holder, text, linked, headed, titled))
             parts.clear()
-        linked, headed = 0, False
+        linked, headed, titled = 0, False, False
 
     def pop_to(node: _Node) -> None:
         nonlocal here, holder, links
@@ -158,7 +162,7 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[_Block]]:
                 parts.append(text)
                 if links:
                     linked += len(text)
-                headed = headed or here.header
+                headed, titled = headed or here.header, titled or here.heading
             continue
         tag = m["tag"]
         if tag is None:
@@ -266,27 +270,46 @@ def vote(page: str | None) -> str:
 
 
 def extract(page: str | None, paths: list[str], boilerplate: frozenset[int] = frozenset()) -> str:
-    """Text of the page's containers on ``paths`` inside its own best container, in page order, with other blocks that are not boilerplate.
+    """Text of the page's containers on ``paths`` inside its own best container, in page order.
 
     Without any such container there, the nearest container around its best one that is on a path; else those on the first of
-    ``paths`` that has text; else its own best container.
+    ``paths`` that has text; else its own best container. Containers on ``paths`` elsewhere on the page come along unless they hold
+    these; and so do blocks that stand right in a container that holds these, if they are no boilerplate, or if the text comes from an
+    article or main element only headings.
     """
     root, containers, blocks = parse(page or "")
     if not blocks:
         return ""
     best, won = best_container(root, blocks), frozenset(paths)
     in_best = _inside(containers, lambda n: n is best)
-    found = _inside(containers, lambda n: id(n) in in_best and n.path in won) or set()
+    found = _inside(containers, lambda n: id(n) in in_best and n.path in won)
     if not any(id(b.holder) in found for b in blocks):
         around = best.up
         while around is not None and around.path not in won:
             around = around.up
         found = _inside(containers, lambda n: n is around) if around is not None else in_best
-    for path in paths:
-        if any(id(b.holder) in found for b in blocks):
-            break
-        found = _inside(containers, lambda n: n.path == path)  # noqa: B023
-    return "\n".join(b.text for b in blocks if id(b.holder) in found or b.plain and not b.header and b.digest() not in boilerplate)
+        # A page whose best container is not where the host has its text: the first path that has some.
+        for path in paths if around is None else ():
+            there = _inside(containers, lambda n: n.path == path)  # noqa: B023
+            if any(id(b.holder) in there for b in blocks):
+                found = there
+                break
+    tops = [n for n in containers if id(n) in found and (n.up is None or id(n.up) not in found)]
+    holds, marked = _around(tops), any(n.tag in ("article", "main") for n in tops)
+    found |= _inside(containers, lambda n: n.path in won and id(n) not in holds and id(n) not in in_best)
+    belongs = lambda b: id(b.holder) in holds and (b.heading or not marked) and b.plain and not b.header and b.digest() not in boilerplate
+    return "\n".join(b.text for b in blocks if id(b.holder) in found or belongs(b))
+
+
+def _around(nodes: list[_Node]) -> set[int]:
+    """Ids of the containers that hold one of ``nodes``."""
+    out: set[int] = set()
+    for n in nodes:
+        n = n.up
+        while n is not None and id(n) not in out:
+            out.add(id(n))
+            n = n.up
+    return out
 
 
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
