@@ -87,3 +87,20 @@ def plain(net, window):
             hidden.append(max(best, 0.0))
     z = [sum(h * p["out"][i, c] for i, h in enumerate(hidden)) + p["bias"][c] for c in range(len(net.classes))]
     return np.array(z) - np.log(np.exp(np.array(z) - max(z)).sum()) - max(z)
+
+
+def test_deep_urls_take_no_more_rounds(spark, monkeypatch):
+    """One url of 500 segments among short ones: as many tables are written as without it."""
+    from trelliq.llm import urls
+
+    def written(deep):
+        rows = [(i, f"http://h.com/{'fr' if i % 2 else 'de'}/a{'bcdefgh'[i % 7]}/x{i % 5}y/z") for i in range(200)] + [(200, "http://h.com/trap/" + "/".join("abc"[i % 3] for i in range(deep)))]
+        tables = []
+        old = urls.materialize
+        with monkeypatch.context() as m:
+            m.setattr(urls, "materialize", lambda df, name: tables.append(name) or old(df, name))
+            out = {r.page_id: r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+        assert len(out) == 201 and out[200].count("/") == deep + 1
+        return len(tables)
+
+    assert written(500) <= written(6) + 1

@@ -1,7 +1,7 @@
 """URL filter: longest-prefix rules, and a path-template tree per host for what the rules leave open.
 
-The tree is built level by level from the distinct path patterns of each host, counted before anything is joined. At each
-level a segment whose labelled share of blocked pages differs significantly from its siblings' stays as it is. Others become the
+The tree is built from the distinct path patterns of each host, counted before anything is joined, down from the host to where they part
+and on. At each parting a segment whose labelled share of blocked pages differs significantly from its siblings' stays as it is. Others become the
 wildcard ``*`` if they are variable (one of many siblings, and rare), or ``+`` if they have labels enough to show that they are
 alike, so that similar branches merge; common segments with too few labels stay as they are. Each node's blocked share
 is smoothed towards its parent's, the host's towards that of all labelled pages; a template whose smoothed share reaches
@@ -12,6 +12,7 @@ pages or more. DataFrame operations only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +61,23 @@ def _pattern(path: Column, max_depth: int | None) -> Column:
     return F.concat(F.transform(F.slice(segments, 1, max_depth), general), deep)
 
 
-def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min_labels: int) -> DataFrame:
-    """``tree`` with the template one segment longer: literal segments, * where variable or + where like their siblings."""
-    seg = F.get("segments", F.lit(depth))
-    here = tree.withColumn("seg", seg)
-    counted = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    nodes = here.filter("seg is not null").groupBy("host", "template", "seg").agg(*counted)
-    above = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+def _common_prefix(a: Column, b: Column) -> Column:
+    """How many elements two arrays begin with alike."""
+    differ = F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.element_at(a, i) != F.element_at(b, i))
+    return F.coalesce(F.array_min(differ) - 1, F.least(F.size(a), F.size(b)))
+
+
+def _grown(active: DataFrame, fan_out: int, rare: float, z: float, min_labels: int, strength: float) -> DataFrame:
+    """``active`` patterns a step further down: where a node's patterns part by one segment, and where they do not by all that they share.
+
+    Sums are taken by node and segment, before anything is joined. A stretch that all patterns of a node share is always literal: there is one
+    child, which is neither variable nor unlike its siblings.
+    """
+    counts = ("n", "labelled", "blocked")
+    sums = [F.sum(c).alias(c) for c in counts]
+    here = active.withColumn("seg", F.element_at("rest", 1))
+    nodes = here.groupBy("host", "node", "seg").agg(*sums, F.min("rest").alias("low"), F.max("rest").alias("high"))
+    above = nodes.groupBy("host", "node").agg(F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"all_{c}") for c in counts])
     rest_n, rest_b = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
     pooled = F.col("all_blocked") / F.col("all_labelled")
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
@@ -74,12 +85,21 @@ def _level(tree: DataFrame, depth: int, fan_out: int, rare: float, z: float, min
     differs = F.when(few, False).when(rest_n == 0, True).otherwise(F.abs(F.col("blocked") / F.col("labelled") - rest_b / rest_n) > z * spread)
     variable = (F.col("fan") >= fan_out) & (F.col("n") < rare * F.col("all_n"))
     name = F.when(differs, F.col("seg")).when(variable, "*").when(few, F.col("seg")).otherwise("+")
-    names = nodes.join(above, ["host", "template"]).select("host", "template", "seg", name.alias("named"))
-    grown = here.join(names, ["host", "template", "seg"], "left")
+    # Lexicographically the first and the last pattern of a set share what all of them share.
+    steps = F.when(F.col("fan") == 1, _common_prefix(F.col("low"), F.col("high"))).otherwise(F.lit(1))
+    named = nodes.join(above, ["host", "node"]).select("host", "node", "seg", name.alias("named"), steps.alias("steps"), *counts)
+    merged = named.groupBy("host", "node", "named").agg(*[F.sum(c).alias(f"node_{c}") for c in counts])
+    names = named.select("host", "node", "seg", "named", "steps").join(merged, ["host", "node", "named"])
+    grown = here.join(names, ["host", "node", "seg"])
+    taken = F.when(F.col("steps") == 1, F.col("named")).otherwise(F.array_join(F.slice("rest", F.lit(1), F.col("steps")), "/"))
+    l, b, k = F.col("node_labelled").cast("double"), F.col("node_blocked").cast("double"), F.col("steps")
+    # One step towards the node's own share is (b + strength * above) / (l + strength); this is k of them.
+    once = (b + strength * F.col("share")) / (l + strength)
+    share = F.when(k == 1, once).when(l == 0, F.col("share")).otherwise(b / l + (F.col("share") - b / l) * F.pow(strength / (l + strength), k))
     return grown.select(
-        "host", "pattern", "segments", "n", "labelled", "blocked",
-        F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "named")).alias("template"),
-        F.when(F.col("named").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array(F.concat("template", F.lit("/"), "named")))).alias("nodes"),
+        "host", "pattern", "n", "labelled", "blocked", F.slice("rest", k + 1, F.size("rest")).alias("rest"), F.concat("template", F.lit("/"), taken).alias("template"),
+        F.xxhash64("node", "named", taken).alias("node"), share.alias("share"), F.col("node_labelled").alias("evidence"), F.col("node_n").alias("pages"),
+        (F.col("starred") | (F.col("named") == "*")).alias("starred"),
     )
 
 
@@ -90,37 +110,33 @@ def template_tree(
 
     One row per host and pattern, in however many rows it came; repeated rows count each. Rows without segments have the template
     ''. Without labels every share is 0 and nothing is rejected. An empty table gives an empty tree. Hosts and segments must not be null.
+
+    Patterns leave the work when they are named to their end. A round takes every node's patterns on to where they part, so there are as many
+    rounds as partings on one path, and a deep url that shares its end with no other takes none for it. Nodes have 64-bit hashes of what
+    they are called within their host.
     """
     pattern = F.array_join("segments", "/")
     counts = labelled.groupBy("host", pattern.alias("pattern")).agg(
         F.first("segments").alias("segments"), F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")
     )
-    written = tree = materialize(counts, "url-patterns")
-    whole = tree.agg(F.max(F.size("segments")).alias("depth"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
-    prior = (whole.b or 0) / whole.l if whole.l else 0.0
-    tree = tree.withColumns({"template": F.lit(""), "nodes": F.array(F.lit(""))})
-    depth = whole.depth or 0
-    for level in range(depth):
-        tree = _level(tree, level, fan_out, rare, z, min_labels)
-        if level % 2 == 1 or level == depth - 1:  # a level triples the plan
-            tree = materialize(tree, "url-levels")
-            discard(written)
-            written = tree
-
-    # Shares along each template's path, from the host down.
-    walked = tree.select("host", "template", "n", "labelled", "blocked", F.posexplode("nodes").alias("depth", "node"))
-    shares = walked.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    paths = tree.groupBy("host", "template").agg(F.first("nodes").alias("nodes")).select("host", "template", F.posexplode("nodes").alias("depth", "node"))
-    fold = lambda acc, x: (x["b"] + strength * acc) / (x["l"] + strength)
-    rated = (
-        paths.join(shares, ["host", "node"])
-        .groupBy("host", "template")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", F.col("l").cast("double").alias("l"), F.col("b").cast("double").alias("b"), "n"))).alias("chain"))
-        .select("host", "template", F.aggregate("chain", F.lit(float(prior)), fold).alias("blocked_share"), F.element_at("chain", -1)["l"].alias("evidence"), F.element_at("chain", -1)["n"].alias("pages"))
-    )
-    borne = ~(F.concat("template", F.lit("/")).contains("/*/")) | (F.col("evidence") >= evidence_share * F.col("pages"))
-    rejected = (F.col("blocked_share") >= purity) & (F.col("evidence") >= min_labels) & borne
-    return tree.join(rated, ["host", "template"]).select("host", "pattern", "template", "blocked_share", rejected.alias("rejected"))
+    counts = materialize(counts, "url-patterns")
+    whole = counts.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
+    prior = float((whole.b or 0) / whole.l if whole.l else 0.0)
+    hosts = counts.groupBy("host").agg(F.sum("n").alias("pages"), F.sum("labelled").alias("evidence"), F.sum("blocked").alias("all_blocked"))
+    root = counts.join(hosts, "host").select(
+        "host", "pattern", "n", "labelled", "blocked", F.col("segments").alias("rest"), F.lit("").alias("template"), F.lit(0).cast("long").alias("node"),
+        ((F.col("all_blocked") + strength * prior) / (F.col("evidence") + strength)).alias("share"), "evidence", "pages", F.lit(False).alias("starred"),
+    )
+    tables = [materialize(root, "url-levels")]
+    while (tables[-1].agg(F.max(F.size("rest"))).first()[0] or 0) > 0:
+        tables.append(materialize(_grown(tables[-1].filter(F.size("rest") > 0), fan_out, rare, z, min_labels, strength), "url-levels"))
+    done = [t.filter(F.size("rest") == 0).select("host", "pattern", "template", "share", "evidence", "pages", "starred") for t in tables]
+    tree = materialize(reduce(DataFrame.union, done), "url-tree")
+    for t in (counts, *tables):
+        discard(t)
+    borne = ~F.col("starred") | (F.col("evidence") >= evidence_share * F.col("pages"))
+    rejected = (F.col("share") >= purity) & (F.col("evidence") >= min_labels) & borne
+    return tree.select("host", "pattern", "template", F.col("share").alias("blocked_share"), rejected.alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | None = None, max_depth: int | None = None, **tree_options) -> DataFrame:
