@@ -24,6 +24,10 @@ from .common import slices
 
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 
+#: Months as they are written out.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = f"(?i:{'|'.join(MONTHS)})"
+
 _PATTERN = re.compile(
     r"(?P<secret>(?i:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer)[\"']?\s*[=:]\s*[\"']?(?P<body>(?=[A-Za-z0-9_+/.-]*?[A-Za-z0-9_+/-]{16})[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+={0,2}+(?!@)))"
     r"|(?P<token>(?<![A-Za-z0-9_])(?:A(?:KIA|SIA|IDA|ROA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,80}|[sr]k_live_[A-Za-z0-9]{16,64})(?![A-Za-z0-9_]))"
@@ -31,9 +35,10 @@ _PATTERN = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}(?:\d{2}|:\d{2}))|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])))"
-    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
+    rf"|(?P<written>(?<![\w.,/-])(?:\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?![\w/-]))"
+    r"|(?P<ip>(?<![\w.])(?<!(?i:version) )(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<ipv6>(?<![\w:.])(?=[a-fA-F:]*[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)(?![\w:]|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|(?<!\d[ .-])(?:\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![ .]\d))(?![\w-]))"
+    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|0\d{2,4}[/-]\d{5,8}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|(?<!\d[ .-])(?:\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![ .]\d))(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
 _MAY_HOLD = re.compile(r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/.-]{16}|A(?:KIA|SIA|IDA|ROA)|AIza|gh[pousr]_|xox[abprs]-|k_live_")
@@ -177,6 +182,29 @@ def _date(text: str, step) -> str | None:
     return ("-" if "-" in text else "." if "." in text else "/").join(f"{field[c]:0{width[c]}d}" for c in form)
 
 
+def _written_date(text: str, step) -> str | None:
+    """A day with its month as a word: 4 March 1999 or March 4, 1999. The pseudonym's month is a word in the same case, and the day keeps its width."""
+    first = text[0].isdigit()
+    parts = text.replace(",", "").split(" ")
+    day, month = (parts[0], parts[1]) if first else (parts[1], parts[0])
+    try:
+        date = datetime.date(int(parts[2]), 1 + [m.lower() for m in MONTHS].index(month.lower()), int(day))
+    except ValueError:
+        return None
+    if not 0 <= date.toordinal() - _FIRST_DAY < _DAYS:
+        return None
+
+    def same(value: int) -> bool:
+        new = datetime.date.fromordinal(_FIRST_DAY + value)
+        return (new.day > 12) == (date.day > 12) and (len(day) == 2 or new.day < 10)
+
+    new = datetime.date.fromordinal(_FIRST_DAY + _within(date.toordinal() - _FIRST_DAY, lambda v: step("date", _DAYS, v), same))
+    word = MONTHS[new.month - 1]
+    word = word.upper() if month.isupper() else word.lower() if month.islower() else word
+    number = f"{new.day:0{len(day)}d}"
+    return f"{number} {word} {new.year}" if first else f"{word} {number}, {new.year}"
+
+
 def _ip(text: str, step) -> str | None:
     """Octets with leading zeros keep their widths, and one at least keeps a leading zero."""
     parts = text.split(".")
@@ -255,6 +283,8 @@ def replace(kind: str, text: str, step) -> str | None:
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "date":
         return _date(text, step)
+    if kind == "written":
+        return _written_date(text, step)
     raise ValueError(kind)
 
 
@@ -272,7 +302,7 @@ def pseudonymise(text: str | None, step) -> tuple[str | None, Counter]:
         new = replace(kind, m[0], step)
         if new is None:
             return m[0]
-        found[{"token": "secret", "ipv6": "ip"}.get(kind, kind)] += 1
+        found[{"token": "secret", "ipv6": "ip", "written": "date"}.get(kind, kind)] += 1
         return new
 
     return _PATTERN.sub(swap, text), found
