@@ -92,3 +92,27 @@ def test_inputs_and_what_is_refused(spark):
     with pytest.raises(TypeError, match="Gaussian"):
         LinearDynamicalSystem(LDS.state, PoissonObservation(LDS.obs.c, [0.0, 0.0])).smooth(obs, stretch=8)
     assert issubclass(ObservationError, ValueError)
+
+
+def test_only_the_trials_that_need_logarithms_take_them(monkeypatch):
+    from trelliq.operators import hmm
+
+    rng = np.random.default_rng(4)
+    log_a, log_pi = np.log([[0.99, 0.01], [1e-300, 1.0]]), np.log([0.5, 0.5])
+    ll, lengths = rng.standard_normal((6, 30, 2)), np.array([30, 3, 30, 17, 1, 29])
+    # One state explains steps 5 to 9 of trial 2 by e^-900 less, and from step 10 on the other one by as much.
+    ll[2, 5:10, 0] -= 900
+    ll[2, 10:, 1] -= 900
+    for i, n in enumerate(lengths):
+        ll[i, n:] = 0
+    taken = []
+    old = hmm._posterior_log
+    monkeypatch.setattr(hmm, "_posterior_log", lambda x, n, *rest: taken.append(len(n)) or old(x, n, *rest))
+    gamma, xi, loglik = hmm.posterior(ll, lengths, log_a, log_pi)
+    want = old(ll, lengths, log_a, log_pi)
+    assert taken == [1]
+    for a, b in zip((gamma, xi, loglik), want, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    np.testing.assert_allclose(hmm.likelihood(ll, lengths, log_a, log_pi), want[2], rtol=1e-12)
+    never = hmm.likelihood(ll, lengths, np.log([[0.0, 1.0], [1.0, 0.0]] + np.zeros((2, 2))), np.array([0.0, -np.inf]))
+    assert np.isfinite(never).all()

@@ -140,8 +140,8 @@ def _tree(e: np.ndarray, moves: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tu
 def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
     """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial.
 
-    Works with scaled probabilities, step by step for many trials and over a tree for few. Where one comes near underflow, the
-    recursion in logarithms takes over.
+    Works with scaled probabilities, step by step for many trials and over a tree for few. For the trials in which one comes near
+    underflow, the recursion in logarithms takes over.
     """
     n, steps, k = ll.shape
     a, pi = np.exp(log_a), np.exp(log_pi)
@@ -161,12 +161,38 @@ def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np
         z = ((alpha[:, :-1] @ a) * after).sum(axis=2, keepdims=True)
         weighted = np.where(inside[:, 1:, None], alpha[:, :-1] / z, 0.0)
         xi = a * (weighted.transpose(0, 2, 1) @ after)
-        safe = (whole[:, :, 0] >= TINY)[inside].all() and (z[:, :, 0] >= TINY)[inside[:, 1:]].all() and np.isfinite(loglik).all() and np.isfinite(xi).all()
-    if not safe:
-        return _posterior_log(ll, lengths, log_a, log_pi)
+        safe = ((whole[:, :, 0] >= TINY) | ~inside).all(axis=1) & ((z[:, :, 0] >= TINY) | ~inside[:, 1:]).all(axis=1) & np.isfinite(loglik) & np.isfinite(xi).all(axis=(1, 2))
+    if not safe.all():
+        bad = np.flatnonzero(~safe)
+        longest = lengths[bad].max()
+        some = _posterior_log(ll[bad, :longest], lengths[bad], log_a, log_pi)
+        gamma[bad], xi[bad], loglik[bad] = 0.0, some[1], some[2]
+        gamma[bad, :longest] = some[0]
     return gamma, xi, loglik
 
 
+def likelihood(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each trial: the forward pass alone, in scaled probabilities, or in logarithms for the trials that need them."""
+    n, steps, k = ll.shape
+    a = np.exp(log_a)
+    top = ll.max(axis=2)
+    v, out, least = np.broadcast_to(np.exp(log_pi), (n, k)), np.zeros(n), np.full(n, np.inf)
+    with np.errstate(all="ignore"):
+        e = np.exp(ll - top[:, :, None])
+        for t in range(steps):
+            new = (v if t == 0 else v @ a) * e[:, t]
+            norm = new.sum(axis=1)
+            live = t < lengths
+            out += np.where(live, np.log(norm) + top[:, t], 0.0)
+            least = np.where(live, np.minimum(least, norm), least)
+            v = np.where(live[:, None], new / norm[:, None], v)
+    bad = np.flatnonzero(~(least >= TINY) | ~np.isfinite(out))
+    if len(bad):
+        longest = lengths[bad].max()
+        out[bad] = trial_loglik(forward(ll[bad, :longest], log_a, log_pi), lengths[bad])
+    return out
+
+
 def viterbi_path(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray) -> np.ndarray:
     """Most probable states, from 0; of equal ones the first."""
     n, steps, k = ll.shape
@@ -254,7 +280,7 @@ class HiddenMarkovModel(MarkovFamily):
         """(trial_id, loglik): the forward pass only."""
 
         def kernel(some, ys, us, ll, lengths):
-            found = trial_loglik(forward(ll, _log(self.a), _log(self.pi)), lengths)
+            found = likelihood(ll, lengths, _log(self.a), _log(self.pi))
             return pd.DataFrame({"trial_id": [p["trial_id"].iat[0] for p in some], "loglik": found})
 
         return self._map(obs, kernel, "trial_id long, loglik double")
@@ -427,7 +453,7 @@ class HiddenMarkovModel(MarkovFamily):
                 for i, (model, fold) in enumerate(zip(models, folds, strict=True)):
                     if part := [q for p in some if len(q := p[(p["fold"] == fold).to_numpy()])]:
                         _, _, ll, lengths = model._chunk(part)
-                        out[faulty + 2 * i :][:2] += posterior(ll, lengths, _log(model.a), _log(model.pi))[2].sum(), lengths.sum()
+                        out[faulty + 2 * i :][:2] += likelihood(ll, lengths, _log(model.a), _log(model.pi)).sum(), lengths.sum()
             yield vector_batch(out)
 
         s = added(arranged.mapInArrow(run, VECTOR), faulty + 2 * len(models))
