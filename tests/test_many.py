@@ -244,3 +244,22 @@ def test_enumeration_helper_is_right():
     for a, b in itertools.product(g, g[::4]):
         total += math.exp(model.loglik(np.array([[a], [b]]), y, normalized=True).sum()) * (g[1] - g[0]) * (g[4] - g[0])
     assert abs(math.log(total) - grid_likelihood(model, y)) < 1e-3
+
+
+# What all members of a family can do
+
+
+def test_labels_predictions_and_totals(spark):
+    df = spark.createDataFrame([([-2.0],), ([5.0],), ([0.5],)], "x array<double>")
+    found = [r.label for r in GaussianMixture([0.5, 0.5], [[0.0], [4.0]], [EYE, EYE]).labels(df).collect()]
+    assert found == [1, 2, 1]
+    counts = spark.createDataFrame([(0,), (30,)], "x long")
+    assert [r.label for r in PoissonMixture([0.5, 0.5], [1.0, 20.0]).labels(counts).collect()] == [1, 2]
+    inputs = df.selectExpr("x AS u")
+    eta = 0.3 + 0.5 * np.array([-2.0, 5.0, 0.5])
+    for emission, want in ((GaussianRegressionEmission([0.3, 0.5]), eta), (BernoulliRegressionEmission([0.3, 0.5]), 1 / (1 + np.exp(-eta))), (PoissonRegressionEmission([0.3, 0.5]), np.exp(eta))):
+        np.testing.assert_allclose([r["mean"][0] for r in emission.predict(inputs).collect()], want)
+    obs = trials(spark, 3, 5)
+    model = MODELS["hmm"]
+    np.testing.assert_allclose(HiddenMarkovModel(model.a, model.pi, [GaussianEmission([0.0], EYE)] * 2).total_loglik(obs), sum(-0.5 * (r.y[0] ** 2 + math.log(2 * math.pi)) for r in obs.collect()))
+    assert model.total_loglik(obs.limit(0)) == 0.0
