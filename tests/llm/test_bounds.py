@@ -17,6 +17,8 @@ def test_sample_of_one_doc_id_on_many_rows(spark, monkeypatch):
     old = frame.collect
     monkeypatch.setattr(frame, "collect", lambda self: collected.append(out := old(self)) or out)
     net = language.fit(docs, per_language=100)
+    copies = spark.range(50_000).selectExpr("id AS doc_id", "'one and the same' AS text", "'c' AS lang")
+    assert language.fit(copies.withColumn("doc_id", copies.doc_id * 0), per_language=100).classes == ["c"]
     assert net.classes == ["a", "b"] and max(map(len, collected)) <= 200 and taken[0] <= 4 * 200
 
 

@@ -162,7 +162,7 @@ def _frequent(rows: DataFrame, depth: int, least: int) -> bytes:
     """The table: a bit for the hash of every word, pair and triple that occurs ``least`` times, and perhaps of others."""
     n = partitions_of(rows.sparkSession)
     # A shard's hashes differ, so there is nothing to add up before the shuffle; a hash has a row from each shard at most.
-    counted = rows.mapInArrow(_counts(depth), "key long, n int").repartition(n, "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = rows.mapInArrow(_counts(depth), "key long, n int").repartition(4 * n, "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     bits = counted.select(F.shiftright("key", 40 - TABLE_BITS).alias("at"))
     found = bits.repartition(n, F.shiftright("at", BLOCK_BITS)).mapInArrow(_bits(), "block long, bits binary")
     table, size = bytearray(1 << TABLE_BITS - 3), 1 << BLOCK_BITS - 3

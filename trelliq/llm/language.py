@@ -166,27 +166,29 @@ def fit(docs: DataFrame, per_language: int = 1000, pieces: int = 4, seed: int =
     count each. None if there is nothing to learn from.
     """
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    scale, h = 1 << 20, F.xxhash64(F.lit(seed), "doc_id", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(h).alias("different"))
     # The most frequent languages, so that what comes to the driver is bounded however many labels there are.
     counts = counts.orderBy(F.desc("n"), "lang").limit(languages)
-    h = F.xxhash64(F.lit(seed), "doc_id", "text")
+    # Half as many more of a language's different rows as are needed: so few that no task has many, and only copies can make them more.
+    odds = F.least(F.lit(scale), (F.lit(scale * 1.5 * per_language) / F.col("different")).cast("int") + 1)
     length = F.char_length("text")
     piece = lambda i: F.substring("text", (F.floor(length * i / pieces) + 1).cast("int"), F.lit(WINDOW))
-    sampled = usable.withColumn("h", h).join(F.broadcast(counts.select("lang")), "lang")
+    sampled = usable.withColumn("h", h).join(F.broadcast(counts.select("lang", odds.alias("odds"))), "lang").filter(F.pmod("h", F.lit(scale)) < F.col("odds"))
     # Whatever the table holds, many rows of one doc_id included, no more than ``per_language`` rows of a language come to the driver: the first of
     # each task's, and then the first of those.
     chosen = sampled.select("lang", "h", "doc_id", *[piece(i).alias(f"p{i}") for i in range(pieces)]).withColumn("task", F.spark_partition_id())
-    order = [F.col("h"), F.col("doc_id").cast("string"), *[F.col(f"p{i}") for i in range(pieces)]]
+    order = [F.pmod("h", F.lit(scale)), F.col("h"), F.col("doc_id").cast("string"), *[F.col(f"p{i}") for i in range(pieces)]]
     for within in (["lang", "task"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         chosen = chosen.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
     by_lang: dict[str, list] = {}
     for r in chosen.collect():
-        by_lang.setdefault(r.lang, []).append((r.h, str(r.doc_id), *[r[f"p{i}"] for i in range(pieces)]))
+        by_lang.setdefault(r.lang, []).append((r.h % scale, r.h, str(r.doc_id), *[r[f"p{i}"] for i in range(pieces)]))
     classes, rows, y = sorted(by_lang), [], []
     for c, lang in enumerate(classes):
-        for r in sorted(by_lang[lang]):
-            for text in dict.fromkeys(r[2:]):
+        for r in sorted(by_lang[lang])[:per_language]:
+            for text in dict.fromkeys(r[3:]):
                 if has_letter(text):
                     rows.append(windows(text)[0])
                     y.append(c)
