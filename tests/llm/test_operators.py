@@ -519,7 +519,7 @@ def test_queries_run_and_match_sql(spark, duck):
             same(df.toPandas(), duck.execute(ORACLE_SQL[name]).df())
         else:
             assert df.limit(1).count() == 1
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
 
 
 def test_pipeline(spark, docs):

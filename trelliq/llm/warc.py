@@ -204,6 +204,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(now)
 
 
+def _file_key(path: str) -> Column:
+    return F.xxhash64(path)
+
+
 def _continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where records end whose header goes over the end of their block, from what the next blocks begin with."""
     for batch in batches:
@@ -236,28 +240,30 @@ def _reached(nodes: DataFrame, rounds: int) -> DataFrame:
 
 def block_starts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """For each block of the archives: where it begins in its file, its first record, the record that goes on from the block before and where
-    that ends. (file, block, base, entry, owner, until); a table in the shared folder.
+    that ends. (file, block, base, entry, owner, until), with a file's 64-bit hash for its path, here and in all tables on the way, whose rows
+    are then a few numbers. Two paths with one hash are an error. A table in the shared folder.
 
     With ``strict`` a file whose chain of records does not lead from its start to its end is an error; else it is read as far as it leads.
     """
     found = materialize(_lines(spark, path).mapInArrow(_candidates, _BLOCK_SCHEMA), "warc-candidates")
+    hashed = found.withColumns({"path": F.col("file"), "file": _file_key("file")})
     order = Window.partitionBy("file").orderBy("block")
-    blocks = found.filter("at is null").select(
-        "file", "block", "file_size", "size",
+    blocks = hashed.filter("at is null").select(
+        "file", "path", "block", "file_size", "size",
         F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
         F.collect_list(F.coalesce("head", F.lit(b""))).over(order.rowsBetween(1, 4)).alias("heads"),
     )
     blocks = materialize(blocks, "warc-blocks")
-    sizes = blocks.groupBy("file").agg(F.sum("size").alias("sum"), F.max("file_size").alias("file_size"), F.count(F.lit(1)).alias("n"))
+    sizes = blocks.groupBy("file").agg(F.min("path").alias("path"), F.max("path").alias("other"), F.sum("size").alias("sum"), F.max("file_size").alias("file_size"), F.count(F.lit(1)).alias("n"))
     # The last line need not end in a line feed, which is counted with every line.
-    odd = sizes.filter("sum != file_size and sum != file_size + 1").first()
+    odd = sizes.filter("path != other or sum != file_size and sum != file_size + 1").first()
     if odd is not None:
-        raise ValueError(f"{odd.file}: lines of {odd.sum} bytes in a file of {odd.file_size}")
-    places = found.filter("at is not null").join(blocks.select("file", "block", "base", "heads"), ["file", "block"])
+        raise ValueError(f"{odd.path}: lines of {odd.sum} bytes in a file of {odd.file_size}" if odd.path == odd.other else f"{odd.path} and {odd.other} have one hash")
+    places = hashed.filter("at is not null").select("file", "block", "at", "last", "to", "header").join(blocks.select("file", "block", "base", "heads"), ["file", "block"])
     absolute = lambda c: (F.col("base") + F.col(c)).alias(c)
     inside = places.filter("header is null").select("file", "block", absolute("at"), absolute("last"), absolute("to"))
     cut = places.filter("header is not null").select("file", "block", absolute("at"), "header", "heads")
-    ends = cut.select("file", "at", "header", "heads").mapInArrow(_continued, "file string, at long, to long").filter("to is not null")
+    ends = cut.select("file", "at", "header", "heads").mapInArrow(_continued, "file long, at long, to long").filter("to is not null")
     over = cut.select("file", "block", "at").join(ends, ["file", "at"]).select("file", "block", "at", F.col("at").alias("last"), "to")
     nodes = materialize(inside.union(over), "warc-nodes")
     longest = sizes.agg(F.max("n")).first()[0] or 1
@@ -266,9 +272,9 @@ def block_starts(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     chain = materialize(nodes.join(reached, ["file", "at"]), "warc-chain")
     if strict:
         ended = sizes.filter("file_size > 0").join(chain.groupBy("file").agg(F.max("to").alias("end")), "file", "left")
-        broken = ended.filter("end is null or end != file_size").select("file", "end", "file_size").first()
+        broken = ended.filter("end is null or end != file_size").select("path", "end", "file_size").first()
         if broken is not None:
-            raise ValueError(f"{broken.file}: records lead to {broken.end} of {broken.file_size} bytes")
+            raise ValueError(f"{broken.path}: records lead to {broken.end} of {broken.file_size} bytes")
     # Of a block's nodes on the chain the last is the record that leaves it.
     entries = chain.groupBy("file", "block").agg(F.min("at").alias("entry"), F.max(F.struct("last", "to")).alias("leaves"))
     before = F.last("leaves", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -383,12 +389,12 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     See ``block_starts`` for ``strict``.
     """
     starts = block_starts(spark, path, strict)
-    size = starts.agg(F.sum(F.length("file") + 64)).first()[0] or 0
-    lines = _lines(spark, path).drop("file_size")
-    if size <= BROADCAST_BYTES:
-        known = lines.join(F.broadcast(starts), ["file", "block"])
+    starts = starts.withColumnRenamed("file", "key")
+    lines = _lines(spark, path).drop("file_size").withColumn("key", _file_key("file"))
+    if 64 * starts.count() <= BROADCAST_BYTES:
+        known = lines.join(F.broadcast(starts), ["key", "block"])
     else:
-        known = lines.withColumn("n", F.monotonically_increasing_id()).join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "n")
+        known = lines.withColumn("n", F.monotonically_increasing_id()).join(starts, ["key", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "n")
     known = known.select("file", "block", "base", "entry", "owner", "until", "line")
     whole = known.mapInArrow(_read(False), _RECORD)
     pieces = known.mapInArrow(_read(True), "file string, offset long, start long, raw binary")
