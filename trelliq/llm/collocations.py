@@ -12,6 +12,7 @@ hash or a bit with something frequent is counted in vain, and counts are exact h
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,17 +56,29 @@ def _slices(text: bytes, size: int) -> Iterator[list[bytes]]:
         at = end
 
 
+class _Names:
+    """Language, word and hash by id; id 0 is what parts pieces."""
+
+    def __init__(self):
+        self.langs, self.words, self.hashes = [None], [b"\n"], array("Q", [0])
+
+    def add(self, lang: str, word: bytes, h: int) -> None:
+        self.langs.append(lang)
+        self.words.append(word)
+        self.hashes.append(h)
+
+
 class _Vocabulary(dict):
     """Ids of one language's words, from a list that all languages of a shard share."""
 
-    def __init__(self, lang: str, names: list):
+    def __init__(self, lang: str, names: _Names):
         super().__init__({b"": -1, b"\n": 0})
         self.lang, self.names, self.salt, self.size = lang, names, lang.encode("utf-8", "surrogatepass") + b"\0", 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.names)
-        self.size += 120 + 2 * len(word)
-        self.names.append((self.lang, word, xxhash.xxh3_64_intdigest(self.salt + word)))
+        self[word] = n = len(self.names.words)
+        self.size += 170 + 2 * len(word)
+        self.names.add(self.lang, word, xxhash.xxh3_64_intdigest(self.salt + word))
         return n
 
 
@@ -75,10 +88,10 @@ class Shard:
 
     words: np.ndarray
     context: int
-    names: list  # (language, word, hash) by id; none at 0
+    names: _Names
 
     def hashes(self) -> np.ndarray:
-        return np.array([n[2] for n in self.names], np.uint64)
+        return np.frombuffer(self.names.hashes, np.uint64)
 
 
 def shards(batches: Iterator[pa.RecordBatch], depth: int, most: tuple[int, int, int]) -> Iterator[Shard]:
@@ -86,7 +99,7 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int, most: tuple[int, int,
     most_words, most_bytes, slice_bytes = most
     parts: list[np.ndarray] = []
     held = context = 0
-    names: list = [(None, b"\n", 0)]
+    names = _Names()
     vocabularies: dict[str, _Vocabulary] = {}
 
     def close() -> Shard:
@@ -104,10 +117,10 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int, most: tuple[int, int,
                 if held >= most_words or sum(v.size for v in vocabularies.values()) >= most_bytes:
                     done = close()
                     yield done
-                    names = [(None, b"\n", 0)]
+                    names = _Names()
                     fresh = _Vocabulary(lang, names)
                     # The text may go on: what a phrase may still begin with stays. A piece that has ended takes nothing along.
-                    last = [fresh[done.names[i][1]] for i in done.words[-(depth - 1) :]] if depth > 1 else []
+                    last = [fresh[done.names.words[i]] for i in done.words[-(depth - 1) :]] if depth > 1 else []
                     vocabularies = {lang: fresh}
                     parts, held, context = [np.array(last, np.int32)], 0, len(last)
             parts.append(np.zeros(1, np.int32))
@@ -137,7 +150,8 @@ def _counts(depth: int):
         for s in shards(batches, depth, most):
             for at, h in _hashes(s, depth):
                 keys, n = np.unique(h[at >= s.context], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], names=["key", "n"])
+                found = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], names=["key", "n"])
+                yield from (found.slice(i, 1 << 16) for i in range(0, found.num_rows, 1 << 16))
 
     return run
 
@@ -162,7 +176,7 @@ def _frequent(rows: DataFrame, depth: int, least: int) -> bytes:
     """The table: a bit for the hash of every word, pair and triple that occurs ``least`` times, and perhaps of others."""
     n = partitions_of(rows.sparkSession)
     # A shard's hashes differ, so there is nothing to add up before the shuffle; a hash has a row from each shard at most.
-    counted = rows.mapInArrow(_counts(depth), "key long, n int").repartition(4 * n, "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = rows.mapInArrow(_counts(depth), "key long, n int").repartition(2 * n, "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     bits = counted.select(F.shiftright("key", 40 - TABLE_BITS).alias("at"))
     found = bits.repartition(n, F.shiftright("at", BLOCK_BITS)).mapInArrow(_bits(), "block long, bits binary")
     table, size = bytearray(1 << TABLE_BITS - 3), 1 << BLOCK_BITS - 3
@@ -264,9 +278,9 @@ def _phrases(depth: int, table: bytes | None):
             a = suffix_automaton(s.words, depth, s.context, frequent)
             langs, phrases, lengths, counts = [], [], [], []
             totals: dict[str, int] = {}
-            for i, n in enumerate(np.bincount(s.words[s.context :], minlength=len(s.names)).tolist()):
+            for i, n in enumerate(np.bincount(s.words[s.context :], minlength=len(s.names.words)).tolist()):
                 if i:
-                    totals[s.names[i][0]] = totals.get(s.names[i][0], 0) + n
+                    totals[s.names.langs[i]] = totals.get(s.names.langs[i], 0) + n
             for lang, n in totals.items():
                 langs.append(lang)
                 phrases.append(None)
@@ -275,8 +289,8 @@ def _phrases(depth: int, table: bytes | None):
             for low, high, n, end in zip(a.shortest.tolist(), a.longest.tolist(), a.count.tolist(), a.end.tolist(), strict=True):
                 for k in range(low, high + 1):
                     ids = s.words[end - k + 1 : end + 1].tolist()
-                    langs.append(s.names[ids[0]][0])
-                    phrases.append(b" ".join([s.names[i][1] for i in ids]))
+                    langs.append(s.names.langs[ids[0]])
+                    phrases.append(b" ".join([s.names.words[i] for i in ids]))
                     lengths.append(k)
                     counts.append(n)
             columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
