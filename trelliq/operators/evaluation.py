@@ -76,11 +76,14 @@ def random_hmm(points: DataFrame, k: int, d: int, seed: int = 0) -> HiddenMarkov
 
 
 def cross_validate_lds(obs: DataFrame, n_folds: int, start: LinearDynamicalSystem, max_iters: int = 100, tol: float = 1e-6) -> list[float]:
-    """Log-likelihood a step of each held-out fold under the Gaussian system fitted to the others.
+    """Log-likelihood a step of each held-out fold under the system fitted to the others.
 
-    For Gaussian observations the ELBO of a fit's first iteration is taken, which is the log-likelihood; for counts ``marginal_loglik``.
+    For Gaussian observations the ELBO of a fit's first iteration is taken, which is the log-likelihood; for counts ``marginal_loglik``. Observations
+    of a Poisson system that are no counts are a TypeError.
     """
     if start.poisson:
+        if not obs.filter(F.exists("y", lambda v: (v < 0) | (v != F.floor(v)))).isEmpty():
+            raise TypeError("a Poisson system needs counts")
         scored = lambda m, test: m.marginal_loglik(test).agg(F.sum("loglik")).first()[0]
         return cross_validate(obs, n_folds, lambda train: start.fit(train, max_iters, tol)[0], scored)
     return cross_validate(obs, n_folds, lambda train: start.fit(train, max_iters, tol)[0], lambda m, test: m.fit(test, max_iters=1)[1][0])
