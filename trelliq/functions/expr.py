@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..sources.obs import VECTOR, added, vector_batch
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm by IEEE 754 and as in DuckDB: -inf of 0 and NaN below, where Spark's own gives null."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, -math.inf).when(x < 0, math.nan)
+
+
 def lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in np.ravel(values)])
 

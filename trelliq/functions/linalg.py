@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import math
+from dataclasses import fields, is_dataclass
 
 import numpy as np
 
@@ -15,6 +17,21 @@ def log_sum_exp(a: np.ndarray, axis: int | None = None) -> np.ndarray:
     return out.reshape(()) if axis is None else np.squeeze(out, axis)
 
 
+def undefined(model):
+    """``model`` with NaN for every number in its arrays: what sums over observations that are not finite make of it."""
+    if isinstance(model, np.ndarray):
+        return np.full_like(model, math.nan) if model.dtype.kind == "f" else model
+    if isinstance(model, tuple):
+        return tuple(undefined(v) for v in model)
+    if not is_dataclass(model):
+        return model
+    # Not by its constructor, which refuses what is no distribution.
+    out = copy.copy(model)
+    for f in fields(model):
+        object.__setattr__(out, f.name, undefined(getattr(model, f.name)))
+    return out
+
+
 def make_posdef(a, min_eigenvalue: float = 1e-6) -> np.ndarray:
     """Symmetric part of ``a`` with eigenvalues raised to ``min_eigenvalue``."""
     a = np.asarray(a, float)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import make_posdef, stabilize_covariance
+from ..functions.linalg import make_posdef, stabilize_covariance, undefined
 from .families import EmissionFamily, RegressionFamily
 
 
@@ -83,6 +83,8 @@ class GaussianEmission(EmissionFamily):
         n, sy, syy = s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)
         if n <= 0:
             return self
+        if not np.isfinite(s).all():
+            return undefined(self)
         mean = sy / n
         return GaussianEmission(mean, stabilize_covariance(syy / n - np.outer(mean, mean)))
 
@@ -179,6 +181,8 @@ class GaussianRegressionEmission(_Regression):
         n, sxx, sxy, syy = s[0], s[1 : 1 + p * p].reshape(p, p), s[1 + p * p : 1 + p * p + p * d].reshape(p, d), s[1 + p * p + p * d :].reshape(d, d)
         if n <= 0:
             return self
+        if not np.isfinite(s).all():
+            return undefined(self)
         beta = np.linalg.lstsq(sxx + np.diag(self.penalty()), sxy, rcond=None)[0]
         scatter = syy - sxy.T @ beta - beta.T @ sxy + beta.T @ sxx @ beta
         return replace(self, beta=beta, cov=make_posdef(scatter / n))

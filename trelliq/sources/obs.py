@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -185,6 +186,18 @@ def matrix(pdf: pd.DataFrame, column: str) -> np.ndarray | None:
     return out
 
 
+def numbers(df: DataFrame, known: Column | None = None) -> DataFrame:
+    """What comes from pandas, where a NaN leaves as null, with its NaN again in doubles and in arrays of them; of rows that are ``known``."""
+    cover = {"double": lambda c: F.coalesce(c, F.lit(math.nan)), "array<double>": lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(math.nan)))}
+    known = F.lit(True) if known is None else known
+    return df.select(*[F.when(known, cover[t](F.col(c))).otherwise(F.col(c)).alias(c) if t in cover else F.col(c) for c, t in df.dtypes])
+
+
+def finite(df: DataFrame, *columns: str) -> bool:
+    """Whether no NaN and no infinity is in any of some array columns; nulls are not looked at."""
+    return df.filter(F.greatest(*[F.exists(c, lambda v: F.isnan(v) | (F.abs(v) == math.inf)) for c in columns], F.lit(False))).isEmpty()
+
+
 #: Numbers of a task's vector that travel in one row, and up to how many numbers they are added up one by one.
 BLOCK, NARROW = 8192, 1 << 16
 
