@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expr as E
 from ..functions.linalg import assignment
+from ..sources.obs import finite
 from .emissions import GaussianEmission
 from .hmm import HiddenMarkovModel
 from .lds import LinearDynamicalSystem, complete_loglik
@@ -99,11 +100,14 @@ def multi_start(obs: DataFrame, k: int, d: int, starts: int, max_iters: int = 10
     return sorted(fits, key=lambda f: -f[1][-1])
 
 
-def cross_validate_starts(obs: DataFrame, n_folds: int, starts: Sequence[HiddenMarkovModel], max_iters: int = 100, tol: float = 1e-6) -> np.ndarray:
+def cross_validate_starts(obs: DataFrame, n_folds: int, starts: Sequence[HiddenMarkovModel], max_iters: int = 100, tol: float = 1e-6, strict: bool = True) -> np.ndarray:
     """(starts, folds) log-likelihoods a step of held-out folds, of models that may differ in their number of states.
 
     One pass an iteration for all starts and folds, and one for the scores; as ``cross_validate`` gives them one by one.
+    An observation that is not finite is an error, or with ``strict=False`` makes all scores NaN: every fold is scored or fitted with it.
     """
+    if not strict and not finite(obs, "y", "u"):
+        return np.full((len(starts), n_folds), np.nan)
     folded = with_folds(obs.select("trial_id", "t", "y", "u", "w"), n_folds).persist()
     try:
         folds = [f for _ in starts for f in range(n_folds)]

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import log_sum_exp, make_posdef
-from ..sources.obs import FAULTS, VECTOR, added, by_trial, matrix, refuse, sound, trials, vector_batch
+from ..functions.linalg import log_sum_exp, make_posdef, undefined
+from ..sources.obs import FAULTS, VECTOR, added, by_trial, finite, matrix, numbers, refuse, sound, trials, vector_batch
 from .emissions import AutoRegressionEmission, GaussianEmission
 from .families import MarkovFamily
 from .glm import fit_by_ascent, fit_weighted
@@ -72,8 +72,9 @@ def _posterior_log(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_p
         live = t < lengths - 1
         if live.any():
             pair = alpha[live, t, :, None] + log_a + (ll[live, t + 1] + beta[live, t + 1])[:, None, :]
-            m = log_sum_exp(pair.reshape(len(pair), -1), axis=1)
-            xi[live] += np.where(np.isfinite(m)[:, None, None], np.exp(pair - np.where(np.isfinite(m), m, 0.0)[:, None, None]), 0.0)
+            m = log_sum_exp(pair.reshape(len(pair), -1), axis=1)[:, None, None]
+            never = np.isneginf(m)
+            xi[live] += np.where(never, 0.0, np.exp(pair - np.where(never, 0.0, m)))
     return gamma, xi, loglik
 
 
@@ -249,7 +250,13 @@ class HiddenMarkovModel(MarkovFamily):
     # Kernels
 
     def emission_loglikelihoods(self, y: np.ndarray, u: np.ndarray | None) -> np.ndarray:
-        return np.stack([e.logpdf(y, u) for e in self.emissions], axis=1)
+        """(T, K); an observation or input that is not finite has no density, and makes its step NaN in all states."""
+        ll = np.stack([e.logpdf(y, u) for e in self.emissions], axis=1)
+        if not np.isfinite(ll.sum()):
+            for x in (y, u):
+                if x is not None:
+                    ll[~np.isfinite(x).all(axis=1)] = math.nan
+        return ll
 
     def _chunk(self, some: list[pd.DataFrame]):
         ys, us = [matrix(p, "y") for p in some], [matrix(p, "u") for p in some]
@@ -283,7 +290,7 @@ class HiddenMarkovModel(MarkovFamily):
             found = likelihood(ll, lengths, _log(self.a), _log(self.pi))
             return pd.DataFrame({"trial_id": [p["trial_id"].iat[0] for p in some], "loglik": found})
 
-        return self._map(obs, kernel, "trial_id long, loglik double")
+        return numbers(self._map(obs, kernel, "trial_id long, loglik double"))
 
     def class_probabilities(self, obs: DataFrame, stretch: int | None = None) -> DataFrame:
         """(trial_id, t, gamma): posterior state probabilities. With ``stretch`` trials are cut into stretches of so many steps."""
@@ -296,7 +303,7 @@ class HiddenMarkovModel(MarkovFamily):
             gamma, _, _ = posterior(ll, lengths, _log(self.a), _log(self.pi))
             return pd.concat([pd.DataFrame({"trial_id": p["trial_id"].to_numpy(), "t": p["t"].to_numpy(), "gamma": list(gamma[i, : len(p)])}) for i, p in enumerate(some)], ignore_index=True)
 
-        return self._map(obs, kernel, "trial_id long, t int, gamma array<double>")
+        return numbers(self._map(obs, kernel, "trial_id long, t int, gamma array<double>"))
 
     def viterbi(self, obs: DataFrame, stretch: int | None = None) -> DataFrame:
         """(trial_id, t, state), states from 1. With ``stretch`` trials are cut into stretches of so many steps; of equal paths it gives any."""
@@ -368,8 +375,13 @@ class HiddenMarkovModel(MarkovFamily):
         a = np.where(rows > 0, xi / np.where(rows > 0, rows, 1), self.a)
         return a, pi / pi.sum() if pi.sum() > 0 else self.pi
 
-    def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[HiddenMarkovModel, list[float]]:
-        """EM over all trials; stops when the log-likelihood changes by less than ``tol``. Returns the model and its history."""
+    def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6, strict: bool = True) -> tuple[HiddenMarkovModel, list[float]]:
+        """EM over all trials; stops when the log-likelihood changes by less than ``tol``. Returns the model and its history.
+
+        An observation or input that is not finite is an error, or with ``strict=False`` makes every parameter NaN, as sums over it are.
+        """
+        if not strict and not finite(obs, "y", "u"):
+            return undefined(self), [math.nan] * max_iters
         closed = all(getattr(e, "closed_form", False) for e in self.emissions)
         # About the means of the data, so that covariances keep their digits.
         y, u = self._centre(obs)

@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from ..functions import expr as E
 from ..functions.display import Described
-from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, make_posdef, stabilize_covariance, valid_covariance
-from ..sources.obs import by_trial, kept, matrix, refuse_faults, summed, trials
+from ..functions.linalg import BlockTridiagonal, iw_log_prior, iw_map, make_posdef, stabilize_covariance, undefined, valid_covariance
+from ..sources.obs import by_trial, finite, kept, matrix, numbers, refuse_faults, summed, trials
 from .families import DynamicalFamily, ObservationFamily, StateFamily
 
 log = logging.getLogger(__name__)
@@ -208,7 +208,11 @@ class LinearDynamicalSystem(DynamicalFamily):
                 diag, lag = system.selected_inverse()
                 if shared is not None:
                     shared[t] = (system, diag, lag)
-            x = x + system.solve(self.gradient(x, y, w))
+            with np.errstate(invalid="ignore"):
+                x = x + system.solve(self.gradient(x, y, w))
+            # The step after an infinite observation differs from what is expected there by one infinity from another.
+            if not np.isfinite(y[:-1]).all():
+                x = np.full_like(x, math.nan)
         entropy = 0.5 * t * self.latent_dim * (1 + math.log(2 * math.pi)) - 0.5 * system.log_det()
         return x, diag, lag, entropy
 
@@ -366,12 +370,12 @@ class LinearDynamicalSystem(DynamicalFamily):
             for some in trials(batches):
                 yield pd.concat([_smoothed(p, *model.smooth_trial(matrix(p, "y"), factors=factors)) for p in some], ignore_index=True)
 
-        return by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double")
+        return numbers(by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double"))
 
     def marginal_loglik(self, obs: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
         """(trial_id, n, loglik, laplace, effective): log-likelihood of each trial's observations with the path integrated out; see ``marginal_trial``.
 
-        A trial has its own generator, so results do not depend on partitioning. Effective draws far below ``draws`` call for more of them.
+        A trial with an observation that is not finite has NaN. A trial has its own generator, so results do not depend on partitioning. Effective draws far below ``draws`` call for more of them.
         """
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,10 +383,12 @@ class LinearDynamicalSystem(DynamicalFamily):
                 found = []
                 for p in some:
                     rng = np.random.Generator(np.random.Philox(key=[seed, int(p["trial_id"].iat[0]) & ((1 << 63) - 1)]))
-                    found.append((p["trial_id"].iat[0], len(p), *self.marginal_trial(matrix(p, "y"), rng, draws)))
+                    y = matrix(p, "y")
+                    values = self.marginal_trial(y, rng, draws) if np.isfinite(y).all() else (math.nan,) * 3
+                    found.append((p["trial_id"].iat[0], len(p), *values))
                 yield pd.DataFrame(found, columns=["trial_id", "n", "loglik", "laplace", "effective"])
 
-        return by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, n int, loglik double, laplace double, effective double")
+        return numbers(by_trial(obs.select("trial_id", "t", "y")).mapInPandas(run, "trial_id long, n int, loglik double, laplace double, effective double"))
 
     def _smooth_stretches(self, obs: DataFrame, stretch: int) -> DataFrame:
         if self.poisson:
@@ -405,8 +411,13 @@ class LinearDynamicalSystem(DynamicalFamily):
 
         return summed(arranged, statistics, width + 2, check)
 
-    def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6) -> tuple[LinearDynamicalSystem, list[float], list[float]]:
-        """EM over all trials: (model, ELBO before each M-step, size of each step's change of parameters)."""
+    def fit(self, obs: DataFrame, max_iters: int = 100, tol: float = 1e-6, strict: bool = True) -> tuple[LinearDynamicalSystem, list[float], list[float]]:
+        """EM over all trials: (model, ELBO before each M-step, size of each step's change of parameters).
+
+        An observation that is not finite is an error, or with ``strict=False`` makes every parameter NaN, as sums over it are.
+        """
+        if not strict and not finite(obs, "y"):
+            return undefined(self), [math.nan] * max_iters, [math.nan] * max_iters
         # About the means of the data, so that covariances keep their digits.
         means = np.zeros(self.obs_dim) if self.poisson else E.weighted_means(obs, E.elements(F.col("y"), self.obs_dim), F.lit(1.0))
         y = F.col("y") if self.poisson else F.zip_with("y", E.lit_array(means), lambda a, b: a - b)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.linalg import BlockTridiagonal, is_probvec
-from ..sources.obs import by_trial, kept, matrix, refuse_faults, summed, trials
+from ..functions.linalg import BlockTridiagonal, is_probvec, undefined
+from ..sources.obs import by_trial, finite, kept, matrix, refuse_faults, summed, trials
 from .families import DynamicalFamily
 from .hmm import _log, posterior
 from .lds import LinearDynamicalSystem, PoissonObservation, _poisson_curvature, minimise_poisson, poisson_terms
@@ -118,8 +118,13 @@ class SLDS(DynamicalFamily):
         cols = ["trial_id", "t", "y", *([weights] if weights else [])]
         return by_trial(obs.select(*cols)).mapInPandas(run, "trial_id long, t int, x array<double>, p array<double>, p_lag array<double>, entropy double")
 
-    def fit(self, obs: DataFrame, max_iters: int = 50, seed: int = 0) -> tuple[SLDS, list[float]]:
-        """Variational Laplace EM, ``max_iters`` rounds: (model, ELBO of each round). Paths between rounds are ``kept``."""
+    def fit(self, obs: DataFrame, max_iters: int = 50, seed: int = 0, strict: bool = True) -> tuple[SLDS, list[float]]:
+        """Variational Laplace EM, ``max_iters`` rounds: (model, ELBO of each round). Paths between rounds are ``kept``.
+
+        An observation that is not finite is an error, or with ``strict=False`` makes every parameter NaN, as sums over it are.
+        """
+        if not strict and not finite(obs, "y"):
+            return undefined(self), [math.nan] * max_iters
         n, k = self.systems[0].latent_dim, self.k
         width = self.systems[0].width()
         # About the means of the data, so that covariances keep their digits.

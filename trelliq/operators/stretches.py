@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import BlockTridiagonal, log_sum_exp
-from ..sources.obs import FAULTS, ObservationError, matrix
+from ..sources.obs import FAULTS, ObservationError, matrix, numbers
 from .hmm import _log, posterior, viterbi_path
 
 #: Elements that are combined at once.
@@ -133,7 +133,7 @@ def scan(obs: DataFrame, steps: int, kernel: Kernel, schema: str) -> DataFrame:
         above = messages.select("trial_id", F.col("node").alias("parent"), F.lit(-1).cast("long").alias("node"), "v")
         messages = _groups(parts.union(above), "parent", "node", down, _ELEMENT)
     above = messages.select("trial_id", "node", F.lit(0).alias("t"), F.col("v").alias("message"))
-    return _groups(rows.unionByName(above, allowMissingColumns=True), "node", "t", finish, schema)
+    return numbers(_groups(rows.unionByName(above, allowMissingColumns=True), "node", "t", finish, schema))
 
 
 def totals(obs: DataFrame, steps: int, kernel: Kernel, value: Callable[[np.ndarray], float], name: str) -> DataFrame:
@@ -145,7 +145,7 @@ def totals(obs: DataFrame, steps: int, kernel: Kernel, value: Callable[[np.ndarr
         for p in batches:
             yield pd.DataFrame({"trial_id": p["trial_id"], name: [float(value(v)) for v in p["v"]]})
 
-    return top.mapInPandas(run, f"trial_id long, {name} double")
+    return numbers(top.mapInPandas(run, f"trial_id long, {name} double"))
 
 
 # Hidden Markov models: elements are k x k matrices in logarithms
@@ -158,6 +158,10 @@ def _times(a: np.ndarray, b: np.ndarray, best: bool) -> np.ndarray:
     for i in range(0, len(a), some):
         pair = a[i : i + some, :, :, None] + b[i : i + some, None, :, :]
         out[i : i + some] = pair.max(axis=2) if best else log_sum_exp(pair, axis=2)
+    if best:
+        # All paths tie from a step without density on, and the first state is taken: such a part has its scores up to there, and NaN for other states.
+        over = np.isnan(a).any(axis=(1, 2))
+        out[over] = a[over]
     return out
 
 
@@ -174,6 +178,7 @@ def markov(model, best: bool = False) -> Kernel:
     log_a, log_pi, k = _log(model.a), _log(model.pi), model.k
     square = lambda v: np.asarray(v, float).reshape(k, k)
     through = lambda v, m: (v[:, None] + m).max(axis=0) if best else log_sum_exp(v[:, None] + m, axis=0)
+    last_state = lambda v: 0 if np.isnan(v).any() else int(v.argmax())
     back = lambda m, v: log_sum_exp(m + v[None, :], axis=1)
 
     def level(v: np.ndarray) -> np.ndarray:
@@ -187,18 +192,23 @@ def markov(model, best: bool = False) -> Kernel:
         moves = np.broadcast_to(log_a, (len(p), k, k)).copy()
         if first:
             moves[0] = np.where(np.eye(k, dtype=bool), 0.0, -math.inf)
-        return _product(moves + scores(p)[:, None, :], best).ravel()
+        ll = scores(p)
+        if best:
+            ll[np.isnan(ll).any(axis=1), 0] = 0.0
+        return _product(moves + ll[:, None, :], best).ravel()
 
     def combine(parts):
         return _product(np.stack([square(v) for v in parts]), best).ravel()
 
     def root(v):
-        return np.concatenate([log_pi, [through(log_pi, square(v)).argmax()] if best else np.zeros(k)])
+        return np.concatenate([log_pi, [last_state(through(log_pi, square(v)))] if best else np.zeros(k)])
 
     def down(parts, message, first):
         ms, enter = [square(v) for v in parts], [message[:k]]
         for m in ms[:-1]:
             enter.append(level(through(enter[-1], m)))
+            if best and np.isnan(m).any():
+                enter[-1][:] = math.nan
         if best:
             ends = [int(message[k])]
             for v, m in zip(enter[:0:-1], ms[:0:-1], strict=True):
@@ -254,6 +264,7 @@ def gaussian(model) -> Kernel:
     def terms(p, first) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Blocks on and below the diagonal and the linear terms of a stretch's states, after that of the one before; zeros for none."""
         y = matrix(p, "y")
+        y[~np.isfinite(y)] = math.nan
         n = len(y)
         main, h = np.zeros((n + 1, d, d)), np.zeros((n + 1, d))
         main[1:], h[1:] = o.c.T @ ri @ o.c, (y - o.d) @ ri @ o.c
