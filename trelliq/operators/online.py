@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.linalg import log_sum_exp
-from ..sources.obs import by_trial, trials
-from .hmm import HiddenMarkovModel, _log
+from ..sources.obs import by_trial, numbers, trials
+from .hmm import HiddenMarkovModel, _log, pad
 
 SCHEMA = "trial_id long, t int, filtered array<double>, loglik double, late boolean"
 
@@ -119,6 +120,35 @@ def _whole(kernel, p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["trial_id", "t", "filtered", "loglik", "late"])
 
 
+def _chains(kernel: ChainFilter, some: list[pd.DataFrame]) -> pd.DataFrame:
+    """As ``_whole`` of each trial, a step of all of them at a time."""
+    ids, ts, lates, lls = [], [], [], []
+    for p in some:
+        t = p["t"].to_numpy()
+        first = np.append(True, np.diff(t) > 0) & (t > 0)
+        n = int((t[first] == np.arange(1, first.sum() + 1)).cumprod().sum())
+        now, late = first & (t <= n), ~first & (t <= n)
+        ids.append(np.full(now.sum(), p["trial_id"].iat[0]))
+        ts.append(t[now])
+        if late.any():
+            lates.append(pd.DataFrame({"trial_id": p["trial_id"].to_numpy()[late], "t": t[late], "filtered": None, "loglik": None, "late": True}))
+        if n:
+            u = None if p["u"].isna().any() else np.stack(p["u"].to_numpy()[now]).astype(float)
+            lls.append(kernel.model.emission_loglikelihoods(np.stack(p["y"].to_numpy()[now]).astype(float), u))
+    if not lls:
+        return pd.concat([pd.DataFrame(columns=["trial_id", "t", "filtered", "loglik", "late"]), *lates])
+    ll, lengths = pad(lls)
+    states, zs, state = np.empty_like(ll), np.empty(ll.shape[:2]), kernel.log_pi
+    for t in range(ll.shape[1]):
+        joint = (state if t == 0 else log_sum_exp(state[:, :, None] + kernel.log_a, axis=1)) + ll[:, t]
+        z = log_sum_exp(joint, axis=1)
+        state = joint - np.where(np.isfinite(z), z, 0.0)[:, None]
+        states[:, t], zs[:, t] = state, z
+    inside = np.arange(ll.shape[1])[None, :] < lengths[:, None]
+    out = pd.DataFrame({"trial_id": np.concatenate(ids), "t": np.concatenate(ts), "filtered": list(np.exp(states[inside])), "loglik": zs.cumsum(axis=1)[inside], "late": False})
+    return pd.concat([out, *lates]) if lates else out
+
+
 def filtered(stream: DataFrame, model) -> DataFrame:
     """(trial_id, t, filtered, loglik, late) of observations (trial_id, t, y, u) under a hidden Markov or Gaussian linear model.
 
@@ -129,10 +159,10 @@ def filtered(stream: DataFrame, model) -> DataFrame:
     kernel = ChainFilter(model) if isinstance(model, HiddenMarkovModel) else LinearFilter(model)
     rows = stream.select("trial_id", "t", "y", "u").filter("trial_id is not null and t is not null and y is not null")
     if stream.isStreaming:
-        return rows.groupBy("trial_id").transformWithStateInPandas(_Steps(kernel), SCHEMA, "Append", "None")
+        return numbers(rows.groupBy("trial_id").transformWithStateInPandas(_Steps(kernel), SCHEMA, "Append", "None"), ~F.col("late"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in trials(batches):
-            yield pd.concat([_whole(kernel, p) for p in some], ignore_index=True)
+            yield _chains(kernel, some) if isinstance(kernel, ChainFilter) else pd.concat([_whole(kernel, p) for p in some], ignore_index=True)
 
-    return by_trial(rows).mapInPandas(run, SCHEMA)
+    return numbers(by_trial(rows).mapInPandas(run, SCHEMA), ~F.col("late"))
