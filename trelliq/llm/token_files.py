@@ -56,6 +56,34 @@ def _splits_at_spaces(spec: dict) -> bool:
     )
 
 
+class _Chunks(Memory):
+    """Ids of chunks. A word with ASCII signs after it is put together from the two each time, so it takes no room from words."""
+
+    def __init__(self, encoder: ChunkEncoder, size: int):
+        super().__init__(encoder._chunk, size)
+        self.word, self.signs = encoder._word, encoder._SIGNS
+
+    def __missing__(self, key: str) -> bytes:
+        found, n = self.old.get(key), len(key)
+        if found is None:
+            if not key.isascii():
+                found = self.compute(key)
+            elif key.isalpha():
+                found = self.word(key)
+            else:
+                word = key.rstrip(self.signs)
+                if len(word) < n and word.isalpha():
+                    return self[word] + self[key[len(word) :]]
+                found = self.compute(key)
+        if n <= self.longest:
+            self.held = held = self.held + 240 + 2 * n + 8 * len(found)
+            if held > self.size:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = found
+        return found
+
+
 class ChunkEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
@@ -77,7 +105,7 @@ class ChunkEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.visible = {b: chr(b) if b in printable else chr(next(other)) for b in range(256)}
-        self.memory = Memory(self._chunk, memory)
+        self.memory = _Chunks(self, memory)
 
     def _word(self, word: str) -> bytes:
         """Ids of a word of letters below U+0250 without U+0130, whose lower case has letters only."""
@@ -87,11 +115,8 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            word = chunk.rstrip(self._SIGNS)
-            if word.isalpha():
-                return self.memory[word] + self.memory[chunk[len(word) :]] if len(word) < len(chunk) else self._word(word)
-        elif m := self._WORD.fullmatch(chunk):
+        # Those of ASCII letters, also with signs after them, do not come here.
+        if not chunk.isascii() and (m := self._WORD.fullmatch(chunk)):
             word, tail = m.groups()
             # The pattern also takes numerals such as ² and ½, which the library's splitter cuts from letters.
             if max(word) < "\u0250" and "\u0130" not in word and word.isalpha():
