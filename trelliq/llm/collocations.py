@@ -35,6 +35,9 @@ SHARD_WORDS, SHARD_BYTES, SLICE_BYTES = 1 << 20, 32 << 20, 1 << 20
 #: task), put together in blocks.
 HASHED_WORDS, TABLE_BITS, BLOCK_BITS = 3, 26, 17
 
+#: Counts of phrases that a task adds up over its shards take up to so many bytes before they leave it.
+HELD_BYTES = 64 << 20
+
 #: Totals by language are broadcast up to this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -264,11 +267,21 @@ def suffix_automaton(words: np.ndarray, depth: int, context: int = 0, frequent:
 
 
 def _phrases(depth: int, table: bytes | None):
-    """Tasks' counts of phrases, and of all words as phrases of none."""
-    most, shift = (SHARD_WORDS, SHARD_BYTES, SLICE_BYTES), 40 - TABLE_BITS
+    """Tasks' counts of phrases, and of all words as phrases of none. A phrase's counts in the shards of a task are added up while they fit into HELD_BYTES."""
+    most, shift, room = (SHARD_WORDS, SHARD_BYTES, SLICE_BYTES), 40 - TABLE_BITS, HELD_BYTES
+
+    def rows(lang: str, phrases: list[bytes | None], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(phrases), 1 << 16):
+            some = phrases[i : i + (1 << 16)]
+            lengths = [0 if p is None else p.count(b" ") + 1 for p in some]
+            columns = [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(lengths, pa.int32()), pa.array(counts[i : i + (1 << 16)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if table is None else np.frombuffer(table, np.uint8)
+        totals: dict[str, int] = {}
+        held: dict[str, dict[bytes, int]] = {}
+        size = 0
         for s in shards(batches, depth, most):
             frequent = []
             for at, h in _hashes(s, depth) if bits is not None else ():
@@ -276,25 +289,31 @@ def _phrases(depth: int, table: bytes | None):
                 frequent.append(np.zeros(len(s.words), bool))
                 frequent[-1][at] = bits[h >> 3] >> (7 - (h & 7)) & 1
             a = suffix_automaton(s.words, depth, s.context, frequent)
-            langs, phrases, lengths, counts = [], [], [], []
-            totals: dict[str, int] = {}
-            for i, n in enumerate(np.bincount(s.words[s.context :], minlength=len(s.names.words)).tolist()):
-                if i:
-                    totals[s.names.langs[i]] = totals.get(s.names.langs[i], 0) + n
-            for lang, n in totals.items():
-                langs.append(lang)
-                phrases.append(None)
-                lengths.append(0)
-                counts.append(n)
-            for low, high, n, end in zip(a.shortest.tolist(), a.longest.tolist(), a.count.tolist(), a.end.tolist(), strict=True):
+            for lang, n in zip(s.names.langs[1:], np.bincount(s.words[s.context :], minlength=len(s.names.words)).tolist()[1:], strict=True):
+                totals[lang] = totals.get(lang, 0) + n
+            words = [s.names.words[i] for i in s.words.tolist()]
+            langs = [s.names.langs[i] for i in s.words[a.end].tolist()]
+            for lang, low, high, n, end in zip(langs, a.shortest.tolist(), a.longest.tolist(), a.count.tolist(), a.end.tolist(), strict=True):
+                of_lang = held.get(lang)
+                if of_lang is None:
+                    of_lang = held[lang] = {}
+                end += 1
                 for k in range(low, high + 1):
-                    ids = s.words[end - k + 1 : end + 1].tolist()
-                    langs.append(s.names.langs[ids[0]])
-                    phrases.append(b" ".join([s.names.words[i] for i in ids]))
-                    lengths.append(k)
-                    counts.append(n)
-            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+                    phrase = b" ".join(words[end - k : end])
+                    before = of_lang.get(phrase)
+                    if before is None:
+                        of_lang[phrase] = n
+                        size += 200 + len(phrase)
+                    else:
+                        of_lang[phrase] = before + n
+                if size > room:
+                    for of, counts in held.items():
+                        yield from rows(of, list(counts), list(counts.values()))
+                    held, size = {}, 0
+        for of, counts in held.items():
+            yield from rows(of, list(counts), list(counts.values()))
+        for of, n in totals.items():
+            yield from rows(of, [None], [n])
 
     return run
 
