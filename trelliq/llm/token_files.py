@@ -56,45 +56,25 @@ def _splits_at_spaces(spec: dict) -> bool:
     )
 
 
-class _Chunks(Memory):
-    """Ids of chunks. A word with ASCII signs after it is put together from the two each time, so it takes no room from words."""
-
-    def __init__(self, encoder: ChunkEncoder, size: int):
-        super().__init__(encoder._chunk, size)
-        self.word, self.signs = encoder._word, encoder._SIGNS
-
-    def __missing__(self, key: str) -> bytes:
-        found, n = self.old.get(key), len(key)
-        if found is None:
-            if not key.isascii():
-                found = self.compute(key)
-            elif key.isalpha():
-                found = self.word(key)
-            else:
-                word = key.rstrip(self.signs)
-                if len(word) < n and word.isalpha():
-                    return self[word] + self[key[len(word) :]]
-                found = self.compute(key)
-        if n <= self.longest:
-            self.held = held = self.held + 240 + 2 * n + 8 * len(found)
-            if held > self.size:
-                self.old, self.held = dict(self), 0
-                self.clear()
-            self[key] = found
-        return found
+def _gathered(values: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``size`` values that stand one after the other, those named by ``which``, in its order, and how long each is."""
+    each = size[which]
+    ends = np.cumsum(each)
+    shift = (np.cumsum(size) - size)[which] - (ends - each)
+    return values[np.arange(len(ends) and ends[-1]) + np.repeat(shift, each)], each
 
 
 class ChunkEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     If the tokenizer's file says that it drops white space and splits at it, texts are cut at ASCII white space and each distinct
-    chunk of a batch is encoded once. Chunks that are words of Latin letters go to the library's model directly, as its normalizer
-    and splitter would hand them over; all others go through the whole library. Short chunks are remembered up to a number of bytes.
-    With any other file whole texts go through the whole library.
+    chunk of a batch is encoded once. Latin letters with ASCII signs after them are two parts, and a word of such letters goes to the
+    library's model directly, as its normalizer and splitter would hand it over; other chunks go through the whole library. Short
+    parts are remembered up to a number of bytes. With any other file whole texts go through the whole library.
     """
 
-    _WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
     _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs without the apostrophe, which the splitter may join to letters
+    _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")  # their lower case has letters only
 
     def __init__(self, tokenizer_json: str, memory: int = 96 << 20):
         from tokenizers import Tokenizer
@@ -105,23 +85,15 @@ class ChunkEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.visible = {b: chr(b) if b in printable else chr(next(other)) for b in range(256)}
-        self.memory = _Chunks(self, memory)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of letters below U+0250 without U+0130, whose lower case has letters only."""
-        word = word.lower()
-        if not word.isascii():
-            word = "".join([self.visible[b] for b in unicodedata.normalize("NFC", word).encode()])
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        # Those of ASCII letters, also with signs after them, do not come here.
-        if not chunk.isascii() and (m := self._WORD.fullmatch(chunk)):
-            word, tail = m.groups()
-            # The pattern also takes numerals such as ² and ½, which the library's splitter cuts from letters.
-            if max(word) < "\u0250" and "\u0130" not in word and word.isalpha():
-                return self.memory[word] + self.memory[tail] if tail else self._word(word)
-        return self._whole(chunk)
+        self.memory = Memory(self._part, memory)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a word in lower case, of signs, or of any other chunk."""
+        if not part.isalpha() or max(part) >= "\u0250" or "\u0130" in part:
+            return self._whole(part)
+        if not part.isascii():
+            part = "".join([self.visible[b] for b in unicodedata.normalize("NFC", part).encode()])
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
@@ -137,16 +109,17 @@ class ChunkEncoder:
             return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
         cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         chunks = cut.flatten().dictionary_encode()
-        raw = list(map(self.memory.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()))
-        known, size = np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
-        which = chunks.indices.to_numpy()
-        each = size[which] if len(raw) else np.zeros(0, np.int64)
-        ends = np.cumsum(each)
-        # The ids of chunk c stand at first[c]... in ``known`` and at ends[i] - each[i]... in the result.
-        first = np.cumsum(size) - size
-        shift = (first[which] if len(raw) else each) - (ends - each)
-        flat = known[np.arange(len(shift) and ends[-1]) + np.repeat(shift, each)]
-        stops = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        known = chunks.dictionary
+        words, signs = pc.utf8_rtrim(known, characters=self._SIGNS), pc.utf8_ltrim(known, characters=self._LETTERS)
+        length = lambda a: pc.binary_length(a).to_numpy(zero_copy_only=False)
+        # Letters up to where signs begin, and nothing else: what both leave makes the chunk.
+        two = pa.array(length(words) + length(signs) == length(known))
+        parts = [pc.if_else(two, pc.utf8_lower(words), known).dictionary_encode(), pc.if_else(two, signs, "").dictionary_encode()]
+        raw = [self.memory[p] for x in parts for p in x.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        which = np.column_stack([parts[0].indices.to_numpy(), parts[1].indices.to_numpy() + len(parts[0].dictionary)]).ravel()
+        ids, each = _gathered(np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64), which)
+        flat, each = _gathered(ids, each[0::2] + each[1::2], chunks.indices.to_numpy())
+        stops = np.concatenate([[0], np.cumsum(each)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return flat, np.diff(stops)
 
 
