@@ -29,3 +29,10 @@ def test_a_phrase_leaves_its_task_once(monkeypatch, room):
     assert found == expected
     # Without the bound on memory each has one row, however many shards the task had.
     assert (len(rows) == len(found)) == (room is None)
+
+
+def test_rows_do_not_grow_with_the_parts_of_a_table(spark):
+    rows = spark.range(640, numPartitions=64).selectExpr("'en' AS lang", "CAST(concat('a b c. d ', id % 2) AS BINARY) AS text")
+    found = collocations._local(rows, 3, None).toPandas()
+    # a, b, c, a b, b c, a b c, d, 0, 1, d 0, d 1 and the number of words: from each task, and not from each of 64 parts.
+    assert found["n"].sum() == 640 * (5 + 3 + 6) and len(found) == 12 * spark.sparkContext.defaultParallelism

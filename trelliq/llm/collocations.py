@@ -38,6 +38,9 @@ HASHED_WORDS, TABLE_BITS, BLOCK_BITS = 3, 26, 17
 #: Counts of phrases that a task adds up over its shards take up to so many bytes before they leave it.
 HELD_BYTES = 64 << 20
 
+#: Shuffle partitions for each task of the phrase pass. A task sends each of its phrases about once, so more tasks send more rows for the same phrases.
+PARTITIONS_A_TASK = 8
+
 #: Totals by language are broadcast up to this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -318,13 +321,19 @@ def _phrases(depth: int, table: bytes | None):
     return run
 
 
+def _local(rows: DataFrame, longest: int, table: bytes | None) -> DataFrame:
+    """Counts of phrases from tasks that read several of the table's parts each, as many as there are cores at least."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, partitions_of(spark) // PARTITIONS_A_TASK)
+    return rows.coalesce(tasks).mapInArrow(_phrases(longest, table), "lang string, phrase binary, words int, n long")
+
+
 def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, prune: bool = True) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of 1 to ``longest`` words that occur ``min_count`` times or more, and, as a null phrase of 0 words,
     each language's number of words. See ``collocations`` for what a word and a phrase are. The result is a table in the shared folder."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     table = _frequent(rows, longest, min_count) if prune else None
-    local = rows.mapInArrow(_phrases(longest, table), "lang string, phrase binary, words int, n long")
-    counted = local.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("words") == 0))
+    counted = _local(rows, longest, table).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("words") == 0))
     return materialize(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "n"), "phrases")
 
 
