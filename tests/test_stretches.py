@@ -1,6 +1,7 @@
 """Trials cut into stretches give what whole trials give."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trelliq.operators import stretches
@@ -67,6 +68,67 @@ def test_smoother(spark, cut):
         np.testing.assert_allclose(b, a, atol=1e-9, err_msg=column)
 
 
+@pytest.mark.parametrize("kernel", [stretches.markov(HMM), stretches.markov(HMM, best=True), stretches.gaussian(LDS)], ids=["posteriors", "paths", "smoother"])
+def test_many_stretches_at_once(kernel, monkeypatch):
+    """A batch's stretches are worked on together, whatever their lengths, and give what each gives by itself."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([8, 3, 1, 8, 8, 5, 8, 2, 7, 8] * 20)
+    first, at = rng.random(len(lengths)) < 0.3, np.append(0, np.cumsum(lengths))
+    y = rng.standard_normal((lengths.sum(), 2)) * 2
+    y[[4, 40, 300]] = -np.inf
+    p = pd.DataFrame({"trial_id": 1, "t": 1, "y": list(y)})
+    parts = [p.iloc[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    one = lambda f, *args: np.concatenate([f(x, lengths[i : i + 1], *(a[i : i + 1] for a in args)) for i, x in enumerate(parts)])
+    with np.errstate(all="ignore"):
+        elements = kernel.element(p, lengths, first)
+        np.testing.assert_allclose(elements, one(kernel.element, first), rtol=1e-9, atol=1e-12)
+        groups = np.array([10, 1, 64, 25, 100])
+        ends, begins = np.append(0, np.cumsum(groups)), np.array([True, False, True, True, False])
+        # Only the first part of a trial has no state before it.
+        elements = kernel.element(p, lengths, np.isin(np.arange(len(lengths)), ends[:-1][begins]))
+        tops = kernel.combine(elements, groups)
+        messages = kernel.root(tops)
+        down = kernel.down(elements, groups, messages, begins)
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            np.testing.assert_allclose(tops[i : i + 1], kernel.combine(elements[a:b], groups[i : i + 1]), rtol=1e-9, atol=1e-12)
+            np.testing.assert_allclose(down[a:b], kernel.down(elements[a:b], groups[i : i + 1], messages[i : i + 1], begins[i : i + 1]), rtol=1e-9, atol=1e-12)
+        calls = []
+        for name in ("posterior", "viterbi_path", "_smoothed"):
+            old = getattr(stretches, name)
+            monkeypatch.setattr(stretches, name, lambda *args, old=old: calls.append(1) or old(*args))
+        begins = np.isin(np.arange(len(lengths)), ends[:-1][begins])
+        found = kernel.finish(p, lengths, down, begins)
+        assert len(calls) == 1
+        for column, values in found.items():
+            alone = one(lambda x, n, m, f, column=column: np.stack(kernel.finish(x, n, m, f)[column]), down, begins)
+            np.testing.assert_allclose(np.stack(values), alone, rtol=1e-8, atol=1e-10)
+
+
+def test_groups_over_batches(spark, monkeypatch):
+    """Batches end inside stretches, and what is worked on at once is small."""
+    monkeypatch.setattr(stretches, "NUMBERS", 200)
+    obs, key = observations(spark, LENGTHS), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        for whole, parts, column in (
+            (HMM.class_probabilities(obs), HMM.class_probabilities(obs, stretch=8), "gamma"),
+            (HMM.viterbi(obs), HMM.viterbi(obs, stretch=8), "state"),
+            (LDS.smooth(obs), LDS.smooth(obs, stretch=8), "x"),
+        ):
+            (keys, a), (same, b) = table(whole, column), table(parts, column)
+            assert keys == same
+            np.testing.assert_allclose(b, a, atol=1e-9)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_fault_names_its_trial():
+    p = pd.DataFrame({"trial_id": [1, 1, 2, 2], "t": [1, 2, 1, 2], "y": [[0.0, 1.0], [0.0, 1.0], [0.0, 1.0], [np.nan, 1.0]]})
+    with pytest.raises(ObservationError, match="NaN y in trial 2 at step 2"):
+        stretches.markov(HMM).element(p, np.array([2, 2]), np.array([True, True]))
+
+
 def test_impossible_and_far(spark, cut):
     """Transitions and starts of probability zero, and observations that no state explains well."""
     model = HiddenMarkovModel([[0.5, 0.5, 0], [0, 0.5, 0.5], [0, 0, 1]], [1, 0, 0], HMM.emissions)

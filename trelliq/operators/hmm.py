@@ -124,7 +124,7 @@ def _tree(e: np.ndarray, moves: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tu
     while levels[-1].shape[1] > 1:
         product = levels[-1][:, 0::2] @ levels[-1][:, 1::2]
         levels.append(product / product.max(axis=(2, 3), keepdims=True))
-    enter, leave = np.broadcast_to(pi, (n, 1, k)), np.ones((n, 1, k))
+    enter, leave = np.broadcast_to(np.reshape(pi, (-1, 1, k)), (n, 1, k)), np.ones((n, 1, k))
     for level in reversed(levels[:-1]):
         into, out = np.empty((n, level.shape[1], k)), np.empty((n, level.shape[1], k))
         into[:, 0::2], out[:, 1::2] = enter, leave
@@ -139,7 +139,7 @@ def _tree(e: np.ndarray, moves: np.ndarray, a: np.ndarray, pi: np.ndarray) -> tu
 
 
 def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray):
-    """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial.
+    """gamma (probabilities, zero beyond the end), xi summed over time, and log-likelihood of each trial; ``log_pi`` is one for all, or one each.
 
     Works with scaled probabilities, step by step for many trials and over a tree for few. For the trials in which one comes near
     underflow, the recursion in logarithms takes over.
@@ -166,7 +166,7 @@ def posterior(ll: np.ndarray, lengths: np.ndarray, log_a: np.ndarray, log_pi: np
     if not safe.all():
         bad = np.flatnonzero(~safe)
         longest = lengths[bad].max()
-        some = _posterior_log(ll[bad, :longest], lengths[bad], log_a, log_pi)
+        some = _posterior_log(ll[bad, :longest], lengths[bad], log_a, np.broadcast_to(log_pi, (n, k))[bad])
         gamma[bad], xi[bad], loglik[bad] = 0.0, some[1], some[2]
         gamma[bad, :longest] = some[0]
     return gamma, xi, loglik

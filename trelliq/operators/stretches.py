@@ -2,9 +2,9 @@
 
 Up: what a stretch does to a message is an element of fixed size (a matrix of transition products, or a Gaussian potential over the
 states at its two ends), and elements of ``FAN`` neighbours are combined, level by level, until a trial has one. Down: the messages that
-enter and leave a node become those of its parts, until each stretch has its own. Each stretch is then finished by itself. A task holds
-one stretch, or ``FAN`` elements; a trial of T steps takes log(T / steps) / log(FAN) shuffles of elements each way, and its observations
-are shuffled once.
+enter and leave a node become those of its parts, until each stretch has its own. Each stretch is then finished by itself. A trial of T
+steps takes log(T / steps) / log(FAN) shuffles of elements each way, and its observations are shuffled once. A task holds a batch of
+whole stretches, or of ``FAN`` elements each, and a step of all of them is one array operation.
 """
 
 from __future__ import annotations
@@ -25,28 +25,50 @@ from .hmm import _log, posterior, viterbi_path
 #: Elements that are combined at once.
 FAN = 64
 
+#: Numbers of elements, padded, that are worked on at once.
+NUMBERS = 1 << 21
+
+#: Of fewer stretches than this each is smoothed by itself, as the factor of a long one settles.
+FEW = 8
+
 
 @dataclass(frozen=True)
 class Kernel:
-    """How a recursion goes over stretches; elements and messages are flat vectors.
+    """How a recursion goes over stretches; elements and messages are flat vectors, ``width`` numbers each.
 
-    ``element(p, first)`` of a stretch's rows, ``combine(elements)`` of neighbours, ``root(element)`` the message for a whole trial,
-    ``down(elements, message, first)`` the messages of the parts, and ``finish(p, message, first)`` the result's columns beside
-    trial_id and t. ``first`` says that a part begins its trial.
+    Every function works on n groups at once, whose rows follow one another, ``lengths`` each: ``element(p, lengths, first)`` of the rows
+    of stretches, ``combine(elements, lengths)`` of neighbours, ``root(elements)`` the messages for whole trials, ``down(elements,
+    lengths, messages, first)`` the messages of all parts, and ``finish(p, lengths, messages, first)`` the result's columns beside
+    trial_id and t. ``first`` says of each group that it begins its trial.
     """
 
-    element: Callable[[pd.DataFrame, bool], np.ndarray]
-    combine: Callable[[list[np.ndarray]], np.ndarray]
+    width: int
+    element: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray]
     root: Callable[[np.ndarray], np.ndarray]
-    down: Callable[[list[np.ndarray], np.ndarray, bool], list[np.ndarray]]
-    finish: Callable[[pd.DataFrame, np.ndarray, bool], dict]
+    down: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], dict]
+
+
+def _padded(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, longest, ...) of the rows of n groups, zero beyond each group's length, and which of them are inside."""
+    inside = np.arange(lengths.max())[None, :] < lengths[:, None]
+    out = np.zeros((*inside.shape, *flat.shape[1:]))
+    out[inside] = flat
+    return out, inside
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
 
 
-def _check(p: pd.DataFrame, node: int, steps: int) -> pd.DataFrame:
-    """A stretch in order; one with missing or repeated steps is an error (its trial's last may be short)."""
-    t, first = p["t"].to_numpy(), node * steps + 1
-    if not len(t) or t[0] != first or (np.diff(t) != 1).any():
-        raise ObservationError(f"steps of trial {p['trial_id'].iat[0] if len(t) else '?'} from {first} on are not one after the other")
+def _check(p: pd.DataFrame, lengths: np.ndarray, nodes: np.ndarray, steps: int) -> pd.DataFrame:
+    """Stretches in order; one with missing or repeated steps is an error (its trial's last may be short)."""
+    wanted = np.repeat(nodes * steps + 1 - _starts(lengths), lengths) + np.arange(len(p))
+    bad = np.flatnonzero(p["t"].to_numpy() != wanted)
+    if len(bad):
+        i = bad[0]
+        raise ObservationError(f"steps of trial {p['trial_id'].iat[i]} from {(wanted[i] - 1) // steps * steps + 1} on are not one after the other")
     return p
 
 
@@ -64,26 +86,36 @@ def _cut(obs: DataFrame, steps: int) -> tuple[DataFrame, int]:
 _ELEMENT = "trial_id long, node long, v array<double>"
 
 
-def _groups(df: DataFrame, group: str, order: str, kernel: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    """The kernel's columns for all rows of each (trial_id, group), in order: one shuffle, and no call to Spark for a group."""
+def _groups(df: DataFrame, group: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray], dict], width: int, schema: str) -> DataFrame:
+    """The kernel's columns for all rows of many (trial_id, group) at once, whole and in order: one shuffle, and no call for a group."""
+
+    def done(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, groups = p["trial_id"].to_numpy(), p[group].to_numpy()
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (groups[1:] != groups[:-1])) + 1).tolist(), len(p)]
+        i, longest = 0, 0
+        for j in range(1, len(cuts)):
+            # Groups from i on, as many as fit when they are as long as their longest; one at least.
+            longest = max(longest, cuts[j] - cuts[j - 1])
+            if j - i > 1 and (j - i) * longest * width > NUMBERS:
+                yield pd.DataFrame(kernel(p.iloc[cuts[i] : cuts[j - 1]], np.diff(cuts[i:j])))
+                i, longest = j - 1, cuts[j] - cuts[j - 1]
+        yield pd.DataFrame(kernel(p.iloc[cuts[i] :], np.diff(cuts[i:])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # rows of the last group, which may go on
         for batch in batches:
             if batch.empty:
                 continue
             ids, groups = batch["trial_id"].to_numpy(), batch[group].to_numpy()
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (groups[1:] != groups[:-1])) + 1).tolist(), len(batch)]
-            out = []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and (held[-1]["trial_id"].iat[-1], held[-1][group].iat[-1]) != (ids[i], groups[i]):
-                    out.append(pd.DataFrame(kernel(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))))
-                    held = []
-                held.append(batch.iloc[i:j])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            other = np.flatnonzero((ids != ids[-1]) | (groups != groups[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last or (held and (held[-1]["trial_id"].iat[-1], held[-1][group].iat[-1]) != (ids[0], groups[0])):
+                if whole := [*held, batch.iloc[:last]]:
+                    yield from done(pd.concat(whole, ignore_index=True))
+                held = []
+            held.append(batch.iloc[last:])
         if held:
-            yield pd.DataFrame(kernel(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)))
+            yield from done(pd.concat(held, ignore_index=True))
 
     return df.repartition("trial_id", group).sortWithinPartitions("trial_id", group, order).mapInPandas(run, schema)
 
@@ -91,21 +123,35 @@ def _groups(df: DataFrame, group: str, order: str, kernel: Callable[[pd.DataFram
 def _up(rows: DataFrame, levels: int, steps: int, kernel: Kernel) -> list[DataFrame]:
     """Elements of the stretches and of each level above them."""
 
-    def element(p: pd.DataFrame) -> dict:
-        node = int(p["node"].iat[0])
-        return {"trial_id": p["trial_id"].iloc[:1].to_numpy(), "node": [node], "v": [kernel.element(_check(p, node, steps), node == 0)]}
+    def element(p: pd.DataFrame, lengths: np.ndarray) -> dict:
+        at = _starts(lengths)
+        node = p["node"].to_numpy()[at]
+        return {"trial_id": p["trial_id"].to_numpy()[at], "node": node, "v": list(kernel.element(_check(p, lengths, node, steps), lengths, node == 0))}
 
-    def combine(p: pd.DataFrame) -> dict:
-        if (np.diff(p["node"].to_numpy()) != 1).any() or p["node"].iat[0] % FAN:
-            raise ObservationError(f"trial {p['trial_id'].iat[0]} lacks whole stretches of {steps} steps")
-        return {"trial_id": p["trial_id"].iloc[:1].to_numpy(), "node": p["parent"].iloc[:1].to_numpy(), "v": [kernel.combine(list(p["v"]))]}
+    def combine(p: pd.DataFrame, lengths: np.ndarray) -> dict:
+        at = _starts(lengths)
+        parent, ids = p["parent"].to_numpy()[at], p["trial_id"].to_numpy()
+        bad = np.flatnonzero(p["node"].to_numpy() != np.repeat(parent * FAN - at, lengths) + np.arange(len(p)))
+        if len(bad):
+            raise ObservationError(f"trial {ids[bad[0]]} lacks whole stretches of {steps} steps")
+        return {"trial_id": ids[at], "node": parent, "v": list(kernel.combine(np.stack(p["v"]), lengths))}
 
-    out = [_groups(rows, "node", "t", element, _ELEMENT)]
+    out = [_groups(rows, "node", "t", element, kernel.width, _ELEMENT)]
     for _ in range(levels):
-        out.append(_groups(out[-1].withColumn("parent", F.floor(F.col("node") / FAN).cast("long")), "parent", "node", combine, _ELEMENT))
+        out.append(_groups(out[-1].withColumn("parent", F.floor(F.col("node") / FAN).cast("long")), "parent", "node", combine, kernel.width, _ELEMENT))
     return out
 
 
+def _parted(p: pd.DataFrame, lengths: np.ndarray, message: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows of groups without the message that comes before them in each, their lengths, and the messages."""
+    at = _starts(lengths)
+    if (lengths < 2).any():
+        raise ObservationError(f"trial {p['trial_id'].iat[at[lengths.argmin()]]} lacks steps")
+    parts = np.ones(len(p), bool)
+    parts[at] = False
+    return p[parts], lengths - 1, np.stack(p[message].to_numpy()[at])
+
+
 def scan(obs: DataFrame, steps: int, kernel: Kernel, schema: str) -> DataFrame:
     """The kernel's result for every row of ``obs`` (trial_id, t, y, ...), whose steps are 1..T in each trial.
 
@@ -116,34 +162,38 @@ def scan(obs: DataFrame, steps: int, kernel: Kernel, schema: str) -> DataFrame:
 
     def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"trial_id": p["trial_id"], "node": p["node"], "v": [kernel.root(v) for v in p["v"]]})
+            if len(p):
+                yield pd.DataFrame({"trial_id": p["trial_id"], "node": p["node"], "v": list(kernel.root(np.stack(p["v"])))})
 
-    def down(p: pd.DataFrame) -> dict:
-        parts = p.iloc[1:]
-        return {"trial_id": parts["trial_id"].to_numpy(), "node": parts["node"].to_numpy(), "v": kernel.down(list(parts["v"]), p["v"].iat[0], p["parent"].iat[0] == 0)}
+    def down(p: pd.DataFrame, lengths: np.ndarray) -> dict:
+        first = p["parent"].to_numpy()[_starts(lengths)] == 0
+        parts, lengths, messages = _parted(p, lengths, "v")
+        return {"trial_id": parts["trial_id"].to_numpy(), "node": parts["node"].to_numpy(), "v": list(kernel.down(np.stack(parts["v"]), lengths, messages, first))}
 
-    def finish(p: pd.DataFrame) -> dict:
-        node = int(p["node"].iat[0])
-        part = _check(p.iloc[1:], node, steps)
-        return {"trial_id": part["trial_id"].to_numpy(), "t": part["t"].to_numpy(), **kernel.finish(part, p["message"].iat[0], node == 0)}
+    def finish(p: pd.DataFrame, lengths: np.ndarray) -> dict:
+        node = p["node"].to_numpy()[_starts(lengths)]
+        parts, lengths, messages = _parted(p, lengths, "message")
+        _check(parts, lengths, node, steps)
+        return {"trial_id": parts["trial_id"].to_numpy(), "t": parts["t"].to_numpy(), **kernel.finish(parts, lengths, messages, node == 0)}
 
     messages = elements[-1].mapInPandas(root, _ELEMENT)
     for level in range(levels - 1, -1, -1):
         parts = elements[level].select("trial_id", F.floor(F.col("node") / FAN).cast("long").alias("parent"), "node", "v")
         above = messages.select("trial_id", F.col("node").alias("parent"), F.lit(-1).cast("long").alias("node"), "v")
-        messages = _groups(parts.union(above), "parent", "node", down, _ELEMENT)
+        messages = _groups(parts.union(above), "parent", "node", down, kernel.width, _ELEMENT)
     above = messages.select("trial_id", "node", F.lit(0).alias("t"), F.col("v").alias("message"))
-    return numbers(_groups(rows.unionByName(above, allowMissingColumns=True), "node", "t", finish, schema))
+    return numbers(_groups(rows.unionByName(above, allowMissingColumns=True), "node", "t", finish, kernel.width, schema))
 
 
-def totals(obs: DataFrame, steps: int, kernel: Kernel, value: Callable[[np.ndarray], float], name: str) -> DataFrame:
-    """(trial_id, ``name``) from the element of each whole trial: the way up only."""
+def totals(obs: DataFrame, steps: int, kernel: Kernel, value: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """(trial_id, ``name``) from the elements of whole trials: the way up only."""
     rows, levels = _cut(obs, steps)
     top = _up(rows, levels, steps, kernel)[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"trial_id": p["trial_id"], name: [float(value(v)) for v in p["v"]]})
+            if len(p):
+                yield pd.DataFrame({"trial_id": p["trial_id"], name: value(np.stack(p["v"]))})
 
     return numbers(top.mapInPandas(run, f"trial_id long, {name} double"))
 
@@ -165,84 +215,126 @@ def _times(a: np.ndarray, b: np.ndarray, best: bool) -> np.ndarray:
     return out
 
 
-def _product(parts: np.ndarray, best: bool) -> np.ndarray:
-    """Product of (n, k, k) matrices in order, pair by pair."""
-    while len(parts) > 1:
-        odd = parts[-1:] if len(parts) % 2 else parts[:0]
-        parts = np.concatenate([_times(parts[0 : len(parts) - 1 : 2], parts[1::2], best), odd])
-    return parts[0]
+def _product(parts: np.ndarray, lengths: np.ndarray, best: bool) -> np.ndarray:
+    """Products in order, pair by pair, of the first ``lengths`` of (n, longest, k, k) matrices."""
+    while parts.shape[1] > 1:
+        out = parts[:, 0::2].copy()
+        both = 2 * np.arange(out.shape[1])[None, :] + 1 < lengths[:, None]
+        at = np.nonzero(both)
+        out[at] = _times(parts[at[0], 2 * at[1]], parts[at[0], 2 * at[1] + 1], best)
+        parts, lengths = out, (lengths + 1) // 2
+    return parts[:, 0]
 
 
 def markov(model, best: bool = False) -> Kernel:
     """Posterior state probabilities of a hidden Markov model (``gamma``), or with ``best`` the most probable path (``state``, from 1)."""
     log_a, log_pi, k = _log(model.a), _log(model.pi), model.k
-    square = lambda v: np.asarray(v, float).reshape(k, k)
-    through = lambda v, m: (v[:, None] + m).max(axis=0) if best else log_sum_exp(v[:, None] + m, axis=0)
-    last_state = lambda v: 0 if np.isnan(v).any() else int(v.argmax())
-    back = lambda m, v: log_sum_exp(m + v[None, :], axis=1)
+    square = lambda v: np.reshape(v, (-1, k, k))
+    through = lambda v, m: (v[:, :, None] + m).max(axis=1) if best else log_sum_exp(v[:, :, None] + m, axis=1)
+    back = lambda m, v: log_sum_exp(m + v[:, None, :], axis=2)
 
     def level(v: np.ndarray) -> np.ndarray:
-        top = v.max()
-        return v - top if np.isfinite(top) else v
-
-    def scores(p: pd.DataFrame) -> np.ndarray:
-        return model.emission_loglikelihoods(matrix(p, "y"), matrix(p, "u") if "u" in p else None)
-
-    def element(p, first):
-        moves = np.broadcast_to(log_a, (len(p), k, k)).copy()
-        if first:
-            moves[0] = np.where(np.eye(k, dtype=bool), 0.0, -math.inf)
-        ll = scores(p)
+        top = v.max(axis=1, keepdims=True)
+        return v - np.where(np.isfinite(top), top, 0.0)
+
+    def scores(p: pd.DataFrame, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if "u" in p and 0 < p["u"].isna().sum() < len(p):  # stretches without inputs beside others with them
+            ends = np.cumsum(lengths)
+            parts = [p.iloc[i:j] for i, j in zip(ends - lengths, ends, strict=True)]
+        else:
+            parts = [p]
+        return _padded(np.concatenate([model.emission_loglikelihoods(matrix(x, "y"), matrix(x, "u") if "u" in x else None) for x in parts]), lengths)
+
+    def element(p, lengths, first):
+        ll, inside = scores(p, lengths)
         if best:
-            ll[np.isnan(ll).any(axis=1), 0] = 0.0
-        return _product(moves + ll[:, None, :], best).ravel()
+            ll[np.isnan(ll).any(axis=2), 0] = 0.0
+        moves = log_a + ll[:, :, None, :]
+        moves[first, 0] = np.where(np.eye(k, dtype=bool), 0.0, -math.inf) + ll[first, 0, None, :]
+        return _product(moves, lengths, best).reshape(len(lengths), -1)
 
-    def combine(parts):
-        return _product(np.stack([square(v) for v in parts]), best).ravel()
+    def combine(parts, lengths):
+        return _product(_padded(square(parts), lengths)[0], lengths, best).reshape(len(lengths), -1)
 
     def root(v):
-        return np.concatenate([log_pi, [last_state(through(log_pi, square(v)))] if best else np.zeros(k)])
-
-    def down(parts, message, first):
-        ms, enter = [square(v) for v in parts], [message[:k]]
-        for m in ms[:-1]:
-            enter.append(level(through(enter[-1], m)))
-            if best and np.isnan(m).any():
-                enter[-1][:] = math.nan
-        if best:
-            ends = [int(message[k])]
-            for v, m in zip(enter[:0:-1], ms[:0:-1], strict=True):
-                ends.append(int((v + m[:, ends[-1]]).argmax()))
-            return [np.append(v, e) for v, e in zip(enter, reversed(ends), strict=True)]
-        leave = [message[k:]]
-        for m in ms[:0:-1]:
-            leave.append(level(back(m, leave[-1])))
-        return [np.concatenate([v, w]) for v, w in zip(enter, reversed(leave), strict=True)]
-
-    def finish(p, message, first):
-        ll, start = scores(p), message[:k]
-        if not first:
-            start = level(through(start, log_a))
-        n = np.array([len(ll)])
+        start = np.broadcast_to(log_pi, (len(v), k))
+        if not best:
+            return np.concatenate([start, np.zeros((len(v), k))], axis=1)
+        end = through(start, square(v))
+        return np.column_stack([start, np.where(np.isnan(end).any(axis=1), 0, end.argmax(axis=1))])
+
+    def down(parts, lengths, messages, first):
+        ms, inside = _padded(square(parts), lengths)
+        n, longest = inside.shape
+        enter, rows = np.empty((n, longest, k)), np.arange(n)
+        v = enter[:, 0] = messages[:, :k]
+        for i in range(1, longest):
+            m = ms[:, i - 1]
+            v = level(through(v, m))
+            if best:
+                v[np.isnan(m).any(axis=(1, 2))] = math.nan
+            enter[:, i] = v
+        leave = np.empty((n, longest, 1 if best else k))
+        w = messages[:, k:]
+        for i in range(longest - 1, 0, -1):
+            leave[:, i] = w
+            if best:
+                before = (enter[:, i] + ms[rows, i, :, w[:, 0].astype(int)]).argmax(axis=1)[:, None]
+            else:
+                before = level(back(ms[:, i], w))
+            w = np.where(inside[:, i, None], before, w)
+        leave[:, 0] = w
+        return np.concatenate([enter, leave], axis=2)[inside]
+
+    def finish(p, lengths, messages, first):
+        ll, inside = scores(p, lengths)
+        start, rows = np.where(first[:, None], messages[:, :k], level(through(messages[:, :k], log_a))), np.arange(len(lengths))
         if best:
-            last = np.full(k, -math.inf)
-            last[int(message[k])] = 0.0
-            ll[-1] += last
-            return {"state": viterbi_path(ll[None], n, log_a, start)[0] + 1}
-        ll[-1] += message[k:]
-        return {"gamma": list(posterior(ll[None], n, log_a, start)[0][0])}
+            last = np.full((len(lengths), k), -math.inf)
+            last[rows, messages[:, k].astype(int)] = 0.0
+            ll[rows, lengths - 1] += last
+            return {"state": viterbi_path(ll, lengths, log_a, start)[inside] + 1}
+        ll[rows, lengths - 1] += messages[:, k:]
+        return {"gamma": list(posterior(ll, lengths, log_a, start)[0][inside])}
 
-    return Kernel(element, combine, root, down, finish)
+    return Kernel(k * k, element, combine, root, down, finish)
 
 
-def log_evidence(model) -> Callable[[np.ndarray], float]:
-    """A trial's log-likelihood from its element."""
-    return lambda v: log_sum_exp(_log(model.pi)[:, None] + np.asarray(v, float).reshape(model.k, model.k))
+def log_evidence(model) -> Callable[[np.ndarray], np.ndarray]:
+    """Trials' log-likelihoods from their elements."""
+    return lambda v: log_sum_exp((_log(model.pi)[:, None] + np.reshape(v, (-1, model.k, model.k))).reshape(len(v), -1), axis=1)
 
 
 # Linear dynamical systems: elements are Gaussian potentials over the states before and at the end of a stretch
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    return a.swapaxes(-1, -2)
+
+
+def _smoothed(main: np.ndarray, sub: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n block-tridiagonal systems (n, T, D, D), (n, T - 1, D, D), (n, T, D) the solutions and the inverses' blocks on the diagonal and below it."""
+    if len(main) < FEW:
+        found = [(s.solve(b), *s.selected_inverse()) for s, b in zip(map(BlockTridiagonal, main, sub), h, strict=True)]
+        return tuple(np.stack(x) for x in zip(*found, strict=True))
+    steps = main.shape[1]
+    schur, gain, x = main.copy(), np.empty_like(sub), h.copy()
+    for i in range(1, steps):
+        gain[:, i - 1] = _turned(np.linalg.solve(schur[:, i - 1], _turned(sub[:, i - 1])))
+        s = main[:, i] - gain[:, i - 1] @ _turned(sub[:, i - 1])
+        schur[:, i] = (s + _turned(s)) / 2
+        x[:, i] -= (gain[:, i - 1] @ x[:, i - 1, :, None])[..., 0]
+    diag, lag = np.linalg.inv(schur), np.zeros_like(main)
+    x = (diag @ x[..., None])[..., 0]
+    for i in range(steps - 2, -1, -1):
+        back = _turned(gain[:, i])
+        x[:, i] -= (back @ x[:, i + 1, :, None])[..., 0]
+        lag[:, i + 1] = -diag[:, i + 1] @ gain[:, i]
+        v = diag[:, i] - back @ lag[:, i + 1]
+        diag[:, i] = (v + _turned(v)) / 2
+    return x, diag, lag
+
+
 def gaussian(model) -> Kernel:
     """Smoothed path, covariances and entropy of a linear dynamical system with Gaussian observations.
 
@@ -252,106 +344,119 @@ def gaussian(model) -> Kernel:
     s, o, d = model.state, model.obs, model.latent_dim
     qi, ri = np.linalg.inv(s.q), np.linalg.inv(o.r)
     at, lo, hi = s.a.T @ qi, slice(0, d), slice(d, 2 * d)
-    solve = np.linalg.solve
 
     def pack(j, h, det) -> np.ndarray:
-        return np.concatenate([np.ravel(j), h, [det]])
+        return np.concatenate([j.reshape(len(j), -1), h, det[:, None]], axis=1)
+
+    def unpack(v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return v[..., : 4 * d * d].reshape(*v.shape[:-1], 2 * d, 2 * d), v[..., 4 * d * d : -1], v[..., -1]
 
-    def unpack(v) -> tuple[np.ndarray, np.ndarray, float]:
-        v = np.asarray(v, float)
-        return v[: 4 * d * d].reshape(2 * d, 2 * d), v[4 * d * d : -1], v[-1]
+    def solved(m: np.ndarray, sides: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gain = np.linalg.solve(m, np.concatenate([sides, h[..., None]], axis=-1))
+        return gain[..., :-1], gain[..., -1:]
 
-    def terms(p, first) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks on and below the diagonal and the linear terms of a stretch's states, after that of the one before; zeros for none."""
+    def terms(p, lengths, first) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks on and below the diagonal and the linear terms of stretches' states, after that of the one before; zeros for none."""
         y = matrix(p, "y")
         y[~np.isfinite(y)] = math.nan
-        n = len(y)
-        main, h = np.zeros((n + 1, d, d)), np.zeros((n + 1, d))
-        main[1:], h[1:] = o.c.T @ ri @ o.c, (y - o.d) @ ri @ o.c
-        sub = np.broadcast_to(-qi @ s.a, (n, d, d)).copy()
-        main[1:] += qi
-        main[:-1] += at @ s.a
-        h[1:] += qi @ s.b
-        h[:-1] -= at @ s.b
-        if first:  # the first state starts and does not move
-            main[0], h[0], sub[0] = 0, 0, 0
-            main[1] += np.linalg.inv(s.p0) - qi
-            h[1] += solve(s.p0, s.x0) - qi @ s.b
-        return main, sub, h
-
-    def join(j1, h1, j2, h2) -> tuple[np.ndarray, np.ndarray, float]:
-        """Two potentials that share a state, which is integrated out."""
-        mid = j1[hi, hi] + j2[lo, lo]
-        sides = np.concatenate([j1[lo, hi], j2[hi, lo]])
-        gain = solve(mid, np.column_stack([sides.T, h1[hi] + h2[lo]]))
-        j = -sides @ gain[:, :-1]
-        j[lo, lo] += j1[lo, lo]
-        j[hi, hi] += j2[hi, hi]
-        h = np.concatenate([h1[lo], h2[hi]]) - sides @ gain[:, -1]
-        return (j + j.T) / 2, h, np.linalg.slogdet(mid)[1]
-
-    def element(p, first):
-        main, sub, h = terms(p, first)
-        step = lambda i: (np.block([[np.zeros((d, d)), sub[i].T], [sub[i], main[i + 1]]]), np.concatenate([np.zeros(d), h[i + 1]]))
-        j, b = step(0)
-        j[lo, lo], b[lo] = main[0], h[0]
-        det = 0.0
-        for i in range(1, len(sub)):
-            j, b, more = join(j, b, *step(i))
-            det += more
-        return pack(j, b, det)
-
-    def combine(parts):
-        j, h, det = unpack(parts[0])
-        for v in parts[1:]:
-            j2, h2, det2 = unpack(v)
-            j, h, more = join(j, h, j2, h2)
-            det += det2 + more
+        seen, inside = _padded((y - o.d) @ ri @ o.c, lengths)
+        n, longest = inside.shape
+        main, h = np.zeros((n, longest + 1, d, d)), np.zeros((n, longest + 1, d))
+        main[:, 1:][inside] = o.c.T @ ri @ o.c + qi
+        h[:, 1:] = seen
+        sub = np.zeros((n, longest, d, d))
+        sub[inside] = -qi @ s.a
+        main[:, :-1][inside] += at @ s.a
+        h[:, 1:][inside] += qi @ s.b
+        h[:, :-1][inside] -= at @ s.b
+        # the first state starts and does not move
+        main[first, 0], h[first, 0], sub[first, 0] = 0, 0, 0
+        main[first, 1] += np.linalg.inv(s.p0) - qi
+        h[first, 1] += np.linalg.solve(s.p0, s.x0) - qi @ s.b
+        return main, sub, h, inside
+
+    def join(j1, h1, j2, h2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of potentials that share a state, which is integrated out."""
+        mid = j1[:, hi, hi] + j2[:, lo, lo]
+        sides = np.concatenate([j1[:, lo, hi], j2[:, hi, lo]], axis=1)
+        gain, shift = solved(mid, _turned(sides), h1[:, hi] + h2[:, lo])
+        j = -sides @ gain
+        j[:, lo, lo] += j1[:, lo, lo]
+        j[:, hi, hi] += j2[:, hi, hi]
+        h = np.concatenate([h1[:, lo], h2[:, hi]], axis=1) - (sides @ shift)[..., 0]
+        return (j + _turned(j)) / 2, h, np.linalg.slogdet(mid)[1]
+
+    def joined(j, h, det, part, lengths) -> np.ndarray:
+        """``part(i, live)``, the i-th potentials of the groups that have one, joined from left to right to the first."""
+        for i in range(1, lengths.max()):
+            live = i < lengths
+            j2, h2, det2 = part(i, live)
+            j[live], h[live], more = join(j[live], h[live], j2, h2)
+            det[live] += det2 + more
         return pack(j, h, det)
 
-    none = np.zeros(d * d + d)
+    def element(p, lengths, first):
+        main, sub, h, _ = terms(p, lengths, first)
+
+        def step(i, live):
+            j, b = np.zeros((live.sum(), 2 * d, 2 * d)), np.zeros((live.sum(), 2 * d))
+            j[:, lo, hi], j[:, hi, lo], j[:, hi, hi], b[:, hi] = _turned(sub[live, i]), sub[live, i], main[live, i + 1], h[live, i + 1]
+            return j, b, 0.0
+
+        j, b, _ = step(0, np.ones(len(lengths), bool))
+        j[:, lo, lo], b[:, lo] = main[:, 0], h[:, 0]
+        return joined(j, b, np.zeros(len(lengths)), step, lengths)
+
+    def combine(parts, lengths):
+        js, hs, dets = unpack(_padded(parts, lengths)[0])
+        return joined(js[:, 0].copy(), hs[:, 0].copy(), dets[:, 0].copy(), lambda i, live: (js[live, i], hs[live, i], dets[live, i]), lengths)
+
+    size = d * d + d
 
     def root(v):
-        j, h, det = unpack(v)
-        return np.concatenate([none, none, [det + np.linalg.slogdet(j[hi, hi])[1]]])
+        j, _, det = unpack(v)
+        return np.column_stack([np.zeros((len(v), 2 * size)), det + np.linalg.slogdet(j[:, hi, hi])[1]])
 
     def side(v) -> tuple[np.ndarray, np.ndarray]:
-        return v[: d * d].reshape(d, d), v[d * d :]
-
-    def down(parts, message, first):
-        size, det = len(none), message[-1:]
-        ps = [unpack(v) for v in parts]
-        enter = [message[:size]]
-        for i, (j, h, _) in enumerate(ps[:-1]):
-            je, he = side(enter[-1])
-            if first and i == 0:
-                enter.append(np.concatenate([j[hi, hi].ravel(), h[hi]]))
-            else:
-                gain = solve(j[lo, lo] + je, np.column_stack([j[lo, hi], h[lo] + he]))
-                enter.append(np.concatenate([(j[hi, hi] - j[hi, lo] @ gain[:, :-1]).ravel(), h[hi] - j[hi, lo] @ gain[:, -1]]))
-        leave = [message[size : 2 * size]]
-        for j, h, _ in ps[:0:-1]:
-            jl, hl = side(leave[-1])
-            gain = solve(j[hi, hi] + jl, np.column_stack([j[hi, lo], h[hi] + hl]))
-            leave.append(np.concatenate([(j[lo, lo] - j[lo, hi] @ gain[:, :-1]).ravel(), h[lo] - j[lo, hi] @ gain[:, -1]]))
-        return [np.concatenate([e, w, det]) for e, w in zip(enter, reversed(leave), strict=True)]
-
-    def finish(p, message, first):
-        main, sub, h = terms(p, first)
-        size = len(none)
-        (je, he), (jl, hl) = side(message[:size]), side(message[size : 2 * size])
-        main[0] += je
-        h[0] += he
-        main[-1] += jl
-        h[-1] += hl
-        if first:
-            main, sub, h = main[1:], sub[1:], h[1:]
-        system = BlockTridiagonal(main, sub)
-        x, (diag, lag) = system.solve(h), system.selected_inverse()
-        if not first:
-            x, diag, lag = x[1:], diag[1:], lag[1:]
-        flat = lambda a: list(a.reshape(len(a), -1))
+        return v[:, : d * d].reshape(-1, d, d), v[:, d * d :]
+
+    def passed(j, h, message, a, b) -> np.ndarray:
+        """What potentials make of messages about their end ``a`` for their end ``b``."""
+        je, he = side(message)
+        mid = j[:, a, a] + je
+        mid[~mid.any(axis=(1, 2))] = np.eye(d)  # no state before the first, or no potential at all
+        gain, shift = solved(mid, j[:, a, b], h[:, a] + he)
+        return np.concatenate([(j[:, b, b] - j[:, b, a] @ gain).reshape(len(j), -1), h[:, b] - (j[:, b, a] @ shift)[..., 0]], axis=1)
+
+    def down(parts, lengths, messages, first):
+        flat, inside = _padded(parts, lengths)
+        (js, hs, _), (n, longest) = unpack(flat), inside.shape
+        out = np.empty((n, longest, 2 * size + 1))
+        out[:, :, -1] = messages[:, -1:]
+        v, w = messages[:, :size], messages[:, size : 2 * size]
+        for i in range(longest):
+            out[:, i, :size] = v
+            if i + 1 < longest:
+                v = passed(js[:, i], hs[:, i], v, lo, hi)
+        for i in range(longest - 1, -1, -1):
+            out[:, i, size : 2 * size] = w
+            if i:
+                w = np.where(inside[:, i, None], passed(js[:, i], hs[:, i], w, hi, lo), w)
+        return out[inside]
+
+    def finish(p, lengths, messages, first):
+        main, sub, h, inside = terms(p, lengths, first)
+        (je, he), (jl, hl), rows = side(messages[:, :size]), side(messages[:, size : 2 * size]), np.arange(len(lengths))
+        main[:, 0] += je
+        h[:, 0] += he
+        main[rows, lengths] += jl
+        h[rows, lengths] += hl
+        # States that do not exist stand by themselves.
+        main[first, 0] = np.eye(d)
+        main[:, 1:][~inside] = np.eye(d)
+        flat = lambda a: list(a[:, 1:][inside].reshape(len(p), -1))
+        x, diag, lag = map(flat, _smoothed(main, sub, h))
         # The log-determinant is the whole trial's; so is the entropy, which every stretch works out from the trial's length.
-        return {"x": list(x), "p": flat(diag), "p_lag": flat(lag), "log_det": float(message[-1])}
+        return {"x": x, "p": diag, "p_lag": lag, "log_det": np.repeat(messages[:, -1], lengths)}
 
-    return Kernel(element, combine, root, down, finish)
+    return Kernel(4 * d * d, element, combine, root, down, finish)

@@ -182,7 +182,8 @@ def matrix(pdf: pd.DataFrame, column: str) -> np.ndarray | None:
         out, what = np.stack(values).astype(float), "NaN"
         missing = np.isnan(out).any(axis=1)
     if missing.any():
-        raise ObservationError(f"{what} {column} in trial {pdf['trial_id'].iat[0]} at step {pdf['t'].iat[int(missing.argmax())] if 't' in pdf else '?'}")
+        i = int(missing.argmax())
+        raise ObservationError(f"{what} {column} in trial {pdf['trial_id'].iat[i]} at step {pdf['t'].iat[i] if 't' in pdf else '?'}")
     return out
 
 
