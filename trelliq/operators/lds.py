@@ -213,9 +213,23 @@ class LinearDynamicalSystem(DynamicalFamily):
             # The step after an infinite observation differs from what is expected there by one infinity from another.
             if not np.isfinite(y[:-1]).all():
                 x = np.full_like(x, math.nan)
+            elif not np.isfinite(y[-1]).all():
+                x = self.ended(y[-1] if w is None else w[-1] * y[-1], diag, lag)
         entropy = 0.5 * t * self.latent_dim * (1 + math.log(2 * math.pi)) - 0.5 * system.log_det()
         return x, diag, lag, entropy
 
+    def ended(self, last: np.ndarray, diag: np.ndarray, lag: np.ndarray) -> np.ndarray:
+        """Path before and at an observation that is the only one not finite, and a trial's last, from the path's covariances.
+
+        As a filter and the smoother after it give it, step by step: infinities of one sign stay, and those of both signs are NaN.
+        """
+        x = np.empty(diag.shape[:2])
+        with np.errstate(invalid="ignore"):
+            x[-1] = (np.linalg.solve(self.obs.r, self.obs.c @ diag[-1]).T * last).sum(axis=1)
+            for t in range(len(x) - 1, 0, -1):
+                x[t - 1] = (np.linalg.solve(diag[t], lag[t]).T * x[t]).sum(axis=1)
+        return x
+
     def _mode(self, y, w, x, iterations: int = 100, tolerance: float = 1e-8):
         value = lambda z: -self.loglik(z, y, w).sum()
         with np.errstate(over="ignore", invalid="ignore"):
